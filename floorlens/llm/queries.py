@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, secrets
 from .common import read_table
 
 
@@ -14,5 +14,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return secrets.digest(found)
+
+
+QUERIES = {
+    "op2_secret_scans": op2_secret_scans,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLES: dict[str, str] = {}
