@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
+from . import quality, secrets, tokens
 from .common import read_table
 
 
@@ -19,8 +19,20 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.write_shards(read_table(spark, sf_dir, "documents"), default_tokenizer())
+    return tokens.read_shards(spark, path)
+
+
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
+    "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
