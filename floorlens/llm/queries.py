@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, tokens
+from . import quality, secrets, tokens, warc
 from .common import read_table
 
 
@@ -19,6 +19,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_packages(read_table(spark, sf_dir, "pages"))
+    return warc.read_packages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -32,6 +37,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
+    "op7_warc": op7_warc,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
