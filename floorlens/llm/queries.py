@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, tokens, warc
+from . import language, mixing, quality, secrets, tokens, warc
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_packages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secret_scans": op2_secret_scans,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
