@@ -32,6 +32,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def multiple(k: int, of: int = 0x9E3779B97F4A7C15) -> np.uint64:
+    """k times a constant, modulo 2**64."""
+    return U64(k * of & 0xFFFFFFFFFFFFFFFF)
+
+
 BYTE_VALUE = mix64((np.arange(256, dtype=U64) + U64(1)) * _GOLD)
 
 
@@ -66,11 +71,11 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about PIECE bytes; a longer text stands alone."""
+def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about ``size`` bytes; a longer text stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         yield first, last
         first = last

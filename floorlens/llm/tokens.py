@@ -47,6 +47,8 @@ SHARD_IDS = 1 << 21
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64)
 ESCAPE = 15
+#: Bytes of text that are tokenized together.
+PIECE = 6 << 20
 U64 = np.uint64
 _COUNTS, _BITS = np.array(COUNTS), np.array(BITS)
 
@@ -211,69 +213,115 @@ class Shard:
         return decode(self.words[a:b], np.array([0, b - a]), min(self.block, self.n_ids - k * self.block))
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+
+
+def _latin(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are a to z or part of a letter from U+00C0 to U+00FF."""
+    out = _LETTER[raw]
+    pair = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+    out[:-1] |= pair
+    out[1:] |= pair
+    return out
+
+
 class WordEncoder:
     """Token ids of texts through a cache of words.
 
-    For a tokenizer that drops white space and whose pieces never span it, the ids of a text are
-    those of its words, put together. Words new to the cache are encoded by the library, many at a
-    time; a text with a special token's string is encoded whole.
+    For a tokenizer that lower-cases, drops white space and whose pieces never span it, the ids of a
+    text are those of its words, put together; a stop or comma after a letter is a piece of its own.
+    Words new to the cache are encoded by the library, many at a time; texts in a batch with a special
+    token's string are encoded whole. The cache holds sorted arrays, about 50 bytes a word.
     """
 
-    MOST = 1_500_000
+    MOST = 2_000_000
     ADDED = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin, self.size, self.n = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64), 0
 
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
-        text = " ".join(w.decode() for w in words)
+    def _sizes(self, words: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and how many each has. simple: words of Latin letters only, each one piece."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        text = b" ".join(words).decode()
+        if simple:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(words):
+                return ids, np.diff(cut, prepend=0)
         found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(w.decode()) + 1 for w in words])])[:-1]
         owner = np.searchsorted(starts, np.array([a for a, _ in found.offsets], np.int64), "right") - 1
-        size = np.bincount(owner, minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
-        begin = self.used + np.concatenate([[0], np.cumsum(size)])[:-1]
+        return np.array(found.ids, np.uint32), np.bincount(owner, minlength=len(words))
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], simple: np.ndarray) -> None:
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        n = int(simple.sum())
+        listed = [words[i] for i in order.tolist()]
+        (a, b), (c, d) = self._sizes(listed[:n], True), self._sizes(listed[n:], False)
+        ids, size = np.concatenate([a, c]), np.concatenate([b, d])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.n + len(words) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.begin[self.n : self.n + len(words)], self.size[self.n : self.n + len(words)] = begin, size
-        self.slot.update(zip(keys, range(self.n, self.n + len(words)), strict=True))
-        self.used, self.n = self.used + len(ids), self.n + len(words)
+        slots = np.arange(len(self.begin), len(self.begin) + len(size), dtype=np.int32)
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.used += len(ids)
+        keys, back = keys[order], np.argsort(keys[order])
+        at = np.searchsorted(self.keys, keys[back])
+        self.keys, self.slots = np.insert(self.keys, at, keys[back]), np.insert(self.slots, at, slots[back])
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the keys, and which of them the cache has."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.slots[at], self.keys[at] == keys
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         n = len(offsets) - 1
-        if self.ADDED.search(raw.tobytes()):
-            data = raw.tobytes()
+        data = raw.tobytes()
+        if self.ADDED.search(data):
             each = [np.array(self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
         raw = tk.LOWER[raw]
         starts, ends, owner = tk.word_spans(raw, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        latin = _latin(raw)
+        final = ends - 1
+        stop = np.flatnonzero(((raw[final] == 0x2E) | (raw[final] == 0x2C)) & (ends - starts > 1) & latin[final - 1])
+        begins = ends[stop] - 1
+        ends[stop] = begins
+        starts, ends, owner = np.insert(starts, stop + 1, begins), np.insert(ends, stop + 1, begins + 1), np.insert(owner, stop + 1, owner[stop])
         keys, first, back = np.unique(tk.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if self.n + len(keys) > self.MOST:
+        if len(self.keys) + len(keys) > self.MOST:
             self.clear()
-        listed = keys.tolist()
-        got = list(map(self.slot.get, listed))
-        new = [i for i, s in enumerate(got) if s is None]
-        if new:
-            data, at = raw.tobytes(), first[new]
-            self._learn([listed[i] for i in new], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            got = list(map(self.slot.get, listed))
-        slot = np.array(got, np.int64)[back]
+        slots, known = self._find(keys)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            low, high = starts[first[new]], ends[first[new]]
+            letters = np.concatenate([[0], np.cumsum(latin)])
+            simple, data = letters[high] - letters[low] == high - low, raw.tobytes()
+            self._learn(keys[new], [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], simple)
+            slots, _ = self._find(keys)
+        slot = slots[back]
         size, begin = self.size[slot], self.begin[slot]
-        total = np.concatenate([[0], np.cumsum(size)])
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         edge = np.searchsorted(owner, np.arange(n + 1))
         return ids, np.diff(total[edge])
@@ -314,7 +362,7 @@ def _writer(path: str, end: int, shard_ids: int):
         for batch in batches:
             raw, offsets = tk.string_buffers(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for a, b in tk.pieces(offsets):
+            for a, b in tk.pieces(offsets, PIECE):
                 ids, sizes = encoder(path).encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids, sizes = with_end(ids, sizes, end)
                 held.append((doc_ids[a:b], sizes, ids))
