@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, mixing, neardup, quality, secrets, tokens, warc
+from . import decontam, html, language, mixing, neardup, quality, secrets, tokens, warc
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_packages(read_table(spark, sf_dir, "pages"))
     return warc.read_packages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
+    "op5_decontamination": op5_decontamination,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_token_output": op9_token_output,
