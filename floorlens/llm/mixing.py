@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,6 @@ from .textkernel import mix64
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Words of a block, slots of a shard, shards that one row of the driver's running totals covers.
 BLOCK, SLOTS, GROUP = 256, 2048, 64
-#: Rows of a source that are put in order together; the sums of such buckets are put in order next.
-BUCKET_ROWS = 4096
 #: More sources than this are refused: the table of sources is held by the driver and every task.
 MAX_SOURCES = 100_000
 SEED = 20_240_601
@@ -242,7 +241,8 @@ def draw_slots(spark, plan: Plan) -> DataFrame:
     counts = np.array([c for _, c in rows], np.int64)
     plan.starts = np.concatenate([np.zeros((1, len(plan.keys)), np.int64), np.cumsum(counts, axis=0)])
     plan.over = np.maximum(plan.starts - plan.quota, 0).sum(axis=1)
-    return ids.mapInPandas(_slots(plan), "shard long, slot long, src int, epoch int, block long, take int")
+    # Written first, so that the planner knows its size: the estimate for rows made from a range is far too low.
+    return materialise(ids.mapInPandas(_slots(plan), "shard long, slot long, src int, epoch int, block long, take int"), "mix-slots")
 
 
 # ---------------------------------------------------------------- Spark
@@ -258,11 +258,11 @@ def sized(docs: DataFrame) -> DataFrame:
 def placed(held: DataFrame) -> DataFrame:
     """The frame of :func:`sized` with ``__start``: words of the document's source before it.
 
-    A prefix sum in two levels: documents in hashed buckets of about BUCKET_ROWS rows of a source, and
-    the sums of the buckets. The number of buckets follows the number of rows.
+    A prefix sum in two levels: documents in hashed buckets, and the sums of the buckets. There are as
+    many buckets as the root of the number of rows, so that neither level grows faster than that.
     """
-    n = held.count()
-    held = held.withColumn("__bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(max(1, n // BUCKET_ROWS))))
+    buckets = max(1, isqrt(held.count()))
+    held = held.withColumn("__bucket", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), F.lit(buckets)))
     sums = materialise(held.groupBy("__key", "__bucket").agg(F.sum("__size").alias("__words")), "mix-buckets")
     first = F.sum("__words").over(Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("__key", "__bucket", F.coalesce(first, F.lit(0)).alias("__first"))
