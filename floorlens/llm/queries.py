@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, language, mixing, neardup, quality, secrets, tokens, warc
+from . import decontam, html, language, licenses, mixing, neardup, quality, secrets, tokens, warc
 from .common import read_table
 
 
@@ -36,6 +36,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_packages(read_table(spark, sf_dir, "pages"))
     return warc.read_packages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -62,6 +66,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scans": op6_license_scans,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
     "op9_token_output": op9_token_output,
