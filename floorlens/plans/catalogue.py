@@ -1,4 +1,585 @@
-"""Registered queries of the floor-plan operators and their oracle SQL."""
+"""Registered queries of the floor-plan operators and their oracle SQL.
+
+Each query derives its plans from the driver's tables (see ``derived``) and runs the library's
+operators on all of them. Each oracle derives the same plans in SQL and computes the answer by
+formulas of its own. Values are whole numbers or strings, so that both sides hash alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as T
+from ..functions.vocab import EXTERIOR_ID, LABELS, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS
+from ..operators import elements as E
+from ..operators import enrich as N
+from ..operators import evaluate as V
+from ..operators import graph, rules
+from ..operators import topology as P
+from ..sources import jsonld
+from ..sources.shared import materialise
+from . import derived as D
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def whole(c) -> F.Column:
+    """A double that is a whole number but for rounding errors, as a bigint."""
+    return F.rint(c).cast("bigint")
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+# ------------------------------------------------------------ shared SQL
+
+ROOM = f"""room AS (SELECT event_id // 12 AS drawing_id, event_id % 12 AS ord, 'Space_' || lpad(CAST(event_id % 12 AS VARCHAR), 3, '0') AS room_id,
+ 4000 * (event_id % 12 % 4) AS x0, 3500 * (event_id % 12 // 4) AS y0,
+ 4000 * (event_id % 12 % 4) + 4000 - CASE WHEN user_id % 3 = 0 THEN 500 ELSE 0 END AS x1,
+ 3500 * (event_id % 12 // 4) + 3500 - CASE WHEN user_id % 5 = 0 THEN 500 ELSE 0 END AS y1,
+ {_list(D.TYPES)}[1 + CAST(round(value * 100) AS BIGINT) % 15] AS sem, event_id, user_id FROM events)"""
+FURNITURE = f"""furniture AS (SELECT p_partkey % n AS drawing_id, 'F_' || p_partkey AS uid, {_list(LABELS)}[1 + p_partkey % 35] AS specific_type,
+ 4000 * (p_size % 12 % 4) + 500 + 37 * p_partkey % 3000 AS x, 3500 * (p_size % 12 // 4) + 500 + 53 * p_partkey % 2500 AS y
+ FROM part, (SELECT count(*) // 12 AS n FROM events))"""
+IN_ROOM = "in_room AS (SELECT f.drawing_id, f.uid, f.specific_type, r.room_id, r.ord FROM furniture f JOIN room r ON f.drawing_id = r.drawing_id AND x > x0 AND x < x1 AND y > y0 AND y < y1)"
+DOOR = """door AS (SELECT drawing_id, 'D_' || event_id AS uid, 4000 * (ord % 4 + 1) AS xc, y0 + 1000 AS lo, y0 + 1700 + 100 * (user_id % 3) AS hi FROM room WHERE ord % 4 < 3 AND user_id % 2 = 0
+ UNION ALL SELECT drawing_id, 'E_' || event_id, 0, y0 + 1000, y0 + 1700 + 100 * (user_id % 3) FROM room WHERE ord % 4 = 0 AND user_id % 7 = 0)"""
+BOUND = f"""met AS (SELECT d.drawing_id, d.uid, r.room_id, r.ord FROM door d JOIN room r ON d.drawing_id = r.drawing_id AND r.x0 <= xc + 300 AND r.x1 >= xc - 300 AND 2 * r.y0 <= lo + hi AND 2 * r.y1 >= lo + hi),
+ bound AS (SELECT d.drawing_id, d.uid, count(room_id) AS n, min_by(room_id, ord) AS a, max_by(room_id, ord) AS b FROM door d LEFT JOIN met m ON d.drawing_id = m.drawing_id AND d.uid = m.uid GROUP BY ALL),
+ ends AS (SELECT drawing_id, uid, n, CASE n WHEN 0 THEN [] WHEN 1 THEN [a, '{EXTERIOR_ID}'] ELSE [a, b] END AS e FROM bound)"""
+GRID = """edge AS (SELECT r.drawing_id, r.room_id AS u, s.room_id AS v FROM room r JOIN room s ON s.event_id = r.event_id + 1 AND r.ord % 4 < 3 AND r.user_id % 2 = 0
+ UNION ALL SELECT r.drawing_id, r.room_id, s.room_id FROM room r JOIN room s ON s.event_id = r.event_id + 4 AND r.ord < 8 AND r.user_id % 3 = 0),
+ arc AS (SELECT drawing_id, u AS src, v AS dst FROM edge UNION SELECT drawing_id, v, u FROM edge)"""
+PUBLIC = f"""far AS (SELECT drawing_id, room_id AS node, sem IN {tuple(PUBLIC_SEEDS)} AS pub, 0 AS hops FROM room WHERE sem IN {tuple(PUBLIC_SEEDS + PRIVATE_SEEDS)}
+ UNION SELECT f.drawing_id, dst, pub, hops + 1 FROM far f JOIN arc ON f.drawing_id = arc.drawing_id AND f.node = arc.src WHERE hops < 12),
+ ruled AS (SELECT r.drawing_id, r.room_id, min(hops) FILTER (pub) AS d_public, min(hops) FILTER (NOT pub) AS d_private FROM room r LEFT JOIN far f ON r.drawing_id = f.drawing_id AND r.room_id = f.node WHERE sem = 'Corridor' GROUP BY ALL),
+ public AS (SELECT *, d_public IS NOT NULL AND (d_private IS NULL OR d_public <= d_private) AS is_public FROM ruled),
+ typed AS (SELECT r.*, CASE WHEN sem = 'Unknown' THEN [] WHEN coalesce(is_public, false) THEN [sem, 'PublicCorridor'] ELSE [sem] END AS types FROM room r LEFT JOIN public p ON r.drawing_id = p.drawing_id AND r.room_id = p.room_id)"""
+SUITE = f"""free AS (SELECT drawing_id, room_id, ord FROM typed WHERE len(types) > 0 AND NOT list_has_any(types, {_list(PUBLIC_BLOCKERS)})),
+ reach AS (SELECT drawing_id, ord AS start, room_id FROM free
+ UNION SELECT r.drawing_id, start, dst FROM reach r JOIN arc a ON r.drawing_id = a.drawing_id AND r.room_id = a.src JOIN free f ON f.drawing_id = a.drawing_id AND f.room_id = dst),
+ first AS (SELECT drawing_id, room_id, min(start) AS first FROM reach GROUP BY ALL),
+ suite AS (SELECT drawing_id, 'Suite_' || lpad(CAST(dense_rank() OVER (PARTITION BY drawing_id ORDER BY first) AS VARCHAR), 2, '0') AS suite_id, room_id FROM first)"""
+DOOR_TYPE = f"""side AS (SELECT drawing_id, uid, n, unnest(CASE WHEN len(e) = 0 THEN [NULL] ELSE e END) AS room_id FROM ends),
+ seen AS (SELECT s.drawing_id, s.uid, count(s.room_id) AS n, count(*) FILTER (s.room_id = '{EXTERIOR_ID}' OR list_has_any(t.types, {_list([*PUBLIC_SEEDS, "PublicCorridor"])})) AS pub,
+ coalesce(bool_or(sem = 'Kitchen'), false) AS k, coalesce(bool_or(sem = 'Bathroom'), false) AS w, coalesce(bool_or(sem = 'Bedroom'), false) AS b FROM side s LEFT JOIN typed t ON s.drawing_id = t.drawing_id AND s.room_id = t.room_id GROUP BY ALL),
+ dtype AS (SELECT drawing_id, uid, CASE WHEN n < 2 OR pub = 1 THEN 'EntranceDoor' WHEN k THEN 'KitchenDoor' WHEN w THEN 'BathroomDoor' WHEN b THEN 'BedroomDoor' ELSE 'InteriorDoor' END AS door_type FROM seen)"""
+CORRIDOR = """beside AS (SELECT a.drawing_id, a.src AS room_id, bool_or(sem IN ('Bedroom', 'LivingRoom')) AS main, bool_or(sem IN ('Kitchen', 'Bathroom')) AS second FROM arc a JOIN room r ON a.drawing_id = r.drawing_id AND a.dst = r.room_id GROUP BY ALL),
+ enter AS (SELECT DISTINCT s.drawing_id, s.room_id FROM side s JOIN dtype d ON s.drawing_id = d.drawing_id AND s.uid = d.uid AND door_type = 'EntranceDoor'),
+ ctype AS (SELECT t.drawing_id, t.room_id, list_filter([CASE WHEN 'PublicCorridor' IN types AND e.room_id IS NOT NULL THEN 'EntranceCorridor' END, CASE WHEN 'PublicCorridor' NOT IN types AND main THEN 'MainCorridor' END,
+ CASE WHEN 'PublicCorridor' NOT IN types AND second THEN 'SecondaryCorridor' END], lambda x: x IS NOT NULL) AS added
+ FROM typed t LEFT JOIN beside b ON t.drawing_id = b.drawing_id AND t.room_id = b.room_id LEFT JOIN enter e ON t.drawing_id = e.drawing_id AND t.room_id = e.room_id WHERE sem = 'Corridor')"""
+TRUTH = """pair AS (SELECT r.*, s.x1 AS nx1, r.event_id % 11 = 0 AND r.ord % 4 < 3 AND s.x1 IS NOT NULL AS merged FROM room r LEFT JOIN room s ON s.drawing_id = r.drawing_id AND s.ord = r.ord + 1),
+ left_over AS (SELECT * FROM pair p WHERE NOT EXISTS (SELECT 1 FROM pair q WHERE q.merged AND q.drawing_id = p.drawing_id AND q.ord + 1 = p.ord)),
+ moved AS (SELECT drawing_id, ord, sem, y0, y1, x0 + 200 * (event_id % 5) AS a, CASE WHEN merged THEN nx1 ELSE x1 END + 200 * (event_id % 5) AS b, event_id % 13 = 0 AND NOT merged AS cut FROM left_over),
+ gt AS (SELECT drawing_id, 2 * ord AS ord, sem, a AS x0, y0, b AS x1, y1 FROM moved WHERE NOT cut UNION ALL SELECT drawing_id, 2 * ord, sem, a, y0, (a + b) // 2, y1 FROM moved WHERE cut
+ UNION ALL SELECT drawing_id, 2 * ord + 1, sem, (a + b) // 2, y0, b, y1 FROM moved WHERE cut),
+ lap AS (SELECT * FROM (SELECT g.drawing_id, g.ord AS g, r.ord AS s, greatest(0, least(g.x1, r.x1) - greatest(g.x0, r.x0)) * greatest(0, least(g.y1, r.y1) - greatest(g.y0, r.y0)) AS i,
+ (g.x1 - g.x0) * (g.y1 - g.y0) AS ga, (r.x1 - r.x0) * (r.y1 - r.y0) AS sa FROM gt g JOIN room r ON g.drawing_id = r.drawing_id) WHERE i > 0)"""
+MATCH = """cov AS (SELECT *, count(*) OVER (PARTITION BY drawing_id, s) AS n FROM lap WHERE 10 * i > 8 * ga),
+ under AS (SELECT drawing_id, g, max(s) AS s FROM cov WHERE n >= 2 GROUP BY ALL),
+ rest AS (SELECT * FROM lap l WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.drawing_id = l.drawing_id AND u.g = l.g) AND NOT EXISTS (SELECT 1 FROM cov c WHERE c.n >= 2 AND c.drawing_id = l.drawing_id AND c.s = l.s)),
+ over AS (SELECT drawing_id, g FROM rest WHERE 10 * i > 8 * sa GROUP BY drawing_id, g, ga HAVING count(*) >= 2 AND 2 * sum(i) > ga),
+ rest2 AS (SELECT * FROM rest l WHERE NOT EXISTS (SELECT 1 FROM over o WHERE o.drawing_id = l.drawing_id AND o.g = l.g) AND NOT EXISTS (SELECT 1 FROM rest p JOIN over o ON o.drawing_id = p.drawing_id AND o.g = p.g WHERE 10 * p.i > 8 * p.sa AND p.drawing_id = l.drawing_id AND p.s = l.s)),
+ one AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, g ORDER BY i / (ga + sa - i) DESC, s) AS a FROM rest2 WHERE 2 * i > ga + sa - i),
+ two AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, s ORDER BY g) AS b FROM one WHERE a = 1),
+ matched AS (SELECT gt.drawing_id, gt.ord AS g, gt.sem, coalesce(u.s, t.s) AS s, CASE WHEN u.g IS NOT NULL THEN 'under' WHEN o.g IS NOT NULL THEN 'over' WHEN t.g IS NOT NULL THEN 'matched' ELSE 'missed' END AS status
+ FROM gt LEFT JOIN under u ON u.drawing_id = gt.drawing_id AND u.g = gt.ord LEFT JOIN over o ON o.drawing_id = gt.drawing_id AND o.g = gt.ord LEFT JOIN two t ON t.drawing_id = gt.drawing_id AND t.g = gt.ord AND b = 1)"""
+
+
+def _with(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ", ".join(parts) + " " + select
+
+
+# --------------------------------------------------------------- geometry
+
+
+@query(_with(ROOM, select="SELECT drawing_id, 'R11' AS rule_id, count(*) AS n FROM room WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000 GROUP BY drawing_id UNION ALL SELECT drawing_id, 'R13', count(*) FROM room WHERE sem = 'Kitchen' AND (x1 - x0) * (y1 - y0) < 3500000 GROUP BY drawing_id UNION ALL SELECT drawing_id, 'R14', count(*) FROM room WHERE sem = 'Bathroom' AND (x1 - x0) * (y1 - y0) < 2500000 GROUP BY drawing_id"))
+def room_area_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), "types", (G.area(F.col("ring")) / 1e6).alias("area_m2"))
+    chosen = [r for r in rules.RULES if r[0] in ("R11", "R13", "R14")]
+    return rules.violations(nodes, None, rules=chosen).groupBy("drawing_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, (x1 - x0) * (y1 - y0) AS area, 2 * (x1 - x0 + y1 - y0) AS perimeter, x0 + x1 AS cx2, y0 + y1 AS cy2, x0 AS bx0, y1 AS by1 FROM room"))
+def room_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.col("ring")
+    c, b = G.centroid(ring), G.bounds(ring)
+    return D.rooms(spark, sf_dir).select("drawing_id", "room_id", whole(G.area(ring)).alias("area"), whole(G.perimeter(ring)).alias("perimeter"), whole(2 * c["x"]).alias("cx2"), whole(2 * c["y"]).alias("cy2"), whole(b["x0"]).alias("bx0"), whole(b["y1"]).alias("by1"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, (x1 - x0) * (y1 - y0) AS area, greatest(x1 - x0, y1 - y0) AS long_mm, least(x1 - x0, y1 - y0) AS short_mm, least(x1 - x0, y1 - y0) AS clear_mm, true AS inset_left FROM room"))
+def rectangle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.rooms(spark, sf_dir).withColumn("m", E.rectangle_of("ring"))
+    return r.select("drawing_id", "room_id", whole(F.col("m.area")).alias("area"), whole(F.col("m.long")).alias("long_mm"), whole(F.col("m.short")).alias("short_mm"), whole(E.clear_width("ring")).alias("clear_mm"), E.inset_left("ring").alias("inset_left"))
+
+
+def l_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.rooms(spark, sf_dir).withColumns({"xm": F.expr("(x0 + x1) div 2"), "ym": F.expr("(2 * y0 + y1) div 3")})
+    p = lambda x, y: G.point(F.col(x), F.col(y))
+    return r.withColumn("ring", F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "ym"), p("xm", "ym"), p("xm", "y1"), p("x0", "y1")))
+
+
+L_ROOM = "l AS (SELECT *, (x0 + x1) // 2 AS xm, (2 * y0 + y1) // 3 AS ym FROM room)"
+
+
+@query(_with(ROOM, L_ROOM, select="SELECT drawing_id, room_id, (x1 - x0) * (ym - y0) + (xm - x0) * (y1 - ym) AS area, CAST(1 AS BIGINT) AS n_concave, xm AS cx, ym AS cy, least(xm - x0, x1 - xm, ym - y0, y1 - ym) AS clear_mm FROM l"))
+def l_room_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = F.col("ring")
+    c = G.concave_points(ring)
+    return l_rooms(spark, sf_dir).select("drawing_id", "room_id", whole(G.area(ring)).alias("area"), F.size(c).cast("bigint").alias("n_concave"), whole(F.element_at(c, 1)["x"]).alias("cx"), whole(F.element_at(c, 1)["y"]).alias("cy"), whole(E.clear_width("ring")).alias("clear_mm"))
+
+
+@query(_with(ROOM, L_ROOM, select="""SELECT drawing_id, room_id, CAST(2 AS BIGINT) AS n_parts, (x1 - x0) * (ym - y0) + (xm - x0) * (y1 - ym) AS area,
+ CASE WHEN xm - x0 < ym - y0 THEN least((x1 - x0) * (ym - y0), (xm - x0) * (y1 - ym)) ELSE least((xm - x0) * (y1 - y0), (x1 - xm) * (ym - y0)) END AS least_part FROM l"""))
+def acd_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = l_rooms(spark, sf_dir).select("drawing_id", "room_id", "ring", F.array(F.lit("LivingRoom"), F.lit("DiningRoom")).alias("types"))
+    rooms = rooms.withColumn("anchors", F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>"))
+    parts = N.decompose(rooms).withColumn("a", G.area(F.col("ring")))
+    return parts.groupBy("drawing_id", "room_id").agg(F.count(F.lit(1)).alias("n_parts"), whole(F.sum("a")).alias("area"), whole(F.min("a")).alias("least_part"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' AS wkt, (x1 - x0) * (y1 - y0) AS area_back FROM room"))
+def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.rooms(spark, sf_dir).withColumn("wkt", G.to_wkt(F.col("ring")))
+    return r.select("drawing_id", "room_id", "wkt", whole(G.area(G.from_wkt(F.col("wkt")))).alias("area_back"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, CAST(5 AS BIGINT) AS n_points, 10 * x0 AS wx, 10 * (140000 - y0) AS wy, 2 * x1 + 7 AS tx, 2 * y1 - 3 AS ty FROM room"))
+def svg_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.format_string("M %d %d L %d %d L %d,%d L %d %d Z", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")
+    r = D.rooms(spark, sf_dir).withColumn("p", G.path_points(d))
+    w = F.element_at(G.svg_to_world(F.col("p"), F.lit(0.1), 140000.0), 1)
+    t = F.element_at(G.affine(F.col("p"), G.transform_matrix(F.lit("translate(7,-3) scale(2)"))), 3)
+    return r.select("drawing_id", "room_id", F.size("p").cast("bigint").alias("n_points"), whole(w["x"]).alias("wx"), whole(w["y"]).alias("wy"), whole(t["x"]).alias("tx"), whole(t["y"]).alias("ty"))
+
+
+@query("""WITH n AS (SELECT unnest(range(0, 20)) AS i), c AS (SELECT p_partkey, i, CAST(round_even(p_partkey + (100 + p_size) * cos(i * (2 * 3.141592653589793 / 19)), 0) AS BIGINT) AS x, CAST(round_even(2 * p_partkey + (200 + p_size) * sin(i * (2 * 3.141592653589793 / 19)), 0) AS BIGINT) AS y FROM part, n)
+ SELECT p_partkey, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y * i) AS BIGINT) AS sy, count(*) AS n FROM c GROUP BY p_partkey""")
+def ellipse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.table(spark, sf_dir, "part")
+    k, s = F.col("p_partkey"), F.col("p_size")
+    pts = p.select("p_partkey", F.posexplode(G.circle_points(k, 2 * k, 100 + s, 200 + s)).alias("i", "p"))
+    return pts.groupBy("p_partkey").agg(F.sum(whole(F.col("p.x"))).alias("sx"), F.sum(whole(F.col("p.y")) * F.col("i")).alias("sy"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_kept, CAST(2 AS BIGINT) AS n_snapped FROM orders")
+def point_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near points dropped, coordinates snapped to integers."""
+    k = F.col("o_orderkey")
+    far = F.when(F.col("o_custkey") % 2 == 0, 0.2).otherwise(0.00005)
+    line = F.array(G.point(k, k), G.point(k + far, k), G.point(k + far, k + 0.00004), G.point(k + 9, k))
+    o = D.table(spark, sf_dir, "orders").withColumn("line", line)
+    return o.select("o_orderkey", F.size(G.drop_close(F.col("line"))).cast("bigint").alias("n_kept"), F.size(G.snap(F.col("line"))).cast("bigint").alias("n_snapped"))
+
+
+# ------------------------------------------------------ elements and texts
+
+
+@query(f"""SELECT l_orderkey % 50 AS drawing_id, 'FUNCTIONALELEMENT_' || l_orderkey AS uid, {_list(LABELS)}[1 + l_orderkey % 35] AS specific_type,
+ greatest(max(l_partkey + 10 * l_linenumber) - min(l_partkey), max(l_suppkey + 5 * l_linenumber) - min(l_suppkey)) AS length_mm, least(max(l_partkey + 10 * l_linenumber) - min(l_partkey), max(l_suppkey + 5 * l_linenumber) - min(l_suppkey)) AS width_mm, count(*) AS n_elements FROM lineitem GROUP BY l_orderkey""")
+def instance_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = D.table(spark, sf_dir, "lineitem")
+    x, y, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    label = E.label_of((F.col("l_orderkey") % 35).cast("int"), F.lit(1))
+    el = li.select((F.col("l_orderkey") % 50).alias("drawing_id"), F.col("l_orderkey").alias("instance_id"), n.alias("elem_id"), label.alias("type"), F.array(G.point(x, y), G.point(x + 10 * n, y + 5 * n)).alias("coords"))
+    return E.group_instances(el, "FunctionalElement").select("drawing_id", "uid", "specific_type", "length_mm", "width_mm", "n_elements")
+
+
+@query(f"""SELECT {_list(LABELS)}[1 + p_partkey % 35] AS label, bool_or(p_partkey % 35 IN (32, 33, 34, 6, 7, 8)) AS is_wall, bool_or(p_partkey % 35 IN (0, 1, 2, 3, 4, 5, 9)) AS is_door, bool_or(p_partkey % 35 IN (6, 7, 8)) AS is_window, bool_or(p_partkey % 35 BETWEEN 10 AND 31) AS is_furniture, count(*) AS n FROM part GROUP BY p_partkey % 35""")
+def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.table(spark, sf_dir, "part").select(E.label_of((F.col("p_partkey") % 35).cast("int"), F.lit(1)).alias("type"))
+    counts = p.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    for name, keep in (("is_wall", E.walls), ("is_door", E.doors), ("is_window", E.windows), ("is_furniture", E.furniture)):
+        counts = counts.join(keep(p).select("type").distinct().withColumn(name, F.lit(True)), "type", "left").na.fill(False, [name])
+    return counts.select(F.col("type").alias("label"), "is_wall", "is_door", "is_window", "is_furniture", "n")
+
+
+MASK = "bit AS (SELECT s_suppkey % 10 AS drawing_id, s_suppkey AS instance_id, unnest(range(0, 16)) AS ord FROM supplier), hit AS (SELECT drawing_id, ord, max(instance_id) AS instance_id FROM bit WHERE (7 * instance_id + 3 * ord) % 5 = 0 GROUP BY ALL)"
+
+
+@query(_with(MASK, select="SELECT d AS drawing_id, o AS ord, coalesce(instance_id, -1) AS instance_id, CAST(coalesce(instance_id % 35, -1) AS BIGINT) AS label_id FROM (SELECT unnest(range(0, 10)) AS d), (SELECT unnest(range(0, 16)) AS o) LEFT JOIN hit ON d = drawing_id AND o = ord"))
+def mask_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (7 * F.col("s_suppkey") + 3 * i) % 5 == 0)
+    inst = D.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("drawing_id"), F.col("s_suppkey").alias("instance_id"), bits.alias("masks"), (F.col("s_suppkey") % 35).alias("label_id"), F.lit(None).cast("double").alias("score"))
+    prim = spark.range(160).select(F.expr("id div 16").alias("drawing_id"), (F.col("id") % 16).cast("int").alias("ord"))
+    return E.inject_instances(prim, inst).select("drawing_id", F.col("ord").cast("bigint").alias("ord"), "instance_id", F.col("label_id").cast("bigint").alias("label_id"))
+
+
+TEXT = "txt AS (SELECT p_name AS t FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part), good AS (SELECT trim(t) AS t FROM txt WHERE length(trim(t)) >= 2 AND NOT regexp_full_match(trim(t), '[a-zA-Z0-9.]+')), map AS (SELECT DISTINCT p_name AS raw, ['Unknown', 'Kitchen', 'Bedroom', 'Balcony'][1 + length(p_name) % 4] AS std FROM part)"
+
+
+@query(_with(TEXT, select="SELECT std AS std_label, count(*) AS n FROM good JOIN map ON t = raw AND std <> 'Unknown' GROUP BY std UNION ALL SELECT '(kept)', count(*) FROM good"))
+def text_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.table(spark, sf_dir, "part")
+    texts = p.select(F.explode(F.array("p_name", "p_brand", "p_type")).alias("text"))
+    label = F.element_at(F.array(*(F.lit(x) for x in ("Unknown", "Kitchen", "Bedroom", "Balcony"))), 1 + F.length("p_name") % 4)
+    mapping = p.select(F.col("p_name").alias("raw_text"), label.alias("std_label")).distinct()
+    good = E.room_texts(texts)
+    typed = N.type_texts(good, mapping).groupBy("std_label").agg(F.count(F.lit(1)).alias("n"))
+    return typed.unionByName(good.agg(F.lit("(kept)").alias("std_label"), F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT p_partkey, p_partkey + CASE WHEN p_size % 2 = 0 THEN 0 ELSE CAST(trunc(length(p_name) * 10 * 0.8 / 2) AS BIGINT) END AS x, p_partkey - 5 AS y, regexp_replace(p_name, '[^a-zA-Z0-9]', '_', 'g') AS safe, CAST(p_size AS VARCHAR) || '.1' AS rule_no, CASE WHEN p_size % 2 = 0 THEN 'gas stove' ELSE 'toilet' END AS facility, CASE WHEN p_size % 3 = 0 THEN 'v' ELSE '-' END AS reply FROM part")
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.table(spark, sf_dir, "part")
+    k, even = F.col("p_partkey"), F.col("p_size") % 2 == 0
+    centre = E.text_centre(k, k, F.col("p_name"), F.lit(10), F.when(even, "middle").otherwise("start"))
+    message = F.concat(F.lit("【违规 "), F.col("p_size").cast("string"), F.lit(".1】 x"))
+    reply = F.when(F.col("p_size") % 3 == 0, '```json\n{"a": "v"}\n```').otherwise("no json")
+    return p.select("p_partkey", centre["x"].alias("x"), centre["y"].alias("y"), T.safe_id(F.col("p_name")).alias("safe"), rules.rule_number(message).alias("rule_no"), T.facility_label(F.when(even, "GasStove").otherwise("Toilet")).alias("facility"), F.coalesce(F.try_element_at(T.parse_reply(reply), F.lit("a")), F.lit("-")).alias("reply"))
+
+
+LINE = "line AS (SELECT o_orderkey // 20 AS drawing_id, o_orderkey AS elem_id, o_orderkey % 20 AS i, o_custkey % 5 = 0 AS gap, o_custkey % 4 = 0 AS wall FROM orders)"
+
+
+@query(_with(LINE, select="SELECT drawing_id, elem_id, CASE WHEN bool_or(wall) OVER (PARTITION BY drawing_id, chain) THEN 'wall' ELSE 'background' END AS type FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id ORDER BY i) AS chain FROM line)"))
+def wall_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.diffuse_walls(D.lines(spark, sf_dir)).select("drawing_id", "elem_id", "type")
+
+
+@query(_with(LINE, select="SELECT drawing_id, count(*) FILTER (wall) AS n_wall, count(*) FILTER (NOT wall) AS n_background, min(100 * i + CASE WHEN gap THEN 10 ELSE 0 END) AS x0, max(100 * i + 100) AS x1 FROM line GROUP BY drawing_id"))
+def drawing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of types and extents of each drawing."""
+    x = D.lines(spark, sf_dir).withColumn("b", G.bounds(F.col("coords")))
+    return x.groupBy("drawing_id").agg(F.count_if(F.col("type") == "wall").alias("n_wall"), F.count_if(F.col("type") == "background").alias("n_background"), whole(F.min("b.x0")).alias("x0"), whole(F.max("b.x1")).alias("x1"))
+
+
+@query()
+def wall_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noded, merged wall segments of each drawing."""
+    cleaned = E.clean_walls(D.lines(spark, sf_dir))
+    return cleaned.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n"), whole(1000 * F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).alias("length_um"))
+
+
+@query()
+def closed_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms found again as the closed areas between all rooms' sides."""
+    sides = D.rooms(spark, sf_dir).select("drawing_id", F.explode(G.segments(F.col("ring"))).alias("s"))
+    sides = sides.select("drawing_id", F.col("s.p.x").alias("x0"), F.col("s.p.y").alias("y0"), F.col("s.q.x").alias("x1"), F.col("s.q.y").alias("y1"))
+    found = E.plausible_rooms(E.room_faces(sides))
+    return found.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_rooms"), whole(F.sum(G.area(F.col("ring")))).alias("area"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, event_id AS edge_id FROM room WHERE ord % 4 < 3 AND user_id % 2 = 0"))
+def opening_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.expr("4000 * (ord % 4 + 1)")
+    edges = D.rooms(spark, sf_dir).select("drawing_id", F.col("event_id").alias("edge_id"), x.alias("x0"), (F.col("y0") + 900).alias("y0"), x.alias("x1"), (F.col("y0") + 1900).alias("y1"))
+    edges = edges.select("drawing_id", "edge_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return E.opening_edges(edges, D.doors(spark, sf_dir)).select("drawing_id", "edge_id")
+
+
+# ----------------------------------------------------------- spatial joins
+
+
+@query(_with(ROOM, FURNITURE, IN_ROOM, select="SELECT drawing_id, uid, specific_type, room_id FROM in_room"))
+def furniture_in_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.furniture_in_rooms(D.furniture(spark, sf_dir), D.rooms(spark, sf_dir)).select("drawing_id", "uid", "specific_type", "room_id")
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, CASE WHEN event_id % 9 = 0 THEN CASE WHEN sem IN ('Unknown', 'Corridor') THEN 'Corridor' ELSE sem || '|Corridor' END WHEN sem = 'Unknown' THEN '' ELSE sem END AS types, CAST(CASE WHEN sem = 'Unknown' THEN 0 ELSE 1 END + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_anchors FROM room"))
+def text_in_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = spark.createDataFrame([(f"t:{t}", t) for t in sorted(set(D.TYPES))], "raw_text string, std_label string")
+    typed = N.type_texts(D.room_texts(spark, sf_dir), mapping)
+    rooms = D.rooms(spark, sf_dir).select("drawing_id", "room_id", "ord", "ring")
+    return N.types_from_texts(rooms, typed).select("drawing_id", "room_id", F.array_join("types", "|").alias("types"), F.coalesce(F.size("anchors"), F.lit(0)).cast("bigint").alias("n_anchors"))
+
+
+@query(_with(ROOM, select="""SELECT w.drawing_id, 'W_' || w.event_id AS uid, r.room_id FROM room w JOIN room r ON w.drawing_id = r.drawing_id AND w.event_id % 2 = 0
+ AND pow(greatest(r.x0 - w.x1, w.x1 - r.x1, 0), 2) + pow(greatest(r.y0 - (w.y0 + w.y1) / 2, (w.y0 + w.y1) / 2 - r.y1, 0), 2) < 90000"""))
+def window_near_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.rooms(spark, sf_dir)
+    y = (F.col("y0") + F.col("y1")) / 2
+    w = r.where("event_id % 2 = 0").select("drawing_id", F.concat(F.lit("W_"), F.col("event_id").cast("string")).alias("uid"), G.rectangle(F.col("x1") - 50, y - 600, F.col("x1") + 50, y + 600).alias("ring"))
+    return P.windows_of_rooms(w, r).select("drawing_id", "uid", "room_id")
+
+
+@query(_with(ROOM, DOOR, select="""SELECT drawing_id, uid, room_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id, uid ORDER BY d2, ord) AS rank FROM (SELECT d.drawing_id, d.uid, r.room_id, r.ord,
+ pow(greatest(r.x0 - xc - 100, xc - 100 - r.x1, 0), 2) + pow(greatest(r.y0 - hi, lo - r.y1, 0), 2) AS d2 FROM door d JOIN room r ON d.drawing_id = r.drawing_id) WHERE d2 <= 0.25) WHERE rank = 1 OR rank = 2 AND d2 < 0.16"""))
+def door_nearest_two_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.nearest_rooms(D.doors(spark, sf_dir), D.rooms(spark, sf_dir))
+    return found.select("drawing_id", "uid", "room_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+TOUCH = """touch AS (SELECT a.drawing_id, a.room_id AS u, b.room_id AS v, CASE WHEN a.x1 = b.x0 OR a.x0 = b.x1 THEN greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) ELSE 0 END + CASE WHEN a.y1 = b.y0 OR a.y0 = b.y1 THEN greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) ELSE 0 END AS shared
+ FROM room a JOIN room b ON a.drawing_id = b.drawing_id AND a.ord < b.ord AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1)"""
+
+
+@query(_with(ROOM, TOUCH, select="SELECT drawing_id, u, v, shared FROM touch"))
+def room_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.touching_rooms(D.rooms(spark, sf_dir)).select("drawing_id", "u", "v", whole(F.col("shared")).alias("shared"))
+
+
+@query(_with(ROOM, TOUCH, select="SELECT drawing_id, u, v, shared FROM touch WHERE shared > 1"))
+def shared_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.touching_rooms(D.rooms(spark, sf_dir), min_shared=1.0).select("drawing_id", "u", "v", whole(F.col("shared")).alias("shared"))
+
+
+@query(_with(ROOM, DOOR, BOUND, select="SELECT drawing_id, uid, array_to_string(e, '|') AS ends FROM ends"))
+def door_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = P.bind_doors(D.doors(spark, sf_dir), D.rooms(spark, sf_dir))
+    return bound.select("drawing_id", "uid", F.array_join("ends", "|").alias("ends"))
+
+
+@query(_with(ROOM, DOOR, BOUND, TOUCH, select=f"SELECT DISTINCT drawing_id, e[1] AS u, e[2] AS v, 'door' AS kind FROM ends WHERE len(e) = 2 AND e[2] <> '{EXTERIOR_ID}' UNION ALL SELECT drawing_id, u, v, 'touch' FROM touch t WHERE NOT EXISTS (SELECT 1 FROM ends x WHERE x.drawing_id = t.drawing_id AND x.e[1] = u AND x.e[2] = v)"))
+def adjacency_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = D.rooms(spark, sf_dir)
+    return P.adjacency(rooms, P.bind_doors(D.doors(spark, sf_dir), rooms)).select("drawing_id", "u", "v", "kind")
+
+
+@query(_with(ROOM, FURNITURE, select="""SELECT drawing_id, uid, min_by(room_id, ord) AS room_id FROM (SELECT f.drawing_id, f.uid, r.room_id, r.ord, pow(greatest(r.x0 - x, x - r.x1, 0), 2) + pow(greatest(r.y0 - y, y - r.y1, 0), 2) AS d2
+ FROM furniture f JOIN room r ON f.drawing_id = r.drawing_id) WHERE d2 < 25 GROUP BY ALL"""))
+def facility_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = D.furniture(spark, sf_dir).select("drawing_id", "uid", "x", "y")
+    return P.first_room(points, D.rooms(spark, sf_dir)).select("drawing_id", "uid", "room_id")
+
+
+# -------------------------------------------------------------- enrichment
+
+
+@query(_with(ROOM, FURNITURE, IN_ROOM, GRID, select="""SELECT drawing_id, room_id, CASE
+ WHEN list_contains(it, 'bed') AND list_has_any(it, ['sofa', 'TV cabinet']) THEN 'Bedroom|LivingRoom' WHEN list_contains(it, 'bed') THEN 'Bedroom'
+ WHEN list_has_any(it, ['toilet', 'squat toilet', 'bath', 'bath tub', 'urinal']) THEN 'Bathroom' WHEN list_contains(it, 'stairs') THEN 'Stairwell' WHEN list_contains(it, 'elevator') THEN 'ElevatorShaft'
+ WHEN list_has_any(it, ['gas stove', 'sink', 'refrigerator']) THEN 'Kitchen' WHEN list_contains(it, 'sofa') AND list_contains(it, 'table') THEN 'LivingRoom|DiningRoom' WHEN list_has_any(it, ['sofa', 'TV cabinet']) THEN 'LivingRoom'
+ WHEN list_contains(it, 'table') AND list_contains(it, 'chair') THEN 'DiningRoom' WHEN list_has_any(it, ['washing machine', 'railing']) THEN CASE WHEN a >= 20000000 THEN 'Garden' ELSE 'Balcony' END
+ WHEN len(it) > 0 AND len(list_filter(it, lambda x: x NOT IN ('Wardrobe', 'cabinet'))) = 0 AND bed THEN 'Cloakroom' WHEN len(it) > 0 AND len(list_filter(it, lambda x: x <> 'cabinet')) = 0 THEN 'Entrance'
+ WHEN len(it) = 0 AND a < 2000000 THEN 'StorageRoom' WHEN len(it) = 0 THEN 'Corridor' ELSE 'Unknown' END AS types
+ FROM (SELECT r.drawing_id, r.room_id, (x1 - x0) * (y1 - y0) AS a, coalesce((SELECT list(specific_type) FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id), []) AS it,
+ EXISTS (SELECT 1 FROM arc JOIN room s ON s.drawing_id = arc.drawing_id AND s.room_id = arc.dst WHERE arc.drawing_id = r.drawing_id AND arc.src = r.room_id AND s.sem = 'Bedroom') AS bed FROM room r)"""))
+def room_type_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = D.rooms(spark, sf_dir)
+    context = N.room_context(rooms, P.furniture_in_rooms(D.furniture(spark, sf_dir), rooms), D.grid_edges(spark, sf_dir))
+    return N.infer_types(context.withColumn("types", F.array().cast("array<string>"))).select("drawing_id", "room_id", F.array_join("types", "|").alias("types"))
+
+
+@query(_with(ROOM, GRID, PUBLIC, select="SELECT drawing_id, room_id, CAST(d_public AS BIGINT) AS d_public, CAST(d_private AS BIGINT) AS d_private, is_public FROM public"))
+def public_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = N.public_corridors(D.rooms(spark, sf_dir), D.grid_edges(spark, sf_dir))
+    return ruled.select("drawing_id", "room_id", F.col("d_public").cast("bigint").alias("d_public"), F.col("d_private").cast("bigint").alias("d_private"), "is_public")
+
+
+def typed_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = D.rooms(spark, sf_dir).select("drawing_id", "room_id", "ord", "types", "ring")
+    return materialise(N.with_public(rooms, N.public_corridors(rooms, D.grid_edges(spark, sf_dir))), "typed")
+
+
+@query(_with(ROOM, GRID, PUBLIC, DOOR, BOUND, DOOR_TYPE, select="SELECT drawing_id, uid, door_type FROM dtype"))
+def door_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound = P.bind_doors(D.doors(spark, sf_dir), D.rooms(spark, sf_dir))
+    return N.door_types(bound, typed_rooms(spark, sf_dir))
+
+
+@query(_with(ROOM, GRID, PUBLIC, DOOR, BOUND, DOOR_TYPE, CORRIDOR, select="SELECT drawing_id, room_id, array_to_string(added, '|') AS added FROM ctype"))
+def corridor_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound, rooms = materialise(P.bind_doors(D.doors(spark, sf_dir), D.rooms(spark, sf_dir)), "bound"), typed_rooms(spark, sf_dir)
+    found = N.corridor_types(rooms, D.grid_edges(spark, sf_dir), bound, N.door_types(bound, rooms))
+    return found.select("drawing_id", "room_id", F.array_join("added", "|").alias("added"))
+
+
+@query(_with(ROOM, DOOR, BOUND, select="SELECT e.drawing_id, e.uid, CASE WHEN r.sem = 'Bathroom' THEN r.room_id ELSE s.room_id END AS bathroom, CASE WHEN r.sem = 'Kitchen' THEN r.room_id ELSE s.room_id END AS kitchen FROM ends e JOIN room r ON r.drawing_id = e.drawing_id AND r.room_id = e.e[1] JOIN room s ON s.drawing_id = e.drawing_id AND s.room_id = e.e[2] WHERE (r.sem, s.sem) IN (('Bathroom', 'Kitchen'), ('Kitchen', 'Bathroom'))"))
+def bathroom_kitchen_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = D.rooms(spark, sf_dir)
+    return N.doors_into_kitchens(P.bind_doors(D.doors(spark, sf_dir), rooms), rooms)
+
+
+@query(_with(ROOM, GRID, PUBLIC, SUITE, select="SELECT drawing_id, suite_id, room_id FROM suite"))
+def suite_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.suites(typed_rooms(spark, sf_dir), D.grid_edges(spark, sf_dir)).select("drawing_id", "suite_id", "room_id")
+
+
+@query(_with(ROOM, GRID, "far AS (SELECT drawing_id, room_id, 0 AS hops FROM room WHERE ord = 0 UNION SELECT f.drawing_id, dst, hops + 1 FROM far f JOIN arc ON arc.drawing_id = f.drawing_id AND src = f.room_id WHERE hops < 12)", select="SELECT r.drawing_id, r.room_id AS dst, CAST(min(hops) AS BIGINT) AS hops, coalesce(min(hops) BETWEEN 1 AND 2, false) AS near FROM room r LEFT JOIN far f ON r.drawing_id = f.drawing_id AND r.room_id = f.room_id WHERE ord = 11 OR ord = 5 GROUP BY ALL"))
+def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = D.rooms(spark, sf_dir).where("ord in (5, 11)").select("drawing_id", F.lit("Space_000").alias("src"), F.col("room_id").alias("dst"))
+    edges = materialise(graph.undirected(D.grid_edges(spark, sf_dir)), "grid")
+    near = graph.within(edges, pairs, 2).withColumn("near", F.lit(True))
+    found = graph.shortest_paths(edges, pairs).join(near, ["drawing_id", "src", "dst"], "left")
+    return found.select("drawing_id", "dst", (F.size("path") - 1).cast("bigint").alias("hops"), F.coalesce("near", F.lit(False)).alias("near"))
+
+
+@query(_with(ROOM, GRID, select="""SELECT drawing_id, room_id, '{"@id":"' || room_id || '","@type":[' || CASE WHEN sem = 'Unknown' THEN '' ELSE '"' || sem || '"' END || '],"geo:asWKT":"POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))"' ||
+ coalesce(',"bot:adjacentZone":[' || (SELECT string_agg('{"@id":"' || dst || '"}', ',' ORDER BY dst) FROM arc WHERE arc.drawing_id = room.drawing_id AND src = room_id) || ']', '') || '}' AS json FROM room"""))
+def jsonld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), "ord", "types", F.lit(None).cast("string").alias("label"), "ring")
+    edges = graph.both_ways(D.grid_edges(spark, sf_dir)).withColumn("pred", F.lit("adjacentZone"))
+    return jsonld.node_json(nodes, edges).select("drawing_id", F.col("node_id").alias("room_id"), "json")
+
+
+# ------------------------------------------------------------------- rules
+
+
+def rule_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (rooms, doors, furniture, suites) with measures, and edges, of the enriched plans."""
+    rooms, grid = typed_rooms(spark, sf_dir), D.grid_edges(spark, sf_dir)
+    bound = materialise(P.bind_doors(D.doors(spark, sf_dir), rooms), "bound")
+    kinds = materialise(N.door_types(bound, rooms), "door-types")
+    rooms = N.measure_rooms(N.with_types(rooms, N.corridor_types(rooms, grid, bound, kinds)))
+    no = F.lit(None).cast("double")
+    nodes = rooms.select("drawing_id", F.col("room_id").alias("node_id"), "types", F.lit(None).cast("string").alias("label"), "area_m2", "short_side_m", "clear_width_m", no.alias("door_width_mm"))
+    doors = N.measure_doors(D.doors(spark, sf_dir)).join(kinds, ["drawing_id", "uid"])
+    nodes = nodes.unionByName(doors.select("drawing_id", F.col("uid").alias("node_id"), F.array("door_type").alias("types"), F.lit("single door").alias("label"), no.alias("area_m2"), no.alias("short_side_m"), no.alias("clear_width_m"), (1000 * F.col("clear_width_m")).alias("door_width_mm")))
+    things = D.furniture(spark, sf_dir)
+    nodes = nodes.unionByName(things.select("drawing_id", F.col("uid").alias("node_id"), F.array(F.lit("Element")).alias("types"), F.col("specific_type").alias("label"), *(no.alias(c) for c in ("area_m2", "short_side_m", "clear_width_m", "door_width_mm"))))
+    suites = N.suites(rooms, grid)
+    nodes = nodes.unionByName(suites.select("drawing_id", F.col("suite_id").alias("node_id")).distinct().select("*", F.array(F.lit("Suite")).alias("types"), F.lit(None).cast("string").alias("label"), *(no.alias(c) for c in ("area_m2", "short_side_m", "clear_width_m", "door_width_mm"))))
+    edges = graph.both_ways(grid).select("drawing_id", "src", F.lit("adjacentZone").alias("pred"), "dst")
+    edges = edges.unionByName(suites.select("drawing_id", F.col("suite_id").alias("src"), F.lit("hasSpace").alias("pred"), F.col("room_id").alias("dst")))
+    held = P.furniture_in_rooms(things, rooms)
+    edges = edges.unionByName(held.select("drawing_id", F.col("room_id").alias("src"), F.lit("containsElement").alias("pred"), F.col("uid").alias("dst")))
+    return materialise(nodes, "nodes"), materialise(edges, "edges")
+
+
+def _level(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    nodes, edges = rule_tables(spark, sf_dir)
+    found = rules.violations(nodes, edges, [level])
+    return found.groupBy("drawing_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_node"))
+
+
+ALL = (ROOM, GRID, PUBLIC, SUITE, DOOR, BOUND, DOOR_TYPE, CORRIDOR, FURNITURE, IN_ROOM)
+_TALLY = "SELECT drawing_id, rule_id, count(*) AS n, min(node_id) AS first_node FROM ({}) GROUP BY drawing_id, rule_id"
+
+
+def _some(rule: str, sem: str, labels: list[str]) -> str:
+    return f"SELECT drawing_id, '{rule}' AS rule_id, room_id AS node_id FROM room r WHERE sem = '{sem}' AND NOT EXISTS (SELECT 1 FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id AND specific_type IN ({', '.join(repr(x) for x in labels)}))"
+
+
+def _beside(rule: str, sem: str, other: str) -> str:
+    return f"SELECT drawing_id, '{rule}' AS rule_id, room_id AS node_id FROM room r WHERE sem = '{sem}' AND NOT EXISTS (SELECT 1 FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id AND s.sem = '{other}')"
+
+
+def _has(rule: str, sem: str) -> str:
+    return f"SELECT drawing_id, '{rule}' AS rule_id, suite_id AS node_id FROM suite s JOIN room r USING (drawing_id, room_id) GROUP BY ALL HAVING count(*) FILTER (sem = '{sem}') = 0"
+
+
+L1 = " UNION ALL ".join([*(_has(f"R{i + 1}", t) for i, t in enumerate(("Bedroom", "LivingRoom", "Kitchen", "Bathroom", "Entrance"))), _some("R6", "Kitchen", ["sink"]), _some("R7", "Kitchen", ["gas stove"]), _some("R8", "Bathroom", ["toilet", "squat toilet"]), _some("R9", "Bathroom", ["bath", "bath tub"]), _some("R10", "Bathroom", ["sink"])])
+L2 = """SELECT drawing_id, 'R11' AS rule_id, room_id AS node_id FROM room WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000
+ UNION ALL SELECT d.drawing_id, CASE door_type WHEN 'EntranceDoor' THEN 'R16' WHEN 'BedroomDoor' THEN 'R17' ELSE 'R18' END, d.uid FROM door d JOIN dtype t ON d.drawing_id = t.drawing_id AND d.uid = t.uid WHERE door_type = 'EntranceDoor' AND hi - lo < 900 OR door_type = 'BedroomDoor' AND hi - lo < 800 OR door_type IN ('KitchenDoor', 'BathroomDoor') AND hi - lo < 700"""
+L3 = "SELECT a.drawing_id, 'R19' AS rule_id, a.src AS node_id FROM arc a JOIN room r ON r.drawing_id = a.drawing_id AND r.room_id = a.src AND r.sem = 'Bathroom' JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst AND s.sem = 'Kitchen'"
+EXP = " UNION ALL ".join(["SELECT drawing_id, 'R23' AS rule_id, room_id AS node_id FROM room WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) <= 12000000", _beside("R24", "LivingRoom", "Balcony"), _beside("R25", "Kitchen", "DiningRoom"), _some("R26", "Kitchen", ["sink"]), _some("R27", "Kitchen", ["gas stove"])])
+
+
+@query(_with(*ALL, select=_TALLY.format(L1)))
+def rules_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "L1")
+
+
+@query(_with(*ALL, select=_TALLY.format(L2)))
+def rules_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "L2")
+
+
+@query(_with(*ALL, select=_TALLY.format(L3)))
+def rules_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "L3")
+
+
+@query(_with(*ALL, select=_TALLY.format(EXP)))
+def rules_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "exp")
+
+
+@query(_with(*ALL, select=f"SELECT drawing_id, level, count(*) AS n_violations, count(DISTINCT node_id) AS n_nodes FROM (SELECT *, 'L1' AS level FROM ({L1}) UNION ALL SELECT *, 'L2' FROM ({L2}) UNION ALL SELECT *, 'L3' FROM ({L3}) UNION ALL SELECT *, 'exp' FROM ({EXP})) GROUP BY ROLLUP (drawing_id, level)"))
+def violation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = rule_tables(spark, sf_dir)
+    return rules.rollup(rules.violations(nodes, edges))
+
+
+# -------------------------------------------------------------- evaluation
+
+
+def truth_and_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    gt, sys = D.truth_rooms(spark, sf_dir), D.rooms(spark, sf_dir)
+    return gt, sys, materialise(V.overlaps(gt, sys), "overlaps")
+
+
+@query(_with(ROOM, TRUTH, MATCH, select="SELECT drawing_id, 'GT_' || lpad(CAST(g AS VARCHAR), 3, '0') AS gt_id, status, 'Space_' || lpad(CAST(s AS VARCHAR), 3, '0') AS sys_id FROM matched"))
+def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _, pairs = truth_and_pairs(spark, sf_dir)
+    return V.match_rooms(gt, pairs).select("drawing_id", "gt_id", "status", "sys_id")
+
+
+@query(_with(ROOM, TRUTH, MATCH, select="SELECT drawing_id, count(*) AS n_rooms, count(*) FILTER (status = 'matched') AS n_matched, count(*) FILTER (status = 'under') AS n_under, count(*) FILTER (status = 'over') AS n_over, count(*) FILTER (status = 'missed') AS n_missed FROM matched GROUP BY drawing_id"))
+def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _, pairs = truth_and_pairs(spark, sf_dir)
+    return V.match_rates(V.match_rooms(gt, pairs), ["drawing_id"]).drop("mean_iou")
+
+
+TRUTH_EDGE = "tedge AS (SELECT drawing_id, ord AS u, lead(ord) OVER (PARTITION BY drawing_id ORDER BY ord) AS v FROM gt)"
+
+
+def truth_edges(gt: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return gt.withColumn("v", F.lead("room_id").over(Window.partitionBy("drawing_id").orderBy("ord"))).where(F.col("v").isNotNull()).select("drawing_id", F.col("room_id").alias("u"), "v")
+
+
+@query(_with(ROOM, TRUTH, GRID, TRUTH_EDGE, """held AS (SELECT drawing_id, g, s FROM lap WHERE 10 * i > 3 * least(ga, sa)), e2 AS (SELECT * FROM tedge WHERE v IS NOT NULL),
+ hit AS (SELECT DISTINCT t.drawing_id, u, v FROM e2 t JOIN held a ON a.drawing_id = t.drawing_id AND a.g = t.u JOIN held b ON b.drawing_id = t.drawing_id AND b.g = t.v AND a.s <> b.s JOIN arc ON arc.drawing_id = t.drawing_id AND src = 'Space_' || lpad(CAST(a.s AS VARCHAR), 3, '0') AND dst = 'Space_' || lpad(CAST(b.s AS VARCHAR), 3, '0')),
+ judged AS (SELECT e.drawing_id, e.u, e.v, bool_or(a.g = b.g OR EXISTS (SELECT 1 FROM e2 t WHERE t.drawing_id = e.drawing_id AND (t.u = a.g AND t.v = b.g OR t.u = b.g AND t.v = a.g))) AS ok FROM edge e JOIN held a ON a.drawing_id = e.drawing_id AND 'Space_' || lpad(CAST(a.s AS VARCHAR), 3, '0') = e.u JOIN held b ON b.drawing_id = e.drawing_id AND 'Space_' || lpad(CAST(b.s AS VARCHAR), 3, '0') = e.v GROUP BY ALL)""",
+    select="SELECT d.drawing_id, (SELECT count(*) FROM hit h WHERE h.drawing_id = d.drawing_id) AS tp, (SELECT count(*) FROM judged j WHERE NOT ok AND j.drawing_id = d.drawing_id) AS fp, (SELECT count(*) FROM e2 t WHERE t.drawing_id = d.drawing_id) - (SELECT count(*) FROM hit h WHERE h.drawing_id = d.drawing_id) AS fn FROM (SELECT drawing_id FROM e2 UNION SELECT drawing_id FROM edge) d"))
+def topology_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, _, pairs = truth_and_pairs(spark, sf_dir)
+    return V.topology_counts(truth_edges(gt), materialise(D.grid_edges(spark, sf_dir), "grid"), pairs)
+
+
+LABEL = """label AS (SELECT m.drawing_id, m.g, m.sem AS truth, CASE WHEN r.sem = m.sem AND m.sem <> 'Unknown' THEN m.sem WHEN r.sem IS NULL THEN 'Unknown' ELSE r.sem END AS predicted,
+ CASE WHEN m.s IS NULL THEN 'geometry miss' WHEN r.sem = m.sem AND m.sem <> 'Unknown' THEN NULL WHEN NOT EXISTS (SELECT 1 FROM arc WHERE arc.drawing_id = r.drawing_id AND src = r.room_id) THEN 'topology breakage' ELSE 'label error' END AS cause
+ FROM matched m LEFT JOIN room r ON r.drawing_id = m.drawing_id AND r.ord = m.s)"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, sys, pairs = truth_and_pairs(spark, sf_dir)
+    return materialise(V.label_rows(V.match_rooms(gt, pairs), gt, sys, D.grid_edges(spark, sf_dir)), "labels")
+
+
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, select="SELECT cause, count(*) AS n FROM label WHERE cause IS NOT NULL GROUP BY cause"))
+def error_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.error_cascade(labelled(spark, sf_dir)).select("cause", "n")
+
+
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, select="SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn FROM label, (SELECT truth AS l FROM label UNION SELECT predicted FROM label) GROUP BY l"))
+def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.class_scores(labelled(spark, sf_dir)).select("label", "tp", "fp", "fn")
+
+
+@query(_with(ROOM, TRUTH, MATCH, """gv AS (SELECT drawing_id, 'GT_' || lpad(CAST(ord AS VARCHAR), 3, '0') AS node FROM gt WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
+ name AS (SELECT drawing_id, s, min('GT_' || lpad(CAST(g AS VARCHAR), 3, '0')) AS gid FROM matched WHERE s IS NOT NULL GROUP BY ALL),
+ sv AS (SELECT DISTINCT r.drawing_id, coalesce(gid, room_id) AS node FROM room r LEFT JOIN name n ON n.drawing_id = r.drawing_id AND n.s = r.ord WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
+ cmp AS (SELECT coalesce(g.drawing_id, s.drawing_id) AS drawing_id, g.node AS g, s.node AS s FROM gv g FULL JOIN sv s ON g.drawing_id = s.drawing_id AND g.node = s.node)""",
+    select="SELECT drawing_id, CAST(count(*) FILTER (g IS NOT NULL AND s IS NOT NULL) AS BIGINT) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (s IS NULL) AS fn FROM cmp GROUP BY ROLLUP (drawing_id)"))
+def compliance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, sys, pairs = truth_and_pairs(spark, sf_dir)
+    matched = V.match_rooms(gt, pairs)
+    rule = [r for r in rules.RULES if r[0] == "R11"]
+
+    def broken(rooms: DataFrame) -> DataFrame:
+        nodes = rooms.select("drawing_id", F.col("room_id").alias("node_id"), "types", (G.area(F.col("ring")) / 1e6).alias("area_m2"))
+        return rules.violations(nodes, None, rules=rule).select("drawing_id", "node_id", F.lit("11").alias("rule_no"))
+
+    return V.with_total(V.compliance_counts(broken(gt), broken(sys), matched)).select("drawing_id", "tp", "fp", "fn")
+
+
+@query("""SELECT 'plan' || c_custkey AS base, '/gt/plan' || c_custkey || '_gt.jsonld' AS gt, '/sys/plan' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '.jsonld' ELSE '.json' END AS sys, CASE WHEN c_custkey % 5 = 0 THEN '/vio/plan' || c_custkey || '_violations.json' END AS violations FROM customer WHERE c_custkey % 7 <> 0""")
+def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("plan"), F.col("c_custkey").cast("string"))
+    key = F.col("c_custkey")
+    paths = F.array_compact(F.array(
+        F.concat(F.lit("/gt/"), name, F.lit("_gt.jsonld")),
+        F.when(key % 7 != 0, F.concat(F.lit("/sys/"), name, F.lit(".json"))),
+        F.when((key % 7 != 0) & (key % 3 == 0), F.concat(F.lit("/sys/"), name, F.lit(".jsonld"))),
+        F.when(key % 5 == 0, F.concat(F.lit("/vio/"), name, F.lit("_violations.json"))),
+    ))
+    return V.pair_files(D.table(spark, sf_dir, "customer").select(F.explode(paths).alias("path")))
