@@ -1,11 +1,14 @@
-"""Graph operators on edge tables that carry ``drawing_id``: components, level-wise search, paths.
+"""Graph operators on edge tables that carry ``drawing_id``: components, distances, paths.
 
-Drawings are small and many, so the search runs one level a round for all drawings at once, with the
-frontier anti-joined against what was reached, and stops when no drawing gains a node.
+Drawings are many and each is small, so distances and components come from one shuffle by drawing and
+a search in memory within each; paths run level by level for all drawings at once.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,39 +27,57 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(edges.select("drawing_id", F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
 
 
+def _neighbours(group: pd.DataFrame) -> dict[str, list[str]]:
+    around: dict[str, list[str]] = {}
+    for u, v in zip(group["u"], group["v"], strict=True):
+        around.setdefault(u, []).append(v)
+        around.setdefault(v, []).append(u)
+    return around
+
+
 def hops(edges: DataFrame, seeds: DataFrame, *, most: int | None = None) -> DataFrame:
     """(drawing_id, node, hops) of all nodes that can be reached from the seeds (drawing_id, node)."""
-    arcs = materialise(both_ways(edges), "arcs")
-    reached = materialise(seeds.select("drawing_id", "node").distinct().withColumn("hops", F.lit(0)), "level")
-    frontier, level = reached, 0
-    while most is None or level < most:
-        level += 1
-        ahead = frontier.select("drawing_id", F.col("node").alias("src")).join(arcs, ["drawing_id", "src"])
-        ahead = ahead.select("drawing_id", F.col("dst").alias("node")).distinct().join(reached.select("drawing_id", "node"), ["drawing_id", "node"], "left_anti")
-        frontier = materialise(ahead.withColumn("hops", F.lit(level)), "level")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
 
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        is_seed = group["v"].isna()
+        around = _neighbours(group[~is_seed])
+        found = dict.fromkeys(group["u"][is_seed], 0)
+        queue = deque(found)
+        while queue:
+            node = queue.popleft()
+            if most is not None and found[node] >= most:
+                continue
+            for near in around.get(node, ()):
+                if near not in found:
+                    found[near] = found[node] + 1
+                    queue.append(near)
+        return pd.DataFrame({"drawing_id": group["drawing_id"].iloc[0], "node": list(found), "hops": list(found.values())})
+
+    both = edges.select("drawing_id", "u", "v").unionByName(seeds.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast("string").alias("v")))
+    return both.groupBy("drawing_id").applyInPandas(search, "drawing_id " + edges.schema["drawing_id"].dataType.simpleString() + ", node string, hops int")
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(drawing_id, node, component): the least node that each node (drawing_id, node) is connected to.
 
-    Labels sink to the least neighbour's label, and jump along labels of labels, until none changes.
-    """
-    arcs = materialise(both_ways(edges), "arcs")
-    label = materialise(nodes.select("drawing_id", "node", F.col("node").alias("component")).distinct(), "labels")
-    while True:
-        near = arcs.join(label.select("drawing_id", F.col("node").alias("dst"), F.col("component").alias("other")), ["drawing_id", "dst"])
-        near = near.groupBy("drawing_id", F.col("src").alias("node")).agg(F.min("other").alias("other"))
-        sunk = label.join(near, ["drawing_id", "node"], "left").select("drawing_id", "node", "component", F.least("component", "other").alias("low"))
-        jump = sunk.select("drawing_id", F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = sunk.join(jump, ["drawing_id", "low"], "left").select("drawing_id", "node", "component", F.least("low", "lower").alias("next"))
-        after = materialise(after, "labels")
-        label = after.select("drawing_id", "node", F.col("next").alias("component"))
-        if after.where("next <> component").isEmpty():
-            return label
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(drawing_id, node, component): the least node that each node (drawing_id, node) is connected to."""
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        lone = group["v"].isna()
+        around = _neighbours(group[~lone])
+        label: dict = {}
+        for start in sorted(set(group["u"][lone])):
+            if start in label:
+                continue
+            label[start], queue = start, deque([start])
+            while queue:
+                for near in around.get(queue.popleft(), ()):
+                    if near not in label:
+                        label[near] = start
+                        queue.append(near)
+        return pd.DataFrame({"drawing_id": group["drawing_id"].iloc[0], "node": list(label), "component": list(label.values())})
+
+    both = edges.select("drawing_id", "u", "v").unionByName(nodes.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast(kind).alias("v")))
+    return both.groupBy("drawing_id").applyInPandas(search, "drawing_id " + nodes.schema["drawing_id"].dataType.simpleString() + f", node {kind}, component {kind}")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, most: int = 64) -> DataFrame:
