@@ -150,6 +150,8 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     first = F.greatest(F.array_min("at") - reach, F.lit(0))
     held = held.withColumn("words", F.slice("words", first + 1, F.array_max("at") + reach + 1 - first))
     held = materialise(held.select("doc_id", "hash", shingle_hashes(F.col("words")).alias("hashes")), "license-hashes").where(F.size("hashes") > 0)
+    # What is left of the texts may stand in a few small files; the windows are worth all tasks.
+    held = held.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
     held = held.withColumn("values", permuted(F.col("hashes")))
     fitting = [F.when(F.size("hashes") >= n, windows(n, n // 8)) for n in lengths]
