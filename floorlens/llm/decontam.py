@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import mix64
+from .textkernel import freeing, mix64
 
 SEGMENT, STRIDE, EDITS, Q, LEAST = 80, 40, 7, 9, 24
 BAND = 16
@@ -34,7 +34,7 @@ MAX_CHARS = 4 << 20
 #: Postings beyond which a q-gram is left out where the bounds allow it, and the bound that must be left.
 COMMON, BOUND_LEFT = 4, 3
 #: Characters of text that are worked on together.
-PIECE = 1 << 21
+PIECE = 1 << 20
 U64 = np.uint64
 _BASE = U64(0xD1342543DE82EF95)
 
@@ -268,7 +268,7 @@ def regions(docs: DataFrame, benchmark: DataFrame, *, max_chars: int = MAX_CHARS
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _FOUND.split(", ")])
 
-        found = found.unionByName(held.mapInArrow(run, _FOUND)) if k else held.mapInArrow(run, _FOUND)
+        found = found.unionByName(held.mapInArrow(freeing(run), _FOUND)) if k else held.mapInArrow(freeing(run), _FOUND)
     return found
 
 
@@ -302,5 +302,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
                         bad[a + i] = True
                 yield batch.filter(pa.array(~bad))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(freeing(run), docs.schema)
     return out

@@ -143,7 +143,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), key (of the word sequence), bands and sig (a byte per component)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(_sign, _SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tk.freeing(_sign), _SIGNED)
 
 
 # --------------------------------------------------------------- buckets
@@ -332,28 +332,28 @@ def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
         kept = rows.select("bucket", "sub", "band", "node", F.col("block").cast("long").alias("block"), "n", "sig", *extra)
         return kept.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node")
 
-    pairs = materialise(dealt(banded).mapInArrow(_forest, "a long, b long").distinct(), "neardup-pairs")
+    pairs = materialise(dealt(banded).mapInArrow(tk.freeing(_forest), "a long, b long").distinct(), "neardup-pairs")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = wanted.join(nodes.select("node", "key", "first"), "node")
         texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
-        found = texts.join(rows, texts["first"].eqNullSafe(rows["first"])).select("node", "key", "text").mapInArrow(_sets, "node long, set binary")
+        found = texts.join(rows, texts["first"].eqNullSafe(rows["first"])).select("node", "key", "text").mapInArrow(tk.freeing(_sets), "node long, set binary")
         return materialise(found.dropDuplicates(["node"]), "neardup-sets")
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = sets_of(materialise(ends, "neardup-ends"))
     with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    links = materialise(with_sets.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "neardup-links")
+    links = materialise(with_sets.select("a", "b", "x", "y").mapInArrow(tk.freeing(_confirm), "a long, b long"), "neardup-links")
     comps = components(links, **options)
 
     apart = banded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_bucket = Window.partitionBy("bucket")
     apart = apart.withColumn("low", F.min("comp").over(by_bucket)).withColumn("high", F.max("comp").over(by_bucket)).where("low < high").drop("low", "high")
     schema = "bucket long, sub long, band int, node long, block long, n long, sig binary, comp long"
-    still = materialise(dealt(apart, ("comp",)).mapInArrow(_open, schema), "neardup-open")
+    still = materialise(dealt(apart, ("comp",)).mapInArrow(tk.freeing(_open), schema), "neardup-open")
     # A pair that may be similar is an edge of its bucket's forest or lies on a path of one, so its ends have sets.
     open_rows = still.join(sets, "node").select("bucket", "sub", "band", "node", "block", "n", "sig", "comp", "set")
-    more = open_rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node").mapInArrow(_confirm_open, "a long, b long")
+    more = open_rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node").mapInArrow(tk.freeing(_confirm_open), "a long, b long")
     merged = components(more, **options)
 
     final = comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left")

@@ -116,7 +116,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"
     """The columns ``keep`` with each document's statistics and ``base_failed``."""
     kept = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    out = kept.mapInArrow(_measure, f"{schema}, {_STAT_SCHEMA}")
+    out = kept.mapInArrow(tk.freeing(_measure), f"{schema}, {_STAT_SCHEMA}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 

@@ -7,7 +7,8 @@ or the Python process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,25 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Texts are worked on in pieces of about this many bytes, which bounds the temporary arrays.
-PIECE = 1 << 21
+PIECE = 1 << 20
+#: Bytes whose hashes are summed at once; a text that is longer goes through in sections.
+SECTION = 1 << 21
+
+
+def freeing(work: Callable) -> Callable:
+    """A function of batches that, when done, gives memory that is free in its process back to the system.
+
+    Workers are used again; what one stage has freed would else count beside the next one's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -48,7 +67,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = (n + (1 << 18) - 1 >> 18) << 18
             up, down = np.full(size, U64(_BASE)), np.full(size, U64(_INVERSE))
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -82,11 +101,21 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans; equal spans have equal hashes wherever they stand."""
-    up, down = _POWERS.upto(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(BYTE_VALUE[raw] * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * _GOLD)
+    """64-bit hashes of byte spans (in order, apart); equal spans have equal hashes wherever they stand."""
+    out, at = np.zeros(len(starts), U64), 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, first + SECTION, "right")))
+        part = raw[first : int(ends[stop - 1])]
+        up, down = _POWERS.upto(len(part) + 1)
+        total = np.zeros(len(part) + 1, U64)
+        value = BYTE_VALUE[part]
+        value *= up[: len(part)]
+        np.cumsum(value, out=total[1:])
+        low, high = starts[at:stop] - first, ends[at:stop] - first
+        out[at:stop] = mix64((total[high] - total[low]) * down[low] + (high - low).astype(U64) * _GOLD)
+        at = stop
+    return out
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -42,13 +42,13 @@ from .common import fresh_path, materialise
 
 MAGIC, BLOCK, END_ID = b"FLS8B001", 256, 1
 #: Ids after which a shard is closed.
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 19
 #: Ids of a word and bits of each, by selector; the last selector is the escape. Fixed values.
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 64)
 ESCAPE = 15
 #: Bytes of text that are tokenized together.
-PIECE = 6 << 20
+PIECE = 2 << 20
 U64 = np.uint64
 _COUNTS, _BITS = np.array(COUNTS), np.array(BITS)
 
@@ -236,6 +236,8 @@ class WordEncoder:
     """
 
     MOST = 2_000_000
+    #: Words of one call of the library, whose result takes about a kilobyte a word.
+    AT_ONCE = 10_000
     ADDED = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
 
     def __init__(self, path: str) -> None:
@@ -254,6 +256,9 @@ class WordEncoder:
 
     def _sizes(self, words: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and how many each has. simple: words of Latin letters only, each one piece."""
+        if len(words) > self.AT_ONCE:
+            each = [self._sizes(words[i : i + self.AT_ONCE], simple) for i in range(0, len(words), self.AT_ONCE)]
+            return np.concatenate([a for a, _ in each]), np.concatenate([b for _, b in each])
         if not words:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         text = b" ".join(words).decode()
@@ -379,7 +384,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, shard
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ordered = text.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     path = fresh_path(docs.sparkSession, "tokens")
-    ordered.mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(tk.freeing(_writer(tokenizer, end_id, shard_ids)), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -406,5 +411,5 @@ def read_shards(spark, path: str) -> DataFrame:
     sizes = stored.select("part", "seq", "n_ids").orderBy("part", "seq").toPandas()  # a row per shard of millions of ids
     sizes["before"] = sizes["n_ids"].cumsum() - sizes["n_ids"]
     before = spark.createDataFrame(sizes[["part", "seq", "before"]].astype({"before": "int64"}), "part int, seq int, before long")
-    found = stored.select("part", "seq", "image").mapInArrow(_read, READ_SCHEMA)
+    found = stored.select("part", "seq", "image").mapInArrow(tk.freeing(_read), READ_SCHEMA)
     return found.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
