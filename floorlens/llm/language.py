@@ -42,7 +42,9 @@ class Model:
     """Scores per word: a row of log frequencies, one for each language."""
 
     def __init__(self, langs: list[str], words: dict[str, list[float]], grams: dict[str, list[float]], totals: tuple[list[float], list[list[float]]]) -> None:
-        self.langs = langs
+        self.langs, self.place, self.gram_place = langs, {}, {}
+        if not langs:
+            return
         k = len(langs)
         word_total, gram_totals = np.array(totals[0]), np.array(totals[1]).reshape(-1, k)
         self.rows = np.log((np.array(list(words.values()), np.float64).reshape(-1, k) + 0.01) / (word_total + 1))

@@ -72,4 +72,22 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
+_BITS = " + ".join(f"{1 << 4 - k} * CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
+
+ORACLES: dict[str, str] = {
+    "op4_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+ arc AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+ reach AS (SELECT doc_id, doc_id AS far FROM documents UNION SELECT doc_id, b FROM reach JOIN arc ON far = a),
+ comp AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_warc": f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+ d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS m, array_to_string(list_transform(range(1, 41), lambda i: [{_NIBBLES}][strpos('0123456789abcdef', substr(sha1(h), i, 1))]), '') AS b FROM p)
+ SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_BITS}, 1)), '') AS payload_digest,
+ CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to, url FROM d""",
+}
