@@ -15,7 +15,7 @@ def string_or_list(json: Column) -> Column:
     """A JSON string or list of strings as array<string>."""
     wrapped = F.concat(F.lit('{"t":'), F.coalesce(json, F.lit("null")), F.lit("}"))
     many = F.from_json(wrapped, "t array<string>")["t"]
-    return F.coalesce(many, F.when(json.isNotNull(), F.array(F.trim(F.lit('"'), json))), F.array().cast("array<string>"))
+    return F.coalesce(many, F.when(json.isNotNull(), F.array(F.trim(json, F.lit('"')))), F.array().cast("array<string>"))
 
 
 def references(json: Column) -> Column:
