@@ -27,6 +27,16 @@ def oriented(r: Ring) -> Ring:
     return r[::-1] if len(r) > 2 and ring_area(r) < 0 else r
 
 
+def as_box(r: Ring) -> tuple[float, float, float, float] | None:
+    """x0, y0, x1, y1 of a ring that is an axis-parallel rectangle, as most rooms are; else None."""
+    if len(r) != 4:
+        return None
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = r.tolist()
+    if (ay == by and bx == cx and cy == dy and dx == ax) or (ax == bx and by == cy and cx == dx and dy == ay):
+        return min(ax, cx), min(ay, cy), max(ax, cx), max(ay, cy)
+    return None
+
+
 def segment_distance(a: Ring, b: Ring, c: Ring, d: Ring) -> np.ndarray:
     """Distances of the segments ab to the segments cd, element by element."""
 
@@ -67,6 +77,9 @@ def boundary_distance(r: Ring, p: np.ndarray) -> np.ndarray:
 
 def polygon_distance(r: Ring, s: Ring) -> float:
     """0 if they touch or overlap."""
+    a, b = as_box(r), as_box(s)
+    if a and b:
+        return math.hypot(max(a[0] - b[2], b[0] - a[2], 0.0), max(a[1] - b[3], b[1] - a[3], 0.0))
     if len(r) > 2 and len(s) and inside(r, s[:1])[0] or len(s) > 2 and len(r) and inside(s, r[:1])[0]:
         return 0.0
     (a, b), (c, d) = edges(r), edges(s)
@@ -78,6 +91,9 @@ def intersection_area(r: Ring, s: Ring) -> float:
 
     In a slab no edges cross, so the common width is linear and its mean height gives the exact area.
     """
+    one, two = as_box(r), as_box(s)
+    if one and two:
+        return max(0.0, min(one[2], two[2]) - max(one[0], two[0])) * max(0.0, min(one[3], two[3]) - max(one[1], two[1]))
     r, s = oriented(r), oriented(s)
     if len(r) < 3 or len(s) < 3:
         return 0.0
@@ -117,6 +133,13 @@ def iou(r: Ring, s: Ring) -> float:
 def shared_length(r: Ring, s: Ring, tolerance: float = 0.0) -> float:
     """Length of the boundary that two polygons share: parallel edges within the tolerance, where they overlap."""
     total = 0.0
+    one, two = as_box(r), as_box(s)
+    if one and two:
+        for k in (0, 1):
+            reach = max(tolerance, 1e-9 * (one[3 - k] - one[1 - k]))
+            common = max(0.0, min(one[3 - k], two[3 - k]) - max(one[1 - k], two[1 - k]))
+            total += common * sum(abs(one[i] - two[j]) <= reach for i in (k, k + 2) for j in (k, k + 2))
+        return total
     (a, b), (c, d) = edges(r), edges(s)
     for p, q in zip(a, b, strict=True):
         v = q - p
@@ -152,6 +175,9 @@ def hull(p: np.ndarray) -> Ring:
 
 def min_rectangle(p: np.ndarray) -> tuple[float, float, float]:
     """(area, long side, short side) of the smallest rectangle, at any angle, around the points."""
+    if box := as_box(p):
+        w, v = box[2] - box[0], box[3] - box[1]
+        return w * v, max(w, v), min(w, v)
     h = hull(p)
     if len(h) < 2:
         return 0.0, 0.0, 0.0
@@ -212,8 +238,8 @@ def survives_inset(r: Ring, d: float, precision: float = 2.0) -> bool:
     """
     low, high = r.min(0), r.max(0)
     size = float(min(high - low))
-    if size <= 2 * d:
-        return False
+    if size <= 2 * d or as_box(r):
+        return size > 2 * d
     gx, gy = np.meshgrid(np.arange(low[0] + size / 2, high[0] + size / 2, size), np.arange(low[1] + size / 2, high[1] + size / 2, size))
     cells, half = np.stack([gx.ravel(), gy.ravel()], 1), size / 2
     while len(cells):
@@ -229,7 +255,7 @@ def survives_inset(r: Ring, d: float, precision: float = 2.0) -> bool:
 def clear_width(r: Ring) -> float:
     """Least distance of two edges that do not touch; of shapes of fewer than four points, the short side."""
     n = len(r)
-    if n < 4:
+    if n < 4 or as_box(r):
         return min_rectangle(r)[2]
     a, b = edges(r)
     i, j = np.triu_indices(n, 2)

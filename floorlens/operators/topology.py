@@ -23,14 +23,22 @@ PROBE, REACH, DOOR_MARGIN = 300.0, 300.0, 0.1
 
 
 def as_points(ring) -> np.ndarray:
+    """A ring as an array of points: of the numbers that :func:`flat` makes of it, or of its structs."""
+    if isinstance(ring, np.ndarray) and ring.dtype != object:
+        return ring.reshape(-1, 2)
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
 
 
+def flat(ring):
+    """A ring as x, y, x, y, ..., which Arrow hands over as one array of numbers."""
+    return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+
+
 def lazy_udf(function, kind: str):
     """A pandas UDF that is made when it is called, since workers import this module without a session."""
 
-    def call(*columns):
-        return pandas_udf(function, kind)(*columns)
+    def call(*rings):
+        return pandas_udf(function, kind)(*(flat(F.col(r) if isinstance(r, str) else r) for r in rings))
 
     return call
 
