@@ -47,6 +47,29 @@ def room_context(rooms: DataFrame, furniture: DataFrame, edges: DataFrame) -> Da
     return out.withColumns({"area_m2": G.area(F.col("ring")) / 1e6, "items": F.coalesce("items", none), "near": F.coalesce("near", none)})
 
 
+def room_prompts(context: DataFrame) -> DataFrame:
+    """drawing_id, prompt: what is known of a drawing's untyped rooms, as one JSON list in room order.
+
+    The context is that of :func:`room_context`; a reply is read by ``functions.text.parse_reply``.
+    """
+    room = F.struct("ord", F.struct("room_id", F.round("area_m2", 2).alias("area"), F.col("items").alias("furniture"), F.col("near").alias("neighbours")).alias("r"))
+    rows = F.transform(F.sort_array(F.collect_list(room)), lambda x: x["r"])
+    return context.where(F.size("types") == 0).groupBy("drawing_id").agg(F.to_json(rows).alias("prompt"))
+
+
+def outer_doors(near: DataFrame, doors: DataFrame, rooms: DataFrame, *, least_mm: float = 850.0) -> DataFrame:
+    """drawing_id, uid, is_entrance of doors by their nearest rooms (``topology.nearest_rooms``).
+
+    An entrance leads to a single room that is no balcony, and is at least ``least_mm`` wide.
+    """
+    types = rooms.select("drawing_id", "room_id", F.exists("types", lambda t: F.lower(t) == "balcony").alias("balcony"))
+    ends = near.join(types, ["drawing_id", "room_id"]).groupBy("drawing_id", "uid").agg(F.count(F.lit(1)).alias("n"), F.bool_or("balcony").alias("balcony"))
+    b = G.bounds(F.col("ring"))
+    wide = doors.select("drawing_id", "uid", F.greatest(b["x1"] - b["x0"], b["y1"] - b["y0"]).alias("width"))
+    single = (F.col("n") == 1) & (F.col("width") >= least_mm) & ~F.col("balcony")
+    return wide.join(ends, ["drawing_id", "uid"], "left").select("drawing_id", "uid", F.coalesce(single, F.lit(False)).alias("is_entrance"))
+
+
 def priors(items: Column, near: Column, area: Column) -> Column:
     """Room types that furniture, neighbours and size suggest, as array<string>.
 

@@ -109,6 +109,23 @@ def tally(drawings: DataFrame, violations_: DataFrame) -> DataFrame:
     return per.agg(F.count_if(F.col("n").isNull()).alias("n_passed"), F.count_if(F.col("n") > 0).alias("n_failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_violations"))
 
 
+def report_shapes(violations_: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """drawing_id, node_id, rule_id, rings: what a report draws for a violation.
+
+    A node without a ring borrows those of the nodes that its edges lead to or come from, in order of
+    their ids; without such neighbours the list is empty.
+    """
+    shapes = nodes.where(F.col("ring").isNotNull()).select("drawing_id", "node_id", "ring")
+    bare = violations_.select("drawing_id", "node_id").distinct().join(shapes.select("drawing_id", "node_id"), ["drawing_id", "node_id"], "left_anti")
+    ends = edges.select("drawing_id", "src", "dst")
+    around = ends.unionByName(ends.select("drawing_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    lent = bare.join(around.withColumnRenamed("src", "node_id"), ["drawing_id", "node_id"]).join(shapes.withColumnRenamed("node_id", "dst"), ["drawing_id", "dst"])
+    lent = lent.groupBy("drawing_id", "node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dst", "ring"))), lambda s: s["ring"]).alias("rings"))
+    drawn = shapes.select("drawing_id", "node_id", F.array("ring").alias("rings")).unionByName(lent)
+    out = violations_.select("drawing_id", "node_id", "rule_id").join(drawn, ["drawing_id", "node_id"], "left")
+    return out.withColumn("rings", F.coalesce("rings", F.array().cast(f"array<{nodes.schema['ring'].dataType.simpleString()}>")))
+
+
 def rule_number(message):
     """The number that a message carries in brackets, else Unknown."""
     return F.coalesce(F.nullif(F.regexp_extract(message, r"【违规 ([\d.]+)】", 1), F.lit("")), F.lit("Unknown"))

@@ -177,6 +177,30 @@ def adjacency(rooms: DataFrame, bound: DataFrame) -> DataFrame:
     return doors.withColumn("kind", F.lit("door")).unionByName(plain.withColumn("kind", F.lit("touch")))
 
 
+def graph_view(rooms: DataFrame, bound: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (drawing_id, node, kind) and undirected edges (drawing_id, u, v, kind) of rooms and doors.
+
+    Doors without ends are left out. Rooms are joined by ``edges`` as adjacent, a door and its rooms as
+    interface; ends that are no room of the drawing, such as the exterior, have no edge.
+    """
+    spaces = rooms.select("drawing_id", F.col("room_id").alias("node"), F.lit("space").alias("kind"))
+    doors = bound.where(F.size("ends") > 0)
+    nodes = spaces.unionByName(doors.select("drawing_id", F.col("uid").alias("node"), F.lit("door").alias("kind")))
+    sides = doors.select("drawing_id", F.col("uid").alias("u"), F.explode("ends").alias("v"))
+    sides = sides.join(spaces.select("drawing_id", F.col("node").alias("v")), ["drawing_id", "v"], "left_semi").select("drawing_id", "u", "v")
+    pairs = edges.where(F.col("u") != F.col("v")).select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return nodes, pairs.withColumn("kind", F.lit("adjacent")).unionByName(sides.withColumn("kind", F.lit("interface")))
+
+
+def drawing_summary(rooms: DataFrame, doors: DataFrame, edges: DataFrame, suites: DataFrame) -> DataFrame:
+    """drawing_id, n_rooms, n_doors, n_edges, n_suites of every drawing with a room; edges count once."""
+    pairs = edges.where(F.col("u") != F.col("v")).select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    out = rooms.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_rooms"))
+    for df, what, n in ((doors, F.count(F.lit(1)), "n_doors"), (pairs, F.count(F.lit(1)), "n_edges"), (suites, F.count_distinct("suite_id"), "n_suites")):
+        out = out.join(df.groupBy("drawing_id").agg(what.alias(n)), "drawing_id", "left")
+    return out.fillna(0, ["n_doors", "n_edges", "n_suites"])
+
+
 def first_room(facilities: DataFrame, rooms: DataFrame, *, reach: float = 5.0) -> DataFrame:
     """For each facility (drawing_id, uid, x, y) the first room in order that holds it or is nearer than ``reach``."""
     at = boxed(facilities, F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1")), reach)

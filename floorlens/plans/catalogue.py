@@ -18,7 +18,7 @@ from ..operators import enrich as N
 from ..operators import evaluate as V
 from ..operators import graph, rules
 from ..operators import topology as P
-from ..sources import jsonld
+from ..sources import dxf, jsonld
 from ..sources.shared import materialise
 from . import derived as D
 
@@ -418,6 +418,113 @@ def jsonld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonld.node_json(nodes, edges).select("drawing_id", F.col("node_id").alias("room_id"), "json")
 
 
+# ------------------------------------------------------- reports and views
+
+
+@query("SELECT p_partkey, p_partkey - 2 * 3 AS x, 3 * p_size + 5 AS y FROM part")
+def svg_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transform attribute of three calls, applied to the point (p_size, 3)."""
+    p = D.table(spark, sf_dir, "part")
+    text = F.concat(F.lit("translate("), F.col("p_partkey").cast("string"), F.lit(" 5) scale(2,3) matrix(0 1 -1 0 0 0)"))
+    moved = F.element_at(G.affine(F.array(G.point(F.col("p_size"), F.lit(3))), G.transform_matrix(text)), 1)
+    return p.select("p_partkey", whole(moved["x"]).alias("x"), whole(moved["y"]).alias("y"))
+
+
+@query(_with(ROOM, DOOR, select="""SELECT drawing_id, 'LWPOLYLINE' AS kind, count(*) AS n FROM room GROUP BY drawing_id UNION ALL SELECT drawing_id, 'LINE', count(*) FROM door GROUP BY drawing_id"""))
+def entity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dxf.kind_counts(entities(spark, sf_dir)).select(F.col("drawing").cast("bigint").alias("drawing_id"), "kind", "n")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms as polylines and doors as lines, in the columns of the DXF source."""
+    none = [F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("radius")]
+    make = lambda df, kind, layer, coords: df.select(F.col("drawing_id").cast("string").alias("drawing"), F.lit(0).alias("ord"), F.lit(kind).alias("kind"), layer.alias("layer"), *none, coords.alias("coords"))
+    rooms = make(D.rooms(spark, sf_dir), "LWPOLYLINE", F.concat(F.lit("gt_"), "sem"), F.concat("ring", F.slice("ring", 1, 1)))
+    x = (F.col("x0") + F.col("x1")) / 2
+    doors = make(D.doors(spark, sf_dir), "LINE", F.lit("gt_door"), F.array(G.point(x, F.col("y0")), G.point(x, F.col("y1"))))
+    return rooms.unionByName(doors)
+
+
+@query(_with(ROOM, DOOR, """box AS (SELECT drawing_id, min(x0) AS x0, min(y0) AS y0, max(x1) - min(x0) AS w, max(y1) - min(y0) AS h FROM (SELECT drawing_id, x0, y0, x1, y1 FROM room UNION ALL SELECT drawing_id, xc, lo, xc, hi FROM door) GROUP BY drawing_id)""",
+    select="SELECT drawing_id, greatest(w, h) AS longest, greatest(w, h) - w - 2 * x0 AS dx2, greatest(w, h) - h - 2 * y0 AS dy2 FROM box"))
+def drawing_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale and offsets that fit a drawing into the square; offsets doubled, as whole numbers."""
+    e = entities(spark, sf_dir)
+    moved = dxf.calibration(e).join(dxf.fit_scale(e).select("drawing", "scale"), "drawing")
+    return moved.select(F.col("drawing").cast("bigint").alias("drawing_id"), whole(140 / F.col("scale")).alias("longest"), whole(2 * F.col("delta_x")).alias("dx2"), whole(2 * F.col("delta_y")).alias("dy2"))
+
+
+@query(_with(ROOM, DOOR, select=f"""SELECT drawing_id, thing, type, count(*) AS n, CAST(sum(a) AS BIGINT) AS area FROM (SELECT drawing_id, 'room' AS thing, sem AS type, (x1 - x0) * (y1 - y0) AS a FROM room WHERE sem <> 'Unknown'
+ UNION ALL SELECT drawing_id, 'door', NULL, 0 FROM door) GROUP BY ALL"""))
+def annotated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dxf.annotated(entities(spark, sf_dir)).groupBy("drawing", "thing", "type").agg(F.count(F.lit(1)).alias("n"), whole(F.sum(G.area(F.col("ring")))).alias("area"))
+    return found.select(F.col("drawing").cast("bigint").alias("drawing_id"), "thing", "type", "n", "area")
+
+
+@query(_with(ROOM, GRID, select="""SELECT r.drawing_id, r.room_id, CASE WHEN r.ord % 3 > 0 THEN 1 ELSE (SELECT count(*) FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst AND s.ord % 3 > 0 WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id) END AS n_rings,
+ CAST(CASE WHEN r.ord % 3 > 0 THEN (r.x1 - r.x0) * (r.y1 - r.y0) ELSE coalesce((SELECT sum((s.x1 - s.x0) * (s.y1 - s.y0)) FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst AND s.ord % 3 > 0 WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id), 0) END AS BIGINT) AS area
+ FROM room r WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000"""))
+def report_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings that a report draws for small bedrooms; every third room has no ring of its own."""
+    nodes = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), "types", (G.area(F.col("ring")) / 1e6).alias("area_m2"), F.when(F.col("ord") % 3 > 0, F.col("ring")).alias("ring"))
+    edges = D.grid_edges(spark, sf_dir).select("drawing_id", F.col("u").alias("src"), F.col("v").alias("dst"))
+    broken = materialise(rules.violations(nodes, None, rules=[r for r in rules.RULES if r[0] == "R11"]), "broken")
+    area = F.aggregate("rings", F.lit(0.0), lambda a, r: a + G.area(r))
+    return rules.report_shapes(broken, nodes, edges).select("drawing_id", F.col("node_id").alias("room_id"), F.size("rings").cast("bigint").alias("n_rings"), whole(area).alias("area"))
+
+
+@query(_with(ROOM, select="""SELECT count(*) FILTER (n = 0) AS n_passed, count(*) FILTER (n > 0) AS n_failed, CAST(sum(n) AS BIGINT) AS n_violations FROM
+ (SELECT drawing_id, count(*) FILTER (sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000) AS n FROM room GROUP BY drawing_id)"""))
+def drawing_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many drawings pass the area rule of bedrooms."""
+    nodes = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), "types", (G.area(F.col("ring")) / 1e6).alias("area_m2"))
+    return rules.tally(nodes, rules.violations(nodes, None, rules=[r for r in rules.RULES if r[0] == "R11"]))
+
+
+@query(_with(ROOM, DOOR, BOUND, GRID, select="""SELECT drawing_id, room_id AS u, NULL AS v, 'space' AS kind FROM room UNION ALL SELECT drawing_id, uid, NULL, 'door' FROM ends WHERE len(e) > 0
+ UNION ALL SELECT DISTINCT drawing_id, least(u, v), greatest(u, v), 'adjacent' FROM edge UNION ALL SELECT drawing_id, uid, room_id, 'interface' FROM (SELECT drawing_id, uid, unnest(e) AS room_id FROM ends) WHERE room_id LIKE 'Space%'"""))
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes (v is null) and edges of rooms and doors."""
+    rooms = D.rooms(spark, sf_dir)
+    bound = materialise(P.bind_doors(D.doors(spark, sf_dir), rooms), "bound")
+    nodes, edges = P.graph_view(rooms, bound, D.grid_edges(spark, sf_dir))
+    return nodes.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), "kind").unionByName(edges)
+
+
+@query(_with(ROOM, DOOR, GRID, PUBLIC, SUITE, select="""SELECT r.drawing_id, count(*) AS n_rooms, (SELECT count(*) FROM door d WHERE d.drawing_id = r.drawing_id) AS n_doors,
+ (SELECT count(*) FROM (SELECT DISTINCT u, v FROM edge e WHERE e.drawing_id = r.drawing_id)) AS n_edges, (SELECT count(DISTINCT suite_id) FROM suite s WHERE s.drawing_id = r.drawing_id) AS n_suites FROM room r GROUP BY r.drawing_id"""))
+def drawing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = D.grid_edges(spark, sf_dir)
+    return P.drawing_summary(D.rooms(spark, sf_dir), D.doors(spark, sf_dir), edges, N.suites(typed_rooms(spark, sf_dir), edges))
+
+
+@query(_with(ROOM, DOOR, select="""SELECT d.drawing_id, d.uid, count(r.room_id) = 1 AND max(hi - lo) >= 850 AND NOT bool_or(r.sem = 'Balcony') AS is_entrance FROM door d LEFT JOIN room r ON d.drawing_id = r.drawing_id
+ AND pow(greatest(r.x0 - xc - 100, xc - 100 - r.x1, 0), 2) + pow(greatest(r.y0 - hi, lo - r.y1, 0), 2) < 0.16 GROUP BY ALL"""))
+def outer_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms, doors = D.rooms(spark, sf_dir), D.doors(spark, sf_dir)
+    return N.outer_doors(P.nearest_rooms(doors, rooms), doors, rooms)
+
+
+@query(_with(ROOM, FURNITURE, IN_ROOM, GRID, select="""SELECT drawing_id, '[' || string_agg('{"room_id":"' || room_id || '","area":' || CAST((x1 - x0) * (y1 - y0) / 1e6 AS DOUBLE) || ',"furniture":[' || it || '],"neighbours":[' || near || ']}', ',' ORDER BY ord) || ']' AS prompt
+ FROM (SELECT *, coalesce((SELECT string_agg('"' || specific_type || '"', ',' ORDER BY specific_type) FROM (SELECT DISTINCT specific_type FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id)), '') AS it,
+ coalesce((SELECT string_agg('"' || sem || '"', ',' ORDER BY sem) FROM (SELECT DISTINCT s.sem FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id AND s.sem <> 'Unknown')), '') AS near
+ FROM room r WHERE sem = 'Unknown') GROUP BY drawing_id"""))
+def room_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rooms = D.rooms(spark, sf_dir)
+    return N.room_prompts(N.room_context(rooms, P.furniture_in_rooms(D.furniture(spark, sf_dir), rooms), D.grid_edges(spark, sf_dir)))
+
+
+@query(_with(ROOM, FURNITURE, IN_ROOM, select="""SELECT kind, shown, count(*) AS n FROM (SELECT 'space' AS kind, sem AS shown FROM room UNION ALL SELECT CASE WHEN specific_type LIKE '%door%' THEN 'door' ELSE 'facility' END, specific_type FROM furniture) GROUP BY ALL"""))
+def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph nodes split into spaces, doors and facilities."""
+    tag = F.transform("types", lambda t: F.concat(F.lit("bldg:"), t))
+    spaces = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), F.concat(F.array(F.lit("bot:Space")), tag).alias("types"), "ring")
+    word = F.when(F.col("specific_type").contains("door"), F.concat(F.lit("Door "), "specific_type")).otherwise(F.col("specific_type"))
+    things = D.furniture(spark, sf_dir).select("drawing_id", F.col("uid").alias("node_id"), F.array(F.lit("bot:Element"), F.concat(F.lit("beo:"), word)).alias("types"), "ring")
+    kinds = jsonld.node_kinds(spaces.unionByName(things).withColumnRenamed("drawing_id", "drawing"))
+    return kinds.groupBy("kind", F.regexp_replace("shown", "^(bldg:|beo:(Door )?)", "").alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------------- rules
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,47 +14,131 @@ from ..functions.text import layer_type
 from ..functions.vocab import DOOR_LAYERS, FACILITY_LAYERS, ROOM_LAYERS
 
 ENTITY = f"drawing string, ord int, kind string, layer string, text string, radius double, coords {G.RING}"
-KINDS = {"LINE", "LWPOLYLINE", "CIRCLE", "ARC", "ELLIPSE", "TEXT", "MTEXT", "INSERT", "SPLINE"}
+KINDS = {"LINE", "LWPOLYLINE", "CIRCLE", "ARC", "ELLIPSE", "TEXT", "MTEXT", "SPLINE", "LEADER"}
+#: References to blocks: their entities are written in place.
+HOLDERS = {"INSERT", "DIMENSION"}
+#: Points on an arc, an ellipse or a spline.
+CURVE_POINTS = 20
+_REPEATED = {"10", "20", "11", "21", "40"}
 
+Pair = tuple[str, str]
+Point = tuple[float, float]
 
-def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, list[tuple[float, float]]]]:
-    """(kind, layer, text, radius, points) of the entities section; a closed polyline repeats its first point."""
-    lines = text.splitlines()
-    pairs = list(zip((x.strip() for x in lines[::2]), (x.strip() for x in lines[1::2])))
-    out, section, current = [], "", None
-
-    def close() -> None:
-        if current and current["kind"] in KINDS:
-            pts = current["points"]
-            if current["kind"] == "LWPOLYLINE" and current["flags"] & 1 and pts and pts[0] != pts[-1]:
-                pts = [*pts, pts[0]]
-            out.append((current["kind"], current["layer"], current["text"], current["radius"], pts))
 
-    after = ""
+def _records(pairs: list[Pair]) -> list[tuple[str, str, dict]]:
+    """(section, kind, values by group code); codes that repeat hold lists."""
+    out: list[tuple[str, str, dict]] = []
+    section, values = "", None
     for code, value in pairs:
         if code == "0":
-            close()
-            current = {"kind": value, "layer": "0", "text": None, "radius": None, "points": [], "flags": 0, "x": None} if section == "ENTITIES" else None
+            values = {}
+            out.append((section, value, values))
             if value == "ENDSEC":
                 section = ""
-        elif code == "2" and after == "SECTION":
-            section = value
-        elif current is not None:
-            if code == "8":
-                current["layer"] = value
-            elif code == "1":
-                current["text"] = value
-            elif code == "40" and current["kind"] in ("CIRCLE", "ARC"):
-                current["radius"] = float(value)
-            elif code == "70":
-                current["flags"] = int(value)
-            elif code in ("10", "11"):
-                current["x"] = float(value)
-            elif code in ("20", "21") and current["x"] is not None:
-                current["points"].append((current["x"], float(value)))
-                current["x"] = None
-        after = value if code == "0" else ""
-    close()
+        elif values is not None:
+            if out[-1][1] == "SECTION" and code == "2":
+                section = value
+            if code in _REPEATED:
+                values.setdefault(code, []).append(float(value))
+            else:
+                values.setdefault(code, value)
+    return out
+
+
+def _spline(degree: int, knots: list[float], control: list[Point]) -> list[Point]:
+    """Points at even parameters of a B-spline, by de Boor's recurrence; control points if the knots do not fit."""
+    n = len(control)
+    if n <= degree or len(knots) != n + degree + 1:
+        return control
+    low, high, out = knots[degree], knots[n], []
+    for i in range(CURVE_POINTS):
+        t = low + (high - low) * i / (CURVE_POINTS - 1)
+        k = max((j for j in range(degree, n) if knots[j] <= t and knots[j] < knots[j + 1]), default=degree)
+        d = [control[k - degree + j] for j in range(degree + 1)]
+        for r in range(1, degree + 1):
+            for j in range(degree, r - 1, -1):
+                left, right = knots[k - degree + j], knots[k + 1 + j - r]
+                w = (t - left) / (right - left) if right > left else 0.0
+                d[j] = tuple((1 - w) * x + w * y for x, y in zip(d[j - 1], d[j], strict=True))
+        out.append(d[degree])
+    return out
+
+
+def _points(kind: str, v: dict) -> list[Point]:
+    first = list(zip(v.get("10", []), v.get("20", []), strict=False))
+    second = list(zip(v.get("11", []), v.get("21", []), strict=False))
+    if kind == "LWPOLYLINE" and int(v.get("70", 0)) & 1 and first and first[0] != first[-1]:
+        return [*first, first[0]]
+    if kind in ("ARC", "ELLIPSE") and first and v.get("40"):
+        (cx, cy), size = first[0], v["40"][0]
+        if kind == "ARC":
+            ax, ay, ratio, start, end = size, 0.0, 1.0, math.radians(float(v.get("50", 0))), math.radians(float(v.get("51", 360)))
+        else:
+            (ax, ay), ratio, start, end = (second or [(0.0, 0.0)])[0], size, float(v.get("41", 0)), float(v.get("42", 2 * math.pi))
+        if end <= start:
+            end += 2 * math.pi
+        angles = [start + (end - start) * i / (CURVE_POINTS - 1) for i in range(CURVE_POINTS)]
+        return [(cx + ax * math.cos(t) - ratio * ay * math.sin(t), cy + ay * math.cos(t) + ratio * ax * math.sin(t)) for t in angles]
+    if kind == "SPLINE":
+        return _spline(int(v.get("71", 3)), v.get("40", []), first) if first else second
+    return first + second if kind == "LINE" else first
+
+
+def _hidden_layers(records: list[tuple[str, str, dict]]) -> set[str]:
+    """Layers that are off (a negative colour) or frozen."""
+    return {v.get("2", "") for section, kind, v in records if section == "TABLES" and kind == "LAYER" and (int(v.get("62", 7)) < 0 or int(v.get("70", 0)) & 1)}
+
+
+def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, list[Point]]]:
+    """(kind, layer, text, radius, points) of the visible entities.
+
+    A closed polyline repeats its first point; arcs, ellipses and splines are CURVE_POINTS points. A
+    block's entities stand where it is inserted, scaled, turned and moved, at any depth; those on layer
+    0 take the insertion's layer. Blocks that hold themselves are left out, as are entities that are
+    invisible or whose layer is off or frozen. A radius follows the insertion's first scale.
+    """
+    lines = text.splitlines()
+    records = _records(list(zip((x.strip() for x in lines[::2]), (x.strip() for x in lines[1::2]), strict=False)))
+    hidden = _hidden_layers(records)
+    blocks: dict[str, tuple[Point, list]] = {}
+    top: list[tuple[str, dict]] = []
+    inside: list | None = None
+    for section, kind, v in records:
+        if section == "BLOCKS" and kind == "BLOCK":
+            inside = []
+            base = (v.get("10", [0.0])[0], v.get("20", [0.0])[0])
+            blocks[v.get("2", "")] = (base, inside)
+        elif section == "BLOCKS" and kind == "ENDBLK":
+            inside = None
+        elif section == "BLOCKS" and inside is not None:
+            inside.append((kind, v))
+        elif section == "ENTITIES":
+            top.append((kind, v))
+    out: list[tuple[str, str, str | None, float | None, list[Point]]] = []
+
+    def place(items: list, m: tuple, scale: float, layer: str | None, within: tuple[str, ...]) -> None:
+        a, b, c, d, e, f = m
+        for kind, v in items:
+            own = v.get("8", "0")
+            own = layer if layer is not None and own == "0" else own
+            if own in hidden or v.get("60", "0") == "1":
+                continue
+            if kind in KINDS:
+                radius = v["40"][0] * scale if kind in ("CIRCLE", "ARC") and v.get("40") else None
+                out.append((kind, own, v.get("1"), radius, [(a * x + c * y + e, b * x + d * y + f) for x, y in _points(kind, v)]))
+            elif kind in HOLDERS and (name := v.get("2", "")) in blocks and name not in within:
+                (bx, by), held = blocks[name]
+                if kind == "DIMENSION":
+                    place(held, m, scale, own, (*within, name))
+                    continue
+                x, y = v.get("10", [0.0])[0], v.get("20", [0.0])[0]
+                sx, sy, turn = float(v.get("41", 1)), float(v.get("42", 1)), math.radians(float(v.get("50", 0)))
+                p, q, r, s = sx * math.cos(turn), sx * math.sin(turn), -sy * math.sin(turn), sy * math.cos(turn)
+                u, w = x - p * bx - r * by, y - q * bx - s * by
+                inner = (a * p + c * q, b * p + d * q, a * r + c * s, b * r + d * s, a * u + c * w + e, b * u + d * w + f)
+                place(held, inner, scale * abs(sx), own, (*within, name))
+
+    place(top, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), 1.0, None, ())
     return out
 
 
@@ -71,8 +156,9 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
 
 def fit_scale(entities: DataFrame, size: float = 140.0) -> DataFrame:
     """drawing, x0, y0, x1, y1, scale, dx, dy: what centres a drawing in a square of this size."""
-    p = entities.select("drawing", F.explode("coords").alias("p"))
-    box = p.groupBy("drawing").agg(F.min("p.x").alias("x0"), F.min("p.y").alias("y0"), F.max("p.x").alias("x1"), F.max("p.y").alias("y1"))
+    r = F.when(F.col("kind") == "CIRCLE", F.coalesce("radius", F.lit(0.0))).otherwise(0.0)
+    p = entities.select("drawing", r.alias("r"), F.explode("coords").alias("p"))
+    box = p.groupBy("drawing").agg(F.min(F.expr("p.x - r")).alias("x0"), F.min(F.expr("p.y - r")).alias("y0"), F.max(F.expr("p.x + r")).alias("x1"), F.max(F.expr("p.y + r")).alias("y1"))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     scale = F.least(F.coalesce(F.try_divide(F.lit(size), w), F.lit(1.0)), F.coalesce(F.try_divide(F.lit(size), h), F.lit(1.0)))
     box = box.withColumn("scale", scale)
@@ -80,11 +166,16 @@ def fit_scale(entities: DataFrame, size: float = 140.0) -> DataFrame:
 
 
 def to_svg_units(entities: DataFrame, size: float = 140.0) -> DataFrame:
-    """Entities with coordinates in the square, y down."""
+    """Entities with coordinates and radius in the square's units, y down."""
     held = entities.join(fit_scale(entities, size), "drawing")
     x = lambda p: (p["x"] - F.col("x0")) * F.col("scale") + F.col("dx")
     y = lambda p: size - ((p["y"] - F.col("y0")) * F.col("scale") + F.col("dy"))
-    return held.withColumn("coords", F.transform("coords", lambda p: G.point(x(p), y(p)))).select(*entities.columns)
+    return held.withColumns({"coords": F.transform("coords", lambda p: G.point(x(p), y(p))), "radius": F.col("radius") * F.col("scale")}).select(*entities.columns)
+
+
+def kind_counts(entities: DataFrame) -> DataFrame:
+    """drawing, kind, n: how many entities of each kind a drawing has."""
+    return entities.groupBy("drawing", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def calibration(entities: DataFrame, size: float = 140.0) -> DataFrame:

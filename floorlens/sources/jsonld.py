@@ -48,6 +48,36 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select("drawing", "node_id", "ord", "types", "wkt", "ring", "attrs"), edges
 
 
+def node_kinds(nodes: DataFrame) -> DataFrame:
+    """drawing, node_id, kind (space, door or facility), shown (its first type of that kind), ring.
+
+    Nodes without a ring, or of none of these kinds, are left out.
+    """
+    of = lambda prefix: F.filter("types", lambda t: t.startswith(prefix))
+    things = of("beo:")
+    is_space, is_door = F.array_contains("types", "bot:Space"), F.exists(things, lambda t: t.contains("Door"))
+    kind = F.when(is_space, "space").when(is_door, "door").when(F.size(things) > 0, "facility")
+    shown = F.coalesce(F.try_element_at(F.when(is_space, of("bldg:")).otherwise(things), F.lit(1)), F.lit("Unknown"))
+    return nodes.where(F.col("ring").isNotNull() & kind.isNotNull()).select("drawing", "node_id", kind.alias("kind"), shown.alias("shown"), "ring")
+
+
+def read_plain_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rooms, adjacencies and violations of documents {"rooms": {id: {...}}, "adjacencies": [[a, b]], "violations": [...]}.
+
+    Rooms: drawing, room_id, wkt, ring, area_m2, short_side_m, semantic_type. Adjacencies: drawing, u, v
+    in order, once. Violations: drawing, node_id, rule.
+    """
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json(ld)?$", "")
+    raw = spark.read.text(path, wholetext=True).select(name.alias("drawing"), "value")
+    room = "struct<wkt:string,area:double,short_side:double,semantic_type:string>"
+    doc = F.from_json("value", f"rooms map<string,{room}>, adjacencies array<array<string>>, violations array<struct<node_id:string,rule:string>>")
+    doc = raw.select("drawing", doc.alias("d"))
+    rooms = doc.select("drawing", F.explode("d.rooms").alias("room_id", "r"))
+    rooms = rooms.select("drawing", "room_id", "r.wkt", G.from_wkt(F.col("r.wkt")).alias("ring"), F.col("r.area").alias("area_m2"), F.col("r.short_side").alias("short_side_m"), "r.semantic_type")
+    pairs = doc.select("drawing", F.explode("d.adjacencies").alias("p")).where(F.size("p") == 2).select("drawing", F.array_min("p").alias("u"), F.array_max("p").alias("v"))
+    return rooms, pairs.where("u <> v").distinct(), doc.select("drawing", F.explode("d.violations").alias("v")).select("drawing", "v.node_id", "v.rule")
+
+
 def node_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """drawing_id, node_id, ord, json of nodes (drawing_id, node_id, ord, types, label, ring) with their edges."""
     refs = edges.groupBy("drawing_id", F.col("src").alias("node_id"), "pred").agg(F.sort_array(F.collect_set("dst")).alias("to"))

@@ -156,6 +156,18 @@ def coords_of(primitives: DataFrame) -> DataFrame:
     return primitives.withColumn("coords", F.when(F.col("tag") == "circle", circle).when(F.col("tag") == "ellipse", ellipse).otherwise(path))
 
 
+def rooms_of(primitives: DataFrame, scale: float, *, layer: str = "rooms") -> DataFrame:
+    """drawing, room_id, ord, ring: the paths with an id in a layer, in world units.
+
+    Rings are open; paths of fewer than three points are no rooms.
+    """
+    line = G.svg_to_world(G.path_points(F.try_element_at("attrs", F.lit("d"))), F.lit(scale))
+    ring = F.when(F.element_at(line, 1) == F.element_at(line, -1), F.slice(line, F.lit(1), F.size(line) - 1)).otherwise(line)
+    named = F.try_element_at("attrs", F.lit("id"))
+    paths = primitives.where((F.col("tag") == "path") & (F.col("layer") == layer) & named.isNotNull())
+    return paths.select("drawing", named.alias("room_id"), "ord", ring.alias("ring")).where(F.size("ring") >= 3)
+
+
 def room_svgs(rooms: DataFrame, scale: float) -> DataFrame:
     """drawing_id, svg: a document with one path per room (room_id, ord, ring), for inspection."""
     path = F.concat(F.lit('<path id="'), "room_id", F.lit('" d="'), G.svg_path(F.col("ring"), F.lit(scale)), F.lit('"/>'))

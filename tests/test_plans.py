@@ -87,6 +87,48 @@ def test_dxf_scan(spark, tmp_path):
     assert dxf.fit_scale(entities).first()["scale"] == pytest.approx(0.14)
 
 
+def dxf_text(*records):
+    return "\n".join(str(x) for r in records for pair in r for x in pair) + "\n"
+
+
+def test_dxf_blocks_curves_and_visibility():
+    line = [(0, "LINE"), (8, "0"), (10, 0), (20, 0), (11, 10), (21, 0)]
+    insert = [(0, "INSERT"), (2, "B"), (8, "doors"), (10, 100), (20, 50), (41, 2), (42, 2), (50, 90)]
+    text = dxf_text(
+        [(0, "SECTION"), (2, "TABLES")], [(0, "LAYER"), (2, "off"), (62, -7)], [(0, "LAYER"), (2, "frozen"), (62, 7), (70, 1)], [(0, "ENDSEC")],
+        [(0, "SECTION"), (2, "BLOCKS")], [(0, "BLOCK"), (2, "B"), (10, 0), (20, 0)], line, [(0, "CIRCLE"), (8, "x"), (10, 1), (20, 0), (40, 3)], [(0, "INSERT"), (2, "B"), (10, 0), (20, 0)], [(0, "ENDBLK")], [(0, "ENDSEC")],
+        [(0, "SECTION"), (2, "ENTITIES")], insert, [(0, "LINE"), (8, "off"), (10, 0), (20, 0), (11, 1), (21, 1)], [(0, "LINE"), (8, "frozen"), (10, 0), (20, 0), (11, 1), (21, 1)],
+        [(0, "LINE"), (8, "0"), (60, 1), (10, 0), (20, 0), (11, 1), (21, 1)],
+        [(0, "ARC"), (8, "a"), (10, 0), (20, 0), (40, 2), (50, 0), (51, 90)], [(0, "ELLIPSE"), (8, "a"), (10, 0), (20, 0), (11, 4), (21, 0), (40, 0.5)],
+        [(0, "SPLINE"), (8, "a"), (71, 2), *((40, k) for k in (0, 0, 0, 1, 1, 1)), (10, 0), (20, 0), (10, 1), (20, 2), (10, 2), (20, 0)],
+        [(0, "INSERT"), (2, "absent"), (10, 0), (20, 0)], [(0, "ENDSEC")], [(0, "EOF")],
+    )
+    found = dxf.entities_of(text)
+    assert [(k, layer) for k, layer, *_ in found] == [("LINE", "doors"), ("CIRCLE", "x"), ("ARC", "a"), ("ELLIPSE", "a"), ("SPLINE", "a")]
+    assert [p for q in found[0][4] for p in q] == pytest.approx([100, 50, 100, 70])
+    assert found[1][3] == 6 and found[1][4][0] == pytest.approx((100, 52))
+    assert found[2][4][0] == pytest.approx((2, 0)) and found[2][4][-1] == pytest.approx((0, 2))
+    assert found[3][4][0] == pytest.approx((4, 0)) and max(y for _, y in found[3][4]) == pytest.approx(2, abs=0.02)
+    # A spline of degree 2 without inner knots is a parabola: (2t, 4t(1 - t)).
+    assert all(y == pytest.approx(2 * x * (1 - x / 2)) for x, y in found[4][4]) and found[4][4][-1] == pytest.approx((2, 0))
+    assert dxf.entities_of("") == [] and dxf.entities_of("0\nEOF") == []
+
+
+def test_rooms_of_svg(spark, tmp_path):
+    rooms = spark.sql("select 1L drawing_id, 'Space_001' room_id, 1 ord, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4000D, 'y', 0D), named_struct('x', 4000D, 'y', 3000D)) ring")
+    (tmp_path / "p.svg").write_text(svg.room_svgs(rooms, 0.01).first()["svg"])
+    back = svg.rooms_of(svg.read_primitives(spark, str(tmp_path)), 0.01).first()
+    assert (back["drawing"], back["room_id"], [tuple(p) for p in back["ring"]]) == ("p", "Space_001", [(0, 0), (4000, 0), (4000, 3000)])
+
+
+def test_plain_truth(spark, tmp_path):
+    text = '{"rooms":{"A":{"wkt":"POLYGON ((0 0, 1 0, 1 1, 0 0))","area":0.5,"semantic_type":"Kitchen"}},"adjacencies":[["B","A"],["A","B"],["A"]],"violations":[{"node_id":"A","rule":"R13"}]}'
+    (tmp_path / "g.json").write_text(text)
+    rooms, pairs, broken = jsonld.read_plain_truth(spark, str(tmp_path))
+    assert [(r["room_id"], len(r["ring"]), r["area_m2"], r["short_side_m"], r["semantic_type"]) for r in rooms.collect()] == [("A", 3, 0.5, None, "Kitchen")]
+    assert [tuple(r) for r in pairs.collect()] == [("g", "A", "B")] and [tuple(r) for r in broken.collect()] == [("g", "A", "R13")]
+
+
 def test_jsonld_forms(spark, tmp_path):
     text = '{"@graph":[{"@id":"a","@type":"bot:Space","geo:asWKT":{"@value":"POLYGON ((0 0, 4 0, 4 4, 0 0))"},"bot:adjacentZone":[{"@id":"b"}]},{"@id":"b","@type":["bot:Space","bldg:Kitchen"],"geo:asWKT":"POLYGON ((0 0, 1 0, 1 1, 0 0))","bot:adjacentZone":{"@id":"a"}}]}'
     (tmp_path / "d.jsonld").write_text(text)
