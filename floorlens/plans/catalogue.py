@@ -7,7 +7,7 @@ formulas of its own. Values are whole numbers or strings, so that both sides has
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -259,7 +259,7 @@ def drawing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("drawing_id").agg(F.count_if(F.col("type") == "wall").alias("n_wall"), F.count_if(F.col("type") == "background").alias("n_background"), whole(F.min("b.x0")).alias("x0"), whole(F.max("b.x1")).alias("x1"))
 
 
-@query()
+@query(_with(LINE, select="SELECT drawing_id, count(*) AS n, CAST(round(1000 * sum(sqrt(pow(100 - CASE WHEN gap THEN 10 ELSE 0 END, 2) + 2500))) AS BIGINT) AS length_um FROM line GROUP BY drawing_id"))
 def wall_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noded, merged wall segments of each drawing."""
     cleaned = E.clean_walls(D.lines(spark, sf_dir))
@@ -275,6 +275,24 @@ def closed_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_rooms"), whole(F.sum(G.area(F.col("ring")))).alias("area"))
 
 
+@query(_with(ROOM, """cell AS (SELECT drawing_id, ord, ord // 4 AS row, sum(CASE WHEN ord % 4 > 0 AND open THEN 0 ELSE 1 END) OVER (PARTITION BY drawing_id ORDER BY ord) AS run
+ FROM (SELECT drawing_id, ord, lag(user_id) OVER (PARTITION BY drawing_id ORDER BY ord) % 2 = 0 AS open FROM room))""",
+    select="SELECT drawing_id, 'Space_' || lpad(CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY x, y) AS VARCHAR), 3, '0') AS place, x, y, area FROM (SELECT drawing_id, run, 4000 * min(ord % 4) AS x, 3500 * min(row) AS y, 14000000 * count(*) AS area FROM cell GROUP BY drawing_id, run)"))
+def open_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of a lattice of walls, in which a wall between rooms k and k + 1 of a row is missing if k's user_id is even.
+
+    Every cell also has a stub of wall that ends inside it, which closes nothing.
+    """
+    r = D.rooms(spark, sf_dir).withColumns({"a": 4000 * (F.col("ord") % 4), "b": F.expr("3500 * (ord div 4)"), "shut": F.expr("ord % 4 = 3 or user_id % 2 = 1")})
+    r = r.withColumn("last", F.max("ord").over(Window.partitionBy("drawing_id"))).withColumn("shut", F.expr("shut or ord = last"))
+    wall = lambda x0, y0, x1, y1, when="true": F.when(F.expr(when), F.struct(F.expr(x0).alias("x0"), F.expr(y0).alias("y0"), F.expr(x1).alias("x1"), F.expr(y1).alias("y1")))
+    four = F.array_compact(F.array(wall("a", "b", "a + 4000", "b"), wall("a", "b + 3500", "a + 4000", "b + 3500"), wall("a", "b", "a", "b + 3500", "ord % 4 = 0"), wall("a + 4000", "b", "a + 4000", "b + 3500", "shut"), wall("a + 2000", "b", "a + 2000", "b + 900")))
+    rooms = E.plausible_rooms(E.room_faces(r.select("drawing_id", F.inline(four))))
+    box = G.bounds(F.col("ring"))
+    found = rooms.select("drawing_id", whole(box["x0"]).alias("x"), whole(box["y0"]).alias("y"), whole(G.area(F.col("ring"))).alias("area"))
+    return P.numbered(found, "Space_%03d", ["drawing_id"], ["x", "y"], "place")
+
+
 @query(_with(ROOM, select="SELECT drawing_id, event_id AS edge_id FROM room WHERE ord % 4 < 3 AND user_id % 2 = 0"))
 def opening_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.expr("4000 * (ord % 4 + 1)")
@@ -628,8 +646,6 @@ TRUTH_EDGE = "tedge AS (SELECT drawing_id, ord AS u, lead(ord) OVER (PARTITION B
 
 
 def truth_edges(gt: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     return gt.withColumn("v", F.lead("room_id").over(Window.partitionBy("drawing_id").orderBy("ord"))).where(F.col("v").isNotNull()).select("drawing_id", F.col("room_id").alias("u"), "v")
 
 
