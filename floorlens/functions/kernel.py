@@ -490,7 +490,8 @@ def delaunay(points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     if n < 3:
         return []
     low, high = min(min(p) for p in points), max(max(p) for p in points)
-    big = 10 * (high - low + 1)
+    # Beyond the circumcircle of any three integer points, so that the hull's triangles are all found.
+    big = 10 * (high - low + 1) ** 3
     pts = [*points, (low - 3 * big, low - big), (high + 3 * big, low - big), ((low + high) // 2, high + 3 * big)]
 
     def turn(a, b, c):

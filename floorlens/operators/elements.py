@@ -223,6 +223,25 @@ def room_faces(segments: DataFrame) -> DataFrame:
     return segments.groupBy("drawing_id").applyInPandas(run, f"drawing_id long, face int, ring {G.RING}")
 
 
+def mesh(points: DataFrame) -> DataFrame:
+    """drawing_id, tri, ring, cx, cy, radius: Delaunay triangles of a drawing's points (drawing_id, x, y).
+
+    Points are rounded to integers; repeated ones count once, fewer than three give no triangle. The
+    triangles' sides are counter-clockwise; centre and radius are those of the circumcircle.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pts = sorted({(int(x), int(y)) for x, y in zip(group["x"], group["y"], strict=True)})
+        rows = []
+        for i, t in enumerate(K.delaunay(pts)):
+            ring = [pts[v] for v in t]
+            rows.append((group["drawing_id"].iloc[0], i, [{"x": float(x), "y": float(y)} for x, y in ring], *K.circumcircle(*ring)))
+        return pd.DataFrame(rows, columns=["drawing_id", "tri", "ring", "cx", "cy", "radius"])
+
+    whole = points.select("drawing_id", F.rint("x").cast("bigint").alias("x"), F.rint("y").cast("bigint").alias("y")).where("x is not null and y is not null")
+    return whole.groupBy("drawing_id").applyInPandas(run, f"drawing_id long, tri int, ring {G.RING}, cx double, cy double, radius double")
+
+
 #: Least area (mm2), inset (mm), short side (mm), compactness and solidity of a plausible room.
 ROOM_LIMITS = (2e6, 250.0, 600.0, 0.08, 0.25)
 

@@ -301,6 +301,15 @@ def opening_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.opening_edges(edges, D.doors(spark, sf_dir)).select("drawing_id", "edge_id")
 
 
+@query(_with(ROOM, FURNITURE, "spot AS (SELECT DISTINCT drawing_id, x, y FROM furniture)", select="SELECT drawing_id, 2 * count(*) + 2 AS n_triangles, CAST(336000000 AS BIGINT) AS area2 FROM spot GROUP BY drawing_id"))
+def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles between the places of a drawing's furniture and the corners of its sheet."""
+    spots = D.furniture(spark, sf_dir).select("drawing_id", "x", "y")
+    corners = F.array(*(F.struct(F.lit(x).cast("bigint").alias("x"), F.lit(y).cast("bigint").alias("y")) for x in (0, 16000) for y in (0, 10500)))
+    mesh = E.mesh(spots.unionByName(spots.select("drawing_id").distinct().select("drawing_id", F.inline(corners))))
+    return mesh.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(G.area(F.col("ring")))).alias("area2"))
+
+
 # ----------------------------------------------------------- spatial joins
 
 

@@ -84,3 +84,10 @@ def test_delaunay_has_empty_circles():
     for t in triangles:
         x, y, r = K.circumcircle(*(points[v] for v in t))
         assert all(math.hypot(px - x, py - y) >= r - 1e-9 for i, (px, py) in enumerate(points) if i not in t)
+
+
+def test_delaunay_covers_flat_hulls():
+    points = [(0, 0), (500, 1), (1000, 0), (500, 900), (250, 1), (0, 400)]
+    hull = abs(K.ring_area(K.hull(np.array(points))))
+    assert sum(abs(K.ring_area(np.array([points[v] for v in t], float))) for t in K.delaunay(points)) == pytest.approx(hull)
+    assert K.delaunay([(0, 0), (1, 0), (2, 0), (9, 0)]) == []
