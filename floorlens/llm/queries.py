@@ -76,7 +76,27 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
 _BITS = " + ".join(f"{1 << 4 - k} * CAST(substr(b, 5 * i + {k + 1}, 1) AS INTEGER)" for k in range(5))
 
+
+def _span_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: the text between matches and the matches, by length, give their places."""
+    return rf"""SELECT doc_id, '{kind}' AS kind, lo, lo + length(m[i]) AS hi FROM (SELECT *, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS lo
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS p FROM d)) WHERE length(g[i]) >= {least})"""
+
+
+_ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SPANS = " UNION ALL ".join((
+    _span_sql("assign", rf"""({_ANY_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    _span_sql("access", "AKIA[A-Z0-9]+", 0, 18),
+    _span_sql("hex", "[0-9a-f]+", 0, 16),
+    _span_sql("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    _span_sql("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+))
+_LISTED = "string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, list_position(['assign', 'access', 'hex', 'pem', 'jwt'], kind))"
+
 ORACLES: dict[str, str] = {
+    "op2_secret_scans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}),
+ n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_LISTED} FILTER (kind IN ('assign', 'access', 'hex')) AS base, {_LISTED} AS spans FROM s GROUP BY doc_id)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (doc_id)""",
     "op4_near_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
  s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
