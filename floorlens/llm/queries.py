@@ -37,7 +37,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.matches(read_table(spark, sf_dir, "documents"))
+    return licenses.matches(read_table(spark, sf_dir, "documents")).select("doc_id", "license", "shared", "n_template")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,17 @@ _SPANS = " UNION ALL ".join((
 ))
 _LISTED = "string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, list_position(['assign', 'access', 'hex', 'pem', 'jwt'], kind))"
 
+_TEMPLATES = ", ".join(f"('{k}', {licenses.template_words(t)}, {2 * n + licenses.window_length(n)})" for k, t in licenses.TEMPLATES.items() for n in [len(licenses.template_words(t)) - licenses.SHINGLE + 1])
+
 ORACLES: dict[str, str] = {
+    # Shingles of a template that stand within the reach of a window, from any of them on.
+    "op6_license_scans": rf"""WITH t AS (SELECT name, far, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM (VALUES {_TEMPLATES}) AS v(name, w, far)),
+ w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+ hit AS (SELECT doc_id, name, far, i, g FROM s JOIN t USING (g)),
+ near AS (SELECT a.doc_id, a.name, a.i, count(DISTINCT b.g) AS shared FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.name = b.name AND b.i BETWEEN a.i AND a.i + a.far GROUP BY ALL),
+ size AS (SELECT name, count(*) AS n_template FROM t GROUP BY name)
+ SELECT doc_id, name AS license, max(shared) AS shared, n_template FROM near JOIN size USING (name) WHERE shared >= ceil({licenses.CONTAINED} * n_template) GROUP BY ALL""",
     "op2_secret_scans": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({_SPANS}),
  n AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {_LISTED} FILTER (kind IN ('assign', 'access', 'hex')) AS base, {_LISTED} AS spans FROM s GROUP BY doc_id)
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN n USING (doc_id)""",

@@ -245,6 +245,11 @@ def test_licenses(spark, odd, empty):
     docs = spark.createDataFrame([(1, sentence(41, 80) + "\nReleased under the MIT License.\n" + sentence(42, 90)), (2, sentence(43, 30) + " " + lossy), (3, "license " * 50), (4, None), (5, "Licensed under")], "doc_id long, text string")
     rows = {(r["doc_id"], r["license"]) for r in licenses.matches(docs).collect()}
     assert rows == {(1, "mit-line"), (2, "mit-permission")}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(r["doc_id"], r["text"]) for r in docs.collect()])
+    expected = sorted(con.execute(ORACLES["op6_license_scans"]).fetchall())
+    assert expected == sorted((r["doc_id"], r["license"], r["shared"], r["n_template"]) for r in licenses.matches(docs).collect())
     assert licenses.matches(odd).count() == 0 and licenses.matches(empty).count() == 0
     with pytest.raises(ValueError, match="fewer"):
         licenses.matches(docs, {"x": "too short"})
