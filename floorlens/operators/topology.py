@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import geometry as G
 from ..functions import kernel as K
 from ..functions.vocab import EXTERIOR_ID
+from ..sources.shared import materialise
 from .spatial import box_join, boxed, nearest
 
 #: Millimetres: length of the probe on both sides of a threshold, reach of windows and unhit doors.
@@ -137,6 +138,8 @@ def bind_doors(doors: DataFrame, rooms: DataFrame) -> DataFrame:
     probes = best.select("drawing_id", "uid", probe.alias("probe"))
     probes = boxed(probes, G.bounds(F.col("probe")))
     met = box_join(probes, _rooms(rooms)).where(ring_distance("room_ring", "probe") == 0).select("drawing_id", "uid", "room_id", "room_ord")
+    # Used twice below; written out, or every chord and probe would be worked out twice.
+    met = materialise(met, "door-rooms")
     unhit = doors.select("drawing_id", "uid", "ring").join(met, ["drawing_id", "uid"], "left_anti")
     around = box_join(boxed(unhit, G.bounds(F.col("ring")), REACH), _rooms(rooms)).where(ring_distance("ring", "room_ring") < REACH)
     met = met.unionByName(around.select("drawing_id", "uid", "room_id", "room_ord"))
