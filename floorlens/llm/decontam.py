@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as lower-case characters with white space runs as one space. Every benchmark item
-is cut into overlapping segments of SEGMENT characters (a shorter item is one segment). A text region
+is cut into overlapping segments of SEGMENT characters (a shorter item is one segment), STRIDE apart:
+a verbatim quote of at least SEGMENT characters is at most half a stride, and so fewer than EDITS
+characters, off a segment: it is found wherever it starts in the item. A text region
 that lies within EDITS edits of a segment shares with it at least
 ``length + 1 - (EDITS + 1) * Q`` of its q-grams, all on EDITS + 1 neighbouring diagonals. All q-grams
 of a text are looked up in the index of segments; matches are counted in diagonal bands that overlap
@@ -28,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .textkernel import freeing, mix64
 
-SEGMENT, STRIDE, EDITS, Q, LEAST = 80, 40, 7, 9, 24
+SEGMENT, STRIDE, EDITS, Q, LEAST = 80, 10, 7, 9, 24
 BAND = 16
-MAX_CHARS = 4 << 20
+MAX_CHARS = 1 << 20
 #: Postings beyond which a q-gram is left out where the bounds allow it, and the bound that must be left.
-COMMON, BOUND_LEFT = 4, 3
+COMMON, BOUND_LEFT = 2 * -(-SEGMENT // STRIDE), 3
 #: Characters of text that are worked on together.
 PIECE = 1 << 20
 U64 = np.uint64
@@ -167,12 +169,46 @@ class Index:
             pattern = np.full((len(s), SEGMENT), 0xFFFFFFFE, np.uint32)
             for i, k in enumerate(s.tolist()):
                 pattern[i, : self.length[k]] = self.segments[k]
-            edits, begin, end = align(pattern, self.length[s], window)
+            begin, end, edits = verbatim(pattern, window), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+            end[:] = begin + SEGMENT
+            rest = np.flatnonzero(begin < 0)
+            edits[rest] = least_edits(pattern[rest], self.length[s[rest]], window[rest])
+            rest = rest[edits[rest] <= self.edits[s[rest]]]
+            edits[rest], begin[rest], end[rest] = align(pattern[rest], self.length[s[rest]], window[rest])
             for i in np.flatnonzero(edits <= self.edits[s]).tolist():
                 out.append((int(text[i]), self.owner[s[i]], int(place[i, 0] + begin[i]), int(place[i, 0] + end[i]), int(edits[i])))
         return out
 
 
+def verbatim(pattern: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Where each whole row of patterns first stands in its window, or -1."""
+    n, width = pattern.shape
+    found = np.full(n, -1, np.int64)
+    for k in range(window.shape[1] - width + 1):
+        at = np.flatnonzero((found < 0) & (window[:, k] == pattern[:, 0]) & (window[:, k + width - 1] == pattern[:, -1]))
+        found[at[(window[at, k : k + width] == pattern[at]).all(axis=1)]] = k
+    return found
+
+
+def least_edits(pattern: np.ndarray, length: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Least edits of each pattern against any part of its window, as :func:`align` but without the part."""
+    n, width = window.shape
+    text, column = np.ascontiguousarray(window.T), np.arange(width + 1, dtype=np.int16)[:, None]
+    cost, final = np.zeros((width + 1, n), np.int16), np.full(n, 1 << 14, np.int16)
+    for i in range(int(length.max()) if n else 0):
+        best = cost + np.int16(1)
+        np.minimum(best[1:], cost[:-1] + (text != pattern[:, i]), out=best[1:])
+        # Characters of the text that are left out: carry the least cost to the right.
+        best -= column
+        np.minimum.accumulate(best, axis=0, out=best)
+        best += column
+        cost = best
+        ended = np.flatnonzero(length == i + 1)
+        if len(ended):
+            final[ended] = cost[:, ended].min(axis=0)
+    return final
+
+
 def align(pattern: np.ndarray, length: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least edits of each pattern against any part of its window (rows alike), and that part.
 

@@ -218,6 +218,28 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminations(docs, bench.where("false")).count() == 0
 
 
+def test_quotes_are_found_wherever_they_start():
+    item = sentence(23, 60)
+    scan = decontam.scanner(decontam.Index([(1, item)]))
+    for size in (decontam.SEGMENT, decontam.SEGMENT + 9):
+        quotes = [item[a : a + size] for a in range(len(item) - size + 1)]
+        assert {i for i, *_ in scan([f"{sentence(24, 20)} {q} {sentence(25, 20)}" for q in quotes])} == set(range(len(quotes)))
+    assert {i for i, *_ in scan(quotes)} == set(range(len(quotes)))
+
+
+def test_least_edits_are_those_of_the_alignment():
+    rng = np.random.default_rng(6)
+    p, t = rng.integers(0, 3, (60, 9)).astype(np.uint32), rng.integers(0, 3, (60, 22)).astype(np.uint32)
+    n = rng.integers(1, 10, 60)
+    edits, begin, end = decontam.align(p, n, t)
+    assert decontam.least_edits(p, n, t).tolist() == edits.tolist()
+    t[::2, 5:14] = p[::2]
+    edits, begin, end = decontam.align(p, np.full(60, 9), t)
+    whole = decontam.verbatim(p, t)
+    assert ((whole >= 0) == (edits == 0)).all() and (whole >= 0).sum() >= 30
+    assert (whole[whole >= 0] + 9 == end[whole >= 0]).all()
+
+
 def test_alignment_is_edit_distance():
     def best(p, t):
         row = [0] * (len(t) + 1)
