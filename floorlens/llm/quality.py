@@ -35,12 +35,12 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Units of the fixed-point statistics: 1 is UNIT.
 UNIT = 256
 STATS = ("x_length", "x_symbols", "x_lines", "x_repeats")
-#: Standard deviations below which a statistic's spread is not taken to be real.
-FLOORS = (0.08, 0.20, 0.12, 0.15)
+#: Standard deviation added to every statistic, its resolution, so that no scatter is singular.
+FLOORS = (1 / UNIT,) * 4
 #: Share of a cell that carries the estimate, concentration steps, smallest cell that is judged.
 SHARE, STEPS, MIN_CELL = 0.75, 6, 200
-#: Squared distances: the 97.5 % point of chi-square with 4 degrees for reweighting, and 1 - 1e-6 for rejection.
-REWEIGHT, REJECT = 11.143, 33.377
+#: Squared distances: the 97.5 % point of chi-square with 4 degrees for reweighting, and the 99.9 % point for rejection.
+REWEIGHT, REJECT = 11.143, 18.467
 #: Most cells for which their estimates are broadcast.
 BROADCAST_CELLS = 20_000
 #: Distance bins per doubling of the squared distance.

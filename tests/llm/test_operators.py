@@ -413,6 +413,18 @@ def test_outliers_are_rejected_and_clean_texts_stay(spark):
     assert kept == set(range(300))
 
 
+def test_repeats_and_lines_reject_where_a_cell_has_none(spark):
+    lined = lambda i: sentence(i, 80 + i % 60).replace(" ", "\n")
+    rows = [(i, lined(i), "en", "s") for i in range(300)]
+    rows += [(1000 + i, f"{lined(500 + i)}\n{' '.join(sentence(900 + i, 20).split() * 2)}", "en", "s") for i in range(20)]
+    rows += [(2000 + i, "\n".join(f"{w}\nagain" if k % 4 == 0 else w for k, w in enumerate(lined(700 + i).split())), "en", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.score(docs, min_cell=100).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 297
+
+
 def test_consistency_factor():
     assert quality._consistency(0.75) == pytest.approx(1.486, abs=2e-3)
     assert math.isclose(1 - math.exp(-quality.REWEIGHT / 2) * (1 + quality.REWEIGHT / 2), 0.975, abs_tol=1e-4)
