@@ -11,8 +11,10 @@ pages, and open blocks lose the tokens that such runs cover; what is left of the
 articles it must not decide: copied articles repeat on a host too, and whole articles are wanted.
 
 A host's pages are dealt in groups of GROUP pages by a hash, each group being sorted in one task, so
-no host is gathered whole; blocks that repeat across groups are found by an exact count of (host,
-block) over all pages, summed map-side.
+no host is gathered whole. What repeats across groups is found by exact counts over all pages, summed
+map-side: blocks by (host, block), and runs by (host, hash of MIN_RUN tokens in a row). A run of at least
+MIN_RUN tokens is the union of its windows, so the windows that stand in two groups of a host, sent to
+these groups, cover the same tokens as a suffix array of the whole host would.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; tags that
 are never closed end with their container or the page; repeated rows are pages of their own; an empty
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
 from .common import bounded_broadcast, materialise
 
 CONTENT, CHROME, OPEN = "content", "chrome", "open"
@@ -227,15 +230,50 @@ def _parse(wanted: tuple[str, str]):
     return parse
 
 
-def cover(streams: list[list[tuple[int, str, str]]], least: int = MIN_RUN) -> list[tuple[int, dict[int, str]]]:
+def token_windows(texts: pa.Array, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``least`` tokens that lie in one block, with the place of their first token
+    among all blocks' tokens, and the numbers of tokens of each block."""
+    raw, offsets = tk.string_buffers(texts)
+    starts, ends, owner = tk.word_spans(raw, offsets)
+    words, n = tk.span_hashes(raw, starts, ends), max(len(starts) - least + 1, 0)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(least):
+        rolled = tk.mix64(rolled * np.uint64(0xD1342543DE82EF95) + words[k : k + n] + np.uint64(1))
+    at = np.flatnonzero(owner[:n] == owner[least - 1 :][:n])
+    return rolled[at].view(np.int64), at, tk.counts_of(owner, len(offsets) - 1)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, group, window) of the pages (host, group, blocks), each once in a batch and host's group."""
+    for batch in batches:
+        listed = batch.column(2)
+        window, at, size = token_windows(listed.flatten().field("text"))
+        page = np.repeat(np.repeat(np.arange(len(listed)), np.diff(listed.offsets.to_numpy())), size)[at]
+        rows = pa.table({"host": batch.column(0).take(pa.array(page)), "group": batch.column(1).take(pa.array(page)), "window": window})
+        yield from rows.group_by(["host", "group", "window"]).aggregate([]).to_batches()
+
+
+def cover(streams: list[list[tuple[int, str, str]]], least: int = MIN_RUN, elsewhere: np.ndarray | None = None) -> list[tuple[int, dict[int, str]]]:
     """For each page of a group, given its blocks (place, zone, text) outside articles: how many tokens
-    are covered by runs that other pages have too, and the open blocks' texts without them."""
+    are covered by runs that other pages have too, and the open blocks' texts without them.
+
+    elsewhere: hashes of windows that stand on pages of other groups.
+    """
     words = [[t.split(" ") for _, _, t in page] for page in streams]
     flat = [w for page in words for block in page for w in (*block, None)]
     number: dict[str, int] = {}
     ids = np.array([-1 - i if w is None else number.setdefault(w, len(number)) for i, w in enumerate(flat)], np.int64)
     owner = np.repeat(np.arange(len(streams)), [sum(len(b) + 1 for b in page) for page in words])
-    hit = repeated(ids, owner, least).tolist()
+    found = repeated(ids, owner, least)
+    if elsewhere is not None and len(elsewhere):
+        window, place, size = token_windows(pa.array([t for page in streams for _, _, t in page], pa.string()), least)
+        block = np.repeat(np.arange(len(size)), size)
+        # A block ends with a value of its own in ``ids``.
+        place = place[np.isin(window, elsewhere)]
+        place = place + block[place]
+        for k in range(least):
+            found[place + k] = True
+    hit = found.tolist()
     out, at = [], 0
     for page, parts in zip(streams, words, strict=True):
         total, kept = 0, {}
@@ -252,9 +290,9 @@ def cover(streams: list[list[tuple[int, str, str]]], least: int = MIN_RUN) -> li
 _COVER = "page_id long, hash long, n_covered long, open map<int,string>"
 
 
-def _cover_group(group: pa.Table) -> pa.Table:
+def _cover_group(group: pa.Table, windows: pa.Table) -> pa.Table:
     streams = [[(b["place"], b["zone"], b["text"]) for b in page] for page in group.column("blocks").to_pylist()]
-    found = cover(streams)
+    found = cover(streams, elsewhere=windows.column("window").to_numpy())
     maps = pa.array([list(kept.items()) for _, kept in found], pa.map_(pa.int32(), pa.string()))
     return pa.table({"page_id": group.column("page_id"), "hash": group.column("hash"), "n_covered": pa.array([n for n, _ in found], pa.int64()), "open": maps})
 
@@ -274,7 +312,12 @@ def extract(pages: DataFrame) -> DataFrame:
     shared = materialise(outside.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "html-hosts")
     streams = outside.join(bounded_broadcast(shared, BROADCAST_HOSTS), "host")
     group = F.pmod(F.xxhash64("page_id", "hash"), F.ceil(F.col("n") / GROUP))
-    covered = streams.withColumn("group", group).groupBy("host", "group").applyInArrow(_cover_group, _COVER)
+    streams = streams.withColumn("group", group)
+    # Hosts of one group need no count across groups.
+    spread = streams.where(F.col("n") > GROUP).select("host", "group", "blocks").mapInArrow(tk.freeing(_windows), "host string, group long, window long").distinct()
+    wide = spread.groupBy("host", "window").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
+    wide = wide.select("host", F.explode("groups").alias("group"), "window")
+    covered = streams.groupBy("host", "group").cogroup(wide.groupBy("host", "group")).applyInArrow(_cover_group, _COVER)
     covered = covered.groupBy("page_id", "hash").agg(F.max("n_covered").alias("n_covered"), F.max_by("open", "n_covered").alias("open"))
 
     single = outside.select("page_id", "hash", "host", F.explode("blocks").alias("b")).where(F.col("b.zone") == OPEN)

@@ -12,6 +12,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,28 @@ def test_open_boilerplate_goes_and_unique_text_stays(spark):
     assert len(rows) == 6 and got[7] == "" and got[1] == "own text number 1 of this page alone"
 
 
+@pytest.mark.parametrize("group", [1, 3, 512])
+def test_runs_are_found_across_groups(spark, monkeypatch, group):
+    shared = "subscribe to our weekly letter and get more offers from us"
+    own = lambda i: (f"left {i} é one{i}", f"right{i} two{i}")
+    pages = [(i, f"http://h.example/{i}", f"<body><nav>Home</nav><p>alone {i}</p><div>{own(i)[0]} {shared} {own(i)[1]}</div></body>") for i in range(12)]
+    pages += [(50 + i, f"http://g{i}.example/", f"<body><div>{shared}</div></body>") for i in range(2)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(html, "GROUP", group)
+    got = {r["page_id"]: (r["text"], r["n_covered"]) for r in html.extract(docs).collect()}
+    assert got == {i: (f"alone {i}\n{' '.join(own(i))}", len(shared.split())) for i in range(12)} | {50: (shared, 0), 51: (shared, 0)}
+
+
+def test_windows_cover_what_the_suffix_array_does():
+    rng = random.Random(9)
+    for _ in range(40):
+        pages = [[(k, html.OPEN, " ".join(rng.choices("ab", k=rng.randint(1, 14)))) for k in range(rng.randint(1, 3))] for _ in range(4)]
+        for i, page in enumerate(pages):
+            others = pa.array([t for j, p in enumerate(pages) if j != i for _, _, t in p])
+            alone = html.cover([page], 4, html.token_windows(others, 4)[0])
+            assert alone[0] == html.cover(pages, 4)[i]
+
+
 # ------------------------------------------------------------------ 4
 
 
