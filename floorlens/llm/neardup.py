@@ -159,19 +159,22 @@ class _Rows:
         self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, M)
         self.sub = table.column("sub")[0].as_py()
         self.comp = table.column("comp").to_numpy() if "comp" in table.schema.names else None
+        self.bands = np.stack(table.column("bands").to_pylist()).astype(np.int64) if "bands" in table.schema.names else None
         self.sets = [np.frombuffer(s, U64) for s in table.column("set").to_pylist()] if "set" in table.schema.names else None
 
-    def alike(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated similarities of row i and others (0 where sizes rule 0.75 out), and equal components."""
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Estimated similarities of row i and others (0 where sizes rule 0.75 out)."""
         same = self.sig[others] == self.sig[i]
         estimate = (same.sum(axis=1) / M - 1 / 256) / (1 - 1 / 256)
         low, high = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
-        return np.where(100 * low >= PERCENT * high, estimate, 0.0), same
+        return np.where(100 * low >= PERCENT * high, estimate, 0.0)
 
-    def mine(self, i: int, others: np.ndarray, same: np.ndarray, band: int) -> np.ndarray:
-        """Pairs whose first common band this is, and whose blocks this part of the bucket compares."""
-        common = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-        first = common.argmax(axis=1) == band
+    def mine(self, i: int, others: np.ndarray, band: int) -> np.ndarray:
+        """Pairs whose first common band this is, and whose blocks this part of the bucket compares.
+
+        The bands' own keys decide, as they make the buckets: a signature's bytes may agree where its values do not.
+        """
+        first = (self.bands[others] == self.bands[i]).argmax(axis=1) == band
         x, y = np.minimum(self.block[others], self.block[i]), np.maximum(self.block[others], self.block[i])
         return first & ((self.sub < 0) | (x * 65536 + y == self.sub))
 
@@ -210,7 +213,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.arange(1, len(rows.node))
         best, parent, at = np.zeros(len(left)), np.zeros(len(left), np.int64), 0
         while len(left):
-            estimate, _ = rows.alike(at, left)
+            estimate = rows.alike(at, left)
             better = estimate > best
             best[better], parent[better] = estimate[better], at
             k = int(np.argmax(best))
@@ -236,8 +239,8 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             others = np.arange(i + 1, len(rows.node))
             others = others[rows.comp[others] != rows.comp[i]]
             if len(others):
-                estimate, same = rows.alike(i, others)
-                hit = (estimate >= MAYBE) & rows.mine(i, others, same, band)
+                estimate = rows.alike(i, others)
+                hit = (estimate >= MAYBE) & rows.mine(i, others, band)
                 if hit.any():
                     involved[i] = True
                     involved[others[hit]] = True
@@ -272,8 +275,8 @@ def _confirm_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             others = others[root[comp[others]] != root[comp[i]]]
             if not len(others):
                 continue
-            estimate, same = rows.alike(i, others)
-            others = others[(estimate >= MAYBE) & rows.mine(i, others, same, band)]
+            estimate = rows.alike(i, others)
+            others = others[(estimate >= MAYBE) & rows.mine(i, others, band)]
             if not len(others):
                 continue
             size = np.array([len(rows.sets[o]) for o in others])
@@ -323,12 +326,12 @@ def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
     together = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
     banded = materialise(banded.withColumn("together", together).where("together > 1"), "neardup-buckets")
 
-    def dealt(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    def dealt(rows: DataFrame, extra: tuple[str, ...] = (), known: tuple[str, ...] = ("node", "n", "sig")) -> DataFrame:
         """Bucket rows with their signatures, large buckets as all pairs of their blocks, sorted by bucket."""
         blocks = F.ceil(F.col("together") / bucket)
         rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1).cast("long")))))
         sub = F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.least("block", "other") * 65536 + F.greatest("block", "other"))
-        rows = rows.withColumn("sub", sub.cast("long")).join(nodes.select("node", "n", "sig"), "node")
+        rows = rows.withColumn("sub", sub.cast("long")).join(nodes.select(*known), "node")
         kept = rows.select("bucket", "sub", "band", "node", F.col("block").cast("long").alias("block"), "n", "sig", *extra)
         return kept.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node")
 
@@ -349,10 +352,10 @@ def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
     apart = banded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_bucket = Window.partitionBy("bucket")
     apart = apart.withColumn("low", F.min("comp").over(by_bucket)).withColumn("high", F.max("comp").over(by_bucket)).where("low < high").drop("low", "high")
-    schema = "bucket long, sub long, band int, node long, block long, n long, sig binary, comp long"
-    still = materialise(dealt(apart, ("comp",)).mapInArrow(tk.freeing(_open), schema), "neardup-open")
+    schema = "bucket long, sub long, band int, node long, block long, n long, sig binary, comp long, bands array<long>"
+    still = materialise(dealt(apart, ("comp", "bands"), ("node", "n", "sig", "bands")).mapInArrow(tk.freeing(_open), schema), "neardup-open")
     # A pair that may be similar is an edge of its bucket's forest or lies on a path of one, so its ends have sets.
-    open_rows = still.join(sets, "node").select("bucket", "sub", "band", "node", "block", "n", "sig", "comp", "set")
+    open_rows = still.join(sets, "node").select("bucket", "sub", "band", "node", "block", "n", "sig", "comp", "bands", "set")
     more = open_rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node").mapInArrow(tk.freeing(_confirm_open), "a long, b long")
     merged = components(more, **options)
 

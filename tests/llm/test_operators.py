@@ -207,6 +207,19 @@ def test_near_duplicates(spark, odd, empty, options):
     assert neardup.drop_copies(odd).columns == odd.columns
 
 
+def test_first_common_band_is_that_of_the_keys():
+    # The bytes agree in all bands, the keys from band 1 on.
+    keys = np.arange(neardup.BANDS)
+    rows = {"bucket": [7, 7], "sub": [-1, -1], "band": [1, 1], "node": [1, 2], "block": [0, 0], "n": [3, 3], "sig": [bytes(neardup.M)] * 2, "comp": [1, 2], "bands": [keys.tolist(), [-5, *keys[1:].tolist()]]}
+    table = pa.table(rows, pa.schema([("bucket", pa.int64()), ("sub", pa.int64()), ("band", pa.int32()), ("node", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("comp", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+    assert sum(b.num_rows for b in neardup._open(table.to_batches())) == 2
+    sets = pa.array([np.arange(3, dtype=np.uint64).tobytes()] * 2, pa.binary())
+    links = [b.to_pydict() for b in neardup._confirm_open(table.append_column("set", sets).to_batches())]
+    assert links == [{"a": [1], "b": [2]}]
+    later = table.set_column(2, "band", pa.array([2, 2], pa.int32()))
+    assert not list(neardup._open(later.to_batches()))
+
+
 def test_superminhash_is_the_plain_algorithm():
     rng = np.random.default_rng(0)
     for n in (1, 7, 60):
