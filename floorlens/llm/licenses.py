@@ -154,8 +154,9 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     held = held.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
     held = held.withColumn("values", permuted(F.col("hashes")))
-    fitting = [F.when(F.size("hashes") >= n, windows(n, n // 8)) for n in lengths]
-    spread = held.select("doc_id", "hash", "hashes", F.explode(F.flatten(F.array_compact(F.array(*fitting)))).alias("w"))
+    # A text shorter than a length has one window of it, the whole text: it may hold enough of a template.
+    fitting = [windows(n, n // 8) for n in lengths]
+    spread = held.select("doc_id", "hash", "hashes", F.explode(F.flatten(F.array(*fitting))).alias("w"))
     spread = spread.select("doc_id", "hash", "hashes", "w.length", "w.at", F.explode("w.bands").alias("band"))
     known = template_table(spark, templates)
     found = spread.join(F.broadcast(known), ["length", "band"])  # bounded by MAX_SHINGLES

@@ -313,6 +313,18 @@ def test_licenses(spark, odd, empty):
         licenses.matches(docs, {"x": "too short"})
 
 
+def test_licenses_of_short_texts(spark):
+    notice = licenses.TEMPLATES["gpl-notice"].split()
+    rows = [(1, "This work is licensed under the GNU General Public License."), *((n, " ".join(notice[:n])) for n in (50, 55, 60, 67)), (100, "Licensed under the Apache"), (101, "x " + " ".join(notice[12:]) + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    expected = sorted(con.execute(ORACLES["op6_license_scans"]).fetchall())
+    assert {d for d, *_ in expected} >= {1, 60, 67}
+    assert expected == sorted((r["doc_id"], r["license"], r["shared"], r["n_template"]) for r in licenses.matches(docs).collect())
+
+
 def test_every_match_holds_an_anchor():
     marks = set(licenses.anchors(licenses.TEMPLATES))
     for text in licenses.TEMPLATES.values():
