@@ -1,7 +1,7 @@
 """Graph operators on edge tables that carry ``drawing_id``: components, distances, paths.
 
-Drawings are many and each is small, so distances and components come from one shuffle by drawing and
-a search in memory within each; paths run level by level for all drawings at once.
+Drawings are many and each is small, so distances, paths and components come from one shuffle by drawing
+and a search in memory within each.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialise
-
 
 def undirected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Each edge once, ends in order, loops dropped."""
@@ -80,23 +78,41 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy("drawing_id").applyInPandas(search, "drawing_id " + nodes.schema["drawing_id"].dataType.simpleString() + f", node {kind}, component {kind}")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, *, most: int = 64) -> DataFrame:
-    """(drawing_id, src, dst, path) of the pairs (drawing_id, src, dst); path is null if there is none.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, *, most: int | None = None) -> DataFrame:
+    """(drawing_id, src, dst, path) of the pairs (drawing_id, src, dst); path is null if there is none
+    (or, if ``most`` is given, none of at most that many edges).
 
     Of several shortest paths the one that is first in order of its nodes is taken.
     """
-    arcs = materialise(both_ways(edges).select("drawing_id", F.col("src").alias("at"), F.col("dst").alias("to")), "arcs")
-    starts = pairs.select("drawing_id", "src").distinct()
-    reached = materialise(starts.select("drawing_id", "src", F.col("src").alias("at"), F.array("src").alias("path")), "paths")
-    frontier = reached
-    for _ in range(most):
-        ahead = frontier.join(arcs, ["drawing_id", "at"]).select("drawing_id", "src", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        ahead = ahead.groupBy("drawing_id", "src", "at").agg(F.min("path").alias("path")).join(reached.select("drawing_id", "src", "at"), ["drawing_id", "src", "at"], "left_anti")
-        frontier = materialise(ahead, "paths")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return pairs.join(reached.withColumnRenamed("at", "dst"), ["drawing_id", "src", "dst"], "left")
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        around = _neighbours(group[~group["pair"]])
+        out = []
+        for src, wanted in group[group["pair"]].groupby("u")["v"]:
+            missing, level = set(wanted), {src: [src]}
+            seen, steps = {src}, 0
+            while level and missing:
+                out += [(src, dst, level[dst]) for dst in missing & level.keys()]
+                missing -= level.keys()
+                if most is not None and steps >= most:
+                    break
+                ahead: dict = {}
+                for node, path in level.items():
+                    for near in around.get(node, ()):
+                        if near not in seen and (near not in ahead or path < ahead[near]):
+                            ahead[near] = path
+                seen |= ahead.keys()
+                level, steps = {node: [*path, node] for node, path in ahead.items()}, steps + 1
+        found = pd.DataFrame(out, columns=["src", "dst", "path"])
+        found.insert(0, "drawing_id", group["drawing_id"].iloc[0])
+        return found
+
+    arcs = edges.where("u is not null and v is not null").select("drawing_id", "u", "v", F.lit(False).alias("pair"))
+    ends = pairs.where("src is not null and dst is not null").select("drawing_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(True).alias("pair")).distinct()
+    schema = f"drawing_id {edges.schema['drawing_id'].dataType.simpleString()}, src {kind}, dst {kind}, path array<{kind}>"
+    found = arcs.unionByName(ends).groupBy("drawing_id").applyInPandas(search, schema)
+    return pairs.join(found, ["drawing_id", "src", "dst"], "left")
 
 
 def within(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:

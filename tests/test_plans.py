@@ -50,6 +50,27 @@ def test_components_and_hops_of_a_path(spark):
     assert {r["node"] for r in graph.hops(edges, seeds, most=1).collect()} == {"a", "b"}
 
 
+def test_paths_of_any_length(spark):
+    names = [f"n{i:03}" for i in range(101)]
+    rows = [(1, a, b) for a, b in zip(names, names[1:], strict=False)] + [(2, "a", "c"), (2, "d", "b"), (2, "b", "a"), (2, "c", "d"), (2, "x", "y")]
+    edges = spark.createDataFrame(rows, "drawing_id long, u string, v string")
+    pairs = spark.createDataFrame([(1, names[0], names[-1]), (1, names[5], names[5]), (2, "a", "d"), (2, "d", "a"), (2, "a", "x"), (3, "p", "p"), (3, "p", "q")], "drawing_id long, src string, dst string")
+    got = {tuple(r)[:3]: r["path"] for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {(1, names[0], names[-1]): names, (1, names[5], names[5]): [names[5]], (2, "a", "d"): ["a", "b", "d"], (2, "d", "a"): ["d", "b", "a"], (2, "a", "x"): None, (3, "p", "p"): ["p"], (3, "p", "q"): None}
+    assert graph.within(edges, pairs, 99).count() == 2 and graph.within(edges, pairs, 100).count() == 3
+
+
+def test_paths_to_all_rooms_are_as_long_as_the_hops(spark):
+    from floorlens.plans import derived as D
+
+    rooms, edges = D.rooms(spark, SF), graph.undirected(D.grid_edges(spark, SF))
+    pairs = rooms.select("drawing_id", F.lit("Space_000").alias("src"), F.col("room_id").alias("dst"))
+    far = graph.hops(edges, rooms.where("ord = 0").select("drawing_id", F.lit("Space_000").alias("node")))
+    both = graph.shortest_paths(edges, pairs).withColumnRenamed("dst", "node").join(far, ["drawing_id", "node"], "left")
+    assert both.count() == rooms.count() and both.where("path is not null").count() > 0
+    assert both.where("not (size(path) - 1 <=> hops) and not (path is null and hops is null)").count() == 0
+
+
 def test_absent_values_conform(spark):
     nodes = spark.createDataFrame([(1, "x", ["Bedroom"], None), (1, "y", ["Bedroom"], 11.9), (1, "z", ["Bedroom"], 12.0)], "drawing_id long, node_id string, types array<string>, area_m2 double")
     chosen = [r for r in rules.RULES if r[0] in ("R11", "R23")]
