@@ -8,7 +8,8 @@
 3. BANDS bands of ROWS components make buckets. A pair with similarity 0.75 shares none of them with
    probability (1 - 0.75**5)**40 = 2e-5, one with 0.8 with 1e-7.
 4. In each bucket the signatures' estimates give a maximum spanning forest of the pairs that may be
-   similar (estimate of at least MAYBE, about five standard deviations below 0.75); its edges are
+   similar (estimate of at least MAYBE; one of similarity 0.75 stays below it with about 5e-8, the
+   binomial tail of M components); its edges are
    confirmed on the full shingle sets. So a group of n near copies costs about n confirmations, not
    n * n.
 5. Union-find joins confirmed links. Pairs of a bucket that may be similar but are still in different
@@ -40,7 +41,7 @@ from .graph import UnionFind, components
 #: Words of a shingle, percent of similarity.
 K, PERCENT = 5, 75
 M, BANDS, ROWS = 256, 40, 5
-MAYBE = 0.66
+MAYBE = 0.60
 #: Most nodes of a bucket that are compared in one go.
 BUCKET = 2048
 #: Level from which permutations are kept as arrays.

@@ -220,6 +220,13 @@ def test_first_common_band_is_that_of_the_keys():
     assert not list(neardup._open(later.to_batches()))
 
 
+def test_low_estimates_are_still_confirmed():
+    # 161 of 256 equal bytes are an estimate of 0.63, which a pair of similarity 0.75 may have.
+    sig = [bytes(neardup.M), bytes(161) + bytes([1]) * (neardup.M - 161)]
+    table = pa.table({"bucket": [7, 7], "sub": [-1, -1], "node": [1, 2], "block": [0, 0], "n": [30, 30], "sig": pa.array(sig, pa.binary())})
+    assert [b.to_pydict() for b in neardup._forest(table.to_batches())] == [{"a": [1], "b": [2]}]
+
+
 def test_superminhash_is_the_plain_algorithm():
     rng = np.random.default_rng(0)
     for n in (1, 7, 60):
