@@ -1,6 +1,6 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find.
 
-1. Every text gives its distinct 5-word shingles, a 128-bit key of its word sequence and a
+1. Every text gives its distinct 5-word shingles, a 128-bit digest (BLAKE2) of its word sequence as key and a
    SuperMinHash signature: each shingle deals the ranks 0 to M - 1 to the M components by a
    permutation of its own, and a component keeps the least rank and fraction. Ranks are dealt level by
    level; a text stops as soon as no later level could lower any component.
@@ -28,6 +28,7 @@ doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +96,12 @@ def superminhash(hashes: np.ndarray, owners: np.ndarray, n: int, m: int = M) ->
     return least.reshape(n, m)
 
 
-def sequence_keys(words: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """128-bit keys (n rows of 16 bytes) of the texts' word sequences."""
-    size = tk.counts_of(owner, n)
-    end = np.cumsum(size)
-    up, down = tk._POWERS.upto(len(words) + 1)
-    out = np.zeros((n, 2), U64)
-    for c in range(2):
-        total = np.zeros(len(words) + 1, U64)
-        np.cumsum(tk.mix64(words + tk.multiple(c + 1, 0xA0761D6478BD642F)) * up[: len(words)], out=total[1:])
-        out[:, c] = tk.mix64((total[end] - total[end - size]) * down[end - size] + size.astype(U64) * U64(0xE7037ED1A0B428DB))
-    return out.view(np.uint8).reshape(n, 16)
+def sequence_keys(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests (n rows of 16 bytes) of the texts' word sequences, lower-cased."""
+    data, edge = tk.LOWER[raw].tobytes(), offsets.tolist()
+    # bytes.split takes the six white-space characters that part words here
+    keys = [blake2b(b" ".join(data[a:b].split()), digest_size=16).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), 16)
 
 
 def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +124,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = tk.string_buffers(batch.column(1))
         for a, b in tk.pieces(offsets):
-            n = b - a
-            words, owner = _word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            n, part, edge = b - a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            words, owner = _word_hashes(part, edge)
             hashes, owners = tk.shingles(words, owner, n, K)
             values = superminhash(hashes, owners, n)
             sig = (tk.mix64(values) & U64(0xFF)).astype(np.uint8)
@@ -138,7 +134,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = tk.mix64(bands * U64(0xD1342543DE82EF95) + values[:, r : BANDS * ROWS : ROWS] + U64(1))
             bands = tk.mix64(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
             listed = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-            columns = [batch.column(0)[a:b], pa.array(tk.counts_of(owners, n)), _fixed(sequence_keys(words, owner, n)), listed, _fixed(sig)]
+            columns = [batch.column(0)[a:b], pa.array(tk.counts_of(owners, n)), _fixed(sequence_keys(part, edge)), listed, _fixed(sig)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIGNED.split(", ")])
 
 
@@ -302,11 +298,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offsets = tk.string_buffers(batch.column(2))
         for a, b in tk.pieces(offsets):
-            n = b - a
-            words, owner = _word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            n, part, edge = b - a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            words, owner = _word_hashes(part, edge)
+            keys = sequence_keys(part, edge)
             hashes, owners = tk.shingles(words, owner, n, K)
-            edge = np.searchsorted(owners, np.arange(n + 1)).tolist()
-            data, keys = hashes.tobytes(), sequence_keys(words, owner, n)
+            edge, data = np.searchsorted(owners, np.arange(n + 1)).tolist(), hashes.tobytes()
             rows = [(node, data[8 * edge[i] : 8 * edge[i + 1]]) for i, (node, key) in enumerate(zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), strict=True)) if bytes(keys[i]) == key]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["node", "set"])
 

@@ -1,8 +1,8 @@
 """Vectorised word, line and shingle arithmetic on Arrow string columns.
 
-Everything works on the UTF-8 bytes of whole batches. Word and line identities are 64-bit
-polynomial hashes over randomly drawn byte values, which do not depend on the position, the batch
-or the Python process.
+Everything works on the UTF-8 bytes of whole batches. Words and lines have 64-bit hashes, which do not
+depend on the position, the batch or the Python process; numbers of :func:`span_numbers` are equal for
+equal bytes only.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0xD1342543DE82EF95
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -59,22 +58,16 @@ def multiple(k: int, of: int = 0x9E3779B97F4A7C15) -> np.uint64:
 BYTE_VALUE = mix64((np.arange(256, dtype=U64) + U64(1)) * _GOLD)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, as long as was needed so far."""
+#: Spans of at most this many bytes are hashed in one go, longer ones piece by piece.
+LONG = 1 << 12
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = (n + (1 << 18) - 1 >> 18) << 18
-            up, down = np.full(size, U64(_BASE)), np.full(size, U64(_INVERSE))
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+def _weights(n: int) -> np.ndarray:
+    """Odd pseudorandom multipliers, one for each place in a span."""
+    return mix64(np.arange(n, dtype=U64) * _GOLD + U64(0x2545F4914F6CDD1D)) | U64(1)
 
 
-_POWERS = _Powers()
+WEIGHT = _weights(LONG)
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,24 +93,90 @@ def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans (in order, apart); equal spans have equal hashes wherever they stand."""
-    out, at = np.zeros(len(starts), U64), 0
+def places(starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of spans, one span after the other, and each place's distance from its span's start."""
+    total = np.cumsum(length)
+    within = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - length, length)
+    return np.repeat(starts, length) + within, within
+
+
+def _short_hashes(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of spans of at most LONG bytes: sums of byte values, each times the weight of its place."""
+    out, at, end = np.zeros(len(starts), U64), 0, np.cumsum(length)
     while at < len(starts):
-        first = int(starts[at])
-        stop = max(at + 1, int(np.searchsorted(ends, first + SECTION, "right")))
-        part = raw[first : int(ends[stop - 1])]
-        up, down = _POWERS.upto(len(part) + 1)
-        total = np.zeros(len(part) + 1, U64)
-        value = BYTE_VALUE[part]
-        value *= up[: len(part)]
-        np.cumsum(value, out=total[1:])
-        low, high = starts[at:stop] - first, ends[at:stop] - first
-        out[at:stop] = mix64((total[high] - total[low]) * down[low] + (high - low).astype(U64) * _GOLD)
+        before = int(end[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(end, before + SECTION, "right")))
+        place, within = places(starts[at:stop], length[at:stop])
+        total = np.zeros(len(place) + 1, U64)
+        np.cumsum(BYTE_VALUE[raw[place]] * WEIGHT[within], out=total[1:])
+        edge = end[at:stop] - before
+        out[at:stop] = mix64(total[edge] - total[edge - length[at:stop]] + length[at:stop].astype(U64) * _GOLD)
         at = stop
     return out
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
+
+    Multilinear: a byte's value is multiplied by a random weight of its place, so that no pattern of
+    repeats or swaps makes two spans alike. Two given spans agree with a probability of about 2**-48 or
+    less; where equality decides a result, :func:`same_spans` compares the bytes.
+    """
+    length = ends - starts
+    if not len(starts) or int(length.max()) <= LONG:
+        return _short_hashes(raw, starts, length)
+    out, short = np.zeros(len(starts), U64), length <= LONG
+    out[short] = _short_hashes(raw, starts[short], length[short])
+    for i in np.flatnonzero(~short).tolist():
+        cut = np.arange(int(starts[i]), int(ends[i]), LONG)
+        value = int(length[i])
+        for part in _short_hashes(raw, cut, np.minimum(cut + LONG, ends[i]) - cut).tolist():
+            value = _mixed(value * 0xD1342543DE82EF95 + part & 0xFFFFFFFFFFFFFFFF)
+        out[i] = value
+    return out
+
+
+def _mixed(x: int) -> int:
+    """:func:`mix64` of one integer."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which spans of ``raw`` hold the same bytes as the spans of ``other`` beside them."""
+    length = ends - starts
+    same = length == other_ends - other_starts
+    at = np.flatnonzero(same & (length > 0))
+    end = np.cumsum(length[at])
+    i = 0
+    while i < len(at):
+        stop = max(i + 1, int(np.searchsorted(end, (int(end[i - 1]) if i else 0) + SECTION, "right")))
+        some = at[i:stop]
+        size = length[some]
+        place, within = places(starts[some], size)
+        equal = raw[place] == other[np.repeat(other_starts[some], size) + within]
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+        i = stop
+    return same
+
+
+def span_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of spans, equal for spans of equal bytes only, and the first span of each number."""
+    _, first, number = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+    head = first[number]
+    same = same_spans(raw, starts, ends, raw, starts[head], ends[head])
+    if not same.all():
+        known: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(~same).tolist():
+            key = int(number[i]), raw[starts[i] : ends[i]].tobytes()
+            if key not in known:
+                known[key] = len(first) + len(known)
+                first = np.append(first, i)
+            number[i] = known[key]
+    return number, first
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and text numbers of all words, in order."""
     inside = ~WHITE[raw]
@@ -146,7 +205,7 @@ def shingles(words: np.ndarray, owner: np.ndarray, n_texts: int, k: int = 5) ->
     rolled = np.zeros(n, U64)
     for j in range(k):
         if n > j:
-            rolled[: n - j] = rolled[: n - j] * U64(_BASE) + words[j:]
+            rolled[: n - j] = mix64(rolled[: n - j] * U64(_BASE) + words[j:])
     keep = np.zeros(n, bool)
     if n >= k:
         keep[: n - k + 1] = owner[: n - k + 1] == owner[k - 1 :]

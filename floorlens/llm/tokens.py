@@ -26,7 +26,7 @@ columns than doc_id and text are not read.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -226,24 +226,54 @@ def _latin(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def encodes_by_words(path: str) -> bool:
+    """Whether the tokenizer file is of the kind that :class:`WordEncoder` takes word by word.
+
+    Its normalizer and splitter must be those of the lower-case tokenizer with word ends; then no piece
+    spans white space, a word's ids depend on the word alone, and each word's last id is that of an end.
+    """
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, added = told["model"], told.get("added_tokens") or []
+    # What the tokenizer file says of its parts.
+    parts = ["NFC", "Replace", "Lowercase"]
+    split = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    normal = (told.get("normalizer") or {}).get("normalizers", [])
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in normal] == parts
+        and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": split}, "Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and (model["type"], model["end_of_word_suffix"]) == ("BPE", "</w>")
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    )
+
+
 class WordEncoder:
     """Token ids of texts through a cache of words.
 
     For a tokenizer that lower-cases, drops white space and whose pieces never span it, the ids of a
     text are those of its words, put together; a stop or comma after a letter is a piece of its own.
-    Words new to the cache are encoded by the library, many at a time; texts in a batch with a special
-    token's string are encoded whole. The cache holds sorted arrays, about 50 bytes a word.
+    Words new to the cache are encoded by the library, many at a time. A word is found by its hash and
+    taken only if its bytes are the same. Texts are encoded whole by the library if the tokenizer is of
+    another kind (see :func:`encodes_by_words`), if one of a batch holds an added token's string, or if
+    different words of a batch and the cache have one hash. The cache holds sorted arrays, about 70
+    bytes a word.
     """
 
-    MOST = 2_000_000
+    MOST, BYTES = 2_000_000, 1 << 26
     #: Words of one call of the library, whose result takes about a kilobyte a word.
     AT_ONCE = 10_000
-    ADDED = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
-
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_words = encodes_by_words(path)
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -253,6 +283,8 @@ class WordEncoder:
         self.keys, self.slots = np.zeros(0, U64), np.zeros(0, np.int32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.text_begin, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text, self.filled = np.zeros(1 << 20, np.uint8), 0
 
     def _sizes(self, words: list[bytes], simple: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words and how many each has. simple: words of Latin letters only, each one piece."""
@@ -285,6 +317,13 @@ class WordEncoder:
         self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.used += len(ids)
+        length = np.array([len(w) for w in listed], np.int64)
+        while self.filled + int(length.sum()) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.filled : self.filled + int(length.sum())] = np.frombuffer(b"".join(listed), np.uint8)
+        self.text_begin = np.concatenate([self.text_begin, self.filled + np.cumsum(length) - length])
+        self.text_size = np.concatenate([self.text_size, length])
+        self.filled += int(length.sum())
         keys, back = keys[order], np.argsort(keys[order])
         at = np.searchsorted(self.keys, keys[back])
         self.keys, self.slots = np.insert(self.keys, at, keys[back]), np.insert(self.slots, at, slots[back])
@@ -296,13 +335,17 @@ class WordEncoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.slots[at], self.keys[at] == keys
 
+    def _whole(self, texts: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, as the library gives them."""
+        each = [np.array(self.tokenizer.encode(texts[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         n = len(offsets) - 1
-        data = raw.tobytes()
-        if self.ADDED.search(data):
-            each = [np.array(self.tokenizer.encode(data[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.array([len(x) for x in each], np.int64)
+        texts = raw.tobytes()
+        if not self.by_words or any(a in texts for a in self.added):
+            return self._whole(texts, offsets)
         raw = tk.LOWER[raw]
         starts, ends, owner = tk.word_spans(raw, offsets)
         if not len(starts):
@@ -313,16 +356,26 @@ class WordEncoder:
         begins = ends[stop] - 1
         ends[stop] = begins
         starts, ends, owner = np.insert(starts, stop + 1, begins), np.insert(ends, stop + 1, begins + 1), np.insert(owner, stop + 1, owner[stop])
-        keys, first, back = np.unique(tk.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.MOST:
+        back, first = tk.span_numbers(raw, starts, ends)
+        low, high = starts[first], ends[first]
+        keys = tk.span_hashes(raw, low, high)
+        if len(self.keys) + len(keys) > self.MOST or self.filled + int((high - low).sum()) > self.BYTES:
             self.clear()
         slots, known = self._find(keys)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            low, high = starts[first[new]], ends[first[new]]
+        at = np.flatnonzero(known)
+        begin = self.text_begin[slots[at]]
+        same = tk.same_spans(raw, low[at], high[at], self.text, begin, begin + self.text_size[slots[at]])
+        clash = at[~same]
+        new = np.flatnonzero(~known)
+        # Of new words with one hash only the first can enter the cache.
+        _, lead = np.unique(keys[new], return_index=True)
+        clash, new = np.concatenate([clash, np.delete(new, lead)]), new[np.sort(lead)]
+        if len(clash):
+            return self._whole(texts, offsets)
+        if len(new):
             letters = np.concatenate([[0], np.cumsum(latin)])
-            simple, data = letters[high] - letters[low] == high - low, raw.tobytes()
-            self._learn(keys[new], [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], simple)
+            simple, data = letters[high[new]] - letters[low[new]] == high[new] - low[new], raw.tobytes()
+            self._learn(keys[new], [data[a:b] for a, b in zip(low[new].tolist(), high[new].tolist(), strict=True)], simple)
             slots, _ = self._find(keys)
         slot = slots[back]
         size, begin = self.size[slot], self.begin[slot]

@@ -10,6 +10,14 @@ def sentence(seed: int, n: int) -> str:
     return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
 
 
+def twins() -> tuple[str, str]:
+    """Two words of 1,024 letters that polynomial hashes modulo 2**64 take for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls, empty and long texts, copies, repeated rows and clashing column names."""
