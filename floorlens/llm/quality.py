@@ -1,15 +1,21 @@
 """Quality rules: per-document statistics, then robust multivariate outlier rejection.
 
-Each language and source forms a cell. A cell's centre and scatter are minimum-covariance-
-determinant (MCD) estimates of its documents' transformed statistics, found by concentration steps
-from a deterministic start (medians and quartile ranges): the three quarters of the cell nearest by
-Mahalanobis distance give the next mean and covariance. Every step is one aggregation of the slim
-statistics table by (cell, distance bin), so a cell of any size is summed map-side and no cell is
-gathered in one task. Statistics are fixed-point integers and their sums are exact, so reruns agree
-whatever the order of rows.
-
-Cells with fewer than ``min_cell`` judged documents are pooled by language, those pools that are
-still too small together; a last pool that is too small passes the base rules only.
+Each language and source forms a cell, whatever its size. A cell's centre and scatter are minimum-
+covariance-determinant (MCD) estimates of its documents' transformed statistics: from several starts,
+concentration steps go on until the determinant of the nearest three quarters falls no further; the
+least determinant wins and is reweighted. Estimates are shrunk towards those of the language and
+these towards those of all documents, each worth PRIOR documents: a small cell leans on its language,
+a large one stands for itself.
+
+Before the estimates a cell's documents are summed by level of each statistic, map-side: a group has
+at most LEVELS rows (their product, 333,000) however many documents it holds, and its sums of values
+and products are exact, since statistics are fixed-point integers. So reruns agree whatever the order
+of rows, and no cell is gathered. Steps choose among these sums, by their means.
+
+A document's distance is Mahalanobis', with its own sampling variance added to the scatter: shares of
+repeated lines or words and symbols a word are counts over few trials in a short document, and cells
+in which most documents have none have no scatter of their own. Beyond the 99.9 % point of chi-square
+with 4 degrees of freedom a document is rejected.
 
 Defined results: a null or empty text has no words and fails the base rules (fewer than 50 words);
 a null language or source is a value of its own; repeated rows count and are judged as often as they
@@ -24,27 +30,31 @@ from math import exp
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import bounded_broadcast, materialise, null_key
+from .common import bounded_broadcast, materialise, null_key, skewed_left_join
 
 #: Words and share of repeated words beyond which a text fails without being compared.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Units of the fixed-point statistics: 1 is UNIT.
+#: Units of the fixed-point statistics: 1 is UNIT. It is also the least standard deviation, 1 / UNIT.
 UNIT = 256
 STATS = ("x_length", "x_symbols", "x_lines", "x_repeats")
-#: Standard deviation added to every statistic, its resolution, so that no scatter is singular.
-FLOORS = (1 / UNIT,) * 4
-#: Share of a cell that carries the estimate, concentration steps, smallest cell that is judged.
-SHARE, STEPS, MIN_CELL = 0.75, 6, 200
+#: Levels by which documents are summed: how many of each statistic, and steps in 1 / UNIT.
+LEVELS, STEPS = (128, 17, 17, 9), (8, 64, 16, 16)
+#: Share of a cell that carries the estimate, random starts, most steps of a start.
+SHARE, STARTS, MOST_STEPS = 0.75, 12, 100
+#: Documents that the estimate of the next larger group is worth.
+PRIOR = 50
 #: Squared distances: the 97.5 % point of chi-square with 4 degrees for reweighting, and the 99.9 % point for rejection.
 REWEIGHT, REJECT = 11.143, 18.467
+#: Words that a repeat takes at least: two windows of three.
+CLUMP = 6
+#: Squared coefficient of variation of the words' lengths in a text: a standard deviation of about half the mean.
+WORD_SPREAD = 0.3
 #: Most cells for which their estimates are broadcast.
 BROADCAST_CELLS = 20_000
-#: Distance bins per doubling of the squared distance.
-BINS = 16
 
 _STAT_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, bool)
@@ -74,23 +84,24 @@ def text_statistics(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     has = solid[line_ends] > solid[line_starts]
     line_starts, line_ends, line_owner = line_starts[has], line_ends[has], line_owner[has]
     lines = tk.counts_of(line_owner, n)
-    keys = tk.span_hashes(raw, line_starts, line_ends) ^ tk.mix64(line_owner.astype(np.uint64) + np.uint64(1))
-    _, first = np.unique(keys, return_index=True)
+    number, _ = tk.span_numbers(raw, line_starts, line_ends)
+    _, first = np.unique(number + line_owner * (len(number) + 1), return_index=True)
     dups = lines - tk.counts_of(line_owner[first], n)
 
     repeats = np.zeros(n, np.int64)
     m = len(starts)
     if m >= 3:
-        word = tk.span_hashes(raw, starts, ends)
-        base = np.uint64(0xD1342543DE82EF95)
-        window = tk.mix64((word[:-2] * base + word[1:-1]) * base + word[2:]) ^ tk.mix64(owner[:-2].astype(np.uint64) + np.uint64(1))
+        word, _ = tk.span_numbers(raw, starts, ends)
         inside = np.flatnonzero(owner[:-2] == owner[2:])
-        order = inside[np.argsort(window[inside], kind="stable")]
+        # Windows as numbers of pairs of pairs: exact, as the numbers are.
+        pair = np.unique(word[:-1] * m + word[1:], return_inverse=True)[1]
+        window = np.unique(pair[:-1] * m + word[2:], return_inverse=True)[1][inside] * n + owner[inside]
+        order = np.argsort(window, kind="stable")
         same = window[order[1:]] == window[order[:-1]]
         twice = np.zeros(len(order), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        at = order[twice]
+        at = inside[order[twice]]
         covered = np.zeros(m, bool)
         for k in range(3):
             covered[at + k] = True
@@ -133,39 +144,9 @@ def _transformed(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.floor(UNIT * e + 0.5).cast("long") for name, e in zip(STATS, x, strict=True)})
 
 
-def _cells(judged: DataFrame, min_cell: int) -> DataFrame:
-    """A row (lang_key, source_key, cell) for every pair; the cell is null if even its pool is too small."""
-    pairs = judged.groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    small = F.when(F.col("n") < min_cell, F.col("n")).otherwise(0)
-    pairs = pairs.withColumn("in_lang", F.sum(small).over(Window.partitionBy("lang_key")))
-    left = F.when((F.col("n") < min_cell) & (F.col("in_lang") < min_cell), F.col("n")).otherwise(0)
-    total = pairs.agg(F.sum(left).alias("in_all"))
-    cell = (
-        F.when(F.col("n") >= min_cell, F.concat_ws("\u0001", F.lit("pair"), "lang_key", "source_key"))
-        .when(F.col("in_lang") >= min_cell, F.concat_ws("\u0001", F.lit("lang"), "lang_key"))
-        .when(F.col("in_all") >= min_cell, F.lit("all"))
-    )
-    return pairs.join(F.broadcast(total)).select("lang_key", "source_key", cell.alias("cell"))
-
-
 _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
-_FIT = "cell string, " + ", ".join(f"m{i} double" for i in range(4)) + ", " + ", ".join(f"w{i}{j} double" for i, j in _PAIRS)
-
-
-def _row(cell: str, mean: np.ndarray, cov: np.ndarray) -> list:
-    inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
-    return [cell, *mean, *(inverse[i, j] * (1 if i == j else 2) for i, j in _PAIRS)]
-
-
-def _start(cell: tuple, hist: pd.DataFrame) -> pd.DataFrame:
-    """Medians and quartile ranges from a cell's histograms of single statistics."""
-    mean, sd = np.zeros(4), np.zeros(4)
-    for k, part in hist.groupby("stat"):
-        part = part.sort_values("value")
-        total = part["n"].cumsum().to_numpy()
-        low, mid, high = (part["value"].to_numpy()[np.searchsorted(total, q * total[-1])] for q in (0.25, 0.5, 0.75))
-        mean[k], sd[k] = mid / UNIT, (high - low) / UNIT / 1.349
-    return pd.DataFrame([_row(cell[0], mean, np.diag(sd**2))], columns=[f.split()[0] for f in _FIT.split(", ")])
+_M, _S = [f"m{i}" for i in range(4)], [f"s{i}{j}" for i, j in _PAIRS]
+_FIT = "level int, lang_key string, source_key string, n long, " + ", ".join(f"{c} double" for c in _M + _S)
 
 
 def _consistency(share: float) -> float:
@@ -177,72 +158,170 @@ def _consistency(share: float) -> float:
     return share / (1 - exp(-q / 2) * (1 + q / 2 + q * q / 8))
 
 
-def _concentrate(limit: float | None):
-    """The next estimate of a cell from its sums by distance bin: of the nearest SHARE, or of the bins up to a distance."""
-
-    def step(cell: tuple, sums: pd.DataFrame) -> pd.DataFrame:
-        sums = sums.sort_values("bin")
-        n = sums["n"].to_numpy(np.float64)
-        if limit is None:
-            upto = int(np.searchsorted(np.cumsum(n), SHARE * n.sum())) + 1
-            share = n[:upto].sum() / n.sum()
-        else:
-            upto, share = max(1, int((sums["bin"] <= _bin_of(limit)).sum())), 0.975
-        h = n[:upto].sum()
-        mean = np.array([sum(map(int, sums[f"s{i}"][:upto])) for i in range(4)]) / h
-        cov = np.zeros((4, 4))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = sum(map(int, sums[f"s{i}{j}"][:upto])) / h - mean[i] * mean[j]
-        factor = _consistency(min(share, 0.999))
-        return pd.DataFrame([_row(cell[0], mean / UNIT, factor * cov / UNIT**2)], columns=[f.split()[0] for f in _FIT.split(", ")])
-
-    return step
-
-
-def _bin_of(distance: float) -> int:
-    return int(np.floor(BINS * np.log2(1 + 16 * distance)))
-
-
-def _distance(df: DataFrame, fits: DataFrame) -> DataFrame:
-    d = [F.col(x) / UNIT - F.col(f"m{i}") for i, x in enumerate(STATS)]
-    total = sum((d[i] * d[j] * F.col(f"w{i}{j}") for i, j in _PAIRS), F.lit(0.0))
-    return df.join(bounded_broadcast(fits, BROADCAST_CELLS), "cell", "left").withColumn("distance", F.greatest(total, F.lit(0.0)))
-
-
-def judge(measured: DataFrame, *, min_cell: int = MIN_CELL, steps: int = STEPS) -> DataFrame:
-    """``measured`` (see :func:`measure`) with ``distance`` (null if not compared) and ``kept``."""
+def _moments(weight: np.ndarray, total: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of documents summed in rows, of each of which a share (weight) counts.
+
+    total: sums of values by row. square: sums of products by row, in the order of _PAIRS.
+    """
+    n, mean, cov = weight[0], weight[1] @ total / weight[0], np.zeros((4, 4))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[i, j] = cov[j, i] = weight[1] @ square[:, k] / n - mean[i] * mean[j]
+    return mean, cov
+
+
+def mcd(count: np.ndarray, total: np.ndarray, square: np.ndarray, share: float = SHARE, starts: int = STARTS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centre, covariance, determinant) of the nearest ``share`` of the documents: the least that was found.
+
+    Arrays have a row for each group of like documents: their number, sums and sums of products.
+    """
+    n, point, floor = count.sum(), total / count[:, None], np.eye(4) / UNIT**2
+    h = share * n
+
+    def nearest(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        """The share of each row that is among the h nearest documents."""
+        d = point - mean
+        order = np.argsort(np.einsum("ki,ij,kj->k", d, np.linalg.inv(cov + floor), d), kind="stable")
+        before = np.cumsum(count[order]) - count[order]
+        out = np.empty(len(count))
+        out[order] = np.clip((h - before) / count[order], 0, 1)
+        return out
+
+    def steps(mean: np.ndarray, cov: np.ndarray, most: int) -> tuple[float, np.ndarray, np.ndarray]:
+        best = np.inf
+        for _ in range(most):
+            mean, cov = _moments((h, nearest(mean, cov)), total, square)
+            det = float(np.linalg.det(cov + floor))
+            if det >= best * (1 - 1e-9):
+                break
+            best = det
+        return min(best, det), mean, cov
+
+    def quantile(q: float) -> np.ndarray:
+        order = np.argsort(point, axis=0, kind="stable")
+        held = np.cumsum(count[order], axis=0)
+        return np.array([point[order[np.searchsorted(held[:, k], q * n), k], k] for k in range(4)])
+
+    low, mid, high = (quantile(q) for q in (0.25, 0.5, 0.75))
+    begin = [(mid, np.diag(((high - low) / 1.349) ** 2)), _moments((n, np.ones(len(count))), total, square)]
+    rng = np.random.Generator(np.random.PCG64(len(count)))
+    for _ in range(starts):
+        some = rng.choice(len(count), 5, p=count / n)
+        spread = point[some] - point[some].mean(axis=0)
+        begin.append((point[some].mean(axis=0), spread.T @ spread / 5))
+    # Two steps of every start, all steps of the best ones and of the first two, as in the fast algorithm.
+    tried = [steps(*b, 2) for b in begin]
+    order = sorted(range(len(tried)), key=lambda i: tried[i][0])
+    final = [steps(*tried[i][1:], MOST_STEPS) for i in sorted({0, 1, *order[:5]})]
+    det, mean, cov = min(final, key=lambda f: f[0])
+    return mean, cov, det
+
+
+def reweighted(count: np.ndarray, total: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The MCD estimate, made consistent, and from it that of all documents within the 97.5 % point."""
+    mean, cov, _ = mcd(count, total, square)
+    d = total / count[:, None] - mean
+    near = np.einsum("ki,ij,kj->k", d, np.linalg.inv(_consistency(SHARE) * cov + np.eye(4) / UNIT**2), d) <= REWEIGHT
+    mean, cov = _moments((count[near].sum(), near * 1.0), total, square)
+    return mean, _consistency(0.975) * cov
+
+
+def _fit(group: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+    """A group's estimate from its sums by level."""
+    sums = sums.sort_values([f"g{i}" for i in range(4)])
+    total, square = sums[_M].to_numpy(np.float64) / UNIT, sums[_S].to_numpy(np.float64) / UNIT**2
+    mean, cov = reweighted(sums["n"].to_numpy(np.float64), total, square)
+    return pd.DataFrame([[*group, int(sums["n"].sum()), *mean, *(cov[p] for p in _PAIRS)]], columns=[f.split()[0] for f in _FIT.split(", ")])
+
+
+def _shrunk(own: DataFrame, to: dict[str, object]) -> DataFrame:
+    """Estimates ``own`` drawn towards others, given as columns by name: PRIOR documents stand beside the n.
+
+    What the centres are apart is not added to the scatter: a lone outlier would cover itself by it.
+    """
+    n, both = F.col("n"), F.col("n") + PRIOR
+    return own.withColumns({c: (n * F.col(c) + PRIOR * to[c]) / both for c in _M + _S})
+
+
+def estimates(judged: DataFrame) -> DataFrame:
+    """lang_key, source_key, n, centre (m0 to m3) and scatter (s00 to s33) of every cell of transformed rows."""
+    level = [F.least(F.greatest(F.ceil(F.col(x) / step), F.lit(0)), F.lit(most - 1)).alias(f"g{i}") for i, (x, step, most) in enumerate(zip(STATS, STEPS, LEVELS, strict=True))]
+    value = {c: F.sum(x) for c, x in zip(_M, STATS, strict=True)} | {c: F.sum(F.col(STATS[i]) * F.col(STATS[j])) for c, (i, j) in zip(_S, _PAIRS, strict=True)}
+    keys = ["lang_key", "source_key", *(f"g{i}" for i in range(4))]
+    cells = judged.select("lang_key", "source_key", *level, *STATS).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(e.alias(c) for c, e in value.items()))
+    cells = materialise(cells, "quality-levels")
+    none = F.lit(None).cast("string")
+    groups = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), x.alias("l"), y.alias("s")) for k, (x, y) in enumerate(((F.col("lang_key"), F.col("source_key")), (F.col("lang_key"), none), (none, none))))))
+    summed = cells.withColumn("group", groups).groupBy("group.level", F.col("group.l").alias("lang_key"), F.col("group.s").alias("source_key"), *keys[2:]).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in _M + _S))
+    fits = materialise(summed.groupBy("level", "lang_key", "source_key").applyInPandas(_fit, _FIT), "quality-fits")
+    own, lang = fits.where("level = 0").drop("level"), fits.where("level = 1").drop("level", "source_key")
+    whole = fits.where("level = 2").first()
+    if whole is None:
+        return own
+    lang = _shrunk(lang, {c: F.lit(whole[c]) for c in _M + _S}).drop("n")
+    lang = lang.select(F.col("lang_key").alias("of"), *(F.col(c).alias(f"to_{c}") for c in _M + _S))
+    joined = own.join(bounded_broadcast(lang, BROADCAST_CELLS), F.col("lang_key") == F.col("of"))
+    return _shrunk(joined, {c: F.col(f"to_{c}") for c in _M + _S}).select("lang_key", "source_key", "n", *_M, *_S)
+
+
+def sampling_variance(words: np.ndarray, symbols: np.ndarray, lines: np.ndarray, dups: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """Variances (a row of 4 for each document) that its statistics have by being counts over few words or lines.
+
+    Shares are binomial, with one success and one failure added; repeated words come CLUMP at a time;
+    symbols are Poisson, by the slope of their transformation; word lengths scatter by WORD_SPREAD.
+    """
+    out = np.zeros((len(words), 4))
+    out[:, 0] = WORD_SPREAD / words
+    rate = symbols / words
+    out[:, 1] = (10 / (1 + 10 * rate)) ** 2 * (symbols + 1) / words**2
+    for k, (found, trials) in ((2, (dups, np.maximum(lines, 1))), (3, (repeats / CLUMP, words / CLUMP))):
+        share = (found + 1) / (trials + 2)
+        out[:, k] = share * (1 - share) / trials
+    return out
+
+
+_COUNTS = ("n_words", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the squared distance in place of a row's counts, statistics and estimate, which come last."""
+    width = len(_COUNTS) + 4 + 4 + len(_S)
+    for batch in batches:
+        own, rest = batch.columns[:-width], [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[-width:]]
+        known = ~np.isnan(rest[-1])
+        words, symbols, lines, dups, repeats, *rest = (c[known] for c in rest)
+        d = np.stack(rest[:4], 1) / UNIT - np.stack(rest[4:8], 1)
+        cov = np.zeros((len(d), 4, 4))
+        for value, (i, j) in zip(rest[8:], _PAIRS, strict=True):
+            cov[:, i, j] = cov[:, j, i] = value
+        cov[:, range(4), range(4)] += sampling_variance(words, symbols, lines, dups, repeats) + 1 / UNIT**2
+        found = np.full(len(known), np.nan)
+        if len(d):
+            found[known] = np.einsum("ki,ki->k", d, np.linalg.solve(cov, d[:, :, None])[:, :, 0])
+        yield pa.RecordBatch.from_arrays([*own, pa.array(found, mask=~known)], names=[*batch.schema.names[:-width], "distance"])
+
+
+def judge(measured: DataFrame) -> DataFrame:
+    """``measured`` (see :func:`measure`) with ``distance`` (null if it failed the base rules) and ``kept``."""
     own = measured.columns
     table = _transformed(measured).withColumns({"lang_key": null_key("lang"), "source_key": null_key("source")})
     table = materialise(table, "quality")
-    cells = materialise(_cells(table.where(~F.col("base_failed")), min_cell), "quality-cells")
-    placed = table.where(~F.col("base_failed")).join(bounded_broadcast(cells, BROADCAST_CELLS), ["lang_key", "source_key"])
-    placed = placed.where(F.col("cell").isNotNull()).select("cell", *STATS)
-
-    stack = F.explode(F.array(*(F.struct(F.lit(i).alias("stat"), F.col(x).alias("value")) for i, x in enumerate(STATS))))
-    hist = placed.select("cell", stack.alias("x")).groupBy("cell", "x.stat", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    fits = materialise(hist.groupBy("cell").applyInPandas(_start, _FIT), "quality-fit")
-    for k in range(steps + 1):
-        near = _distance(placed, fits)
-        near = near.withColumn("bin", F.floor(BINS * F.log2(1 + 16 * F.col("distance"))))
-        sums = {f"s{i}": F.sum(x) for i, x in enumerate(STATS)} | {f"s{i}{j}": F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in _PAIRS}
-        by_bin = near.groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n"), *(e.alias(c) for c, e in sums.items()))
-        fits = materialise(by_bin.groupBy("cell").applyInPandas(_concentrate(REWEIGHT if k == steps else None), _FIT), "quality-fit")
-
-    judged = table.join(bounded_broadcast(cells, BROADCAST_CELLS), ["lang_key", "source_key"], "left")
-    judged = _distance(judged, fits)
-    far = F.coalesce(F.col("distance") > REJECT, F.lit(False))
-    distance = F.when(~F.col("base_failed"), F.col("distance")).alias("distance")
-    return judged.select(*own, distance, (~F.col("base_failed") & ~far).alias("kept"))
-
-
-def score(docs: DataFrame, **options) -> DataFrame:
+    fits = materialise(estimates(table.where(~F.col("base_failed"))), "quality-cells")
+    placed = skewed_left_join(table, fits, ["lang_key", "source_key"], broadcast_rows=BROADCAST_CELLS)
+    last = F.when(~F.col("base_failed"), F.col(_S[-1])).alias(_S[-1])  # null: not compared
+    placed = placed.select(*own, *(F.col(c).alias(f"__{c}") for c in (*_COUNTS, *STATS, *_M, *_S[:-1])), last)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields)
+    found = placed.mapInArrow(tk.freeing(_distances), f"{schema}, distance double")
+    return found.select(*own, "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= REJECT, F.lit(True))).alias("kept"))
+
+
+def score(docs: DataFrame) -> DataFrame:
     """Statistics, ``base_failed``, ``distance`` and ``kept`` of every document."""
-    return judge(measure(docs), **options)
+    return judge(measure(docs))
 
 
-def filter_documents(docs: DataFrame, **options) -> DataFrame:
+def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with all their columns) that :func:`judge` keeps."""
     wide = [c for c in docs.columns if c not in ("lang", "source")]
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in wide)).alias("__row"), "lang", "source", "text")
-    kept = judge(measure(held, ("__row", "lang", "source")), **options).where("kept")
+    kept = judge(measure(held, ("__row", "lang", "source"))).where("kept")
     return kept.select(*(F.col(f"__row.`{c}`") if c in wide else F.col(c) for c in docs.columns))

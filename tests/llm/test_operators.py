@@ -20,7 +20,7 @@ from floorlens.llm import decontam, graph, html, language, licenses, mixing, nea
 from floorlens.llm import textkernel as tk
 from floorlens.llm.queries import ORACLES, default_tokenizer
 
-from .conftest import sentence
+from .conftest import sentence, twins
 
 
 def texts(df):
@@ -31,6 +31,72 @@ def words(text):
     return (text or "").encode().split()
 
 
+# ---------------------------------------------------------- equality
+
+
+def spans(*parts):
+    data = [p.encode() for p in parts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    return np.frombuffer(b"".join(data), np.uint8), offsets
+
+
+def test_hashes_tell_words_apart_that_swap_letters():
+    a, b = twins()
+    for k in (1, 8, 100):  # 1,024 to 102,400 bytes
+        raw, offsets = spans(a * k, b * k, a * k)
+        hashes = tk.span_hashes(raw, offsets[:-1], offsets[1:])
+        assert hashes[0] == hashes[2] != hashes[1]
+    raw, offsets = spans("x", "", "abc", "x", "abd", "abc", "")
+    number, first = tk.span_numbers(raw, offsets[:-1], offsets[1:])
+    assert number[0] == number[3] and number[2] == number[5] and number[1] == number[6] and len(set(number.tolist())) == len(first) == 4
+
+
+def test_equal_hashes_do_not_make_equal_words(monkeypatch, spark):
+    from tokenizers import Tokenizer
+
+    # Hashes of two bits: nearly all words collide.
+    plain = tk.span_hashes
+    monkeypatch.setattr(tk, "span_hashes", lambda *a: plain(*a) & np.uint64(3))
+    text = sentence(5, 70) + "\n" + sentence(6, 8) + "\n" + sentence(6, 8) + "\n" + sentence(5, 12)
+    raw, offsets = spans(text, sentence(7, 60))
+    got = [tuple(int(x[i]) for x in quality.text_statistics(raw, offsets)[:5]) for i in range(2)]
+    assert got == [brute_statistics(text), brute_statistics(sentence(7, 60))]
+    library, coder = Tokenizer.from_file(default_tokenizer()), tokens.WordEncoder(default_tokenizer())
+    for _ in range(2):
+        ids, sizes = coder.encode(raw, offsets)
+        assert ids[: sizes[0]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_twins_are_different_words_everywhere(spark):
+    from tokenizers import Tokenizer
+
+    a, b = twins()
+    library, coder = Tokenizer.from_file(default_tokenizer()), tokens.WordEncoder(default_tokenizer())
+    raw, offsets = spans(f"{a} {b}", a, b)
+    ids, sizes = coder.encode(raw, offsets)
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    assert [ids[x:y].tolist() for x, y in itertools.pairwise(cut)] == [library.encode(t, add_special_tokens=False).ids for t in (f"{a} {b}", a, b)]
+    raw, offsets = spans(f"{a}\n{b}\n{a}")
+    assert quality.text_statistics(raw, offsets)[3].tolist() == [1]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} " * 6), (4, f"{b} " * 6)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.groups(docs).collect()} == {i: i for i in (1, 2, 3, 4)}
+
+
+def test_other_tokenizers_are_not_taken_word_by_word(tmp_path):
+    import json
+
+    told = json.loads(open(default_tokenizer(), encoding="utf-8").read())
+    assert tokens.encodes_by_words(default_tokenizer())
+    told["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    assert not tokens.encodes_by_words(str(path))
+    coder = tokens.WordEncoder(str(path))
+    raw, offsets = spans("MiXed words", "")
+    ids, sizes = coder.encode(raw, offsets)
+    assert ids.tolist() == coder.tokenizer.encode("MiXed words", add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
+
+
 # ------------------------------------------------------------------ 1
 
 
@@ -460,26 +526,65 @@ def test_quality_statistics(odd, empty):
     assert quality.filter_documents(odd).columns == odd.columns
 
 
-def test_outliers_are_rejected_and_clean_texts_stay(spark):
-    rows = [(i, sentence(i, 80 + i % 60), "en", "s") for i in range(300)]
-    rows += [(1000 + i, sentence(i, 80).replace(" ", "### "), "en", "s") for i in range(60)]
+def least_determinant(points, h):
+    """Determinant (with the floor) of the best h of the points, by trying all."""
+    floor = np.eye(4) / quality.UNIT**2
+    return min(np.linalg.det(np.cov(points[list(c)].T, bias=True) + floor) for c in itertools.combinations(range(len(points)), h))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mcd_of_small_cells_is_the_least_of_all_subsets(seed):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(12, 4)) * (1, 0.5, 0.2, 0.1)
+    points[:3] += 4
+    square = np.stack([points[:, i] * points[:, j] for i, j in quality._PAIRS], 1)
+    mean, cov, det = quality.mcd(np.ones(12), points, square, 0.75)
+    assert det == pytest.approx(least_determinant(points, 9), rel=1e-6)
+    # Documents summed in rows give the same as each in a row of its own.
+    twice = quality.mcd(np.full(12, 2.0), 2 * points, 2 * square, 0.75)
+    assert twice[2] == pytest.approx(det, rel=1e-6)
+
+
+@pytest.mark.parametrize("n", [40, 300])
+def test_outliers_are_rejected_and_clean_texts_stay(spark, n):
+    rows = [(i, sentence(i, 80 + i % 60), "en", "s") for i in range(n)]
+    rows += [(1000 + i, sentence(i, 80).replace(" ", "### "), "en", "s") for i in range(n // 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kept = {r["doc_id"] for r in quality.score(docs, min_cell=100).where("kept").collect()}
-    assert kept == set(range(300))
+    kept = {r["doc_id"] for r in quality.score(docs).where("kept").collect()}
+    assert kept == set(range(n))
 
 
 def test_repeats_and_lines_reject_where_a_cell_has_none(spark):
     lined = lambda i: sentence(i, 80 + i % 60).replace(" ", "\n")
     rows = [(i, lined(i), "en", "s") for i in range(300)]
-    rows += [(1000 + i, f"{lined(500 + i)}\n{' '.join(sentence(900 + i, 20).split() * 2)}", "en", "s") for i in range(20)]
-    rows += [(2000 + i, "\n".join(f"{w}\nagain" if k % 4 == 0 else w for k, w in enumerate(lined(700 + i).split())), "en", "s") for i in range(20)]
+    rows += [(1000 + i, "\n".join(f"{w}\nagain" if k % 2 == 0 else w for k, w in enumerate(lined(700 + i).split())), "en", "s") for i in range(20)]
+    rows += [(2000 + i, f"{lined(500 + i)}\n{' '.join(sentence(900 + i, 45).split() * 2)}", "en", "s") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = quality.score(docs, min_cell=100).collect()
+    got = quality.score(docs).collect()
     assert not any(r["base_failed"] for r in got)
     assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
     assert sum(r["kept"] for r in got if r["doc_id"] < 1000) >= 297
 
 
+def test_cells_are_judged_on_their_own(spark):
+    # Long words are usual in one source and an outlier in the other.
+    long = lambda i: " ".join(w * 3 for w in sentence(i, 90).split())
+    rows = [(i, sentence(i, 90), "en", "short") for i in range(400)] + [(1000 + i, long(i), "en", "long") for i in range(400)]
+    rows += [(2000, long(7000), "en", "short"), (2001, sentence(7001, 90), "en", "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.score(docs).where("kept").collect()}
+    assert not kept & {2000, 2001} and len(kept) >= 795
+
+
+def test_estimates_lean_on_the_language(spark):
+    rng = np.random.default_rng(3)
+    values = [("=en", "=a", *map(int, rng.normal(100, 5, 4))) for _ in range(500)] + [("=en", "=b", 60, 60, 60, 60)]
+    fits = {r["source_key"]: r for r in quality.estimates(spark.createDataFrame(values, f"lang_key string, source_key string, {', '.join(f'{x} long' for x in quality.STATS)}")).collect()}
+    big, small = fits["=a"], fits["=b"]
+    assert (big["n"], small["n"]) == (500, 1)
+    assert abs(big["m0"] * quality.UNIT - 100) < 1 and abs(small["m0"] * quality.UNIT - (60 + quality.PRIOR * 100) / (quality.PRIOR + 1)) < 1
+
+
 def test_consistency_factor():
     assert quality._consistency(0.75) == pytest.approx(1.486, abs=2e-3)
     assert math.isclose(1 - math.exp(-quality.REWEIGHT / 2) * (1 + quality.REWEIGHT / 2), 0.975, abs_tol=1e-4)
