@@ -70,16 +70,17 @@ HOT = 1000
 def skewed_left_join(rows: DataFrame, known: DataFrame, keys: list[str], *, broadcast_rows: int = 0) -> DataFrame:
     """``rows`` left-joined with ``known`` on ``keys`` (no nulls), however many rows share a key.
 
-    known: one row for each key, with ``n``, the number of its rows, among its columns. Rows of hot keys,
+    known: one row for each key, with ``__rows``, the number of its rows (left out of the result). Rows of hot keys,
     of which there are fewer than HOT by definition, take their partners from a broadcast and stay where
     they are; the others are shuffled. ``rows`` is read twice, so it should be a table. A small ``known``
     is broadcast whole.
     """
     if broadcast_rows and known.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(known), keys, "left")
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.broadcast(known.where(F.col("n") * HOT > total))
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(known.where(F.col("n") * HOT <= total), keys, "left")
+        return rows.join(F.broadcast(known.drop("__rows")), keys, "left")
+    total = known.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
+    hot = F.broadcast(known.where(F.col("__rows") * HOT > total).drop("__rows"))
+    others = known.where(F.col("__rows") * HOT <= total).drop("__rows")
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(others, keys, "left")
     return rows.join(hot, keys).unionByName(rest)
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find.
 
-1. Every text gives its distinct 5-word shingles, a 128-bit digest (BLAKE2) of its word sequence as key and a
-   SuperMinHash signature: each shingle deals the ranks 0 to M - 1 to the M components by a
+1. Every text gives its distinct 5-word shingles, a 128-bit digest (BLAKE2) of its word sequence as
+   key and a SuperMinHash signature: each shingle deals the ranks 0 to M - 1 to the M components by a
    permutation of its own, and a component keeps the least rank and fraction. Ranks are dealt level by
    level; a text stops as soon as no later level could lower any component.
 2. Equal word sequences are one node from here on, so copies cost nothing further.
@@ -9,20 +9,21 @@
    probability (1 - 0.75**5)**40 = 2e-5, one with 0.8 with 1e-7.
 4. In each bucket the signatures' estimates give a maximum spanning forest of the pairs that may be
    similar (estimate of at least MAYBE; one of similarity 0.75 stays below it with about 5e-8, the
-   binomial tail of M components); its edges are
-   confirmed on the full shingle sets. So a group of n near copies costs about n confirmations, not
-   n * n.
+   binomial tail of M components); its edges are confirmed on the full shingle sets. So a group of n
+   near copies costs about n confirmations, not n * n. A bucket of more than BUCKET nodes is dealt in
+   blocks with a forest each; the most central node of every tree stands for it in the next level's
+   bucket, so that a large group costs a multiple of its size.
 5. Union-find joins confirmed links. Pairs of a bucket that may be similar but are still in different
    components are then all confirmed, inside the bucket, on the full sets, each in the first bucket
    that it shares; the confirmed ones join components. No link between different texts is left out.
-
-Buckets of more than BUCKET nodes are dealt in blocks, and every pair of blocks is a bucket.
+   In a bucket of more than BUCKET nodes, the nodes outside its largest component are compared, in
+   blocks, with each other and with that component, whose own pairs need no look.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with
 nothing; a text of fewer than five words has its whole sequence as its only shingle; a null doc_id is
-a document, but never a component's id unless all its documents have none; repeated rows are linked,
-and all rows with the component's id are kept; an empty table gives no rows; other columns than
-doc_id and text are not read.
+a document, but never a component's id unless all its documents have none; a doc_id in several rows
+is judged row by row; rows that repeat both doc_id and text are kept or dropped together; an empty
+table gives no rows; other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialise
+from .common import materialise, skewed_left_join
 from .graph import UnionFind, components
 
 #: Words of a shingle, percent of similarity.
@@ -45,6 +46,8 @@ M, BANDS, ROWS = 256, 40, 5
 MAYBE = 0.60
 #: Most nodes of a bucket that are compared in one go.
 BUCKET = 2048
+#: Beyond the most blocks of a bucket; a pair of blocks is one number.
+BLOCKS = 1 << 24
 #: Level from which permutations are kept as arrays.
 DENSE = 6
 U64 = np.uint64
@@ -117,12 +120,12 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-_SIGNED = "doc_id long, n long, key binary, bands array<long>, sig binary"
+_SIGNED = "doc_id long, hash binary, n long, key binary, bands array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw, offsets = tk.string_buffers(batch.column(1))
+        raw, offsets = tk.string_buffers(batch.column(2))
         for a, b in tk.pieces(offsets):
             n, part, edge = b - a, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             words, owner = _word_hashes(part, edge)
@@ -134,13 +137,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = tk.mix64(bands * U64(0xD1342543DE82EF95) + values[:, r : BANDS * ROWS : ROWS] + U64(1))
             bands = tk.mix64(bands + np.arange(1, BANDS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
             listed = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * BANDS).astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
-            columns = [batch.column(0)[a:b], pa.array(tk.counts_of(owners, n)), _fixed(sequence_keys(part, edge)), listed, _fixed(sig)]
+            columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(tk.counts_of(owners, n)), _fixed(sequence_keys(part, edge)), listed, _fixed(sig)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIGNED.split(", ")])
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), key (of the word sequence), bands and sig (a byte per component)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(tk.freeing(_sign), _SIGNED)
+def text_hash():
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def sign(docs: DataFrame, *, with_hash: bool = False) -> DataFrame:
+    """doc_id, hash (of the text, null unless asked for), n (shingles), key (of the word sequence), bands and sig (a byte per component)."""
+    mark = text_hash() if with_hash else F.lit(None).cast("binary")
+    return docs.select(F.col("doc_id").cast("long"), mark.alias("hash"), F.col("text").cast("string").alias("text")).mapInArrow(tk.freeing(_sign), _SIGNED)
 
 
 # --------------------------------------------------------------- buckets
@@ -173,7 +181,7 @@ class _Rows:
         """
         first = (self.bands[others] == self.bands[i]).argmax(axis=1) == band
         x, y = np.minimum(self.block[others], self.block[i]), np.maximum(self.block[others], self.block[i])
-        return first & ((self.sub < 0) | (x * 65536 + y == self.sub))
+        return first & ((self.sub < 0) | (x * BLOCKS + y == self.sub))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -202,13 +210,33 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def central(sig: np.ndarray) -> int:
+    """The row whose components agree most often with the commonest value of each."""
+    common = np.array([np.bincount(sig[:, k]).argmax() for k in range(sig.shape[1])], np.uint8)
+    return int((sig == common).sum(axis=1).argmax())
+
+
+_FOREST = "bucket long, a long, b long"
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A maximum spanning forest of each bucket's pairs that may be similar."""
-    out: list[tuple[int, int]] = []
+    """A maximum spanning forest of each bucket's (or block's) pairs that may be similar: (bucket, a, b).
+
+    The central node of each tree of a bucket of several blocks comes as a row with a b of -1.
+    """
+    out: list[tuple[int, int, int]] = []
+
+    def told() -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "a", "b"])
+
     for run in _runs(batches):
         rows = _Rows([run])
+        bucket, more = run.column("bucket")[0].as_py(), rows.sub >= 0
         left = np.arange(1, len(rows.node))
         best, parent, at = np.zeros(len(left)), np.zeros(len(left), np.int64), 0
+        tree, trees = np.zeros(len(rows.node), np.int64), 1
         while len(left):
             estimate = rows.alike(at, left)
             better = estimate > best
@@ -216,14 +244,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = int(np.argmax(best))
             at = int(left[k])
             if best[k] >= MAYBE:
-                out.append((int(rows.node[at]), int(rows.node[parent[k]])))
+                x, y = int(rows.node[at]), int(rows.node[parent[k]])
+                out.append((bucket, min(x, y), max(x, y)))
+                tree[at] = tree[parent[k]]
+            else:
+                tree[at] = trees
+                trees += 1
             keep = np.arange(len(left)) != k
             left, best, parent = left[keep], best[keep], parent[keep]
+        if more:
+            for t in np.flatnonzero(np.bincount(tree) > 1).tolist():
+                mine = np.flatnonzero(tree == t)
+                out.append((bucket, int(rows.node[mine[central(rows.sig[mine])]]), -1))
         if len(out) >= 10_000:
-            yield _pairs_batch(out)
-            out = []
+            yield told()
     if out:
-        yield _pairs_batch(out)
+        yield told()
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,29 +346,73 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- groups
 
 
-def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _dealt(rows: DataFrame, nodes: DataFrame, known: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Bucket rows (bucket, sub, block, band, node) with what ``nodes`` knows of them, sorted by bucket."""
+    kept = rows.join(nodes.select("node", *known), "node").select("bucket", "sub", "band", "node", F.col("block").cast("long").alias("block"), *known, *extra)
+    return kept.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node")
+
+
+def candidate_pairs(banded: DataFrame, nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): the forests' edges of all buckets (columns bucket, band, node, together), level by level."""
+    level, found = banded, []
+    while True:
+        blocks = F.ceil(F.col("together") / bucket)
+        block = F.pmod(F.xxhash64("node", F.lit(len(found))), blocks)
+        rows = level.withColumns({"block": block, "sub": F.when(blocks > 1, block).otherwise(F.lit(-1)).cast("long")})
+        out = materialise(_dealt(rows, nodes, ("n", "sig")).mapInArrow(tk.freeing(_forest), _FOREST), "neardup-forest")
+        found.append(out.where("b >= 0").select("a", "b"))
+        trees = out.where("b < 0")
+        together = trees.groupBy("bucket").agg(F.count(F.lit(1)).alias("together")).where("together > 1")
+        level = materialise(trees.join(together, "bucket").select("bucket", F.lit(0).alias("band"), F.col("a").alias("node"), "together"), "neardup-trees")
+        if level.isEmpty():
+            break
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return materialise(pairs.distinct(), "neardup-pairs")
+
+
+def _apart(banded: DataFrame, comps: DataFrame, bucket: int) -> DataFrame:
+    """The rows of buckets that hold several components, with their component, dealt in pairs of blocks.
+
+    Nodes outside a bucket's largest component make blocks 0 to q - 1, its own nodes the blocks from q
+    on; every pair of blocks with one below q is compared.
+    """
+    placed = materialise(banded.join(comps, "node", "left").select("bucket", "band", "node", F.coalesce("comp", "node").alias("comp")), "neardup-placed")
+    held = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    held = held.agg(F.sum("n").alias("__rows"), F.max_by("comp", "n").alias("major"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts"))
+    held = materialise(held.where("parts > 1").select("bucket", "__rows", "major", F.struct("most", (F.col("__rows") - F.col("most")).alias("others")).alias("size")), "neardup-several")
+    rows = skewed_left_join(placed, held, ["bucket"]).where(F.col("major").isNotNull())
+    own, most, others = F.col("comp") == F.col("major"), F.col("size.most"), F.col("size.others")
+    q, p = F.ceil(others / bucket), F.ceil(most / bucket)
+    deal = F.xxhash64("node")
+    block = F.when(own, q + F.pmod(deal, p)).otherwise(F.pmod(deal, q))
+    whole = most + others <= bucket
+    beside = F.when(whole, F.array(F.lit(-1).cast("long"))).when(own, F.sequence(F.lit(0).cast("long"), q - 1)).otherwise(F.sequence(F.lit(0).cast("long"), q + p - 1))
+    rows = rows.withColumn("block", F.when(whole, 0).otherwise(block)).withColumn("other", F.explode(beside))
+    sub = F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.least("block", "other") * BLOCKS + F.greatest("block", "other"))
+    return rows.withColumn("sub", sub.cast("long"))
+
+
+def classes(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int = BUCKET, with_hash: bool = False) -> DataFrame:
+    """doc_id, hash, n, key and group (null if the row is in none) of every row.
+
+    A group is told by the row that it keeps: of the least doc_id (component_id) and, among its rows, of
+    the least key and hash.
+    """
     options = {} if union_find_edges is None else {"union_find_edges": union_find_edges}
-    signed = materialise(sign(docs), "neardup-signed")
+    signed = materialise(sign(docs, with_hash=with_hash), "neardup-signed")
     full = signed.where("n > 0")
     # bands and sig follow from the key, so any row's will do
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sig")))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first"), "hash")
+    nodes = full.groupBy("key").agg(F.min(row).alias("lead"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "sig")))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).select("*", "lead.first"), "neardup-nodes")
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    together = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    banded = materialise(banded.withColumn("together", together).where("together > 1"), "neardup-buckets")
-
-    def dealt(rows: DataFrame, extra: tuple[str, ...] = (), known: tuple[str, ...] = ("node", "n", "sig")) -> DataFrame:
-        """Bucket rows with their signatures, large buckets as all pairs of their blocks, sorted by bucket."""
-        blocks = F.ceil(F.col("together") / bucket)
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1).cast("long")))))
-        sub = F.when(F.col("other") < 0, F.lit(-1)).otherwise(F.least("block", "other") * 65536 + F.greatest("block", "other"))
-        rows = rows.withColumn("sub", sub.cast("long")).join(nodes.select(*known), "node")
-        kept = rows.select("bucket", "sub", "band", "node", F.col("block").cast("long").alias("block"), "n", "sig", *extra)
-        return kept.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node")
-
-    pairs = materialise(dealt(banded).mapInArrow(tk.freeing(_forest), "a long, b long").distinct(), "neardup-pairs")
+    together = materialise(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("together")).where("together > 1"), "neardup-together")
+    shared = together.select("bucket", "together", F.col("together").alias("__rows"))
+    banded = materialise(skewed_left_join(banded, shared, ["bucket"]).where(F.col("together").isNotNull()), "neardup-buckets")
+    pairs = candidate_pairs(banded, nodes, bucket)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         rows = wanted.join(nodes.select("node", "key", "first"), "node")
@@ -340,18 +420,18 @@ def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
         found = texts.join(rows, texts["first"].eqNullSafe(rows["first"])).select("node", "key", "text").mapInArrow(tk.freeing(_sets), "node long, set binary")
         return materialise(found.dropDuplicates(["node"]), "neardup-sets")
 
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = sets_of(materialise(ends, "neardup-ends"))
+    ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "neardup-ends")
+    sets = sets_of(ends)
     with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     links = materialise(with_sets.select("a", "b", "x", "y").mapInArrow(tk.freeing(_confirm), "a long, b long"), "neardup-links")
     comps = components(links, **options)
 
-    apart = banded.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by_bucket = Window.partitionBy("bucket")
-    apart = apart.withColumn("low", F.min("comp").over(by_bucket)).withColumn("high", F.max("comp").over(by_bucket)).where("low < high").drop("low", "high")
-    schema = "bucket long, sub long, band int, node long, block long, n long, sig binary, comp long, bands array<long>"
-    still = materialise(dealt(apart, ("comp", "bands"), ("node", "n", "sig", "bands")).mapInArrow(tk.freeing(_open), schema), "neardup-open")
-    # A pair that may be similar is an edge of its bucket's forest or lies on a path of one, so its ends have sets.
+    schema = "bucket long, sub long, band int, node long, block long, n long, sig binary, bands array<long>, comp long"
+    still = materialise(_dealt(_apart(banded, comps, bucket), nodes, ("n", "sig", "bands"), ("comp",)).mapInArrow(tk.freeing(_open), schema), "neardup-open")
+    # Ends of pairs within a block have their sets; those of pairs between blocks may lack them.
+    lacking = materialise(still.select("node").distinct().join(ends, "node", "left_anti"), "neardup-lacking")
+    if not lacking.isEmpty():
+        sets = sets.unionByName(sets_of(lacking))
     open_rows = still.join(sets, "node").select("bucket", "sub", "band", "node", "block", "n", "sig", "comp", "bands", "set")
     more = open_rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "node").mapInArrow(tk.freeing(_confirm_open), "a long, b long")
     merged = components(more, **options)
@@ -359,17 +439,32 @@ def groups(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
     final = comps.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left")
     alone = merged.select("node", F.col("comp").alias("whole")).join(comps.select(F.col("comp").alias("node")).distinct(), "node", "left_anti")
     placed = final.select("node", F.coalesce("whole", "comp").alias("whole")).unionByName(alone)
-    first = placed.join(nodes.select("node", "key", "first"), "node")
-    least = first.groupBy("whole").agg(F.min("first").alias("component_id"))
-    grouped = first.join(least, "whole").select("key", "component_id", F.lit(True).alias("grouped"))
-    copies = nodes.where("copies > 1").select("key", F.col("first").alias("copy_of"))
-    known = materialise(copies.join(grouped, "key", "full").select("key", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("copy_of")).alias("component_id"), F.lit(True).alias("found")), "neardup-known")
-    out = signed.select("doc_id", "n", "key").join(known, (signed["key"] == known["key"]) & (signed["n"] > 0), "left")
-    component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = F.struct("lead.none", "lead.first", "key", "lead.hash")
+    first = placed.join(nodes.select("node", "key", own.alias("own")), "node")
+    least = first.groupBy("whole").agg(F.min("own").alias("least"))
+    grouped = first.join(least, "whole").select("key", "least")
+    copies = nodes.where("copies > 1").select("key", own.alias("own"))
+    known = copies.join(grouped, "key", "full").select("key", F.coalesce("least", "own").alias("least"))
+    known = known.join(nodes.select("key", F.col("copies").alias("__rows")), "key").select("key", "__rows", F.struct(F.col("least.first").alias("component_id"), F.col("least.key").alias("key"), F.col("least.hash").alias("hash")).alias("group"))
+    # Rows without words share a key, but are in no group.
+    slim = signed.select("doc_id", "hash", "n", "key")
+    out = skewed_left_join(slim.where("n > 0"), materialise(known, "neardup-known"), ["key"])
+    return out.unionByName(slim.where("n = 0").withColumn("group", F.lit(None).cast(out.schema["group"].dataType)))
+
+
+def groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    component = F.when(F.col("group").isNotNull(), F.col("group.component_id")).otherwise(F.col("doc_id"))
+    found = classes(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) without those of documents that are not kept."""
-    gone = materialise(groups(docs, **options).where("not kept").select("doc_id").distinct(), "neardup-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The rows of ``docs`` (all columns) without those that copy another: each group keeps one text.
+
+    Rows are told apart by doc_id and text. Null doc_ids are dealt by the text in the join.
+    """
+    stays = F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("group.component_id")) & (F.col("key") == F.col("group.key")) & (F.col("hash") == F.col("group.hash")))
+    gone = classes(docs, with_hash=True, **options).where(~stays).select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")).distinct()
+    gone = materialise(gone, "neardup-gone")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]) & (text_hash() == gone["__hash"]), "left_anti")

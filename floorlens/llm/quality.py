@@ -306,7 +306,7 @@ def judge(measured: DataFrame) -> DataFrame:
     table = _transformed(measured).withColumns({"lang_key": null_key("lang"), "source_key": null_key("source")})
     table = materialise(table, "quality")
     fits = materialise(estimates(table.where(~F.col("base_failed"))), "quality-cells")
-    placed = skewed_left_join(table, fits, ["lang_key", "source_key"], broadcast_rows=BROADCAST_CELLS)
+    placed = skewed_left_join(table, fits.withColumnRenamed("n", "__rows"), ["lang_key", "source_key"], broadcast_rows=BROADCAST_CELLS)
     last = F.when(~F.col("base_failed"), F.col(_S[-1])).alias(_S[-1])  # null: not compared
     placed = placed.select(*own, *(F.col(c).alias(f"__{c}") for c in (*_COUNTS, *STATS, *_M, *_S[:-1])), last)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields)

@@ -290,7 +290,33 @@ def test_low_estimates_are_still_confirmed():
     # 161 of 256 equal bytes are an estimate of 0.63, which a pair of similarity 0.75 may have.
     sig = [bytes(neardup.M), bytes(161) + bytes([1]) * (neardup.M - 161)]
     table = pa.table({"bucket": [7, 7], "sub": [-1, -1], "node": [1, 2], "block": [0, 0], "n": [30, 30], "sig": pa.array(sig, pa.binary())})
-    assert [b.to_pydict() for b in neardup._forest(table.to_batches())] == [{"a": [1], "b": [2]}]
+    assert [b.to_pydict() for b in neardup._forest(table.to_batches())] == [{"bucket": [7], "a": [1], "b": [2]}]
+
+
+def test_rows_with_one_id_are_judged_apart(spark):
+    a, b = sentence(61, 60), sentence(62, 60)
+    near = " ".join(["changed", *b.split()[1:]])
+    rows = [(1, a, 0), (2, a, 1), (2, b, 2), (None, b, 3), (None, sentence(63, 20), 4), (None, sentence(63, 20).upper(), 5), (None, None, 6), (3, "", 7), (4, near, 8), (9, a, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash int")
+    kept = sorted(r["hash"] for r in neardup.drop_copies(docs).collect())
+    # Of the two rows without an id one text stays.
+    assert kept[:2] == [0, 2] and kept[3:] == [6, 7] and kept[2] in (4, 5)
+
+
+@pytest.mark.parametrize("bucket", [16, 2048])
+def test_large_groups_of_near_copies(spark, bucket):
+    """A group of near copies of one text, some of them linked through it alone, and strangers."""
+    base, rng = sentence(71, 120).split(), random.Random(8)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, sentence(100 + i, 60)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(docs, bucket=bucket).collect())
+    assert got == sorted(brute_groups(rows))
 
 
 def test_superminhash_is_the_plain_algorithm():
