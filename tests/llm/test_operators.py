@@ -338,7 +338,7 @@ def test_superminhash_is_the_plain_algorithm():
 
 
 def test_decontamination(spark, odd, empty):
-    items = [(1, sentence(21, 40)), (2, sentence(22, 30)), (None, None), (3, "short")]
+    items = [(1, sentence(21, 40)), (2, sentence(22, 30)), (None, None), (3, "a quite short item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     passage = items[0][1]
     edited = passage[:50] + "X" + passage[51:90] + passage[91:]
@@ -347,12 +347,97 @@ def test_decontamination(spark, odd, empty):
         rows = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench, max_chars=chars).collect()}
         assert rows == {(1, 1), (2, 1)}
     assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {3, 4, 5}
-    first = decontam.regions(docs, bench).where("doc_id = 1").agg(F.min("start"), F.max("end")).first()
-    assert tuple(first) == (len(sentence(31, 50)) + 1, len(sentence(31, 50)) + 1 + len(passage))
+    first = decontam.contaminations(docs, bench).where("doc_id = 1").first()
+    assert (first["start"], first["end"]) == (len(sentence(31, 50)) + 1, len(sentence(31, 50)) + 1 + len(passage))
     assert decontam.drop_contaminated(odd, bench).count() == odd.count() and decontam.contaminations(empty, bench).count() == 0
     assert decontam.contaminations(docs, bench.where("false")).count() == 0
 
 
+def edited(text, n, rng):
+    """The text after n edits at random places."""
+    out = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(out))
+        out[i : i + 1] = rng.choice(([], [out[i], "~"], ["~"]))
+    return "".join(out)
+
+
+def substring_distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(t, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_short_items_are_found_by_brute_force_rules():
+    """Items of 5 to 60 characters with 0 to one more than their budget of edits, many short texts in a batch."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    items, texts = [], []
+    for k in range(300):
+        n = 5 + k % 56
+        item = word(n)
+        if n > 8:
+            item = item[:4] + " " + item[5:]
+        items.append(item)
+    index = decontam.Index(list(enumerate(items)))
+    budget = {int(o): int(e) for o, e in zip(index.owner, index.edits, strict=True)}
+    for item in items:
+        most = budget.get(len(texts), 0)
+        texts.append(" ".join(filter(None, [word(rng.randrange(0, 12)), edited(item, rng.randint(0, most + 1), rng), word(rng.randrange(0, 12))])))
+    got = {(i, item) for i, item, *_ in decontam.scanner(index)(texts)}
+    for i, (item, text) in enumerate(zip(items, texts, strict=True)):
+        most = budget.get(i, 0)
+        if most:
+            expected = substring_distance(item, text.lower()) <= most
+        else:
+            expected = re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", text) is not None
+        assert ((i, i) in got) == expected, (item, text)
+    assert all(i == k or substring_distance(items[k], texts[i]) <= budget.get(k, 0) for i, k in got)
+
+
+def test_long_items_with_edits_are_found():
+    rng = random.Random(13)
+    items = [sentence(200 + i, 12 + 2 * (i % 15))[:200] for i in range(60)]
+    index = decontam.Index(list(enumerate(items)))
+    texts = [f"{sentence(300 + i, rng.randrange(0, 9))} {edited(t, 7 * min(len(t), 80) // 80, rng)}" for i, t in enumerate(items)]
+    assert {(i, i) for i in range(60)} <= {(i, k) for i, k, *_ in decontam.scanner(index)(texts)}
+
+
+def test_windows_of_long_texts_lose_nothing(monkeypatch):
+    items = [sentence(400 + i, 25) for i in range(12)]
+    text = " ".join(f"{sentence(500 + i, 40)} {t}" for i, t in enumerate(items))
+    scan = decontam.scanner(decontam.Index(list(enumerate(items))))
+    whole = scan([text, sentence(1, 10), text[700:]])
+    assert {k for i, k, *_ in whole if i == 0} == set(range(12))
+    monkeypatch.setattr(decontam, "PIECE", 300)
+    assert sorted(scan([text, sentence(1, 10), text[700:]])) == sorted(whole)
+    monkeypatch.setattr(decontam, "MATCHES", 50)
+    assert sorted(scan([text, sentence(1, 10), text[700:]])) == sorted(whole)
+
+
+def test_common_qgrams_lose_nothing():
+    """Items of one phrase with few words of their own: nearly all their q-grams are common."""
+    base = sentence(41, 30).split()
+    items = [" ".join([*base[: i % 20], f"own{i}", *base[i % 20 :]]) for i in range(120)]
+    index = decontam.Index(list(enumerate(items)))
+    assert index.bound.min() >= 1 and len(index.at) < sum(map(len, items))
+    rng = random.Random(2)
+    got = {(i, k) for i, k, *_ in decontam.scanner(index)([edited(t, 3, rng) for t in items])}
+    assert {(i, i) for i in range(120)} <= got
+
+
+def test_repeated_rows_give_repeated_results(spark):
+    item = sentence(21, 30)
+    docs = spark.createDataFrame([(1, item), (1, item), (None, item), (2, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
+    rows = decontam.contaminations(docs, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["edits"]) for r in rows) == [(0, 5, 0)] * 2 + [(1, 5, 0)] * 4
+
+
 def test_quotes_are_found_wherever_they_start():
     item = sentence(23, 60)
     scan = decontam.scanner(decontam.Index([(1, item)]))
