@@ -1,24 +1,29 @@
 """Main text of web pages, by structure and by a suffix array of each host's pages.
 
 A page is cut into blocks (runs of text between block-level tags), each in a zone: ``content`` inside
-an article or main element, ``chrome`` inside a menu, header, footer, sidebar, notice, advert, form or
-comment section, else ``open``. Script, style and other unseen text is no block at all.
+an article or main element, ``loose`` for text in it that no paragraph, heading, list item or table cell
+holds, ``chrome`` inside a menu, header, footer, sidebar, notice, advert, form or comment section, else
+``open``. Script, style and other unseen text is no block at all.
 
-Structure alone decides for content (kept) and chrome (dropped). The host suffix array decides for
-open blocks: the token streams of a host's pages outside their articles are concatenated, a suffix
-array finds the runs of at least MIN_RUN tokens (or whole blocks) that stand on at least two distinct
-pages, and open blocks lose the tokens that such runs cover; what is left of them is kept. Inside
-articles it must not decide: copied articles repeat on a host too, and whole articles are wanted.
+The host suffix array finds the runs of at least MIN_RUN tokens (or whole blocks) that stand on at least
+two distinct pages of a host; pages of the same visible text are one page. It decides
 
-A host's pages are dealt in groups of GROUP pages by a hash, each group being sorted in one task, so
-no host is gathered whole. What repeats across groups is found by exact counts over all pages, summed
+* open blocks: they lose the tokens that such runs cover; what is left of them is kept;
+* loose blocks: one that such runs cover wholly goes, unless the article is a copy, of whose characters
+  at least half are in blocks that other pages have too.
+
+Structure alone decides for content (kept) and chrome (dropped): articles and passages that are copied
+within a host repeat like boilerplate, and whole articles are wanted.
+
+A host's pages are dealt in groups of about GROUP tokens by a hash, each group being sorted in one task,
+so no host is gathered whole. What repeats across groups is found by exact counts over all pages, summed
 map-side: blocks by (host, block), and runs by (host, hash of MIN_RUN tokens in a row). A run of at least
 MIN_RUN tokens is the union of its windows, so the windows that stand in two groups of a host, sent to
 these groups, cover the same tokens as a suffix array of the whole host would.
 
 Defined results: a null or empty html gives an empty text; a null url is a host of its own; tags that
-are never closed end with their container or the page; repeated rows are pages of their own; an empty
-table gives no rows; other columns than page_id, url and html are not read.
+are never closed end with their container or the page; repeated rows are pages of their own and get the
+same text; an empty table gives no rows; other columns than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import bounded_broadcast, materialise
+from .common import bounded_broadcast, materialise, skewed_left_join
 
-CONTENT, CHROME, OPEN = "content", "chrome", "open"
-#: Shortest repeated run in tokens, pages of a host that share a task.
-MIN_RUN, GROUP = 8, 512
+CONTENT, LOOSE, CHROME, OPEN = "content", "loose", "chrome", "open"
+#: Shortest repeated run in tokens, tokens of a host that share a task.
+MIN_RUN, GROUP = 8, 1 << 18
 #: Most hosts whose page counts are broadcast.
 BROADCAST_HOSTS = 50_000
 
@@ -51,12 +57,38 @@ BLOCK_TAGS = {
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary",
     "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-#: Words of class and id values that mark chrome.
-CHROME_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|side|aside|footer|header|masthead|"
-    r"cookie|cookies|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comment|comments|commentlist|reply|replies|respond|disqus|related|recommended|widget|pagination|pager|toolbar|skip)(?:$|[-_\s\d])",
-    re.I,
-)
+#: Elements whose text is the article's own.
+PROSE_TAGS = {"article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "pre", "blockquote", "figcaption", "caption"}
+#: Words that mark chrome wherever they stand in a class or id.
+CHROME_WORDS = {
+    "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "footer", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter",
+    "subscribe", "signup", "login", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "comments", "commentlist", "disqus", "pagination", "pager", "toolbar",
+}
+#: Words that mark chrome alone or beside a word for its place or box, as in "ad-slot" or "site-header".
+CHROME_NAMES = {"ad", "ads", "banner", "promo", "notice", "share", "sharing", "social", "comment", "reply", "replies", "respond", "related", "recommended", "widget", "aside", "skip", "masthead", "header", "side"}
+BOX_WORDS = {
+    "site", "page", "top", "bottom", "left", "right", "global", "main", "box", "bar", "block", "area", "container", "wrapper", "wrap", "section", "slot", "unit", "column", "col", "panel",
+    "link", "links", "button", "buttons", "icon", "icons", "list", "item", "items", "form", "thread", "posts", "articles", "stories", "content", "tools", "inner", "outer",
+}
+#: First words of names that tell of a state, as in "has-sidebar".
+STATE_WORDS = {"has", "no", "with", "without", "is", "hide", "show", "not"}
+_NAME_CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
+
+def chrome_name(names: str, inside: bool) -> bool:
+    """Whether one of the names of a class or id attribute marks chrome. inside: the element is part of an article."""
+    for name in names.split():
+        words = [w.lower() for w in _NAME_CUT.split(name) if w]
+        if not words or words[0] in STATE_WORDS:
+            continue
+        if any(w in CHROME_WORDS for w in words):
+            return True
+        marks = [w for w in words if w in CHROME_NAMES and not (inside and w in ("header", "banner"))]
+        if marks and all(w in CHROME_NAMES or w in BOX_WORDS for w in words) and len(words) < 4:
+            return True
+    return False
+
+
 #: Elements that end when one of the same kind begins in the same container.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "d", "dd": "d", "tr": "tr", "td": "t", "th": "t", "option": "option"}
 
@@ -74,7 +106,7 @@ def _zone(tag: str, attributes: str, zone: str) -> str:
         return CHROME if not (tag == "header" and zone == CONTENT) else zone
     if tag in ("html", "body", "article", "main"):
         return CONTENT if tag in CONTENT_TAGS else zone
-    if CHROME_NAMES.search(found.get("class", "")) or CHROME_NAMES.search(found.get("id", "")):
+    if chrome_name(found.get("class", ""), zone == CONTENT) or chrome_name(found.get("id", ""), zone == CONTENT):
         return CHROME
     return CONTENT if "main" in roles or "article" in roles else zone
 
@@ -90,7 +122,10 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             joined = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if joined:
-                out.append((stack[-1][1], joined))
+                zone = stack[-1][1]
+                if zone == CONTENT and next((t for t, *_ in reversed(stack) if t in BLOCK_TAGS), "article") not in PROSE_TAGS:
+                    zone = LOOSE
+                out.append((zone, joined))
 
     if not page:
         return out
@@ -161,28 +196,37 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
 
 
 def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of an integer array in order, by prefix doubling, and the lengths that neighbours share."""
+    """Suffixes of an integer array in order, by prefix doubling, and the lengths that neighbours share.
+
+    The ranks of every doubling are kept: two suffixes share 2**k tokens if they have one rank in round
+    k, so that lengths take a step for each round, not for each token.
+    """
     n = len(ids)
-    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    step, order = 1, np.argsort(rank, kind="stable")
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int32)
+    ranks, step, order = [rank], 1, np.argsort(rank, kind="stable")
     while n > 1:
-        second = np.full(n, -1, np.int64)
+        second = np.full(n, -1, np.int32)
         second[: n - step] = rank[step:]
         order = np.lexsort((second, rank))
         a, b = rank[order], second[order]
         new = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+        rank = np.empty(n, np.int32)
         rank[order] = new
         if new[-1] == n - 1:
             break
+        ranks.append(rank)
         step *= 2
     shared = np.zeros(n, np.int64)
-    live = np.arange(1, n)
     left, right = order[:-1].copy(), order[1:].copy()
-    while len(live):
-        ok = (left < n) & (right < n)
-        ok[ok] = ids[left[ok]] == ids[right[ok]]
-        live, left, right = live[ok], left[ok] + 1, right[ok] + 1
-        shared[live] += 1
+    for k in reversed(range(len(ranks))):
+        most = n - (1 << k)
+        ok = (left <= most) & (right <= most)
+        # A suffix shorter than a round's step has a rank of its own there, so equal ranks are equal tokens.
+        ok[ok] = ranks[k][left[ok]] == ranks[k][right[ok]]
+        at = np.flatnonzero(ok)
+        left[at] += 1 << k
+        right[at] += 1 << k
+        shared[at + 1] += 1 << k
     return order, shared
 
 
@@ -219,21 +263,35 @@ _KIND = pa.list_(pa.struct([("place", pa.int32()), ("zone", pa.string()), ("text
 _BLOCKS = "array<struct<place:int,zone:string,text:string>>"
 
 
-def _parse(wanted: tuple[str, str]):
-    """Replaces the last column, html, by the blocks of the wanted zones."""
+def outside(found: list[tuple[str, str]]) -> list[dict]:
+    """The blocks that a page's host may decide or that tell of it: all but content, and that too if some text is loose."""
+    loose = any(z == LOOSE for z, _ in found)
+    return [{"place": i, "zone": z, "text": t} for i, (z, t) in enumerate(found) if z != CONTENT or loose]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[{"place": i, "zone": z, "text": t} for i, (z, t) in enumerate(blocks(h.as_py())) if z in wanted] for h in batch.columns[-1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _KIND)], names=[*batch.schema.names[:-1], "blocks"])
 
-    return parse
+def _parse_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, html, by a digest of the page's visible text, the tokens and the blocks outside articles."""
+    for batch in batches:
+        found = [blocks(h.as_py()) for h in batch.columns[-1]]
+        digest = [blake2b("\n".join(t for _, t in page).encode("utf-8", "surrogatepass"), digest_size=16).digest() for page in found]
+        kept = [outside(page) for page in found]
+        tokens = [sum(1 + b["text"].count(" ") for b in page) for page in kept]
+        columns = [pa.array(digest, pa.binary()), pa.array(tokens, pa.int64()), pa.array(kept, _KIND)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "page", "tokens", "blocks"])
+
+
+def _parse_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, html, by all blocks but chrome."""
+    for batch in batches:
+        found = [[{"place": i, "zone": z, "text": t} for i, (z, t) in enumerate(blocks(h.as_py())) if z != CHROME] for h in batch.columns[-1]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _KIND)], names=[*batch.schema.names[:-1], "blocks"])
 
 
 def token_windows(texts: pa.Array, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of ``least`` tokens that lie in one block, with the place of their first token
     among all blocks' tokens, and the numbers of tokens of each block."""
     raw, offsets = tk.string_buffers(texts)
+    # Blocks are joined by spaces; other white space was replaced when they were cut.
     starts, ends, owner = tk.word_spans(raw, offsets)
     words, n = tk.span_hashes(raw, starts, ends), max(len(starts) - least + 1, 0)
     rolled = np.zeros(n, np.uint64)
@@ -281,20 +339,56 @@ def cover(streams: list[list[tuple[int, str, str]]], least: int = MIN_RUN, elsew
             marks = hit[at : at + len(block)]
             at += len(block) + 1
             total += sum(marks)
-            if zone == OPEN and any(marks):
+            if (zone == OPEN and any(marks)) or (zone == LOOSE and all(marks)):
                 kept[place] = " ".join(w for w, m in zip(block, marks, strict=True) if not m)
         out.append((total, kept))
     return out
 
 
-_COVER = "page_id long, hash long, n_covered long, open map<int,string>"
+_COVER = "host string, page binary, n_covered long, left map<int,string>"
 
 
-def _cover_group(group: pa.Table, windows: pa.Table) -> pa.Table:
-    streams = [[(b["place"], b["zone"], b["text"]) for b in page] for page in group.column("blocks").to_pylist()]
+def _cover_group(key: tuple, group: pa.Table, windows: pa.Table) -> pa.Table:
+    streams = [[(b["place"], b["zone"], b["text"]) for b in page if b["zone"] != CONTENT] for page in group.column("blocks").to_pylist()]
     found = cover(streams, elsewhere=windows.column("window").to_numpy())
     maps = pa.array([list(kept.items()) for _, kept in found], pa.map_(pa.int32(), pa.string()))
-    return pa.table({"page_id": group.column("page_id"), "hash": group.column("hash"), "n_covered": pa.array([n for n, _ in found], pa.int64()), "open": maps})
+    return pa.table({"host": pa.array([key[0].as_py()] * len(found), pa.string()), "page": group.column("page"), "n_covered": pa.array([n for n, _ in found], pa.int64()), "left": maps})
+
+
+def decisions(held: DataFrame) -> DataFrame:
+    """What the hosts decide, for every row of ``held`` (page_id, hash, host, html) with something outside its article.
+
+    page_id, hash, n_covered, left (what is left of blocks, by place), dropped (places of open blocks that
+    repeat whole) and copied (whether the article is a copy); all but the first two are null where the host
+    has no other page.
+    """
+    parsed = held.select("page_id", "hash", "host", "html").mapInArrow(tk.freeing(_parse_outside), f"page_id long, hash long, host string, page binary, tokens long, blocks {_BLOCKS}")
+    parsed = materialise(parsed.where(F.size("blocks") > 0), "html-outside")
+    own = parsed.groupBy("host", "page").agg(F.count(F.lit(1)).alias("__rows"), F.first("tokens").alias("tokens"), F.first("blocks").alias("blocks"))
+    own = materialise(own, "html-pages")
+    hosts = own.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("tokens") / GROUP).alias("groups"), F.count(F.lit(1)).alias("__rows")).where("n > 1")
+    hosts = materialise(hosts, "html-hosts")
+    streams = skewed_left_join(own, hosts, ["host"], broadcast_rows=BROADCAST_HOSTS).where(F.col("n").isNotNull())
+    streams = streams.withColumn("group", F.pmod(F.xxhash64("page"), F.col("groups")))
+    # Hosts of one group need no count across groups.
+    seen = streams.where(F.col("groups") > 1).select("host", "group", F.filter("blocks", lambda b: b["zone"] != CONTENT).alias("blocks"))
+    spread = seen.mapInArrow(tk.freeing(_windows), "host string, group long, window long").distinct()
+    wide = spread.groupBy("host", "window").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
+    wide = wide.select("host", F.explode("groups").alias("group"), "window")
+    covered = materialise(streams.groupBy("host", "group").cogroup(wide.groupBy("host", "group")).applyInArrow(_cover_group, _COVER), "html-covered")
+
+    single = own.select("host", "page", F.explode("blocks").alias("b")).where(F.col("b.zone") != CHROME)
+    single = materialise(single.select("host", "page", F.col("b.place").alias("place"), F.col("b.zone").alias("zone"), F.length("b.text").alias("size"), F.md5(F.col("b.text").cast("binary")).alias("block")), "html-blocks")
+    twice = single.groupBy("host", "block").agg(F.min("page").alias("a"), F.max("page").alias("z"), F.count(F.lit(1)).alias("__rows")).where("a < z").select("host", "block", "__rows", F.lit(True).alias("again"))
+    told = skewed_left_join(single, materialise(twice, "html-twice"), ["host", "block"]).withColumn("again", F.coalesce("again", F.lit(False)))
+    inside = F.col("zone").isin(CONTENT, LOOSE)
+    told = told.groupBy("host", "page").agg(
+        F.array_compact(F.collect_set(F.when(F.col("again") & (F.col("zone") == OPEN), F.col("place")))).alias("dropped"),
+        (2 * F.sum(F.when(inside & F.col("again"), F.col("size")).otherwise(0)) >= F.sum(F.when(inside, F.col("size")).otherwise(0))).alias("copied"),
+    )
+    found = covered.join(told, ["host", "page"], "left").join(own.select("host", "page", "__rows"), ["host", "page"])
+    rows = skewed_left_join(parsed.select("page_id", "hash", "host", "page"), materialise(found, "html-found"), ["host", "page"])
+    return rows.select("page_id", "hash", "n_covered", "left", "dropped", "copied")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -306,33 +400,16 @@ def extract(pages: DataFrame) -> DataFrame:
     url, page = F.coalesce("url", F.lit("")), F.col("html").cast("string")
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     held = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.xxhash64(url, page, F.md5(F.coalesce(page, F.lit("")).cast("binary"))).alias("hash"), page.alias("html"))
-
-    outside = held.select("page_id", "hash", "host", "html").mapInArrow(_parse((CHROME, OPEN)), f"page_id long, hash long, host string, blocks {_BLOCKS}")
-    outside = materialise(outside.where(F.size("blocks") > 0), "html-outside")
-    shared = materialise(outside.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "html-hosts")
-    streams = outside.join(bounded_broadcast(shared, BROADCAST_HOSTS), "host")
-    group = F.pmod(F.xxhash64("page_id", "hash"), F.ceil(F.col("n") / GROUP))
-    streams = streams.withColumn("group", group)
-    # Hosts of one group need no count across groups.
-    spread = streams.where(F.col("n") > GROUP).select("host", "group", "blocks").mapInArrow(tk.freeing(_windows), "host string, group long, window long").distinct()
-    wide = spread.groupBy("host", "window").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
-    wide = wide.select("host", F.explode("groups").alias("group"), "window")
-    covered = streams.groupBy("host", "group").cogroup(wide.groupBy("host", "group")).applyInArrow(_cover_group, _COVER)
-    covered = covered.groupBy("page_id", "hash").agg(F.max("n_covered").alias("n_covered"), F.max_by("open", "n_covered").alias("open"))
-
-    single = outside.select("page_id", "hash", "host", F.explode("blocks").alias("b")).where(F.col("b.zone") == OPEN)
-    single = single.select("page_id", "hash", "host", F.col("b.place").alias("place"), F.xxhash64("b.text").alias("block"))
-    pages_of = F.struct("page_id", "hash")
-    twice = single.groupBy("host", "block").agg(F.min(pages_of).alias("a"), F.max(pages_of).alias("z")).where("a < z").select("host", "block")
-    dropped = single.join(twice, ["host", "block"]).groupBy("page_id", "hash").agg(F.collect_set("place").alias("dropped"))
+    found = decisions(held).dropDuplicates(["page_id", "hash"])
+    found = materialise(found.select(F.col("page_id").alias("p"), F.col("hash").alias("h"), "n_covered", "left", "dropped", "copied"), "html-decisions")
 
     def kept(b):
+        left = F.try_element_at("left", b["place"])
         gone = F.coalesce(F.array_contains("dropped", b["place"]), F.lit(False))
-        return F.when(b["zone"] == CONTENT, b["text"]).when(~gone, F.coalesce(F.try_element_at("open", b["place"]), b["text"]))
+        boilerplate = F.coalesce(left == "", F.lit(False)) & ~F.coalesce("copied", F.lit(False))
+        return F.when(b["zone"] == CONTENT, b["text"]).when(b["zone"] == LOOSE, F.when(~boilerplate, b["text"])).when(~gone, F.coalesce(left, b["text"]))
 
-    texts = held.select("page_id", "url", "hash", "html").mapInArrow(_parse((CONTENT, OPEN)), f"page_id long, url string, hash long, blocks {_BLOCKS}")
-    found = materialise(covered.join(dropped, ["page_id", "hash"], "left"), "html-covered")
-    found = found.select(F.col("page_id").alias("p"), F.col("hash").alias("h"), "n_covered", "open", "dropped")
+    texts = held.select("page_id", "url", "hash", "html").mapInArrow(tk.freeing(_parse_texts), f"page_id long, url string, hash long, blocks {_BLOCKS}")
     whole = texts.join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("hash") == F.col("h")), "left")
     text = F.array_join(F.filter(F.transform("blocks", kept), lambda t: F.coalesce(t != "", F.lit(False))), "\n")
     return whole.select("page_id", "url", text.alias("text"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"))

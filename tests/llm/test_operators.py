@@ -209,7 +209,7 @@ def test_open_boilerplate_goes_and_unique_text_stays(spark):
     assert len(rows) == 6 and got[7] == "" and got[1] == "own text number 1 of this page alone"
 
 
-@pytest.mark.parametrize("group", [1, 3, 512])
+@pytest.mark.parametrize("group", [1, 40, 1 << 18])
 def test_runs_are_found_across_groups(spark, monkeypatch, group):
     shared = "subscribe to our weekly letter and get more offers from us"
     own = lambda i: (f"left {i} é one{i}", f"right{i} two{i}")
@@ -221,6 +221,101 @@ def test_runs_are_found_across_groups(spark, monkeypatch, group):
     assert got == {i: (f"alone {i}\n{' '.join(own(i))}", len(shared.split())) for i in range(12)} | {50: (shared, 0), 51: (shared, 0)}
 
 
+def brute_texts(pages, least=html.MIN_RUN):
+    """Texts of pages (page_id, host, html), each host's windows and blocks counted one by one."""
+    parsed = [(i, host, html.blocks(page)) for i, host, page in pages]
+    where, whole = {}, {}
+    for _, host, found in parsed:
+        page = tuple(t for _, t in found)
+        for zone, text in found:
+            whole.setdefault((host, text), set()).add(page)
+            w = text.split(" ")
+            if zone != html.CONTENT:
+                for k in range(len(w) - least + 1):
+                    where.setdefault((host, tuple(w[k : k + least])), set()).add(page)
+    out = {}
+    for i, host, found in parsed:
+        inside = [(t, len(whole[host, t]) > 1) for z, t in found if z in (html.CONTENT, html.LOOSE)]
+        copied = 2 * sum(len(t) for t, again in inside if again) >= sum(len(t) for t, _ in inside)
+        text = []
+        for zone, t in found:
+            w = t.split(" ")
+            hit = [False] * len(w)
+            for k in range(len(w) - least + 1):
+                if zone != html.CONTENT and len(where[host, tuple(w[k : k + least])]) > 1:
+                    hit[k : k + least] = [True] * least
+            if zone == html.CONTENT or (zone == html.LOOSE and (copied or not all(hit))):
+                text.append(t)
+            elif zone == html.OPEN and len(whole[host, t]) == 1:
+                text.append(" ".join(x for x, h in zip(w, hit, strict=True) if not h))
+        out[i] = "\n".join(t for t in text if t)
+    return out
+
+
+def host_pages(host, n, seed):
+    """Pages whose boilerplate no tag or name tells: loose and open text, copied articles and passages."""
+    rng, out = random.Random(seed), []
+    phrases = [sentence(seed + k, 12) for k in range(4)]
+    passage = sentence(seed + 9, 60)
+    for i in range(n):
+        article = f"<p>{sentence(1000 * seed + i, 40)}</p>"
+        if i % 7 == 0:
+            article += f"<p>{passage}</p>"
+        loose = rng.choice(["", f"<div>{rng.choice(phrases)}</div>", f"<div>{rng.choice(phrases)} own{i}</div>", f"<div>by name{i % 3}</div>"])
+        open_ = rng.choice(["", f"<div>{rng.choice(phrases)} tail{i}</div>", "<div>Top</div>", f"<div>{sentence(2000 * seed + i, 15)}</div>"])
+        if i % 5 == 4:
+            out.append((i, host, out[-1][2] if i % 10 == 9 else out[-1][2].replace("</article>", f"<p>more{i}</p></article>")))
+        else:
+            tag = "article" if i % 6 else "div"
+            out.append((i, host, f"<body>{open_}<{tag}>{article}{loose}</{tag}><footer>foot {i % 4}</footer></body>"))
+    return out
+
+
+@pytest.mark.parametrize("n", [3, 60, 600])
+def test_hosts_of_any_size_match_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(html, "GROUP", 2000)
+    pages = [(i, h, p) for k, h in enumerate(("a.example", "b.example")) for i, _, p in host_pages(h, n, 3 + k) for i in [i + 10_000 * k]]
+    docs = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, h, p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(docs).collect()}
+    assert got == brute_texts(pages)
+
+
+def test_only_the_host_tells_boilerplate_in_an_article(spark):
+    notice = "<div>you can read three more stories before you have to pay us</div>"
+    page = lambda i: f"<article><p>{sentence(i, 30)}</p>{notice}</article>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(3)] + [(9, "http://one.example/", page(5))]
+    # A copied article keeps all it has.
+    rows += [(20 + i, f"http://c.example/{i}", f"<article>{notice}<p>{sentence(77, 30)}</p><p>{i}</p></article>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    plain = notice[5:-6]
+    assert got[0] == sentence(0, 30) and got[9] == f"{sentence(5, 30)}\n{plain}" and got[20] == f"{plain}\n{sentence(77, 30)}\n0"
+
+
+@pytest.mark.parametrize("name, inside, chrome", [("side-by-side", False, False), ("ad", True, True), ("top-ad", False, True), ("has-sidebar", False, False), ("siteHeader", False, True), ("entry-header", True, False), ("market-share", True, False), ("share-buttons", True, True), ("reply-all-guide", True, False), ("post comments", True, True), ("sidebar-left x", False, True), ("no-ads", False, False), ("notice", True, True), ("", True, False)])
+def test_names_of_chrome(name, inside, chrome):
+    assert html.chrome_name(name, inside) == chrome
+
+
+def test_pages_of_odd_kinds(spark):
+    long = " ".join(f"word{i}" for i in range(300_000))
+    rows = [(1, "http://h.example/1", f"<article><p>{long}</p></article>", 1, "x"), (1, "http://h.example/1", f"<article><p>{long}</p></article>", 2, "y"), (None, None, None, 3, None), (2, None, "", 4, None), (None, "http://h.example/2", "<p>a b", 5, "z"), (3, "no url", f"<div>{long}", 6, None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, hash int, blocks string")
+    got = sorted((r["page_id"] or 0, r["text"]) for r in html.extract(docs).collect())
+    assert got == sorted([(1, long), (1, long), (0, ""), (2, ""), (0, "a b"), (3, long)])
+    assert html.extract(docs.where("false")).count() == 0
+
+
+def test_shared_lengths_of_like_pages_are_counted_by_doubling():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 400):
+        ids = np.concatenate([rng.integers(0, 3, n)] * 2)
+        order, shared = html.suffix_array(ids)
+        suffixes = [ids[i:].tolist() for i in order]
+        assert suffixes == sorted(suffixes)
+        plain = [next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in itertools.pairwise(suffixes)]
+        assert shared.tolist() == [0, *plain]
+
+
 def test_windows_cover_what_the_suffix_array_does():
     rng = random.Random(9)
     for _ in range(40):
