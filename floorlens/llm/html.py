@@ -43,7 +43,7 @@ from .common import bounded_broadcast, materialise, skewed_left_join
 
 CONTENT, LOOSE, CHROME, OPEN = "content", "loose", "chrome", "open"
 #: Shortest repeated run in tokens, tokens of a host that share a task.
-MIN_RUN, GROUP = 8, 1 << 18
+MIN_RUN, GROUP = 8, 1 << 16
 #: Most hosts whose page counts are broadcast.
 BROADCAST_HOSTS = 50_000
 
@@ -281,10 +281,13 @@ def _parse_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _parse_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the last column, html, by all blocks but chrome."""
+    """Replaces the last column, html, by the text of a page that has content and chrome only, or else by all blocks but chrome."""
     for batch in batches:
-        found = [[{"place": i, "zone": z, "text": t} for i, (z, t) in enumerate(blocks(h.as_py())) if z != CHROME] for h in batch.columns[-1]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, _KIND)], names=[*batch.schema.names[:-1], "blocks"])
+        found = [[(i, z, t) for i, (z, t) in enumerate(blocks(h.as_py())) if z != CHROME] for h in batch.columns[-1]]
+        sure = [all(z == CONTENT for _, z, _ in page) for page in found]
+        text = pa.array(["\n".join(t for *_, t in page) if s else None for page, s in zip(found, sure, strict=True)], pa.string())
+        kept = pa.array([None if s else [dict(zip(("place", "zone", "text"), b, strict=True)) for b in page] for page, s in zip(found, sure, strict=True)], _KIND)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text, kept], names=[*batch.schema.names[:-1], "whole", "blocks"])
 
 
 def token_windows(texts: pa.Array, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,7 +412,8 @@ def extract(pages: DataFrame) -> DataFrame:
         boilerplate = F.coalesce(left == "", F.lit(False)) & ~F.coalesce("copied", F.lit(False))
         return F.when(b["zone"] == CONTENT, b["text"]).when(b["zone"] == LOOSE, F.when(~boilerplate, b["text"])).when(~gone, F.coalesce(left, b["text"]))
 
-    texts = held.select("page_id", "url", "hash", "html").mapInArrow(tk.freeing(_parse_texts), f"page_id long, url string, hash long, blocks {_BLOCKS}")
-    whole = texts.join(found, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("hash") == F.col("h")), "left")
+    texts = held.select("page_id", "url", "hash", "html").mapInArrow(tk.freeing(_parse_texts), f"page_id long, url string, hash long, whole string, blocks {_BLOCKS}")
+    # Always by a shuffle, as a large table needs it: the decisions grow with the pages.
+    joined = texts.join(found.hint("merge"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("hash") == F.col("h")), "left")
     text = F.array_join(F.filter(F.transform("blocks", kept), lambda t: F.coalesce(t != "", F.lit(False))), "\n")
-    return whole.select("page_id", "url", text.alias("text"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
+    return joined.select("page_id", "url", F.coalesce("whole", text).alias("text"), F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
