@@ -35,10 +35,10 @@ from .common import WORD, materialise, null_key
 from .textkernel import mix64
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-#: Words of a block, slots of a shard, shards that one row of the driver's running totals covers.
+#: Words of a block, slots of a shard, shards that one row of running totals covers at least.
 BLOCK, SLOTS, GROUP = 256, 2048, 64
-#: More sources than this are refused: the table of sources is held by the driver and every task.
-MAX_SOURCES = 100_000
+#: Most numbers (groups times sources) in the table of running totals; groups grow beyond that.
+CELLS = 1 << 21
 SEED = 20_240_601
 U64 = np.uint64
 
@@ -92,7 +92,7 @@ def permuted(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """What all tasks know of the sources: sizes, blocks, wanted words and slots, and the running totals of draws."""
+    """What all tasks know of the sources, some 100 bytes of each: sizes, blocks, wanted words and slots, all draws."""
 
     keys: list[str]
     size: np.ndarray
@@ -103,8 +103,8 @@ class Plan:
     block: int
     slots: int
     seed: int
-    starts: np.ndarray | None = None
-    over: np.ndarray | None = None
+    group: int = GROUP
+    final: np.ndarray | None = None
 
     @property
     def shards(self) -> int:
@@ -135,15 +135,14 @@ class Plan:
                 cache[c] = _place_of(int(self.blocks[s]) - 1, int(self.blocks[s]), self.key_of(np.array([s]), np.array([e]))[0])
         return np.array([cache[c] for c in code.tolist()], np.int64)
 
-    def draws(self, group: int) -> np.ndarray:
-        """Multinomial counts of the shards of a group, a row each."""
-        p = self.quota / self.quota.sum()
-        first, last = group * GROUP, min((group + 1) * GROUP, self.shards)
-        rows = np.zeros((last - first, len(self.keys)), np.int64)
-        for k in range(first, last):
-            n = min(self.slots, int(self.quota.sum()) - k * self.slots)
-            rows[k - first] = np.random.Generator(np.random.PCG64([self.seed, k])).multinomial(n, p)
-        return rows
+    def draw(self, shard: int) -> np.ndarray:
+        """Multinomial counts of a shard's slots by source."""
+        total = int(self.quota.sum())
+        n = min(self.slots, total - shard * self.slots)
+        return np.random.Generator(np.random.PCG64([self.seed, shard])).multinomial(n, self.quota / total)
+
+    def shards_of(self, group: int) -> range:
+        return range(group * self.group, min((group + 1) * self.group, self.shards))
 
 
 def _place_of(value: int, n: int, key: int) -> int:
@@ -175,6 +174,8 @@ def make_plan(sizes: dict[str, int], *, block: int = BLOCK, slots: int = SLOTS,
             mid = (low + high) // 2
             low, high = (low, mid) if plan.words_before(np.array([i]), np.array([mid]))[0] >= want[i] else (mid + 1, high)
         plan.quota[i] = low
+    # More shards share a row where the table of running totals would have more than CELLS numbers.
+    plan.group = max(GROUP, -(-plan.shards * len(keys) // CELLS))
     return plan
 
 
@@ -182,66 +183,68 @@ def _total_draws(plan: Plan):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for g in frame["id"].tolist():
-                yield pd.DataFrame({"id": [g], "counts": [plan.draws(g).sum(axis=0)]})
+                yield pd.DataFrame({"id": [g], "counts": [sum(plan.draw(k) for k in plan.shards_of(g))]})
 
     return run
 
 
-def _slot_rows(plan: Plan, group: int) -> pd.DataFrame:
-    """All slots of a group of shards: shard, slot, source number, epoch, block, words taken of it."""
-    draws, start = plan.draws(group), plan.starts[group].copy()
-    over = int(plan.over[group])
-    final = plan.starts[-1]
-    missing = np.maximum(plan.quota - final, 0)
+def _slot_rows(plan: Plan, shard: int, counts: np.ndarray, start: np.ndarray, over: int) -> tuple[pd.DataFrame, int]:
+    """The slots of a shard (shard, slot, source number, epoch, block, words taken of it), and how many went beyond a quota.
+
+    start: slots of each source in the shards before. over: how many of those went beyond a quota.
+    """
+    missing = np.maximum(plan.quota - plan.final, 0)
     edges = np.cumsum(missing)
-    pool = int(edges[-1]) if len(edges) else 0
-    shard, slot, source, number = [], [], [], []
-    for k, counts in enumerate(draws):
-        at = np.random.Generator(np.random.PCG64([plan.seed, group * GROUP + k, 1])).permutation(int(counts.sum()))
-        which = np.repeat(np.arange(len(counts)), counts)
-        n = np.concatenate([s + np.arange(c) for s, c in zip(start, counts, strict=True)]) if len(counts) else np.zeros(0, np.int64)
-        beyond = np.flatnonzero(n >= plan.quota[which])
-        if len(beyond):
-            key = plan.key_of(np.full(len(beyond), 2**32), np.zeros(len(beyond)))
-            turn = permuted(over + np.arange(len(beyond)), np.full(len(beyond), pool), key)
-            to = np.searchsorted(edges, turn, "right")
-            which[beyond], n[beyond] = to, final[to] + turn - (edges[to] - missing[to])
-            over += len(beyond)
-        start += counts
-        shard.append(np.full(len(at), group * GROUP + k))
-        slot.append(at)
-        source.append(which)
-        number.append(n)
-    source, number = np.concatenate(source), np.concatenate(number)
+    slot = np.random.Generator(np.random.PCG64([plan.seed, shard, 1])).permutation(int(counts.sum()))
+    source = np.repeat(np.arange(len(counts)), counts)
+    number = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(len(source))
+    beyond = np.flatnonzero(number >= plan.quota[source])
+    if len(beyond):
+        key = plan.key_of(np.full(len(beyond), 2**32), np.zeros(len(beyond)))
+        turn = permuted(over + np.arange(len(beyond)), np.full(len(beyond), int(edges[-1])), key)
+        to = np.searchsorted(edges, turn, "right")
+        source[beyond], number[beyond] = to, plan.final[to] + turn - (edges[to] - missing[to])
     blocks = plan.blocks[source]
     epoch = number // blocks
     taken = permuted(number % blocks, blocks, plan.key_of(source, epoch))
     length = np.where(taken == blocks - 1, plan.tail()[source], plan.block)
-    before = plan.words_before(source, number)
-    take = np.minimum(length, plan.want[source] - before)
-    return pd.DataFrame({"shard": np.concatenate(shard), "slot": np.concatenate(slot), "src": source.astype(np.int32), "epoch": epoch.astype(np.int32), "block": taken, "take": take.astype(np.int32)})
+    take = np.minimum(length, plan.want[source] - plan.words_before(source, number))
+    rows = {"shard": np.full(len(slot), shard), "slot": slot, "src": source.astype(np.int32), "epoch": epoch.astype(np.int32), "block": taken, "take": take.astype(np.int32)}
+    return pd.DataFrame(rows), len(beyond)
 
 
 def _slots(plan: Plan):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for g in frame["id"].tolist():
-                yield _slot_rows(plan, g)
+            for g, start, over in zip(frame["id"].tolist(), frame["start"].tolist(), frame["over"].tolist(), strict=True):
+                start = np.array(start, np.int64)
+                for k in plan.shards_of(g):
+                    counts = plan.draw(k)
+                    rows, beyond = _slot_rows(plan, k, counts, start, over)
+                    yield rows
+                    start, over = start + counts, over + beyond
 
     return run
 
 
 def draw_slots(spark, plan: Plan) -> DataFrame:
-    """The mix as a table of slots. The driver holds one row of counts for GROUP * SLOTS blocks."""
-    groups = -(-plan.shards // GROUP)
+    """The mix as a table of slots.
+
+    Running totals stand in a table with a row for each group of shards, at most CELLS numbers in all;
+    a task gets its own group's row.
+    """
+    groups = -(-plan.shards // plan.group)
     if not groups:
         return spark.createDataFrame([], "shard long, slot long, src int, epoch int, block long, take int")
-    ids = spark.range(0, groups, 1, max(1, min(groups, 4 * spark.sparkContext.defaultParallelism)))
-    rows = sorted((r["id"], r["counts"]) for r in ids.mapInPandas(_total_draws(plan), "id long, counts array<long>").collect())
-    counts = np.array([c for _, c in rows], np.int64)
-    plan.starts = np.concatenate([np.zeros((1, len(plan.keys)), np.int64), np.cumsum(counts, axis=0)])
-    plan.over = np.maximum(plan.starts - plan.quota, 0).sum(axis=1)
-    # Written first, so that the planner knows its size: the estimate for rows made from a range is far too low.
+    deal = max(1, min(groups, 4 * spark.sparkContext.defaultParallelism))
+    rows = sorted((r["id"], r["counts"]) for r in spark.range(0, groups, 1, deal).mapInPandas(_total_draws(plan), "id long, counts array<long>").collect())
+    ends = np.cumsum(np.array([c for _, c in rows], np.int64), axis=0)
+    starts = np.concatenate([np.zeros((1, len(plan.keys)), np.int64), ends[:-1]])
+    plan.final = ends[-1]
+    over = np.maximum(starts - plan.quota, 0).sum(axis=1)
+    told = pd.DataFrame({"id": range(groups), "start": starts.tolist(), "over": over})
+    ids = spark.createDataFrame(told, "id long, start array<long>, over long").repartition(deal, "id")
+    # Written first, so that the planner knows its size: the estimate for rows made from few is far too low.
     return materialise(ids.mapInPandas(_slots(plan), "shard long, slot long, src int, epoch int, block long, take int"), "mix-slots")
 
 
@@ -272,9 +275,8 @@ def placed(held: DataFrame) -> DataFrame:
 
 
 def source_sizes(held: DataFrame) -> dict[str, int]:
-    rows = held.groupBy("__key").agg(F.sum("__size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    """Words by source, held by the driver: a row for each source."""
+    rows = held.groupBy("__key").agg(F.sum("__size").alias("n")).collect()
     return {r["__key"]: r["n"] for r in sorted(rows, key=lambda r: (r["__key"] == "~", r["__key"]))}
 
 
@@ -318,7 +320,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     ``n_chars`` (where there is such a column) is the text's length.
     """
     documents, spans, _ = mix(sized(docs), **options)
-    pieces = spans.groupBy("__key", "__start", "epoch").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__spans"), F.sum(F.col("high") - F.col("low")).alias("__taken"))
+    pieces = spans.groupBy("__key", "__start", F.col("epoch").alias("__epoch")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__spans"), F.sum(F.col("high") - F.col("low")).alias("__taken"))
     joined = documents.where(F.col("__size") > 0).join(pieces, ["__key", "__start"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.flatten(F.transform("__spans", lambda s: F.slice(F.col("__words"), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int"))))

@@ -4,7 +4,8 @@ Every version of every text is a blob, addressed by the SHA-256 of its UTF-8 byt
 one row per blob and rule version with the blob's findings. A scan hashes all texts, takes the blobs
 that the ledger has not seen under the current rules, scans one copy of each, appends the result to
 the ledger and joins the findings back to every row (path) that holds the blob. Only blobs with
-findings take part in that join.
+findings take part in that join, and a blob that very many rows hold is not shuffled.
+:func:`scan_stored` keeps the ledger between runs.
 
 Defined results: a null text is the empty blob, which has no findings; repeated rows each get their
 findings; an empty table gives no rows; other columns than the path column and text are not read.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, skewed_left_join
 
 #: Kinds in the order in which ties of position are listed. The pattern, and what a match must have.
 RULES = (
@@ -79,9 +80,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id")
     fresh = materialise(scan_unseen(docs, ledger, path), "ledger")
     whole = fresh if ledger is None else ledger.select(*fresh.columns).unionByName(fresh)
     hits = whole.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    slim = blobs(docs, path).select("path", "blob")
-    none = F.array().cast(_SPAN)
-    return slim.join(hits, "blob", "left").select("path", "blob", F.coalesce("spans", none).alias("spans")), whole
+    slim = materialise(blobs(docs, path).select("path", "blob"), "paths")
+    # A blob that many rows hold is hot; most hold none of the blobs with findings, and are not joined at all.
+    counts = slim.groupBy("blob").agg(F.count(F.lit(1)).alias("__rows"))
+    known = materialise(hits.join(counts, "blob"), "hits")
+    found = skewed_left_join(slim, known, ["blob"])
+    return found.select("path", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")), whole
+
+
+def scan_stored(docs: DataFrame, store: str, path: str = "doc_id") -> DataFrame:
+    """:func:`scan` with a ledger kept at the path ``store``, to which the rows of unseen blobs are appended."""
+    spark = docs.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(store) if files.exists(folder) else None
+    fresh = materialise(scan_unseen(docs, ledger, path), "ledger")
+    fresh.write.mode("append").partitionBy("rule_version").parquet(store)
+    return scan(docs, spark.read.schema(LEDGER_SCHEMA).parquet(store), path)[0]
 
 
 def joined(spans):

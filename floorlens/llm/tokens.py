@@ -399,22 +399,22 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1
 
 
-SHARD_SCHEMA = "part int, seq int, n_ids long, n_docs long, image binary"
+SHARD_SCHEMA = "part int, seq int, first long, n_ids long, n_docs long, image binary"
 
 
 def _writer(path: str, end: int, shard_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, first
             docs = [d for x in held for d in x[0]]
             lengths, ids = (np.concatenate([x[k] for x in held]) for k in (1, 2))
             held.clear()
-            seq += 1
-            row = {"part": part, "seq": seq - 1, "n_ids": len(ids), "n_docs": len(docs), "image": pack_shard(docs, lengths, ids)}
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            row = {"part": part, "seq": seq, "first": first, "n_ids": len(ids), "n_docs": len(docs), "image": pack_shard(docs, lengths, ids)}
+            seq, first = seq + 1, first + len(ids)
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         for batch in batches:
@@ -441,12 +441,12 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, shard
     return path
 
 
-READ_SCHEMA = "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long"
+READ_SCHEMA = "part int, doc_id long, within long, n_tokens long, ids_crc32 long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, seq, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for part, first, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             shard = Shard(image.as_buffer())
             data = memoryview(shard.ids().astype("<u4")).cast("B")
             size = shard.lengths.astype(np.int64)
@@ -454,15 +454,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edge = (4 * total).tolist()
             crc = [zlib.crc32(data[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             n = shard.n_docs
-            columns = [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(total[:-1]), pa.array(size), pa.array(crc, pa.int64())]
+            columns = [pa.array([part] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(first + total[:-1]), pa.array(size), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in READ_SCHEMA.split(", ")])
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """Per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32."""
+    """Per document of the shards: doc_id, start (ids before it), n_tokens, ids_crc32.
+
+    A shard's row says how many ids its part (the task that wrote it) has before it, so that only the
+    parts' totals are summed up on the driver: a number for each task.
+    """
     stored = spark.read.parquet(path)
-    sizes = stored.select("part", "seq", "n_ids").orderBy("part", "seq").toPandas()  # a row per shard of millions of ids
-    sizes["before"] = sizes["n_ids"].cumsum() - sizes["n_ids"]
-    before = spark.createDataFrame(sizes[["part", "seq", "before"]].astype({"before": "int64"}), "part int, seq int, before long")
-    found = stored.select("part", "seq", "image").mapInArrow(tk.freeing(_read), READ_SCHEMA)
-    return found.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    sizes = sorted(map(tuple, stored.groupBy("part").agg(F.sum("n_ids")).collect()))
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    rows = spark.createDataFrame([(p, n) for (p, _), n in zip(sizes, before, strict=False)], "part int, before long")
+    found = stored.select("part", "first", "image").mapInArrow(tk.freeing(_read), READ_SCHEMA)
+    return found.join(F.broadcast(rows), "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
