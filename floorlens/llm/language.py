@@ -8,7 +8,7 @@ score wins, and ``score`` is its share of the tempered likelihoods.
 
 The model is fitted on a bounded sample of the labelled rows: about SAMPLE documents of each language
 (chosen by a hash of doc_id, whole texts), the WORDS most frequent words and GRAMS most frequent
-n-grams of each language, at most MAX_LANGS languages. Its size is so bounded whatever the corpus,
+n-grams of each language. Its size is so bounded by the number of languages (some megabytes for ten),
 and it is sent to all tasks. Every document is scored over its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
@@ -25,10 +25,13 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, WORDS, GRAMS, LONGEST, MAX_LANGS = 3000, 30_000, 20_000, 4, 1000
+from .common import materialise
+from .textkernel import freeing
+
+SAMPLE, WORDS, GRAMS, LONGEST = 3000, 30_000, 20_000, 4
 #: Log penalty of each step from words to 4-, 3-, 2- and 1-grams.
 STEP = log(2.0)
 #: Words beyond which a text's likelihoods are tempered, so that the score stays a graded one.
@@ -53,7 +56,6 @@ class Model:
         counts = np.array(list(grams.values()), np.float64).reshape(-1, k)
         self.grams = np.log((counts + 0.5) / (gram_totals[lengths - 1] + 1)) if len(grams) else counts
         self.gram_place = {g: i for i, g in enumerate(grams)}
-        self.cache: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
         """Backs off: the longest known n-gram at each place, left to right."""
@@ -70,34 +72,34 @@ class Model:
                 at += 1
         return total / n if n else total
 
-    def word(self, word: str) -> np.ndarray:
-        i = self.place.get(word)
-        if i is not None:
-            return self.rows[i]
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) >= 200_000:
-                self.cache.clear()
-            found = self.cache[word] = self.unseen(word)
-        return found
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(c.isalpha() for c in text):
-            return UND, 0.0
-        words = LETTERS.findall(text.lower())
-        if not words:
-            return UND, 0.0
-        known, other = [], np.zeros(len(self.langs))
-        for w in words:
-            i = self.place.get(w)
-            if i is not None:
-                known.append(i)
-            else:
-                other += self.word(w)
-        total = other + self.rows[known].sum(axis=0) if known else other
-        best = int(np.argmax(total))
-        share = np.exp((total - total[best]) * min(1.0, SURE / len(words)))
-        return self.langs[best], float(1 / share.sum())
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word: its own, or those of its n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        places = np.array([self.place.get(w, -1) for w in words], np.int64)
+        known = places >= 0
+        out[known] = self.rows[places[known]]
+        for i in np.flatnonzero(~known).tolist():
+            out[i] = self.unseen(words[i])
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and score of each text; every distinct word of them is looked up once."""
+        langs, score = [UND] * len(texts), [0.0] * len(texts)
+        if not self.langs:
+            return langs, score
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        n = np.array([len(w) for w in found], np.int64)
+        coded = pa.array([w for words in found for w in words], pa.string()).dictionary_encode()
+        rows, number = self.scores(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        at = np.concatenate([[0], np.cumsum(n)])
+        for i in np.flatnonzero(n).tolist():
+            # by number of occurrences of each word, so that a long text needs no row for every word
+            times = np.bincount(number[at[i] : at[i + 1]]) if n[i] > 5000 else None
+            total = times @ rows[: len(times)] if times is not None else rows[number[at[i] : at[i + 1]]].sum(axis=0)
+            best = int(np.argmax(total))
+            share = np.exp((total - total[best]) * min(1.0, SURE / n[i]))
+            langs[i], score[i] = self.langs[best], float(1 / share.sum())
+        return langs, score
 
 
 def held_out(doc_id):
@@ -119,18 +121,17 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
     """A model of the rows of ``docs`` that have a language. The caller leaves out what must not be learned."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(counts)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in counts.collect()}
+    langs = sorted(share)
     if not langs:
         return Model([], {}, {}, ([], []))
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / counts[lang]))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) < share * F.lit(1 << 30)
+    spark = docs.sparkSession
+    shares = spark.createDataFrame(list(share.items()), "lang string, share double")
+    labelled = labelled.join(F.broadcast(shares), "lang")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)
     seen = labelled.where(drawn).select("lang", "text").mapInArrow(_tokens, "lang string, word string, n long")
-    seen = seen.groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
+    seen = materialise(seen.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def cuts(size: int):
@@ -138,14 +139,15 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int
         found = F.transform(places, lambda i: F.substring(padded, i, F.lit(size)))
         return F.when(F.length("word") + 2 >= size, found).otherwise(F.array().cast("array<string>"))
 
-    gram = seen.select("lang", "n", F.explode(F.concat(*map(cuts, range(1, LONGEST + 1)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n")).cache()
+    gram = seen.select("lang", "n", F.explode(F.concat(*map(cuts, range(1, LONGEST + 1)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    gram = materialise(gram, "lang-grams")
 
     def top(table: DataFrame, most: int) -> tuple[dict[str, list[float]], DataFrame]:
         """Counts by language of the most frequent strings of any language."""
         out: dict[str, list[float]] = {}
-        for k, lang in enumerate(langs):  # at most MAX_LANGS small reads of ``most`` rows each
-            for r in table.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(most).collect():
-                out.setdefault(r["word"], [0.0] * len(langs))[k] = float(r["n"])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        for r in table.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect():
+            out.setdefault(r["word"], [0.0] * len(langs))[langs.index(r["lang"])] = float(r["n"])
         return out, table.groupBy("lang", F.least(F.length("word"), F.lit(LONGEST)).alias("size")).agg(F.sum("n").alias("n"))
 
     word_counts, _ = top(seen, words)
@@ -155,8 +157,6 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int
         word_total[langs.index(r["lang"])] = float(r["n"])
     for r in sizes.collect():
         gram_total[r["size"] - 1][langs.index(r["lang"])] += float(r["n"])
-    seen.unpersist()
-    gram.unpersist()
     return Model(langs, word_counts, gram_counts, (word_total, gram_total))
 
 
@@ -168,13 +168,12 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            found = [own.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            langs, scores = zip(*found, strict=True) if found else ((), ())
+            langs, scores = own.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(freeing(run), f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:

@@ -7,10 +7,12 @@ fixed place in the file::
     indexes/index.cdx         a line "offset length payload-digest record-id" per record
     datapackage.json          counts
 
-The reader finds the end-of-central-directory record from the tail, follows the ZIP64 locator where
+The reader opens a package through the store's file system (:func:`ranges`) and seeks in it: nothing is
+loaded whole. It finds the end-of-central-directory record from the tail, follows the ZIP64 locator where
 sizes or offsets overflow (or where ``zip64=True`` forced it), parses the central directory, locates
 the members, loads the index and reads single records by range; nothing is extracted. It needs only
-``read(offset, length)`` and the size, so any store with range reads will do.
+``read(offset, length)`` and the size, so any store with range reads will do; from a store that Spark
+alone can open, packages come as whole values and are read by range in memory.
 
 Packages are real files: each is one value that Spark's text writer puts out byte for byte, one per
 file. The line end that the writer adds is the ZIP comment. Spark commits the files and can write
@@ -32,15 +34,19 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise
+from .common import fresh_path, materialise, skewed_left_join
 
 #: Bytes of records after which a package is closed.
-PACKAGE_BYTES = 8 << 20
+PACKAGE_BYTES = 64 << 20
+#: Most payloads with copies that are broadcast (some 50 bytes each).
+BROADCAST_COPIES = 100_000
 ARCHIVE, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
 _ZIP_DATE = (0 << 11, (2020 - 1980) << 9 | 1 << 5 | 1)
 _SPACE = uuid.UUID("6f2c1d0a-5b1e-5c7e-9b62-1f0f6f3f9a10")
@@ -157,7 +163,10 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
         f"X-Payload-Length: {len(payload)}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {''.join(c if c > ' ' else f'%{ord(c):02X}' for c in url)}")
+        plain = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
+        head.append(f"WARC-Target-URI: {plain}")
+        if plain != url:
+            head.append(f"X-Target-URI-Base64: {base64.b64encode(url.encode()).decode()}")
     if revisit:
         head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -204,14 +213,14 @@ def read_package(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple
 def with_originals(pages: DataFrame) -> DataFrame:
     """page_id, url, html and ``original``: the largest page_id of the same payload, null if it has no copies.
 
-    Only payloads with copies enter the join; a payload that a third of all pages share is summed
-    map-side and then is one row, whose join partners Spark's adaptive execution can split.
+    Payloads are summed map-side. One that very many pages share is not shuffled: its pages take their
+    original from a broadcast.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     held = pages.select("page_id", "url", html.alias("html"))
     held = held.withColumn("payload", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)))
-    many = held.groupBy("payload").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return held.join(materialise(many, "warc-copies"), "payload", "left").drop("payload")
+    many = held.groupBy("payload").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1")
+    return skewed_left_join(held, materialise(many, "warc-copies"), ["payload"], broadcast_rows=BROADCAST_COPIES).drop("payload")
 
 
 def _pack(package_bytes: int):
@@ -253,27 +262,62 @@ def write_packages(pages: DataFrame, *, package_bytes: int = PACKAGE_BYTES) -> s
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def ranges(path: str) -> tuple[Callable[[int, int], bytes], Callable[[], None]] | None:
+    """``read(offset, length)`` of a file by its URI, and what closes it; None if only Spark can open it."""
+    try:
+        system, place = fs.FileSystem.from_uri(path)
+        file = system.open_input_file(place)
+    except (pa.ArrowException, OSError):
+        return None
+    return lambda at, n: file.read_at(n, at), file.close
+
+
+def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of READ_SCHEMA; every response's payload is checked against its digest."""
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    while True:
+        rows = []
+        for head, block in islice(records, 4096):
+            kind, size = head["warc-type"], int(head["x-payload-length"])
+            digest = head["warc-payload-digest"].partition(":")[2]
+            if kind == "response":
+                payload = block.partition(b"\r\n\r\n")[2]
+                if len(payload) != size or payload_digest(payload) != digest:
+                    raise ValueError(f"record {head['warc-record-id']} is damaged")
+            number = lambda k: int(head[k]) if head.get(k) else None  # noqa: E731, B023
+            exact = head.get("x-target-uri-base64")
+            url = base64.b64decode(exact).decode() if exact else head.get("warc-target-uri")
+            rows.append((number("x-page-id"), url, size, digest, kind, number("x-refers-to-page")))
+        if not rows:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in READ_SCHEMA.split(", ")])
+
+
+def _unpack_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of packages, given as paths and lengths, by ranges of the files."""
+    for batch in batches:
+        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if length:
+                read, close = ranges(path)
+                yield from _rows(read_package(read, length))
+                close()
+
+
+def _unpack_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of packages, given as whole values."""
     for batch in batches:
         for image in batch.column(0):
             view = memoryview(image.as_buffer())
-            if not len(view):
-                continue
-            rows = []
-            for head, block in read_package(lambda at, n, v=view: v[at : at + n], len(view)):
-                kind, size = head["warc-type"], int(head["x-payload-length"])
-                digest = head["warc-payload-digest"].partition(":")[2]
-                if kind == "response":
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    if len(payload) != size or payload_digest(payload) != digest:
-                        raise ValueError(f"record {head['warc-record-id']} is damaged")
-                number = lambda k: int(head[k]) if head.get(k) else None  # noqa: E731, B023
-                rows.append((number("x-page-id"), head.get("warc-target-uri"), size, digest, kind, number("x-refers-to-page")))
-            columns = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in READ_SCHEMA.split(", ")])
+            if len(view):
+                yield from _rows(read_package(lambda at, n, v=view: v[at : at + n], len(view)))
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of all packages in the folder; every response's payload is checked against its digest."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_unpack, READ_SCHEMA)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    listed = files.select("path", "length")  # the contents are not read
+    first = listed.first()
+    if first is not None and ranges(first["path"]):
+        deal = max(1, min(listed.count(), 4 * spark.sparkContext.defaultParallelism))
+        return listed.repartition(deal).mapInArrow(_unpack_files, READ_SCHEMA)
+    return files.select("content").mapInArrow(_unpack_values, READ_SCHEMA)

@@ -698,6 +698,32 @@ def test_warc_round_trip(spark):
     assert warc.read_packages(spark, warc.write_packages(df.where("false"))).count() == 0
 
 
+def test_warc_reads_ranges_only(tmp_path):
+    records = [(warc._gzip(warc.build_record(i, f"http://x/{i}", bytes([97 + i % 26]) * 5000, None, warc.payload_digest(bytes([97 + i % 26]) * 5000), False)), "D", f"r{i}") for i in range(50)]
+    path = tmp_path / "part-0"
+    path.write_bytes(warc.build_package(records, b"\n"))
+    size = path.stat().st_size
+    read, close = warc.ranges(path.as_uri())
+    asked = []
+    rows = list(warc._rows(warc.read_package(lambda a, n: asked.append(n) or read(a, n), size)))
+    close()
+    assert sum(b.num_rows for b in rows) == 50 and len(asked) >= 52
+    assert warc.ranges("unknown-store://x/y") is None and warc.ranges((tmp_path / "none").as_uri()) is None
+
+
+def test_warc_of_odd_pages(spark, monkeypatch):
+    long = "x" * 3_000_000
+    rows = [(1, "http://h/a b%20c\té", long, 1, "r"), (2, None, long, 2, None), (3, "http://h/%41", "", 3, None), (None, "u", None, 4, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, original int, payload string")
+    path = warc.write_packages(df)
+    got = {r["page_id"]: (r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_packages(spark, path).collect()}
+    assert got == {1: (rows[0][1], 3_000_000, "revisit", 2), 2: (None, 3_000_000, "response", None), 3: ("http://h/%41", 0, "response", None), None: ("u", 0, "revisit", 3)}
+    monkeypatch.setattr(warc, "ranges", lambda path: None)
+    assert {r["page_id"]: (r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_packages(spark, path).collect()} == got
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", 0)
+    assert warc.read_packages(spark, warc.write_packages(df.unionByName(df))).count() == 8
+
+
 # ------------------------------------------------------------------ 8
 
 
@@ -714,6 +740,42 @@ def test_language(spark, odd, empty):
     assert language.identify(odd).count() == odd.count() and language.identify(empty).count() == 0
 
 
+def plain_prediction(model, text):
+    """Word by word: the model's rows, or the mean of the longest known n-grams' rows less their steps."""
+    total, n = [0.0] * len(model.langs), 0
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        n += 1
+        if w in model.place:
+            row = model.rows[model.place[w]]
+        else:
+            padded, at, got = f" {w} ", 0, []
+            while at < len(padded):
+                size = next((k for k in (4, 3, 2, 1) if at + k <= len(padded) and padded[at : at + k] in model.gram_place), 0)
+                if size:
+                    got.append([g - (5 - size) * math.log(2) for g in model.grams[model.gram_place[padded[at : at + size]]]])
+                at += max(1, size - 1)
+            row = [sum(c) / len(got) for c in zip(*got)] if got else [0.0] * len(model.langs)
+        total = [a + b for a, b in zip(total, row)]
+    if not n:
+        return "und", 0.0
+    best = max(range(len(total)), key=lambda k: (total[k], -k))
+    return model.langs[best], 1 / sum(math.exp((t - total[best]) * min(1.0, 20 / n)) for t in total)
+
+
+def test_predictions_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    model = language.fit(docs, words=300, grams=400)
+    texts_ = [r["text"] for r in docs.collect()] + ["", None, "123", "Zzz qqq", "the " * 6000, sentence(3, 40)]
+    langs, scores = model.predict(texts_)
+    expected = [plain_prediction(model, t) for t in texts_]
+    assert langs == [a for a, _ in expected] and scores == pytest.approx([b for _, b in expected])
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words here", "b"), (3, "same words here", "a")], "doc_id long, text string, lang string")
+    assert language.fit(docs).predict(["same words here", "here"])[0] == ["a", "a"]
+
+
 def test_model_is_blind_to_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, "held" if zlib.crc32(str(i).encode()) % 4 == 2 else "seen", "x") for i in range(40)], "doc_id long, text string, lang string")
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
