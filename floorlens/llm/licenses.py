@@ -14,11 +14,10 @@ anchors are words chosen so that more than 1 - CONTAINED of each template's shin
 any match holds one. Windows are taken from the first anchor less the longest template to the last
 anchor plus that.
 
-Templates are the caller's or TEMPLATES; more than MAX_SHINGLES template shingles are refused, since
-the bands of all templates are broadcast.
+Templates are the caller's or TEMPLATES; their bands are broadcast if they are at most BROADCAST_BANDS.
 
 Defined results: null or empty texts and texts of fewer than SHINGLE words match nothing; a template
-of fewer words is refused; repeated rows are reported alike; a null doc_id is passed on; an empty
+of fewer words is refused, as it has no shingle; each of repeated rows is reported; a null doc_id is passed on; an empty
 table gives no rows; other columns than doc_id and text are not read.
 """
 
@@ -29,10 +28,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_broadcast, materialise
 
 SHINGLE, CONTAINED, BANDS, LONGEST = 5, 0.75, 16, 64
-MAX_SHINGLES = 200_000
+#: Most bands of templates that are broadcast (some kilobytes each, with the template's shingles).
+BROADCAST_BANDS = 20_000
 
 # Public license notices.
 TEMPLATES = {
@@ -111,8 +111,6 @@ def windows(length: int, step: int) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """name, shingles (distinct hashes), n (shingles in a row), length of its windows, and their bands."""
     rows = [(k, template_words(t)) for k, t in templates.items()]
-    if sum(len(w) for _, w in rows) > MAX_SHINGLES:
-        raise ValueError(f"more than {MAX_SHINGLES} template words")
     lengths = sorted({window_length(len(w) - SHINGLE + 1) for _, w in rows})
     table = spark.createDataFrame(rows, "name string, words array<string>").withColumn("hashes", shingle_hashes(F.col("words")))
     table = table.withColumn("values", permuted(F.col("hashes")))
@@ -142,27 +140,27 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
         if not any(b != a and b in a for b in marks):
             has_anchor = has_anchor | low.contains(a)
     listed = F.array(*(F.lit(a) for a in marks))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.col("text").cast("string").alias("text")).where(has_anchor)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(has_anchor)
     # Written out, or the optimizer would repeat the splitting in each expression that uses the words.
-    held = materialise(texts.select("doc_id", "hash", words_of(F.col("text")).alias("words")), "license-words")
+    held = materialise(texts.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words")), "license-words")
     at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(listed, w), i)), lambda i: i.isNotNull())
     held = held.withColumn("at", at).where(F.size("at") > 0)
     first = F.greatest(F.array_min("at") - reach, F.lit(0))
     held = held.withColumn("words", F.slice("words", first + 1, F.array_max("at") + reach + 1 - first))
-    held = materialise(held.select("doc_id", "hash", shingle_hashes(F.col("words")).alias("hashes")), "license-hashes").where(F.size("hashes") > 0)
+    held = materialise(held.select("doc_id", "row", shingle_hashes(F.col("words")).alias("hashes")), "license-hashes").where(F.size("hashes") > 0)
     # What is left of the texts may stand in a few small files; the windows are worth all tasks.
     held = held.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
     held = held.withColumn("values", permuted(F.col("hashes")))
     # A text shorter than a length has one window of it, the whole text: it may hold enough of a template.
     fitting = [windows(n, n // 8) for n in lengths]
-    spread = held.select("doc_id", "hash", "hashes", F.explode(F.flatten(F.array(*fitting))).alias("w"))
-    spread = spread.select("doc_id", "hash", "hashes", "w.length", "w.at", F.explode("w.bands").alias("band"))
+    spread = held.select("doc_id", "row", "hashes", F.explode(F.flatten(F.array(*fitting))).alias("w"))
+    spread = spread.select("doc_id", "row", "hashes", "w.length", "w.at", F.explode("w.bands").alias("band"))
     known = template_table(spark, templates)
-    found = spread.join(F.broadcast(known), ["length", "band"])  # bounded by MAX_SHINGLES
+    found = spread.join(bounded_broadcast(known, BROADCAST_BANDS), ["length", "band"])
     start = F.greatest(F.col("at") - F.col("n"), F.lit(1))
     wide = F.slice("hashes", start, F.col("at") + F.col("length") + F.col("n") - start)
-    found = found.select("doc_id", "hash", "name", "length", "at", F.size(F.array_intersect("shingles", wide)).alias("shared"), F.size("shingles").alias("n_template"))
+    found = found.select("doc_id", "row", "name", "length", "at", F.size(F.array_intersect("shingles", wide)).alias("shared"), F.size("shingles").alias("n_template"))
     found = found.where(F.col("shared") >= F.ceil(F.lit(CONTAINED) * F.col("n_template")))
-    best = found.groupBy("doc_id", F.col("name").alias("license"), "hash").agg(F.count_distinct("at").alias("n_windows"), F.max("shared").cast("long").alias("shared"), F.max("n_template").cast("long").alias("n_template"))
-    return best.drop("hash")
+    best = found.groupBy("doc_id", F.col("name").alias("license"), "row").agg(F.count_distinct("at").alias("n_windows"), F.max("shared").cast("long").alias("shared"), F.max("n_template").cast("long").alias("n_template"))
+    return best.drop("row")

@@ -649,6 +649,14 @@ def test_licenses(spark, odd, empty):
         licenses.matches(docs, {"x": "too short"})
 
 
+def test_license_rows_are_reported_one_by_one(spark, monkeypatch):
+    text = f"{sentence(1, 20)} Released under the MIT License. {sentence(2, 20)}"
+    docs = spark.createDataFrame([(1, text, 1), (1, text, 2), (None, text, 3), (1, sentence(3, 9), 4)], "doc_id long, text string, hashes int")
+    assert sorted((r["doc_id"] or 0, r["license"], r["shared"]) for r in licenses.matches(docs).collect()) == [(0, "mit-line", 1), (1, "mit-line", 1), (1, "mit-line", 1)]
+    monkeypatch.setattr(licenses, "BROADCAST_BANDS", 1)
+    assert licenses.matches(docs).count() == 3
+
+
 def test_licenses_of_short_texts(spark):
     notice = licenses.TEMPLATES["gpl-notice"].split()
     rows = [(1, "This work is licensed under the GNU General Public License."), *((n, " ".join(notice[:n])) for n in (50, 55, 60, 67)), (100, "Licensed under the Apache"), (101, "x " + " ".join(notice[12:]) + " y")]
@@ -918,7 +926,7 @@ def test_consistency_factor():
 # ------------------------------------------------------------- pipeline
 
 
-def test_pipeline_stages(spark, odd):
+def test_pipeline_stages(spark, odd, empty):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "decontamination", "mixing", "token output"]
@@ -933,4 +941,26 @@ def test_pipeline_stages(spark, odd):
         docs, n = after, after.count()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
     assert out[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] and a["doc_id"] <= b["doc_id"] for a, b in itertools.pairwise(out))
-    assert corpus_pipeline.near_dedup(spark, odd, "").count() < odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and extra columns go through every stage; ties are settled."""
+    import corpus_pipeline
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, sentence(2, 40_000)[3000:3200]), (None, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        kept[name] = [r["doc_id"] for r in after.select("doc_id").collect()]
+    # Each stage by itself on all rows: the copies' first stays, the quoted document goes.
+    assert {3, 8, 9, 10} & set(kept["near dedup"]) == {3, 8, 9, 10} and not {4, 5, 7} & set(kept["near dedup"])
+    assert sorted(x is None or x for x in kept["decontamination"]) == sorted(r["doc_id"] is None or r["doc_id"] for r in docs.collect() if r["doc_id"] != 8)
+    assert None not in kept["quality rules"]  # 30 words
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
