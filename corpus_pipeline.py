@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet in
 the shared folder and rereads it as the next stage's documents. All stages but the last return the
-columns of ``documents``. The mix may hold a document in two rows, one per pass over its source.
+columns of ``documents``. The mix may hold a document in two rows, one per pass over its source. A
+stage's table is deleted once the next one is written.
+
+Defined results: documents with a null or empty text fail the quality rules; null doc_ids, languages
+and sources are values of their own at every stage; of equal texts the row of the least doc_id stays,
+null last; rows that repeat both doc_id and text stay or go together; a benchmark without texts removes
+nothing; a table without rows gives none at any stage; other columns of ``documents``, whatever their
+names, are passed on by all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from floorlens.llm import decontam, mixing, neardup, quality, tokens
-from floorlens.llm.common import materialise, read_table
+from floorlens.llm.common import drop_materialised, materialise, read_table
 from floorlens.llm.queries import default_tokenizer
 
 
@@ -52,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_materialised(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
