@@ -36,26 +36,55 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/floorlens/{label}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables written while the block is open; all but those kept are deleted at its end.
+
+    What is returned from the block must read kept tables only.
+    """
+
+    open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        kept = {t._written for t in tables}
+        self.paths = [p for p in self.paths if p not in kept]
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        for path in self.paths:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    The files outlive any executor; they go when the operator of the cluster empties the folder.
+    The files outlive any executor. They go at the end of the innermost open :class:`Scratch`, by
+    :func:`drop_materialised`, or when the operator of the cluster empties the folder.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if Scratch.open:
+        Scratch.open[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`materialise` that nothing lazy reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._written)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import bounded_broadcast, materialise, skewed_left_join
+from .common import Scratch, materialise, skewed_left_join
 
 CONTENT, LOOSE, CHROME, OPEN = "content", "loose", "chrome", "open"
 #: Shortest repeated run in tokens, tokens of a host that share a task.
@@ -403,8 +403,10 @@ def extract(pages: DataFrame) -> DataFrame:
     url, page = F.coalesce("url", F.lit("")), F.col("html").cast("string")
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     held = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), F.xxhash64(url, page, F.md5(F.coalesce(page, F.lit("")).cast("binary"))).alias("hash"), page.alias("html"))
-    found = decisions(held).dropDuplicates(["page_id", "hash"])
-    found = materialise(found.select(F.col("page_id").alias("p"), F.col("hash").alias("h"), "n_covered", "left", "dropped", "copied"), "html-decisions")
+    with Scratch(pages.sparkSession) as scratch:
+        found = decisions(held).dropDuplicates(["page_id", "hash"])
+        found = materialise(found.select(F.col("page_id").alias("p"), F.col("hash").alias("h"), "n_covered", "left", "dropped", "copied"), "html-decisions")
+        scratch.keep(found)
 
     def kept(b):
         left = F.try_element_at("left", b["place"])

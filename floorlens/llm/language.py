@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 from .textkernel import freeing
 
 SAMPLE, WORDS, GRAMS, LONGEST = 3000, 30_000, 20_000, 4
@@ -178,6 +178,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 def identify(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row, by a model of the rows that are not held out."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))), **options)
+    with Scratch(docs.sparkSession):
+        model = fit(docs.where(~held_out(F.col("doc_id"))), **options)
     found = predict(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

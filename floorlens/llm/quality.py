@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import bounded_broadcast, materialise, null_key, skewed_left_join
+from .common import Scratch, bounded_broadcast, materialise, null_key, skewed_left_join
 
 #: Words and share of repeated words beyond which a text fails without being compared.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -305,7 +305,9 @@ def judge(measured: DataFrame) -> DataFrame:
     own = measured.columns
     table = _transformed(measured).withColumns({"lang_key": null_key("lang"), "source_key": null_key("source")})
     table = materialise(table, "quality")
-    fits = materialise(estimates(table.where(~F.col("base_failed"))), "quality-cells")
+    with Scratch(table.sparkSession) as scratch:
+        fits = materialise(estimates(table.where(~F.col("base_failed"))), "quality-cells")
+        scratch.keep(fits)
     placed = skewed_left_join(table, fits.withColumnRenamed("n", "__rows"), ["lang_key", "source_key"], broadcast_rows=BROADCAST_CELLS)
     last = F.when(~F.col("base_failed"), F.col(_S[-1])).alias(_S[-1])  # null: not compared
     placed = placed.select(*own, *(F.col(c).alias(f"__{c}") for c in (*_COUNTS, *STATS, *_M, *_S[:-1])), last)
