@@ -37,6 +37,8 @@ STEP = log(2.0)
 #: Words beyond which a text's likelihoods are tempered, so that the score stays a graded one.
 SURE = 20
 FOLDS, HELD_OUT = 4, 2
+#: Texts whose words are looked up together.
+ROWS = 1000
 LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -168,7 +170,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            langs, scores = own.predict(batch.column(batch.num_columns - 1).to_pylist())
+            langs, scores, texts = [], [], batch.columns[-1]
+            for a in range(0, len(texts), ROWS):
+                found = own.predict(texts[a : a + ROWS].to_pylist())
+                langs += found[0]
+                scores += found[1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     kept = docs.select(*keep, F.col("text").cast("string").alias("text"))
