@@ -38,7 +38,12 @@ def types_from_texts(rooms: DataFrame, typed: DataFrame) -> DataFrame:
 
 
 def room_context(rooms: DataFrame, furniture: DataFrame, edges: DataFrame) -> DataFrame:
-    """What is known of a room: area in square metres, furniture and neighbours' types, sorted."""
+    """What is known of a room: area in square metres, furniture and neighbours' types, sorted.
+
+    Doors, windows and what is unknown or has no label are no furniture.
+    """
+    label = F.lower("specific_type")
+    furniture = furniture.where(~label.contains("door") & ~label.contains("window") & (F.col("specific_type") != "unknown"))
     items = furniture.groupBy("drawing_id", "room_id").agg(F.sort_array(F.collect_set("specific_type")).alias("items"))
     around = both_ways(edges).join(rooms.select("drawing_id", F.col("room_id").alias("dst"), F.explode("types").alias("near")), ["drawing_id", "dst"])
     around = around.groupBy("drawing_id", F.col("src").alias("room_id")).agg(F.sort_array(F.collect_set("near")).alias("near"))
@@ -113,6 +118,11 @@ def measure_rooms(rooms: DataFrame) -> DataFrame:
     return out.withColumns({"clear_width_m": F.when(corridor, clear_width("ring") / 1000), "short_side_m": F.when(~corridor, rectangle_of("ring")["short"] / 1000)})
 
 
+def window_totals(windows: DataFrame) -> DataFrame:
+    """drawing_id, room_id, window_m2: the summed area of the windows (drawing_id, room_id, ring) of each room."""
+    return windows.groupBy("drawing_id", "room_id").agg((F.sum(G.area(F.col("ring"))) / 1e6).alias("window_m2"))
+
+
 def measure_doors(doors: DataFrame) -> DataFrame:
     """clear_width_m: the long side of the door's smallest rectangle."""
     return doors.withColumn("clear_width_m", rectangle_of("ring")["long"] / 1000)
@@ -133,11 +143,11 @@ def public_corridors(rooms: DataFrame, edges: DataFrame) -> DataFrame:
     is none. A corridor is public if public space is no further than private space.
     """
     known = _with_exterior(rooms)
-    seeds = lambda names: known.where(has_any(F.col("types"), names)).select("drawing_id", F.col("room_id").alias("node"))
-    near = {k: hops(edges, seeds(names)).select("drawing_id", F.col("node").alias("room_id"), F.col("hops").alias(k)) for k, names in (("d_public", PUBLIC_SEEDS), ("d_private", PRIVATE_SEEDS))}
-    out = rooms.where(F.array_contains("types", "Corridor")).select("drawing_id", "room_id")
-    for table in near.values():
-        out = out.join(table, ["drawing_id", "room_id"], "left")
+    marks = (("d_public", PUBLIC_SEEDS), ("d_private", PRIVATE_SEEDS))
+    kinds = F.array_compact(F.array(*(F.when(has_any(F.col("types"), names), F.lit(k)) for k, names in marks)))
+    seeds = known.select("drawing_id", F.col("room_id").alias("node"), F.explode(kinds).alias("kind"))
+    near = hops(edges, seeds).groupBy("drawing_id", F.col("node").alias("room_id")).agg(*(F.min(F.when(F.col("kind") == k, F.col("hops"))).alias(k) for k, _ in marks))
+    out = rooms.where(F.array_contains("types", "Corridor")).select("drawing_id", "room_id").join(near, ["drawing_id", "room_id"], "left")
     ruled = F.col("d_public").isNotNull() & (F.col("d_private").isNull() | (F.col("d_public") <= F.col("d_private")))
     return out.withColumn("is_public", ruled)
 

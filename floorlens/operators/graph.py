@@ -1,12 +1,13 @@
 """Graph operators on edge tables that carry ``drawing_id``: components, distances, paths.
 
 Drawings are many and each is small, so distances, paths and components come from one shuffle by drawing
-and a search in memory within each.
+and a search in memory within each; Python is called for batches of many drawings.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,34 +26,66 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(edges.select("drawing_id", F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
 
 
-def _neighbours(group: pd.DataFrame) -> dict[str, list[str]]:
-    around: dict[str, list[str]] = {}
-    for u, v in zip(group["u"], group["v"], strict=True):
-        around.setdefault(u, []).append(v)
-        around.setdefault(v, []).append(u)
+def by_drawing(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` applied to frames of whole drawings, many at a time. A drawing is never cut."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            if not len(frame):
+                continue
+            last = frame["drawing_id"] == frame["drawing_id"].iloc[-1]
+            if held and (not last.all() or held[-1]["drawing_id"].iloc[-1] != frame["drawing_id"].iloc[-1]):
+                yield work(pd.concat([*held, frame[~last]], ignore_index=True))
+                held = []
+            elif not last.all():
+                yield work(frame[~last])
+            held.append(frame[last])
+        if held:
+            yield work(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("drawing_id").sortWithinPartitions("drawing_id").mapInPandas(run, schema)
+
+
+def _neighbours(d: list, u: list, v: list) -> dict[tuple, list]:
+    """Neighbours of each (drawing, node)."""
+    around: dict[tuple, list] = {}
+    for k, a, b in zip(d, u, v, strict=True):
+        around.setdefault((k, a), []).append(b)
+        around.setdefault((k, b), []).append(a)
     return around
 
 
 def hops(edges: DataFrame, seeds: DataFrame, *, most: int | None = None) -> DataFrame:
-    """(drawing_id, node, hops) of all nodes that can be reached from the seeds (drawing_id, node)."""
+    """(drawing_id, node, hops) of all nodes that can be reached from the seeds (drawing_id, node).
+
+    Seeds may have a column ``kind``: then hops are told for each kind of seeds.
+    """
+    kinds = "kind" in seeds.columns
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        is_seed = group["v"].isna()
-        around = _neighbours(group[~is_seed])
-        found = dict.fromkeys(group["u"][is_seed], 0)
+        seed = group["v"].isna()
+        rest = group[~seed]
+        around = _neighbours(rest["drawing_id"].tolist(), rest["u"].tolist(), rest["v"].tolist())
+        some = group[seed]
+        found = dict.fromkeys(zip(some["kind"], some["drawing_id"], some["u"], strict=True), 0)
         queue = deque(found)
         while queue:
-            node = queue.popleft()
-            if most is not None and found[node] >= most:
+            at = queue.popleft()
+            if most is not None and found[at] >= most:
                 continue
-            for near in around.get(node, ()):
-                if near not in found:
-                    found[near] = found[node] + 1
-                    queue.append(near)
-        return pd.DataFrame({"drawing_id": group["drawing_id"].iloc[0], "node": list(found), "hops": list(found.values())})
+            for near in around.get(at[1:], ()):
+                to = (at[0], at[1], near)
+                if to not in found:
+                    found[to] = found[at] + 1
+                    queue.append(to)
+        rows = list(found)
+        return pd.DataFrame({"drawing_id": [r[1] for r in rows], "node": [r[2] for r in rows], "kind": [r[0] for r in rows], "hops": list(found.values())})
 
-    both = edges.select("drawing_id", "u", "v").unionByName(seeds.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast("string").alias("v")))
-    return both.groupBy("drawing_id").applyInPandas(search, "drawing_id " + edges.schema["drawing_id"].dataType.simpleString() + ", node string, hops int")
+    marks = seeds.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast("string").alias("v"), F.col("kind") if kinds else F.lit("").alias("kind"))
+    both = edges.select("drawing_id", "u", "v", F.lit("").alias("kind")).unionByName(marks)
+    out = by_drawing(both, search, f"drawing_id {edges.schema['drawing_id'].dataType.simpleString()}, node string, kind string, hops int")
+    return out if kinds else out.drop("kind")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,21 +94,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         lone = group["v"].isna()
-        around = _neighbours(group[~lone])
+        rest, own = group[~lone], group[lone]
+        around = _neighbours(rest["drawing_id"].tolist(), rest["u"].tolist(), rest["v"].tolist())
         label: dict = {}
-        for start in sorted(set(group["u"][lone])):
+        for start in sorted(set(zip(own["drawing_id"], own["u"], strict=True))):
             if start in label:
                 continue
-            label[start], queue = start, deque([start])
+            label[start], queue = start[1], deque([start])
             while queue:
-                for near in around.get(queue.popleft(), ()):
-                    if near not in label:
-                        label[near] = start
-                        queue.append(near)
-        return pd.DataFrame({"drawing_id": group["drawing_id"].iloc[0], "node": list(label), "component": list(label.values())})
+                at = queue.popleft()
+                for near in around.get(at, ()):
+                    to = (at[0], near)
+                    if to not in label:
+                        label[to] = start[1]
+                        queue.append(to)
+        return pd.DataFrame({"drawing_id": [k[0] for k in label], "node": [k[1] for k in label], "component": list(label.values())})
 
     both = edges.select("drawing_id", "u", "v").unionByName(nodes.select("drawing_id", F.col("node").alias("u"), F.lit(None).cast(kind).alias("v")))
-    return both.groupBy("drawing_id").applyInPandas(search, "drawing_id " + nodes.schema["drawing_id"].dataType.simpleString() + f", node {kind}, component {kind}")
+    return by_drawing(both, search, "drawing_id " + nodes.schema["drawing_id"].dataType.simpleString() + f", node {kind}, component {kind}")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, *, most: int | None = None) -> DataFrame:
@@ -87,31 +123,30 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, *, most: int | None = Non
     kind = edges.schema["u"].dataType.simpleString()
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        around = _neighbours(group[~group["pair"]])
+        arcs, own = group[~group["pair"]], group[group["pair"]]
+        around = _neighbours(arcs["drawing_id"].tolist(), arcs["u"].tolist(), arcs["v"].tolist())
         out = []
-        for src, wanted in group[group["pair"]].groupby("u")["v"]:
+        for (drawing, src), wanted in own.groupby(["drawing_id", "u"])["v"]:
             missing, level = set(wanted), {src: [src]}
             seen, steps = {src}, 0
             while level and missing:
-                out += [(src, dst, level[dst]) for dst in missing & level.keys()]
+                out += [(drawing, src, dst, level[dst]) for dst in missing & level.keys()]
                 missing -= level.keys()
                 if most is not None and steps >= most:
                     break
                 ahead: dict = {}
                 for node, path in level.items():
-                    for near in around.get(node, ()):
+                    for near in around.get((drawing, node), ()):
                         if near not in seen and (near not in ahead or path < ahead[near]):
                             ahead[near] = path
                 seen |= ahead.keys()
                 level, steps = {node: [*path, node] for node, path in ahead.items()}, steps + 1
-        found = pd.DataFrame(out, columns=["src", "dst", "path"])
-        found.insert(0, "drawing_id", group["drawing_id"].iloc[0])
-        return found
+        return pd.DataFrame(out, columns=["drawing_id", "src", "dst", "path"])
 
     arcs = edges.where("u is not null and v is not null").select("drawing_id", "u", "v", F.lit(False).alias("pair"))
     ends = pairs.where("src is not null and dst is not null").select("drawing_id", F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(True).alias("pair")).distinct()
     schema = f"drawing_id {edges.schema['drawing_id'].dataType.simpleString()}, src {kind}, dst {kind}, path array<{kind}>"
-    found = arcs.unionByName(ends).groupBy("drawing_id").applyInPandas(search, schema)
+    found = by_drawing(arcs.unionByName(ends), search, schema)
     return pairs.join(found, ["drawing_id", "src", "dst"], "left")
 
 

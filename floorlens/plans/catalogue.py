@@ -385,7 +385,7 @@ def facility_room(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHEN list_contains(it, 'table') AND list_contains(it, 'chair') THEN 'DiningRoom' WHEN list_has_any(it, ['washing machine', 'railing']) THEN CASE WHEN a >= 20000000 THEN 'Garden' ELSE 'Balcony' END
  WHEN len(it) > 0 AND len(list_filter(it, lambda x: x NOT IN ('Wardrobe', 'cabinet'))) = 0 AND bed THEN 'Cloakroom' WHEN len(it) > 0 AND len(list_filter(it, lambda x: x <> 'cabinet')) = 0 THEN 'Entrance'
  WHEN len(it) = 0 AND a < 2000000 THEN 'StorageRoom' WHEN len(it) = 0 THEN 'Corridor' ELSE 'Unknown' END AS types
- FROM (SELECT r.drawing_id, r.room_id, (x1 - x0) * (y1 - y0) AS a, coalesce((SELECT list(specific_type) FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id), []) AS it,
+ FROM (SELECT r.drawing_id, r.room_id, (x1 - x0) * (y1 - y0) AS a, coalesce((SELECT list(specific_type) FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id AND specific_type NOT ILIKE '%door%' AND specific_type NOT ILIKE '%window%' AND specific_type <> 'unknown'), []) AS it,
  EXISTS (SELECT 1 FROM arc JOIN room s ON s.drawing_id = arc.drawing_id AND s.room_id = arc.dst WHERE arc.drawing_id = r.drawing_id AND arc.src = r.room_id AND s.sem = 'Bedroom') AS bed FROM room r)"""))
 def room_type_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rooms = D.rooms(spark, sf_dir)
@@ -533,7 +533,7 @@ def outer_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(ROOM, FURNITURE, IN_ROOM, GRID, select="""SELECT drawing_id, '[' || string_agg('{"room_id":"' || room_id || '","area":' || CAST((x1 - x0) * (y1 - y0) / 1e6 AS DOUBLE) || ',"furniture":[' || it || '],"neighbours":[' || near || ']}', ',' ORDER BY ord) || ']' AS prompt
- FROM (SELECT *, coalesce((SELECT string_agg('"' || specific_type || '"', ',' ORDER BY specific_type) FROM (SELECT DISTINCT specific_type FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id)), '') AS it,
+ FROM (SELECT *, coalesce((SELECT string_agg('"' || specific_type || '"', ',' ORDER BY specific_type) FROM (SELECT DISTINCT specific_type FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id AND specific_type NOT ILIKE '%door%' AND specific_type NOT ILIKE '%window%' AND specific_type <> 'unknown')), '') AS it,
  coalesce((SELECT string_agg('"' || sem || '"', ',' ORDER BY sem) FROM (SELECT DISTINCT s.sem FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id AND s.sem <> 'Unknown')), '') AS near
  FROM room r WHERE sem = 'Unknown') GROUP BY drawing_id"""))
 def room_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,6 +625,33 @@ def rules_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _level(spark, sf_dir, "exp")
 
 
+@query(_with(ROOM, """small AS (SELECT *, (x1 - x0) * (2 + event_id % 9) // 10 AS w, (y1 - y0) * (2 + user_id % 9) // 10 AS h FROM room),
+ bad AS (SELECT drawing_id, room_id, unnest(list_filter([CASE WHEN sem = 'Bedroom' AND w * h < 12000000 THEN 'R11' END, CASE WHEN sem = 'Bedroom' AND event_id % 2 = 0 AND w * h < 9000000 THEN 'R12' END,
+ CASE WHEN sem = 'Kitchen' AND w * h < 3500000 THEN 'R13' END, CASE WHEN sem = 'Bathroom' AND w * h < 2500000 THEN 'R14' END, CASE WHEN sem = 'Bedroom' AND least(w, h) < 1800 THEN 'R15' END,
+ CASE WHEN sem = 'Corridor' AND event_id % 3 = 0 AND least(w, h) < 1100 THEN 'R20' END, CASE WHEN sem = 'Corridor' AND event_id % 3 = 1 AND least(w, h) < 1000 THEN 'R21' END,
+ CASE WHEN sem = 'Corridor' AND event_id % 3 = 2 AND least(w, h) < 900 THEN 'R22' END], lambda x: x IS NOT NULL)) AS rule_id FROM small)""", select="SELECT drawing_id, rule_id, room_id FROM bad"))
+def rules_small_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms shrunk to a fifth to the whole of their sides, every second bedroom also a living room, corridors of three kinds."""
+    r = D.rooms(spark, sf_dir).withColumns({"w": F.expr("(x1 - x0) * (2 + event_id % 9) div 10"), "h": F.expr("(y1 - y0) * (2 + user_id % 9) div 10")})
+    kinds = F.array(*(F.lit(k) for k in ("EntranceCorridor", "MainCorridor", "SecondaryCorridor")))
+    more = F.when(F.col("sem") == "Corridor", F.element_at(kinds, (F.col("event_id") % 3 + 1).cast("int"))).when((F.col("sem") == "Bedroom") & (F.col("event_id") % 2 == 0), "LivingRoom")
+    r = r.select("drawing_id", "room_id", F.array_compact(F.array_append("types", more)).alias("types"), G.rectangle(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")).alias("ring"))
+    nodes = N.measure_rooms(r).withColumnRenamed("room_id", "node_id")
+    chosen = [x for x in rules.RULES if x[0] in ("R11", "R12", "R13", "R14", "R15", "R20", "R21", "R22")]
+    return rules.violations(nodes, None, rules=chosen).select("drawing_id", "rule_id", F.col("node_id").alias("room_id"))
+
+
+@query(_with(ROOM, select="""SELECT w.drawing_id, r.room_id, CAST(sum(120000) AS BIGINT) AS window_mm2 FROM room w JOIN room r ON w.drawing_id = r.drawing_id AND w.event_id % 2 = 0
+ AND pow(greatest(r.x0 - w.x1, w.x1 - r.x1, 0), 2) + pow(greatest(r.y0 - (w.y0 + w.y1) / 2, (w.y0 + w.y1) / 2 - r.y1, 0), 2) < 90000 GROUP BY ALL"""))
+def window_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area of the windows of each room."""
+    r = D.rooms(spark, sf_dir)
+    y = (F.col("y0") + F.col("y1")) / 2
+    w = r.where("event_id % 2 = 0").select("drawing_id", F.concat(F.lit("W_"), F.col("event_id").cast("string")).alias("uid"), G.rectangle(F.col("x1") - 50, y - 600, F.col("x1") + 50, y + 600).alias("ring"))
+    held = P.windows_of_rooms(w, r).select("drawing_id", "uid", "room_id").join(w, ["drawing_id", "uid"])
+    return N.window_totals(held).select("drawing_id", "room_id", whole(1e6 * F.col("window_m2")).alias("window_mm2"))
+
+
 @query(_with(*ALL, select=f"SELECT drawing_id, level, count(*) AS n_violations, count(DISTINCT node_id) AS n_nodes FROM (SELECT *, 'L1' AS level FROM ({L1}) UNION ALL SELECT *, 'L2' FROM ({L2}) UNION ALL SELECT *, 'L3' FROM ({L3}) UNION ALL SELECT *, 'exp' FROM ({EXP})) GROUP BY ROLLUP (drawing_id, level)"))
 def violation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = rule_tables(spark, sf_dir)
@@ -651,6 +678,27 @@ def match_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.match_rates(V.match_rooms(gt, pairs), ["drawing_id"]).drop("mean_iou")
 
 
+def millionths(c) -> F.Column:
+    return whole(1e6 * F.col(c)).alias(c)
+
+
+@query(_with(ROOM, TRUTH, MATCH, select="SELECT m.drawing_id, CAST(round_even(1000000 * coalesce(avg(i / (ga + sa - i)), 0), 0) AS BIGINT) AS mean_iou FROM matched m LEFT JOIN lap l ON l.drawing_id = m.drawing_id AND l.g = m.g AND l.s = m.s AND status = 'matched' GROUP BY m.drawing_id"))
+def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean IoU of the matched rooms of each drawing, in millionths."""
+    gt, _, pairs = truth_and_pairs(spark, sf_dir)
+    return V.match_rates(V.match_rooms(gt, pairs), ["drawing_id"]).select("drawing_id", millionths("mean_iou"))
+
+
+@query(_with(ROOM, TRUTH, MATCH, select="""SELECT count(*) AS n, CAST(round_even(avg(abs((g.x1 - g.x0) * (g.y1 - g.y0) - (r.x1 - r.x0) * (r.y1 - r.y0))), 0) AS BIGINT) AS mae_area,
+ CAST(round_even(1000 * avg(abs(least(g.x1 - g.x0, g.y1 - g.y0) - least(r.x1 - r.x0, r.y1 - r.y0))), 0) AS BIGINT) AS mae_short_side FROM matched m JOIN gt g ON g.drawing_id = m.drawing_id AND g.ord = m.g JOIN room r ON r.drawing_id = m.drawing_id AND r.ord = m.s"""))
+def computation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean errors of area and short side, in square millimetres and micrometres."""
+    gt, sys, pairs = truth_and_pairs(spark, sf_dir)
+    sized = lambda r: r.select("drawing_id", "room_id", (G.area(F.col("ring")) / 1e6).alias("area_m2"), (E.rectangle_of("ring")["short"] / 1000).alias("short_side_m"))
+    found = V.computation_errors(V.match_rooms(gt, pairs), sized(gt), sized(sys))
+    return found.select("n", millionths("mae_area"), millionths("mae_short_side"))
+
+
 TRUTH_EDGE = "tedge AS (SELECT drawing_id, ord AS u, lead(ord) OVER (PARTITION BY drawing_id ORDER BY ord) AS v FROM gt)"
 
 
@@ -687,6 +735,22 @@ def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.class_scores(labelled(spark, sf_dir)).select("label", "tp", "fp", "fn")
 
 
+SCORE = """score AS (SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn FROM label, (SELECT truth AS l FROM label UNION SELECT predicted FROM label) GROUP BY l),
+ rate AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM score))"""
+
+
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, SCORE, select="SELECT label, CAST(round_even(1000000 * p, 0) AS BIGINT) AS precision, CAST(round_even(1000000 * r, 0) AS BIGINT) AS recall, CAST(round_even(1000000 * f, 0) AS BIGINT) AS f1 FROM rate"))
+def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 of every label, in millionths."""
+    return V.class_scores(labelled(spark, sf_dir)).select("label", *map(millionths, ("precision", "recall", "f1")))
+
+
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, SCORE, select="SELECT (SELECT count(*) FROM label) AS n, (SELECT CAST(round_even(1000000 * count(*) FILTER (truth = predicted) / count(*), 0) AS BIGINT) FROM label) AS accuracy, CAST(round_even(1000000 * avg(p), 0) AS BIGINT) AS macro_precision, CAST(round_even(1000000 * avg(r), 0) AS BIGINT) AS macro_recall, CAST(round_even(1000000 * avg(f), 0) AS BIGINT) AS macro_f1 FROM rate"))
+def label_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro averages over labels, in millionths."""
+    return V.macro(labelled(spark, sf_dir)).select("n", *map(millionths, ("accuracy", "macro_precision", "macro_recall", "macro_f1")))
+
+
 @query(_with(ROOM, TRUTH, MATCH, """gv AS (SELECT drawing_id, 'GT_' || lpad(CAST(ord AS VARCHAR), 3, '0') AS node FROM gt WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
  name AS (SELECT drawing_id, s, min('GT_' || lpad(CAST(g AS VARCHAR), 3, '0')) AS gid FROM matched WHERE s IS NOT NULL GROUP BY ALL),
  sv AS (SELECT DISTINCT r.drawing_id, coalesce(gid, room_id) AS node FROM room r LEFT JOIN name n ON n.drawing_id = r.drawing_id AND n.s = r.ord WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
