@@ -1,6 +1,6 @@
 """Geometry kernel on numpy arrays of shape (n, 2), for what Column expressions cannot say.
 
-Rings are closed implicitly. Nothing here knows of Spark; ``udf.py`` wraps it for Arrow batches.
+Rings are closed implicitly. Nothing here knows of Spark; ``topology.py`` wraps it for Arrow batches.
 """
 
 from __future__ import annotations
@@ -86,6 +86,45 @@ def polygon_distance(r: Ring, s: Ring) -> float:
     return float(segment_distance(a[:, None], b[:, None], c[None], d[None]).min())
 
 
+def boxes(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`as_box` of many rings with equally many points (n, k, 2): which are boxes, their low and high corners."""
+    x, y = r[..., 0], r[..., 1]
+    low, high = r.min(axis=1), r.max(axis=1)
+    if r.shape[1] != 4:
+        return np.zeros(len(r), bool), low, high
+    same = lambda z, i, j: z[:, i] == z[:, j]
+    one = same(y, 0, 1) & same(x, 1, 2) & same(y, 2, 3) & same(x, 3, 0)
+    two = same(x, 0, 1) & same(y, 1, 2) & same(x, 2, 3) & same(y, 3, 0)
+    return one | two, low, high
+
+
+def polygon_distances(r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """:func:`polygon_distance` of many pairs at once; rings of a side have equally many points (n, k, 2)."""
+    (one, a0, a1), (two, b0, b1) = boxes(r), boxes(s)
+    gap = np.maximum(np.maximum(a0 - b1, b0 - a1), 0)
+    out = np.hypot(gap[:, 0], gap[:, 1])
+    rest = np.flatnonzero(~(one & two))
+    if not len(rest):
+        return out
+    r, s = r[rest], s[rest]
+
+    def holds(ring: np.ndarray, p: np.ndarray) -> np.ndarray:
+        a, b = ring, np.roll(ring, -1, axis=1)
+        x, y = p[:, :1], p[:, 1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = a[..., 0] + (y - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1])
+        return (((a[..., 1] > y) != (b[..., 1] > y)) & (x < at)).sum(axis=1) % 2 == 1
+
+    a, b, c, d = r[:, :, None], np.roll(r, -1, axis=1)[:, :, None], s[:, None], np.roll(s, -1, axis=1)[:, None]
+    near = segment_distance(*np.broadcast_arrays(a, b, c, d)).reshape(len(rest), -1).min(axis=1)
+    if r.shape[1] > 2:
+        near[holds(r, s[:, 0])] = 0
+    if s.shape[1] > 2:
+        near[holds(s, r[:, 0])] = 0
+    out[rest] = near
+    return out
+
+
 def intersection_area(r: Ring, s: Ring) -> float:
     """Area of the common part of two simple polygons, by slabs between all vertex and crossing heights.
 
@@ -582,3 +621,25 @@ def longest_chord(door: Ring, r: Ring, margin: float = 0.1) -> tuple[float, np.n
             if n > best[0]:
                 best = (n, p + t0 * v, p + t1 * v)
     return best
+
+
+def longest_chords(door: np.ndarray, r: np.ndarray, margin: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`longest_chord` of many pairs at once; rings of a side have equally many points (n, k, 2)."""
+    low, high = (door.min(axis=1) - margin)[:, None], (door.max(axis=1) + margin)[:, None]
+    v = np.roll(r, -1, axis=1) - r
+    t0, t1 = np.zeros(v.shape[:2]), np.ones(v.shape[:2])
+    for k in (0, 1):
+        flat = v[..., k] == 0
+        out = flat & ~((low[..., k] <= r[..., k]) & (r[..., k] <= high[..., k]))
+        step = np.where(flat, 1.0, v[..., k])
+        x, y = (low[..., k] - r[..., k]) / step, (high[..., k] - r[..., k]) / step
+        t0 = np.where(flat, np.where(out, 1.0, t0), np.maximum(t0, np.minimum(x, y)))
+        t1 = np.where(flat, np.where(out, 0.0, t1), np.minimum(t1, np.maximum(x, y)))
+    length = np.where(t0 < t1, (t1 - t0) * np.hypot(v[..., 0], v[..., 1]), 0.0)
+    row, best = np.arange(len(r)), length.argmax(axis=1)
+    p, u = r[row, best], v[row, best]
+    length = length[row, best]
+    first, last = p + t0[row, best][:, None] * u, p + t1[row, best][:, None] * u
+    none = length == 0
+    first[none] = last[none] = low[none, 0]
+    return length, first, last

@@ -53,6 +53,35 @@ def pair_udf(function, kind: str):
     return lazy_udf(run, kind)
 
 
+def stacks(a: pd.Series, b: pd.Series):
+    """Pairs of rings by their numbers of points: (places, first rings (n, k, 2), second rings (n, m, 2))."""
+    one, two = ([as_points(x) for x in side] for side in (a, b))
+    by: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(one, two, strict=True)):
+        by.setdefault((len(x), len(y)), []).append(i)
+    for (k, m), at in by.items():
+        if k and m:
+            yield np.array(at), np.stack([one[i] for i in at]), np.stack([two[i] for i in at])
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.full(len(a), np.inf)
+    for at, r, s in stacks(a, b):
+        out[at] = K.polygon_distances(r, s)
+    return pd.Series(out)
+
+
+def _common_areas(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.zeros(len(a))
+    for at, r, s in stacks(a, b):
+        (one, a0, a1), (two, b0, b1) = K.boxes(r), K.boxes(s)
+        both = np.maximum(np.minimum(a1, b1) - np.maximum(a0, b0), 0)
+        out[at] = both[:, 0] * both[:, 1]
+        for i in np.flatnonzero(~(one & two)).tolist():
+            out[at[i]] = K.intersection_area(r[i], s[i])
+    return pd.Series(out)
+
+
 def ring_udf(function, kind: str):
     """A pandas UDF of a kernel function of one ring."""
 
@@ -65,9 +94,9 @@ def ring_udf(function, kind: str):
     return lazy_udf(run_frame if kind.startswith("struct") else run, kind)
 
 
-ring_distance = pair_udf(K.polygon_distance, "double")
+ring_distance = lazy_udf(_distances, "double")
 shared_length = pair_udf(K.shared_length, "double")
-common_area = pair_udf(K.intersection_area, "double")
+common_area = lazy_udf(_common_areas, "double")
 
 
 def _rooms(rooms: DataFrame, margin: float = 0.0) -> DataFrame:
@@ -110,11 +139,11 @@ _CHORD = "struct<length:double,px:double,py:double,qx:double,qy:double>"
 
 
 def _longest_chords(door: pd.Series, room: pd.Series) -> pd.DataFrame:
-    rows = []
-    for d, r in zip(door, room, strict=True):
-        n, p, q = K.longest_chord(as_points(d), as_points(r), DOOR_MARGIN)
-        rows.append((n, p[0], p[1], q[0], q[1]))
-    return pd.DataFrame(rows, columns=["length", "px", "py", "qx", "qy"])
+    out = np.zeros((len(door), 5))
+    for at, d, r in stacks(door, room):
+        n, p, q = K.longest_chords(d, r, DOOR_MARGIN)
+        out[at] = np.column_stack([n, p, q])
+    return pd.DataFrame(out, columns=["length", "px", "py", "qx", "qy"])
 
 
 _chord = lazy_udf(_longest_chords, _CHORD)

@@ -91,3 +91,18 @@ def test_delaunay_covers_flat_hulls():
     hull = abs(K.ring_area(K.hull(np.array(points))))
     assert sum(abs(K.ring_area(np.array([points[v] for v in t], float))) for t in K.delaunay(points)) == pytest.approx(hull)
     assert K.delaunay([(0, 0), (1, 0), (2, 0), (9, 0)]) == []
+
+
+def test_batches_of_pairs_are_the_single_ones():
+    rng = np.random.default_rng(5)
+    box = lambda: (lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float))(*rng.integers(0, 9, 2), *rng.integers(1, 6, 2))
+    for make in (box, lambda: rng.integers(0, 9, (4, 2)).astype(float)):
+        r = [make() for _ in range(200)]
+        s = [box() if i % 2 else rng.integers(0, 12, (4, 2)).astype(float) for i in range(200)]
+        line = [rng.integers(0, 12, (2, 2)).astype(float) for _ in range(200)]
+        for other in (s, line):
+            assert np.allclose(K.polygon_distances(np.stack(r), np.stack(other)), [K.polygon_distance(a, b) for a, b in zip(r, other, strict=True)])
+        n, p, q = K.longest_chords(np.stack(s), np.stack(r), 0.1)
+        for i in range(200):
+            m, a, b = K.longest_chord(s[i], r[i], 0.1)
+            assert np.allclose([n[i], *p[i], *q[i]], [m, *a, *b])
