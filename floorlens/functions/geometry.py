@@ -126,6 +126,30 @@ def concave_points(ring: Column) -> Column:
     return F.transform(F.filter(turned, reflex), lambda t: t["b"])
 
 
+def without_repeats(ring: Column) -> Column:
+    """The ring without corners that equal the next one."""
+    pairs = _edges(ring, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.transform(F.filter(pairs, lambda e: e["p"] != e["q"]), lambda e: e["p"])
+
+
+def is_simple(ring: Column) -> Column:
+    """Whether a ring bounds one area: three corners or more, no sides that meet but neighbours, none that folds back."""
+    n = F.size(ring)
+    sides = F.transform(_edges(ring, lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda e, i: F.struct(i.alias("i"), e["p"].alias("p"), e["q"].alias("q")))
+    cross = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    apart = lambda s, t, k: (F.greatest(s["p"][k], s["q"][k]) < F.least(t["p"][k], t["q"][k])) | (F.greatest(t["p"][k], t["q"][k]) < F.least(s["p"][k], s["q"][k]))
+
+    def bad(s: Column, t: Column) -> Column:
+        a, b, c, d = s["p"], s["q"], t["p"], t["q"]
+        beside = (t["i"] == s["i"] + 1) | ((s["i"] == 0) & (t["i"] == n - 1))
+        ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], d["x"] - c["x"], d["y"] - c["y"]
+        folds = (ux * vy == uy * vx) & (ux * vx + uy * vy < 0)
+        meets = ~apart(s, t, "x") & ~apart(s, t, "y") & (cross(a, b, c) * cross(a, b, d) <= 0) & (cross(c, d, a) * cross(c, d, b) <= 0)
+        return (t["i"] > s["i"]) & F.when(beside, folds).otherwise(meets)
+
+    return (n >= 3) & ~F.exists(sides, lambda s: F.exists(sides, lambda t: bad(s, t)))
+
+
 def compactness(ring: Column) -> Column:
     return F.coalesce(F.try_divide(4 * F.pi() * area(ring), F.pow(perimeter(ring), 2)), F.lit(0.0))
 

@@ -220,6 +220,11 @@ def suites(rooms: DataFrame, edges: DataFrame) -> DataFrame:
 # -------------------------------------------------- convex decomposition
 
 
+def is_composite(types: Column) -> Column:
+    """Whether a room has two types or more; Suite is none."""
+    return F.size(F.array_remove(types, "Suite")) >= 2
+
+
 def decompose(rooms: DataFrame) -> DataFrame:
     """Rooms with several types cut into convex parts: drawing_id, room_id, sub_id, ord, types, ring.
 
@@ -240,7 +245,7 @@ def decompose(rooms: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     points = F.transform(F.coalesce("anchors", F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")), lambda a: G.point(a["x"], a["y"]))
-    cut = rooms.where(F.size("types") >= 2).withColumn("parts", parts("ring", points))
+    cut = rooms.where(is_composite(F.col("types"))).withColumn("parts", parts("ring", points))
     one = F.size("parts") < 2
     each = cut.select("drawing_id", "room_id", "types", "anchors", one.alias("one"), F.posexplode("parts").alias("part", "ring"))
     inside = F.filter("anchors", lambda a: G.contains(F.col("ring"), a["x"].cast("double"), a["y"].cast("double")))
@@ -258,6 +263,12 @@ def rehome_doors(doors: DataFrame, subs: DataFrame) -> DataFrame:
     return near.groupBy("drawing_id", "uid", "room_id").agg(F.min_by("sub_id", F.struct("distance", "ord")).alias("sub_id"))
 
 
+def rehome_elements(held: DataFrame, subs: DataFrame) -> DataFrame:
+    """(drawing_id, uid, sub_id) of elements of divided rooms (drawing_id, uid, room_id, x, y) by the part strictly around their centre."""
+    parts = subs.select("drawing_id", "room_id", "sub_id", F.col("ring").alias("part"))
+    return held.join(parts, ["drawing_id", "room_id"]).where(G.contains(F.col("part"), F.col("x"), F.col("y"))).select("drawing_id", "uid", "sub_id")
+
+
 def replace_rooms(rooms: DataFrame, subs: DataFrame) -> DataFrame:
     """Rooms with divided ones replaced by their parts."""
     kept = rooms.join(subs.select("drawing_id", "room_id").distinct(), ["drawing_id", "room_id"], "left_anti").select("drawing_id", "room_id", "ord", "types", "ring")

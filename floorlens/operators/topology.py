@@ -7,6 +7,8 @@ kernel (in Arrow batches) where they cannot.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -185,17 +187,18 @@ def door_edges(bound: DataFrame) -> DataFrame:
     return two.select("drawing_id", F.element_at("ends", 1).alias("u"), F.element_at("ends", 2).alias("v"))
 
 
-def touching_rooms(rooms: DataFrame, *, min_shared: float | None = None) -> DataFrame:
+def touching_rooms(rooms: DataFrame, *, min_shared: float | None = None, tolerance: float = 0.0) -> DataFrame:
     """(drawing_id, u, v, shared) of rooms that touch, corners included, or share more than ``min_shared``.
 
-    Pairs come once, in room order.
+    Pairs come once, in room order. Walls up to ``tolerance`` apart are shared ones.
     """
-    a = boxed(rooms.select("drawing_id", F.col("room_id").alias("u"), F.col("ord").alias("a_ord"), F.col("ring").alias("a_ring")), G.bounds(F.col("a_ring")))
+    a = boxed(rooms.select("drawing_id", F.col("room_id").alias("u"), F.col("ord").alias("a_ord"), F.col("ring").alias("a_ring")), G.bounds(F.col("a_ring")), tolerance)
     b = boxed(rooms.select("drawing_id", F.col("room_id").alias("v"), F.col("ord").alias("b_ord"), F.col("ring").alias("b_ring")), G.bounds(F.col("b_ring")))
     pairs = box_join(a, b).where("a_ord < b_ord")
     if min_shared is None:
-        pairs = pairs.where(ring_distance("a_ring", "b_ring") == 0)
-    pairs = pairs.withColumn("shared", shared_length("a_ring", "b_ring"))
+        pairs = pairs.where(ring_distance("a_ring", "b_ring") <= tolerance)
+    common = shared_length if tolerance == 0 else pair_udf(partial(K.shared_length, tolerance=tolerance), "double")
+    pairs = pairs.withColumn("shared", common("a_ring", "b_ring"))
     if min_shared is not None:
         pairs = pairs.where(F.col("shared") > min_shared)
     return pairs.select("drawing_id", "u", "v", "shared")

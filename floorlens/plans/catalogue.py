@@ -153,6 +153,53 @@ def acd_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("drawing_id", "room_id").agg(F.count(F.lit(1)).alias("n_parts"), whole(F.sum("a")).alias("area"), whole(F.min("a")).alias("least_part"))
 
 
+HALVES = """half AS (SELECT *, xm - x0 < ym - y0 AS flat, CASE WHEN xm - x0 < ym - y0 THEN (x1 - x0) * (ym - y0) ELSE (x1 - xm) * (ym - y0) END AS low,
+ CASE WHEN xm - x0 < ym - y0 THEN (xm - x0) * (y1 - ym) ELSE (xm - x0) * (y1 - y0) END AS high FROM l)"""
+
+
+def l_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """L-shaped rooms, each its own drawing, and the parts of every second one; the others have Suite and one type."""
+    types = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("LivingRoom"), F.lit("DiningRoom"))).otherwise(F.array(F.lit("LivingRoom"), F.lit("Suite")))
+    anchors = F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")
+    rooms = l_rooms(spark, sf_dir).withColumns({"drawing_id": F.col("event_id"), "types": types, "anchors": anchors})
+    return rooms, materialise(N.decompose(rooms), "parts")
+
+
+@query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, unnest(CASE WHEN event_id % 2 = 0 THEN [low, high] ELSE [low + high] END) AS area FROM half"))
+def divided_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of rooms once the divided ones are replaced by their parts."""
+    rooms, parts = l_parts(spark, sf_dir)
+    return N.replace_rooms(rooms, parts).select("drawing_id", whole(G.area(F.col("ring"))).alias("area"))
+
+
+@query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, 'top' AS uid, high AS area FROM half WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'low', low FROM half WHERE event_id % 2 = 0"))
+def divided_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doors at the upper left and the lower right of divided rooms, with the area of the part they go to."""
+    rooms, parts = l_parts(spark, sf_dir)
+    at = lambda uid, x, y: rooms.select("drawing_id", "room_id", F.lit(uid).alias("uid"), G.rectangle(x - 100, y - 50, x + 100, y + 50).alias("ring"))
+    doors = at("top", F.col("x0") + 200, F.col("y1")).unionByName(at("low", F.col("x1") - 200, F.col("y0")))
+    size = parts.select("drawing_id", "sub_id", whole(G.area(F.col("ring"))).alias("area"))
+    return N.rehome_doors(doors, parts).join(size, ["drawing_id", "sub_id"]).select("drawing_id", "uid", "area")
+
+
+@query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, 'top' AS uid, high AS area FROM half WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'low', low FROM half WHERE event_id % 2 = 0"))
+def divided_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of divided rooms with the area of the part around their centre; one on the outer wall has none."""
+    rooms, parts = l_parts(spark, sf_dir)
+    at = lambda uid, x, y: rooms.select("drawing_id", "room_id", F.lit(uid).alias("uid"), x.alias("x"), y.alias("y"))
+    held = at("top", F.col("x0") + 200, F.col("y1") - 200).unionByName(at("low", F.col("x1") - 200, F.col("y0") + 200)).unionByName(at("wall", F.col("x0"), F.col("y0") + 200))
+    size = parts.select("drawing_id", "sub_id", whole(G.area(F.col("ring"))).alias("area"))
+    return N.rehome_elements(held, parts).join(size, ["drawing_id", "sub_id"]).select("drawing_id", "uid", "area")
+
+
+@query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, CASE WHEN flat THEN xm - x0 ELSE ym - y0 END AS shared FROM half WHERE event_id % 2 = 0"))
+def divided_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wall that the two parts of a divided room share."""
+    _, parts = l_parts(spark, sf_dir)
+    found = P.touching_rooms(parts.select("drawing_id", F.col("sub_id").alias("room_id"), "ord", "ring"), min_shared=10.0, tolerance=1.0)
+    return found.select("drawing_id", whole(F.col("shared")).alias("shared"))
+
+
 @query(_with(ROOM, select="SELECT drawing_id, room_id, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' AS wkt, (x1 - x0) * (y1 - y0) AS area_back FROM room"))
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.rooms(spark, sf_dir).withColumn("wkt", G.to_wkt(F.col("ring")))
@@ -247,6 +294,23 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = "line AS (SELECT o_orderkey // 20 AS drawing_id, o_orderkey AS elem_id, o_orderkey % 20 AS i, o_custkey % 5 = 0 AS gap, o_custkey % 4 = 0 AS wall FROM orders)"
 
 
+@query("""SELECT p_partkey, p_name AS name, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN r // 2 ELSE r END AS BIGINT) AS r, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN g // 2 ELSE g END AS BIGINT) AS g, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN b // 2 ELSE b END AS BIGINT) AS b
+ FROM (SELECT p_partkey, p_name, p_partkey % 10 = 0 AS white, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 7 * p_partkey % 256 END AS r, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 255 - p_partkey % 40 END AS g, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 5 * p_size END AS b FROM part)""")
+def shown_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as drawn on white paper, and names without their prefix."""
+    p = D.table(spark, sf_dir, "part")
+    white = F.col("p_partkey") % 10 == 0
+    r, g, b = (F.when(white, 255).otherwise(c) for c in (7 * F.col("p_partkey") % 256, 255 - F.col("p_partkey") % 40, 5 * F.col("p_size")))
+    c = T.shown_colour(r, g, b)
+    return p.select("p_partkey", T.strip_prefix(F.concat(F.lit("bldg:"), "p_name")).alias("name"), *(c[k].cast("bigint").alias(k) for k in "rgb"))
+
+
+@query(_with(FURNITURE, select="SELECT drawing_id, uid, ord, CAST(CASE WHEN ord IN (0, 3) THEN x - 100 ELSE x + 100 END AS BIGINT) AS px, CAST(CASE WHEN ord < 2 THEN y - 100 ELSE y + 100 END AS BIGINT) AS py, CAST(CASE WHEN ord < 2 THEN x + 100 ELSE x - 100 END AS BIGINT) AS qx, CAST(CASE WHEN ord IN (0, 3) THEN y - 100 ELSE y + 100 END AS BIGINT) AS qy FROM furniture, (SELECT unnest(range(4)) AS ord)"))
+def component_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = E.component_segments(D.furniture(spark, sf_dir))
+    return s.select("drawing_id", "uid", F.col("ord").cast("bigint").alias("ord"), *(whole(F.element_at("coords", i)[k]).alias(n + k) for i, n in ((1, "p"), (2, "q")) for k in "xy"))
+
+
 @query(_with(LINE, select="SELECT drawing_id, elem_id, CASE WHEN bool_or(wall) OVER (PARTITION BY drawing_id, chain) THEN 'wall' ELSE 'background' END AS type FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id ORDER BY i) AS chain FROM line)"))
 def wall_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.diffuse_walls(D.lines(spark, sf_dir)).select("drawing_id", "elem_id", "type")
@@ -356,6 +420,14 @@ def shared_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.touching_rooms(D.rooms(spark, sf_dir), min_shared=1.0).select("drawing_id", "u", "v", whole(F.col("shared")).alias("shared"))
 
 
+@query(_with(ROOM, """gap AS (SELECT r.drawing_id, r.room_id AS u, s.room_id AS v, CASE WHEN abs(s.x0 - r.x1 + 1) <= 1 THEN greatest(0, least(r.y1, s.y1) - greatest(r.y0, s.y0)) ELSE 0 END
+ + CASE WHEN abs(s.y0 - r.y1) <= 1 THEN greatest(0, least(r.x1, s.x1) - 1 - greatest(r.x0, s.x0)) ELSE 0 END AS shared FROM room r JOIN room s ON r.drawing_id = s.drawing_id AND r.ord < s.ord)""", select="SELECT * FROM gap WHERE shared > 10"))
+def near_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walls that rooms share if a millimetre may lie between them; every room ends one before its right side."""
+    r = D.rooms(spark, sf_dir).withColumn("ring", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1") - 1, F.col("y1")))
+    return P.touching_rooms(r, min_shared=10.0, tolerance=1.0).select("drawing_id", "u", "v", whole(F.col("shared")).alias("shared"))
+
+
 @query(_with(ROOM, DOOR, BOUND, select="SELECT drawing_id, uid, array_to_string(e, '|') AS ends FROM ends"))
 def door_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound = P.bind_doors(D.doors(spark, sf_dir), D.rooms(spark, sf_dir))
@@ -437,12 +509,25 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("drawing_id", "dst", (F.size("path") - 1).cast("bigint").alias("hops"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
-@query(_with(ROOM, GRID, select="""SELECT drawing_id, room_id, '{"@id":"' || room_id || '","@type":[' || CASE WHEN sem = 'Unknown' THEN '' ELSE '"' || sem || '"' END || '],"geo:asWKT":"POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))"' ||
- coalesce(',"bot:adjacentZone":[' || (SELECT string_agg('{"@id":"' || dst || '"}', ',' ORDER BY dst) FROM arc WHERE arc.drawing_id = room.drawing_id AND src = room_id) || ']', '') || '}' AS json FROM room"""))
+NODE_JSON = """'{"@id":"' || room_id || '","@type":[' || CASE WHEN sem = 'Unknown' THEN '' ELSE '"' || sem || '"' END || '],"geo:asWKT":"POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))"' ||
+ coalesce(',"bot:adjacentZone":[' || (SELECT string_agg('{"@id":"' || dst || '"}', ',' ORDER BY dst) FROM arc WHERE arc.drawing_id = room.drawing_id AND src = room_id) || ']', '') || '}'"""
+
+
+@query(_with(ROOM, GRID, select=f"SELECT drawing_id, room_id, {NODE_JSON} AS json FROM room"))
 def jsonld_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_bodies(spark, sf_dir).select("drawing_id", F.col("node_id").alias("room_id"), "json")
+
+
+def node_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = D.rooms(spark, sf_dir).select("drawing_id", F.col("room_id").alias("node_id"), "ord", "types", F.lit(None).cast("string").alias("label"), "ring")
     edges = graph.both_ways(D.grid_edges(spark, sf_dir)).withColumn("pred", F.lit("adjacentZone"))
-    return jsonld.node_json(nodes, edges).select("drawing_id", F.col("node_id").alias("room_id"), "json")
+    return jsonld.node_json(nodes, edges)
+
+
+@query(_with(ROOM, GRID, select=f"""SELECT drawing_id, '{{"@context":{{"bot":"https://w3id.org/bot#","geo":"http://www.opengis.net/ont/geosparql#"}},"@graph":[' || string_agg(json, ',' ORDER BY ord) || ']}}' AS json FROM (SELECT drawing_id, ord, {NODE_JSON} AS json FROM room) GROUP BY drawing_id"""))
+def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole graph documents, one for each drawing."""
+    return jsonld.graph_json(node_bodies(spark, sf_dir)).select("drawing_id", "json")
 
 
 # ------------------------------------------------------- reports and views
@@ -481,6 +566,29 @@ def drawing_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select(F.col("drawing").cast("bigint").alias("drawing_id"), whole(140 / F.col("scale")).alias("longest"), whole(2 * F.col("delta_x")).alias("dx2"), whole(2 * F.col("delta_y")).alias("dy2"))
 
 
+@query(_with(ROOM, DOOR, """p AS (SELECT drawing_id, x0 AS x, y0 AS y FROM room UNION ALL SELECT drawing_id, x1, y1 FROM room UNION ALL SELECT drawing_id, xc, lo FROM door UNION ALL SELECT drawing_id, xc, hi FROM door),
+ box AS (SELECT drawing_id, min(x) AS a, min(y) AS b, max(x) - min(x) AS w, max(y) - min(y) AS h, least(140 / (max(x) - min(x)), 140 / (max(y) - min(y))) AS k FROM p GROUP BY drawing_id)""",
+    select="SELECT drawing_id, CAST(sum(round_even(1000 * ((x - a) * k + (140 - w * k) / 2), 0)) AS BIGINT) AS x, CAST(sum(round_even(1000 * (140 - ((y - b) * k + (140 - h * k) / 2)), 0)) AS BIGINT) AS y FROM p JOIN box USING (drawing_id) GROUP BY drawing_id"))
+def square_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the corners of rooms (two of each) and the ends of doors, in thousandths of the square's units."""
+    held = dxf.to_svg_units(entities(spark, sf_dir))
+    ends = F.when(F.col("kind") == "LINE", F.col("coords")).otherwise(F.array(F.element_at("coords", 1), F.element_at("coords", 3)))
+    p = held.select(F.col("drawing").cast("bigint").alias("drawing_id"), F.explode(ends).alias("p"))
+    return p.groupBy("drawing_id").agg(F.sum(whole(1000 * F.col("p.x"))).alias("x"), F.sum(whole(1000 * F.col("p.y"))).alias("y"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, event_id % 4 = 0 AS sound, CASE WHEN event_id % 4 = 0 THEN (x1 - x0) * (y1 - y0) END AS area FROM room"))
+def annotated_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings with a repeated corner, crossed ones, flat ones and ones with a spike: only the first are sound."""
+    p = lambda x, y: G.point(F.expr(x), F.expr(y))
+    a, b, c, d = p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")
+    kinds = F.array(F.array(a, b, b, c, d, a), F.array(a, c, b, d), F.array(a, b, p("(x0 + x1) div 2", "y0")), F.array(a, p("x1 + 500", "y0"), b, c, d))
+    r = D.rooms(spark, sf_dir).select("drawing_id", "room_id", F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("ring"))
+    good, bad = dxf.sound_rings(r)
+    good = good.select("drawing_id", "room_id", F.lit(True).alias("sound"), whole(G.area(F.col("ring"))).alias("area"))
+    return good.unionByName(bad.select("drawing_id", "room_id", F.lit(False).alias("sound"), F.lit(None).cast("bigint").alias("area")))
+
+
 @query(_with(ROOM, DOOR, select=f"""SELECT drawing_id, thing, type, count(*) AS n, CAST(sum(a) AS BIGINT) AS area FROM (SELECT drawing_id, 'room' AS thing, sem AS type, (x1 - x0) * (y1 - y0) AS a FROM room WHERE sem <> 'Unknown'
  UNION ALL SELECT drawing_id, 'door', NULL, 0 FROM door) GROUP BY ALL"""))
 def annotated_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -745,12 +853,21 @@ def label_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.class_scores(labelled(spark, sf_dir)).select("label", *map(millionths, ("precision", "recall", "f1")))
 
 
-@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, SCORE, select="SELECT (SELECT count(*) FROM label) AS n, (SELECT CAST(round_even(1000000 * count(*) FILTER (truth = predicted) / count(*), 0) AS BIGINT) FROM label) AS accuracy, CAST(round_even(1000000 * avg(p), 0) AS BIGINT) AS macro_precision, CAST(round_even(1000000 * avg(r), 0) AS BIGINT) AS macro_recall, CAST(round_even(1000000 * avg(f), 0) AS BIGINT) AS macro_f1 FROM rate"))
+MACRO = "SELECT (SELECT count(*) FROM label) AS n, (SELECT CAST(round_even(1000000 * count(*) FILTER (truth = predicted) / count(*), 0) AS BIGINT) FROM label) AS accuracy, CAST(round_even(1000000 * avg(p), 0) AS BIGINT) AS macro_precision, CAST(round_even(1000000 * avg(r), 0) AS BIGINT) AS macro_recall, CAST(round_even(1000000 * avg(f), 0) AS BIGINT) AS macro_f1 FROM rate"
+
+
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, SCORE, select=MACRO))
 def label_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and macro averages over labels, in millionths."""
     return V.macro(labelled(spark, sf_dir)).select("n", *map(millionths, ("accuracy", "macro_precision", "macro_recall", "macro_f1")))
 
 
+@query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, SCORE, "m AS (SELECT n, accuracy, macro_f1 FROM (" + MACRO + "))", select="SELECT unnest(['n', 'accuracy', 'macro_f1']) AS metric, unnest([n, accuracy, macro_f1]) AS value FROM m"))
+def label_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms, accuracy and macro F1 (in millionths) as rows of metric and value."""
+    return V.dashboard(label_macro(spark, sf_dir).select("n", "accuracy", "macro_f1")).select("metric", whole(F.col("value")).alias("value"))
+
+
 @query(_with(ROOM, TRUTH, MATCH, """gv AS (SELECT drawing_id, 'GT_' || lpad(CAST(ord AS VARCHAR), 3, '0') AS node FROM gt WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
  name AS (SELECT drawing_id, s, min('GT_' || lpad(CAST(g AS VARCHAR), 3, '0')) AS gid FROM matched WHERE s IS NOT NULL GROUP BY ALL),
  sv AS (SELECT DISTINCT r.drawing_id, coalesce(gid, room_id) AS node FROM room r LEFT JOIN name n ON n.drawing_id = r.drawing_id AND n.s = r.ord WHERE sem = 'Bedroom' AND (x1 - x0) * (y1 - y0) < 12000000),
