@@ -26,7 +26,10 @@ Point = tuple[float, float]
 
 
 def _records(pairs: list[Pair]) -> list[tuple[str, str, dict]]:
-    """(section, kind, values by group code); codes that repeat hold lists."""
+    """(section, kind, values by group code); codes that repeat hold lists.
+
+    ``bulges`` are those of a light polyline by vertex, ``weights`` those of a spline.
+    """
     out: list[tuple[str, str, dict]] = []
     section, values = "", None
     for code, value in pairs:
@@ -38,18 +41,27 @@ def _records(pairs: list[Pair]) -> list[tuple[str, str, dict]]:
         elif values is not None:
             if out[-1][1] == "SECTION" and code == "2":
                 section = value
-            if code in _REPEATED:
+            if code == "42" and out[-1][1] == "LWPOLYLINE":
+                values.setdefault("bulges", {})[len(values.get("10", [])) - 1] = float(value)
+            elif code == "41" and out[-1][1] == "SPLINE":
+                values.setdefault("weights", []).append(float(value))
+            elif code in _REPEATED:
                 values.setdefault(code, []).append(float(value))
             else:
                 values.setdefault(code, value)
     return out
 
 
-def _spline(degree: int, knots: list[float], control: list[Point]) -> list[Point]:
-    """Points at even parameters of a B-spline, by de Boor's recurrence; control points if the knots do not fit."""
+def _spline(degree: int, knots: list[float], control: list[Point], weights: list[float]) -> list[Point]:
+    """Points at even parameters of a B-spline, by de Boor's recurrence; control points if the knots do not fit.
+
+    A rational one runs through its points times their weights, and is divided by the weight of the result.
+    """
     n = len(control)
     if n <= degree or len(knots) != n + degree + 1:
         return control
+    weights = weights if len(weights) == n and min(weights) > 0 else [1.0] * n
+    control = [(x * g, y * g, g) for (x, y), g in zip(control, weights, strict=True)]
     low, high, out = knots[degree], knots[n], []
     for i in range(CURVE_POINTS):
         t = low + (high - low) * i / (CURVE_POINTS - 1)
@@ -60,15 +72,34 @@ def _spline(degree: int, knots: list[float], control: list[Point]) -> list[Point
                 left, right = knots[k - degree + j], knots[k + 1 + j - r]
                 w = (t - left) / (right - left) if right > left else 0.0
                 d[j] = tuple((1 - w) * x + w * y for x, y in zip(d[j - 1], d[j], strict=True))
-        out.append(d[degree])
+        x, y, g = d[degree]
+        out.append((x / g, y / g))
+    return out
+
+
+def _bulged(corners: list[Point], bulges: dict[int, float]) -> list[Point]:
+    """A polyline whose sides with a bulge (the tangent of a quarter of the angle, left-hand positive) are arcs."""
+    out: list[Point] = []
+    for i, (px, py) in enumerate(corners):
+        out.append((px, py))
+        bulge = bulges.get(i, 0.0)
+        if bulge == 0 or i + 1 == len(corners):
+            continue
+        dx, dy, turn = corners[i + 1][0] - px, corners[i + 1][1] - py, 4 * math.atan(bulge)
+        off = (1 - bulge * bulge) / (4 * bulge)
+        cx, cy = px + dx / 2 - dy * off, py + dy / 2 + dx * off
+        for k in range(1, CURVE_POINTS - 1):
+            t = turn * k / (CURVE_POINTS - 1)
+            out.append((cx + (px - cx) * math.cos(t) - (py - cy) * math.sin(t), cy + (px - cx) * math.sin(t) + (py - cy) * math.cos(t)))
     return out
 
 
 def _points(kind: str, v: dict) -> list[Point]:
     first = list(zip(v.get("10", []), v.get("20", []), strict=False))
     second = list(zip(v.get("11", []), v.get("21", []), strict=False))
-    if kind == "LWPOLYLINE" and int(v.get("70", 0)) & 1 and first and first[0] != first[-1]:
-        return [*first, first[0]]
+    if kind == "LWPOLYLINE" and first:
+        shut = int(v.get("70", 0)) & 1 and first[0] != first[-1]
+        return _bulged([*first, first[0]] if shut else first, v.get("bulges", {}))
     if kind in ("ARC", "ELLIPSE") and first and v.get("40"):
         (cx, cy), size = first[0], v["40"][0]
         if kind == "ARC":
@@ -80,7 +111,7 @@ def _points(kind: str, v: dict) -> list[Point]:
         angles = [start + (end - start) * i / (CURVE_POINTS - 1) for i in range(CURVE_POINTS)]
         return [(cx + ax * math.cos(t) - ratio * ay * math.sin(t), cy + ay * math.cos(t) + ratio * ax * math.sin(t)) for t in angles]
     if kind == "SPLINE":
-        return _spline(int(v.get("71", 3)), v.get("40", []), first) if first else second
+        return _spline(int(v.get("71", 3)), v.get("40", []), first, v.get("weights", [])) if first else second
     return first + second if kind == "LINE" else first
 
 
@@ -92,9 +123,9 @@ def _hidden_layers(records: list[tuple[str, str, dict]]) -> set[str]:
 def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, list[Point]]]:
     """(kind, layer, text, radius, points) of the visible entities.
 
-    A closed polyline repeats its first point; arcs, ellipses and splines are CURVE_POINTS points. A
-    block's entities stand where it is inserted, scaled, turned and moved, at any depth; those on layer
-    0 take the insertion's layer. Blocks that hold themselves are left out, as are entities that are
+    A closed polyline repeats its first point; arcs, bulges, ellipses and splines are CURVE_POINTS points. A
+    block's entities stand where it is inserted, scaled, turned and moved, at any depth, on the layer of
+    the outermost insertion, which alone decides whether they are shown. Blocks that hold themselves are left out, as are entities that are
     invisible or whose layer is off or frozen. A radius follows the insertion's first scale.
     """
     lines = text.splitlines()
@@ -119,8 +150,7 @@ def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, lis
     def place(items: list, m: tuple, scale: float, layer: str | None, within: tuple[str, ...]) -> None:
         a, b, c, d, e, f = m
         for kind, v in items:
-            own = v.get("8", "0")
-            own = layer if layer is not None and own == "0" else own
+            own = layer if layer is not None else v.get("8", "0")
             if own in hidden or v.get("60", "0") == "1":
                 continue
             if kind in KINDS:

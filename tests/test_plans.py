@@ -125,7 +125,7 @@ def test_dxf_blocks_curves_and_visibility():
         [(0, "INSERT"), (2, "absent"), (10, 0), (20, 0)], [(0, "ENDSEC")], [(0, "EOF")],
     )
     found = dxf.entities_of(text)
-    assert [(k, layer) for k, layer, *_ in found] == [("LINE", "doors"), ("CIRCLE", "x"), ("ARC", "a"), ("ELLIPSE", "a"), ("SPLINE", "a")]
+    assert [(k, layer) for k, layer, *_ in found] == [("LINE", "doors"), ("CIRCLE", "doors"), ("ARC", "a"), ("ELLIPSE", "a"), ("SPLINE", "a")]
     assert [p for q in found[0][4] for p in q] == pytest.approx([100, 50, 100, 70])
     assert found[1][3] == 6 and found[1][4][0] == pytest.approx((100, 52))
     assert found[2][4][0] == pytest.approx((2, 0)) and found[2][4][-1] == pytest.approx((0, 2))
@@ -135,6 +135,22 @@ def test_dxf_blocks_curves_and_visibility():
     assert dxf.entities_of("") == [] and dxf.entities_of("0\nEOF") == []
 
 
+def test_dxf_bulges_and_weights():
+    text = dxf_text(
+        [(0, "SECTION"), (2, "ENTITIES")],
+        [(0, "LWPOLYLINE"), (8, "a"), (70, 1), (10, 0), (20, 0), (10, 4), (20, 0), (42, 1), (10, 4), (20, 2), (10, 0), (20, 2)],
+        [(0, "LWPOLYLINE"), (8, "a"), (10, 0), (20, 0), (42, -(2**0.5 - 1)), (10, 1), (20, 1)],
+        [(0, "SPLINE"), (8, "a"), (71, 2), *((40, k) for k in (0, 0, 0, 1, 1, 1)), (41, 1), (41, 2**-0.5), (41, 1), (10, 1), (20, 0), (10, 1), (20, 1), (10, 0), (20, 1)],
+        [(0, "ENDSEC")],
+    )
+    box, quarter, circle = (points for *_, points in dxf.entities_of(text))
+    # A half circle to the right of the box, a quarter circle around (1, 0), one around (0, 0).
+    assert len(box) == 4 + 1 + dxf.CURVE_POINTS - 2 and box[0] == box[-1] and max(x for x, _ in box) == pytest.approx(5, abs=0.01)
+    assert all((x - 4) ** 2 + (y - 1) ** 2 == pytest.approx(1) for x, y in box[1 : 1 + dxf.CURVE_POINTS])
+    assert all((x - 1) ** 2 + y**2 == pytest.approx(1) for x, y in quarter) and quarter[-1] == (1, 1)
+    assert all(x**2 + y**2 == pytest.approx(1) for x, y in circle) and circle[-1] == pytest.approx((0, 1))
+
+
 def test_rooms_of_svg(spark, tmp_path):
     rooms = spark.sql("select 1L drawing_id, 'Space_001' room_id, 1 ord, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4000D, 'y', 0D), named_struct('x', 4000D, 'y', 3000D)) ring")
     (tmp_path / "p.svg").write_text(svg.room_svgs(rooms, 0.01).first()["svg"])
