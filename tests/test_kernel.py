@@ -106,3 +106,21 @@ def test_batches_of_pairs_are_the_single_ones():
         for i in range(200):
             m, a, b = K.longest_chord(s[i], r[i], 0.1)
             assert np.allclose([n[i], *p[i], *q[i]], [m, *a, *b])
+
+
+def test_settings_and_their_override(tmp_path, monkeypatch):
+    from floorlens.settings import Settings
+
+    file = tmp_path / "s.toml"
+    file.write_text('flat = 1\n[runtime]\nmode = "SINGLE"\n[paths]\ndrawings = "in/dxf"\nreports = "/tmp/r"\n')
+    s = Settings(file)
+    assert s.get("runtime", "mode") == "SINGLE" and s.get("flat", "x", 2) == 2 and s.get("absent", "x") is None
+    assert s.path("paths", "drawings") == tmp_path.resolve() / "in/dxf" and str(s.path("paths", "reports")) == "/tmp/r" and s.path("paths", "absent") is None
+    monkeypatch.setenv("FLOORLENS_RUNTIME_MODE", "BATCH")
+    assert s.get("runtime", "mode") == "BATCH"
+    monkeypatch.setenv("FLOORLENS_RUNTIME_MODE", "")
+    assert s.get("runtime", "mode") == "SINGLE"
+    (tmp_path / "s.json").write_text('{"runtime": {"mode": "ALL"}}')
+    assert Settings(tmp_path / "s.json").get("runtime", "mode") == "ALL"
+    with pytest.raises(FileNotFoundError):
+        Settings(tmp_path / "none.toml")
