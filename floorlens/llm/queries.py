@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, language, licenses, mixing, neardup, quality, secrets, tokens, warc
+from . import decontam, html, language, licenses, linededup, mixing, neardup, quality, resampling, secrets, tokens, warc
 from .common import read_table
 
 
@@ -60,6 +60,15 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(spark, path)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.without_frequent_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secret_scans": op2_secret_scans,
@@ -71,6 +80,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NIBBLES = ", ".join(f"'{i:04b}'" for i in range(16))
@@ -95,7 +106,37 @@ _LISTED = "string_agg(kind || ':' || lo || ':' || hi, ',' ORDER BY lo, list_posi
 
 _TEMPLATES = ", ".join(f"('{k}', {licenses.template_words(t)}, {2 * n + licenses.window_length(n)})" for k, t in licenses.TEMPLATES.items() for n in [len(licenses.template_words(t)) - licenses.SHINGLE + 1])
 
+#: The SQL of white space, of the bytes of a string and of its CRC-32, bit by bit.
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _crc_sql(value: str) -> str:
+    digit = lambda at: f"(strpos('0123456789ABCDEF', hex({value})[{at}]) - 1)"
+    bits = f"list_transform(range(0, 8 * octet_length(encode({value}))), lambda i: CASE WHEN i % 8 = 0 THEN 16 * {digit('i // 4 + 1')} + {digit('i // 4 + 2')} ELSE 0 END)"
+    return f"xor(list_reduce({bits}, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295), 4294967295)"
+
+
+_FEATURES = r"""(SELECT doc_id, w, list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f
+ FROM (SELECT {id} AS doc_id, regexp_extract_all(translate(coalesce(text, ''), '{up}', '{low}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}))"""
+_DOC_FEATURES, _TARGET_FEATURES = (_FEATURES.format(id=i, table=t, up=_UPPER, low=_LOWER) for i, t in (("doc_id", "documents"), ("item_id", "benchmark")))
+
 ORACLES: dict[str, str] = {
+    "op11_line_dedup": f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+ k AS (SELECT doc_id, l, list_transform(l, lambda x: translate(trim(x, {_WHITE}), '{_UPPER}', '{_LOWER}')) AS k FROM d),
+ f AS (SELECT g FROM (SELECT doc_id, unnest(k) AS g FROM k) WHERE length(g) >= 1 GROUP BY g HAVING count(DISTINCT doc_id) >= 10),
+ e AS (SELECT doc_id, unnest(l) AS line, unnest(k) AS g, unnest(range(1, len(l) + 1)) AS pos FROM k)
+ SELECT doc_id, count(*) AS n_lines, count(f.g) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.g IS NULL), '')) AS kept_sha256 FROM e LEFT JOIN f ON e.g = f.g GROUP BY doc_id""",
+    "op13_importance_resampling": f"""WITH d AS {_DOC_FEATURES}, b AS {_TARGET_FEATURES},
+ df AS (SELECT doc_id, unnest(f) AS f FROM d), bf AS (SELECT unnest(f) AS f FROM b),
+ h AS (SELECT f, {_crc_sql("f")} % 10000 AS k FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+ s AS (SELECT k, count(*) AS s FROM df JOIN h USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM bf JOIN h USING (f) GROUP BY k),
+ z AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS sz, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS tz),
+ g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sz + 10000) / ((s + 1)::DOUBLE * (tz + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k), z),
+ w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM df JOIN h USING (f) JOIN g USING (k) GROUP BY doc_id),
+ v AS (SELECT doc_id, len(w) AS n_words, len(f)::BIGINT AS n_features, coalesce(weight, 0) AS weight, sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8] AS x FROM d LEFT JOIN w USING (doc_id)),
+ u AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || x)::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM v),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM u WHERE n_words >= 20)
+ SELECT u.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM u LEFT JOIN r USING (doc_id)""",
     # Shingles of a template that stand within the reach of a window, from any of them on.
     "op6_license_scans": rf"""WITH t AS (SELECT name, far, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM (VALUES {_TEMPLATES}) AS v(name, w, far)),
  w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),

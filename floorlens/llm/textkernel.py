@@ -8,6 +8,7 @@ equal bytes only.
 from __future__ import annotations
 
 import ctypes
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -177,9 +178,8 @@ def span_numbers(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return number, first
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all words, in order."""
-    inside = ~WHITE[raw]
+def run_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all maximal runs of bytes that are ``inside``, in order."""
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -191,6 +191,48 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all words, in order."""
+    return run_spans(~WHITE[raw], offsets)
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to the CRC-32 register, by the reflected polynomial 0xEDB88320."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+CRC_TABLE, CRC_START = _crc_table(), np.uint32(0xFFFFFFFF)
+#: Bytes through which all registers go together; what a longer span has beyond is read by itself.
+TOGETHER = 64
+
+
+def crc_bytes(crc: np.ndarray, value: np.ndarray | np.uint8) -> np.ndarray:
+    """CRC-32 registers after one more byte each."""
+    return CRC_TABLE[(crc ^ value) & np.uint32(255)] ^ (crc >> np.uint32(8))
+
+
+def crc_spans(raw: np.ndarray, starts: np.ndarray, length: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after the bytes of spans, all advanced a byte at a time.
+
+    ``crc`` are the registers before. The CRC-32 of a span is its register, begun with CRC_START, all bits turned.
+    """
+    order = np.argsort(TOGETHER + 1 - np.minimum(length, TOGETHER + 1).astype(np.uint8), kind="stable")
+    at, size, crc = starts[order], length[order], crc[order]
+    alive = len(size) - np.cumsum(np.bincount(np.minimum(size, TOGETHER + 1), minlength=TOGETHER + 2))
+    for j in range(min(TOGETHER, int(size[0]) if len(size) else 0)):
+        k = int(alive[j])
+        crc[:k] = crc_bytes(crc[:k], raw[at[:k] + j])
+    for i in range(int(alive[TOGETHER])):
+        rest = raw[at[i] + TOGETHER : at[i] + size[i]]
+        crc[i] = zlib.crc32(rest, int(crc[i] ^ CRC_START)) ^ 0xFFFFFFFF
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
 def counts_of(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype(np.int64)
 
