@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, language, licenses, linededup, mixing, neardup, quality, resampling, secrets, tokens, warc
+from . import decontam, html, language, licenses, linededup, mixing, neardup, quality, resampling, secrets, spelling, tokens, warc
 from .common import read_table
 
 
@@ -64,6 +64,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.without_frequent_lines(read_table(spark, sf_dir, "documents")))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resampling.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
@@ -81,6 +85,7 @@ QUERIES = {
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
     "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_importance_resampling": op13_importance_resampling,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -126,6 +131,17 @@ ORACLES: dict[str, str] = {
  f AS (SELECT g FROM (SELECT doc_id, unnest(k) AS g FROM k) WHERE length(g) >= 1 GROUP BY g HAVING count(DISTINCT doc_id) >= 10),
  e AS (SELECT doc_id, unnest(l) AS line, unnest(k) AS g, unnest(range(1, len(l) + 1)) AS pos FROM k)
  SELECT doc_id, count(*) AS n_lines, count(f.g) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.g IS NULL), '')) AS kept_sha256 FROM e LEFT JOIN f ON e.g = f.g GROUP BY doc_id""",
+    # Words with a common rest after one deletion: replacements at one place, or one word being the other's rest.
+    "op12_spelling_variants": f"""WITH RECURSIVE o AS (SELECT doc_id, r, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) AS r FROM documents) WHERE length(r) >= 6 GROUP BY ALL),
+ h AS (SELECT r, n, {_crc_sql("(doc_id || ':' || r)")} AS h FROM o),
+ v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+ x AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM v a JOIN x b ON a.word = b.rest UNION SELECT b.word, b.n, a.word, a.n FROM v a JOIN x b ON a.word = b.rest),
+ q AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM p GROUP BY ALL),
+ f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN q USING (word)),
+ t AS (SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+ SELECT f.word, f.form, t.root, f.n, f.n_near, f.form_n FROM f JOIN t USING (word) JOIN f g ON g.word = t.root WHERE g.form IS NULL""",
     "op13_importance_resampling": f"""WITH d AS {_DOC_FEATURES}, b AS {_TARGET_FEATURES},
  df AS (SELECT doc_id, unnest(f) AS f FROM d), bf AS (SELECT unnest(f) AS f FROM b),
  h AS (SELECT f, {_crc_sql("f")} % 10000 AS k FROM (SELECT f FROM df UNION SELECT f FROM bf)),
