@@ -216,9 +216,10 @@ def _best(one: np.ndarray, other: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The near words within each group of a task: (word, n_near, best, best_n)."""
-    held = pa.Table.from_batches(list(batches))
-    if not held.num_rows:
+    some = [b for b in batches if b.num_rows]
+    if not some:
         return
+    held = pa.Table.from_batches(some)
     words = np.array([w.encode("latin-1") for w in held.column("word").to_pylist()], object)
     n, m, lo, hi = (held.column(c).to_numpy() for c in ("n", "m", "lo", "hi"))
     size = np.array([len(w) for w in words], np.int64)
