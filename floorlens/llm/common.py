@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 class Scratch:
     """Tables written while the block is open; all but those kept are deleted at its end.
 
-    What is returned from the block must read kept tables only.
+    What is returned from the block must read kept tables only. Each thread has blocks of its own.
     """
 
-    open: list[Scratch] = []
+    innermost: ContextVar[Scratch | None] = ContextVar("innermost", default=None)
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
-        Scratch.open.append(self)
+        self.before = Scratch.innermost.set(self)
         return self
 
     def keep(self, *tables: DataFrame) -> None:
@@ -56,7 +57,7 @@ class Scratch:
         self.paths = [p for p in self.paths if p not in kept]
 
     def __exit__(self, *_) -> None:
-        Scratch.open.remove(self)
+        Scratch.innermost.reset(self.before)
         for path in self.paths:
             delete(self.spark, path)
 
@@ -75,8 +76,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    if Scratch.open:
-        Scratch.open[-1].paths.append(path)
+    if block := Scratch.innermost.get():
+        block.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -1,15 +1,14 @@
 """Language identification: words first, backing off to shorter character n-grams.
 
-A word is a run of letters, lower-cased. A word of the model scores its log frequency in each
+A word is a run of letters and the marks that combine with them, lower-cased. A word of the model scores its log frequency in each
 language. A word the model lacks is cut into the longest n-grams that it knows (4 down to 1
 characters of the word with a blank at both ends) and scores their mean log frequency, less a
 penalty for each step down. A text's score is the sum over its words; the language with the best
 score wins, and ``score`` is its share of the tempered likelihoods.
 
 The model is fitted on a bounded sample of the labelled rows: about SAMPLE documents of each language
-(chosen by a hash of doc_id, whole texts), the WORDS most frequent words and GRAMS most frequent
-n-grams of each language. Its size is so bounded by the number of languages (some megabytes for ten),
-and it is sent to all tasks. Every document is scored over its whole text.
+(chosen by a hash of doc_id, whole texts): of them it holds every word and n-gram that occurs at least SEEN
+times in a language. Its size is so bounded by the sample, and it is sent to all tasks. Every document is scored over its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text if
 there are no labelled rows; ties go to the language first in code point order; null languages are
@@ -19,19 +18,21 @@ alike; an empty table gives no rows; other columns than doc_id, text and lang ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, materialise
 from .textkernel import freeing
 
-SAMPLE, WORDS, GRAMS, LONGEST = 3000, 30_000, 20_000, 4
+SAMPLE, LONGEST = 3000, 4
+#: Occurrences in the sample of one language from which on a word or n-gram is learned; rarer words back off.
+SEEN = 3
 #: Log penalty of each step from words to 4-, 3-, 2- and 1-grams.
 STEP = log(2.0)
 #: Words beyond which a text's likelihoods are tempered, so that the score stays a graded one.
@@ -39,7 +40,8 @@ SURE = 20
 FOLDS, HELD_OUT = 4, 2
 #: Texts whose words are looked up together.
 ROWS = 1000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that combine with them; numbers that are no digits are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UND = "und"
 
 
@@ -120,7 +122,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
 
-def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+def fit(docs: DataFrame, *, sample: int = SAMPLE, seen: int = SEEN) -> Model:
     """A model of the rows of ``docs`` that have a language. The caller leaves out what must not be learned."""
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -132,8 +134,8 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int
     shares = spark.createDataFrame(list(share.items()), "lang string, share double")
     labelled = labelled.join(F.broadcast(shares), "lang")
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30)
-    seen = labelled.where(drawn).select("lang", "text").mapInArrow(_tokens, "lang string, word string, n long")
-    seen = materialise(seen.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
+    word = labelled.where(drawn).select("lang", "text").mapInArrow(_tokens, "lang string, word string, n long")
+    word = materialise(word.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
 
     def cuts(size: int):
@@ -141,24 +143,28 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, words: int = WORDS, grams: int
         found = F.transform(places, lambda i: F.substring(padded, i, F.lit(size)))
         return F.when(F.length("word") + 2 >= size, found).otherwise(F.array().cast("array<string>"))
 
-    gram = seen.select("lang", "n", F.explode(F.concat(*map(cuts, range(1, LONGEST + 1)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    gram = word.select("lang", "n", F.explode(F.concat(*map(cuts, range(1, LONGEST + 1)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     gram = materialise(gram, "lang-grams")
 
-    def top(table: DataFrame, most: int) -> tuple[dict[str, list[float]], DataFrame]:
-        """Counts by language of the most frequent strings of any language."""
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def counts_of(table: DataFrame) -> tuple[dict[str, list[float]], DataFrame]:
+        """Counts by language of the strings that some language has often enough, and the sums over all by length."""
+        often = table.where(F.col("n") >= seen).select("word").distinct()
         out: dict[str, list[float]] = {}
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        for r in table.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect():
-            out.setdefault(r["word"], [0.0] * len(langs))[langs.index(r["lang"])] = float(r["n"])
+        for r in table.join(often, "word").groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by")).orderBy("word").toLocalIterator():
+            row = out.setdefault(r["word"], [0.0] * len(langs))
+            for lang, n in r["by"]:
+                row[place[lang]] = float(n)
         return out, table.groupBy("lang", F.least(F.length("word"), F.lit(LONGEST)).alias("size")).agg(F.sum("n").alias("n"))
 
-    word_counts, _ = top(seen, words)
-    gram_counts, sizes = top(gram, grams)
+    word_counts, _ = counts_of(word)
+    gram_counts, sizes = counts_of(gram)
     word_total, gram_total = [0.0] * len(langs), [[0.0] * len(langs) for _ in range(LONGEST)]
-    for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        word_total[langs.index(r["lang"])] = float(r["n"])
+    for r in word.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        word_total[place[r["lang"]]] = float(r["n"])
     for r in sizes.collect():
-        gram_total[r["size"] - 1][langs.index(r["lang"])] += float(r["n"])
+        gram_total[r["size"] - 1][place[r["lang"]]] += float(r["n"])
     return Model(langs, word_counts, gram_counts, (word_total, gram_total))
 
 

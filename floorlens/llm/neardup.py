@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import Scratch, materialise, skewed_left_join
+from .common import Scratch, bounded_broadcast, materialise, skewed_left_join
 from .graph import UnionFind, components
 
 #: Words of a shingle, percent of similarity.
@@ -46,6 +46,8 @@ M, BANDS, ROWS = 256, 40, 5
 MAYBE = 0.60
 #: Most nodes of a bucket that are compared in one go.
 BUCKET = 2048
+#: Most nodes whose keys (some hundred bytes each) are broadcast to fetch their texts.
+BROADCAST_NODES = 50_000
 #: Beyond the most blocks of a bucket; a pair of blocks is one number.
 BLOCKS = 1 << 24
 #: Level from which permutations are kept as arrays.
@@ -145,10 +147,9 @@ def text_hash():
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
-def sign(docs: DataFrame, *, with_hash: bool = False) -> DataFrame:
-    """doc_id, hash (of the text, null unless asked for), n (shingles), key (of the word sequence), bands and sig (a byte per component)."""
-    mark = text_hash() if with_hash else F.lit(None).cast("binary")
-    return docs.select(F.col("doc_id").cast("long"), mark.alias("hash"), F.col("text").cast("string").alias("text")).mapInArrow(tk.freeing(_sign), _SIGNED)
+def sign(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), n (shingles), key (of the word sequence), bands and sig (a byte per component)."""
+    return docs.select(F.col("doc_id").cast("long"), text_hash().alias("hash"), F.col("text").cast("string").alias("text")).mapInArrow(tk.freeing(_sign), _SIGNED)
 
 
 # --------------------------------------------------------------- buckets
@@ -394,14 +395,14 @@ def _apart(banded: DataFrame, comps: DataFrame, bucket: int) -> DataFrame:
     return rows.withColumn("sub", sub.cast("long"))
 
 
-def classes(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int = BUCKET, with_hash: bool = False) -> DataFrame:
+def classes(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """doc_id, hash, n, key and group (null if the row is in none) of every row.
 
     A group is told by the row that it keeps: of the least doc_id (component_id) and, among its rows, of
     the least key and hash.
     """
     options = {} if union_find_edges is None else {"union_find_edges": union_find_edges}
-    signed = materialise(sign(docs, with_hash=with_hash), "neardup-signed")
+    signed = materialise(sign(docs), "neardup-signed")
     with Scratch(docs.sparkSession) as scratch:
         full = signed.where("n > 0")
         # bands and sig follow from the key, so any row's will do
@@ -416,9 +417,11 @@ def classes(docs: DataFrame, *, union_find_edges: int | None = None, bucket: int
         pairs = candidate_pairs(banded, nodes, bucket)
 
         def sets_of(wanted: DataFrame) -> DataFrame:
-            rows = wanted.join(nodes.select("node", "key", "first"), "node")
-            texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
-            found = texts.join(rows, texts["first"].eqNullSafe(rows["first"])).select("node", "key", "text").mapInArrow(tk.freeing(_sets), "node long, set binary")
+            # By doc_id and text, so that rows without an id meet their own node only. Few nodes are broadcast, and then no text moves.
+            rows = materialise(wanted.join(nodes.select("node", "key", "first", F.col("lead.hash").alias("of")), "node"), "neardup-wanted")
+            rows = bounded_broadcast(rows, BROADCAST_NODES)
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), text_hash().alias("hash"))
+            found = texts.join(rows, texts["doc"].eqNullSafe(rows["first"]) & (texts["hash"] == rows["of"])).select("node", "key", "text").mapInArrow(tk.freeing(_sets), "node long, set binary")
             return materialise(found.dropDuplicates(["node"]), "neardup-sets")
 
         ends = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "neardup-ends")
@@ -468,6 +471,6 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by doc_id and text. Null doc_ids are dealt by the text in the join.
     """
     stays = F.col("group").isNull() | (F.col("doc_id").eqNullSafe(F.col("group.component_id")) & (F.col("key") == F.col("group.key")) & (F.col("hash") == F.col("group.hash")))
-    gone = classes(docs, with_hash=True, **options).where(~stays).select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")).distinct()
+    gone = classes(docs, **options).where(~stays).select(F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")).distinct()
     gone = materialise(gone, "neardup-gone")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc"]) & (text_hash() == gone["__hash"]), "left_anti")

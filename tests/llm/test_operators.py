@@ -732,6 +732,16 @@ def test_warc_of_odd_pages(spark, monkeypatch):
     assert warc.read_packages(spark, warc.write_packages(df.unionByName(df))).count() == 8
 
 
+@pytest.mark.parametrize("broadcast", [neardup.BROADCAST_NODES, 0])
+def test_rows_without_an_id_meet_their_own_texts_only(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", broadcast)
+    rows = [(None, sentence(i // 2, 60) + f" end {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.classes(docs)
+    kept = neardup.drop_copies(docs).collect()
+    assert len(kept) == 100 and found.select("group.key").distinct().count() == 100
+
+
 # ------------------------------------------------------------------ 8
 
 
@@ -748,10 +758,25 @@ def test_language(spark, odd, empty):
     assert language.identify(odd).count() == odd.count() and language.identify(empty).count() == 0
 
 
+#: Latin, Greek, Devanagari (with its signs) and Han, as far as the tests use them.
+LETTER_RUN = "[A-Za-zªµºÀ-ÖØ-öø-ɏͰ-Ͽ\u0900-\u0963一-龥][A-Za-zªµºÀ-ÖØ-öø-ɏ\u0300-ͯͰ-Ͽ\u0900-\u0963一-龥]*"
+
+
+def test_number_signs_are_no_letters_and_marks_are_parts_of_words(spark):
+    docs = spark.createDataFrame([(i, t, "x" if i % 2 else "y") for i, t in enumerate(["ab cd ½", "हिन्दी शब्द", "e\u0301te\u0301 x²", "①", "Ⅷ ²", "½ ² ①"] * 4)], "doc_id long, text string, lang string")
+    model = language.fit(docs, seen=1)
+    assert set(model.place) == {"ab", "cd", "हिन्दी", "शब्द", "e\u0301te\u0301", "x"}
+    assert model.predict(["½", "²", "Ⅷ", "①", "½ ² ①", "\u0301", "42 _"]) == (["und"] * 7, [0.0] * 7)
+    texts_ = ["शब्द ①", "ab½cd", "e\u0301te\u0301 zz"]
+    langs, scores = model.predict(texts_)
+    expected = [plain_prediction(model, t) for t in texts_]
+    assert langs == [a for a, _ in expected] and scores == pytest.approx([b for _, b in expected])
+
+
 def plain_prediction(model, text):
     """Word by word: the model's rows, or the mean of the longest known n-grams' rows less their steps."""
     total, n = [0.0] * len(model.langs), 0
-    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+    for w in re.findall(LETTER_RUN, (text or "").lower()):
         n += 1
         if w in model.place:
             row = model.rows[model.place[w]]
@@ -772,7 +797,7 @@ def plain_prediction(model, text):
 
 def test_predictions_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
-    model = language.fit(docs, words=300, grams=400)
+    model = language.fit(docs, seen=4)
     texts_ = [r["text"] for r in docs.collect()] + ["", None, "123", "Zzz qqq", "the " * 6000, sentence(3, 40)]
     langs, scores = model.predict(texts_)
     expected = [plain_prediction(model, t) for t in texts_]
@@ -781,12 +806,12 @@ def test_predictions_match_brute_force(spark):
 
 def test_ties_go_to_the_first_language(spark):
     docs = spark.createDataFrame([(1, "same words here", "b"), (3, "same words here", "a")], "doc_id long, text string, lang string")
-    assert language.fit(docs).predict(["same words here", "here"])[0] == ["a", "a"]
+    assert language.fit(docs, seen=1).predict(["same words here", "here"])[0] == ["a", "a"]
 
 
 def test_model_is_blind_to_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, "held" if zlib.crc32(str(i).encode()) % 4 == 2 else "seen", "x") for i in range(40)], "doc_id long, text string, lang string")
-    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))), seen=1)
     assert "seen" in model.place and "held" not in model.place
 
 
