@@ -252,16 +252,6 @@ def to_wkt(ring: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(closed, lambda p: F.concat_ws(" ", number(p["x"]), number(p["y"]))), ", "), F.lit("))"))
 
 
-def from_wkt(text: Column) -> Column:
-    """The outer ring of a POLYGON text, null if there is none."""
-    body = F.regexp_extract(text, r"POLYGON\s*(?:Z\s*)?\(\(([^()]*)\)", 1)
-    points = F.transform(F.split(body, ","), lambda s: F.split(F.trim(s), r"\s+"))
-    ring = F.transform(points, lambda s: point(F.get(s, F.lit(0)).try_cast("double"), F.get(s, F.lit(1)).try_cast("double")))
-    last = F.size(ring)
-    open_ = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, F.lit(1), last - 1)).otherwise(ring)
-    return F.when(body != "", open_)
-
-
 def svg_path(ring: Column, scale: Column, height: float = 140.0) -> Column:
     """M x,y L ... Z of a ring, in SVG units."""
     drawn = F.transform(world_to_svg(ring, scale, height), lambda p: F.format_string("%.2f,%.2f", p["x"], p["y"]))

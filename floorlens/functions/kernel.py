@@ -53,12 +53,15 @@ def segment_distance(a: Ring, b: Ring, c: Ring, d: Ring) -> np.ndarray:
     return np.where(cross, 0.0, apart)
 
 
-def edges(r: Ring) -> tuple[Ring, Ring]:
+def edges(r: Ring | list[Ring]) -> tuple[Ring, Ring]:
+    """Both ends of all edges of a ring, or of the rings (outer ones and holes) of a polygon."""
+    if isinstance(r, list):
+        return (np.concatenate(r), np.concatenate([np.roll(x, -1, axis=0) for x in r])) if r else (np.zeros((0, 2)), np.zeros((0, 2)))
     return r, np.roll(r, -1, axis=0)
 
 
 def inside(r: Ring, p: np.ndarray) -> np.ndarray:
-    """Even-odd test of many points; points on the boundary are not told apart."""
+    """Even-odd test of many points, for a ring or all rings of a polygon; points on the boundary are not told apart."""
     a, b = edges(r)
     x, y = p[:, 0:1], p[:, 1:2]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -136,11 +139,18 @@ def intersection_area(r: Ring, s: Ring) -> float:
     r, s = oriented(r), oriented(s)
     if len(r) < 3 or len(s) < 3:
         return 0.0
-    low, high = max(r[:, 1].min(), s[:, 1].min()), min(r[:, 1].max(), s[:, 1].max())
-    if low >= high or max(r[:, 0].min(), s[:, 0].min()) >= min(r[:, 0].max(), s[:, 0].max()):
-        return 0.0
-    cuts = [r[:, 1], s[:, 1]]
+    return common_region_area(r, s)
+
+
+def common_region_area(r: Ring | list[Ring], s: Ring | list[Ring]) -> float:
+    """Area that two polygons share; each is a ring, or all rings of a polygon with holes or several parts."""
     (a, b), (c, d) = edges(r), edges(s)
+    if len(a) < 3 or len(c) < 3:
+        return 0.0
+    low, high = max(a[:, 1].min(), c[:, 1].min()), min(a[:, 1].max(), c[:, 1].max())
+    if low >= high or max(a[:, 0].min(), c[:, 0].min()) >= min(a[:, 0].max(), c[:, 0].max()):
+        return 0.0
+    cuts = [a[:, 1], c[:, 1]]
     u, v, w = b[:, None] - a[:, None], d[None] - c[None], c[None] - a[:, None]
     den = u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
     ok = den != 0
@@ -163,6 +173,16 @@ def intersection_area(r: Ring, s: Ring) -> float:
     return total
 
 
+def region_distance(r: list[Ring], s: list[Ring]) -> float:
+    """Distance of two polygons with holes or several parts, 0 if they touch or overlap; infinite if one has no points."""
+    (a, b), (c, d) = edges(r), edges(s)
+    if not len(a) or not len(c):
+        return math.inf
+    if any(inside(r, x[:1])[0] for x in s) or any(inside(s, x[:1])[0] for x in r):
+        return 0.0
+    return float(segment_distance(a[:, None], b[:, None], c[None], d[None]).min())
+
+
 def iou(r: Ring, s: Ring) -> float:
     both = intersection_area(r, s)
     either = abs(ring_area(r)) + abs(ring_area(s)) - both
@@ -270,14 +290,17 @@ def inscribed_radius(r: Ring, precision: float = 1.0) -> tuple[float, float, flo
     return best[1], best[2], max(best[0], 0.0)
 
 
-def survives_inset(r: Ring, d: float, precision: float = 2.0) -> bool:
+def survives_inset(r: Ring | list[Ring], d: float, precision: float = 2.0) -> bool:
     """Whether more than a point is left of the polygon when it is shrunk by d (to within the precision).
 
     Square cells are refined level by level, all at once, as long as they may hold a point deeper than d.
+    Holes shrink it from within.
     """
-    low, high = r.min(0), r.max(0)
+    r = r[0] if isinstance(r, list) and len(r) == 1 else r
+    points = edges(r)[0]
+    low, high = points.min(0), points.max(0)
     size = float(min(high - low))
-    if size <= 2 * d or as_box(r):
+    if size <= 2 * d or not isinstance(r, list) and as_box(r):
         return size > 2 * d
     gx, gy = np.meshgrid(np.arange(low[0] + size / 2, high[0] + size / 2, size), np.arange(low[1] + size / 2, high[1] + size / 2, size))
     cells, half = np.stack([gx.ravel(), gy.ravel()], 1), size / 2
@@ -483,46 +506,6 @@ def node_lines(segments: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[
     return sorted(out)
 
 
-def faces(segments: list[tuple[tuple, tuple]]) -> list[list[tuple]]:
-    """Bounded faces of noded segments, as counter-clockwise rings without collinear points.
-
-    The planar equivalent of growing rooms over a mesh until walls stop it: every face is a room
-    candidate, the unbounded one is the exterior. Dangling segments are cut off first.
-    """
-    around: dict[tuple, set] = {}
-    for p, q in segments:
-        if p != q:
-            around.setdefault(p, set()).add(q)
-            around.setdefault(q, set()).add(p)
-    loose = [p for p, n in around.items() if len(n) < 2]
-    while loose:
-        p = loose.pop()
-        for q in around.pop(p, ()):
-            around[q].discard(p)
-            if len(around[q]) < 2:
-                loose.append(q)
-    order = {p: sorted(n, key=lambda q: math.atan2(float(q[1] - p[1]), float(q[0] - p[0]))) for p, n in around.items()}
-    follow = {}
-    for p, n in order.items():
-        for i, q in enumerate(n):
-            follow[q, p] = (p, n[i - 1])  # the next edge clockwise: the face on the left
-    out, seen = [], set()
-    for edge in sorted(follow):
-        if edge in seen:
-            continue
-        ring, e = [], edge
-        while e not in seen:
-            seen.add(e)
-            ring.append(e[0])
-            e = follow[e]
-        twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
-        if twice > 0:
-            n = len(ring)
-            kept = [ring[i] for i in range(n) if (ring[i][0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - ring[i][1]) != (ring[i][1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - ring[i][0])]
-            out.append(kept)
-    return out
-
-
 def delaunay(points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Delaunay triangles (counter-clockwise point numbers) of integer points, by incremental insertion with exact tests."""
     n = len(points)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernel as K
+from ..functions import planar, polygons
 from ..functions.vocab import BACKGROUND, BOUNDARY_LABELS, LABELS, OPENING_LABELS, STOP_TEXT, TEXT_LABEL, WINDOW_LABELS
+from .graph import by_drawing
 from .graph import components as connected
 from .spatial import box_join, boxed
-from .topology import as_points, lazy_udf, ring_udf
+from .topology import as_points, lazy_udf, polygon_udf, ring_udf
 
 
 def label_of(semantic: Column, instance: Column) -> Column:
@@ -213,14 +215,17 @@ def clean_walls(elements: DataFrame) -> DataFrame:
 
 
 def room_faces(segments: DataFrame) -> DataFrame:
-    """drawing_id, face, ring: the closed areas between segments (drawing_id, x0, y0, x1, y1)."""
+    """drawing_id, face, ring, holes: the closed areas between segments (drawing_id, x0, y0, x1, y1), less the islands in them."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        lines = K.node_lines([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in zip(group["x0"], group["y0"], group["x1"], group["y1"], strict=True)])
-        rows = [(group["drawing_id"].iloc[0], i, [{"x": float(x), "y": float(y)} for x, y in ring]) for i, ring in enumerate(K.faces(lines))]
-        return pd.DataFrame(rows, columns=["drawing_id", "face", "ring"])
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+        rows = []
+        for drawing, group in frame.groupby("drawing_id", sort=True):
+            lines = K.node_lines([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in zip(group["x0"], group["y0"], group["x1"], group["y1"], strict=True)])
+            rows += [(drawing, i, points(ring), [points(h) for h in holes]) for i, (ring, holes) in enumerate(planar.faces(lines))]
+        return pd.DataFrame(rows, columns=["drawing_id", "face", "ring", "holes"])
 
-    return segments.groupBy("drawing_id").applyInPandas(run, f"drawing_id long, face int, ring {G.RING}")
+    return by_drawing(segments.select("drawing_id", "x0", "y0", "x1", "y1"), run, f"drawing_id long, face int, ring {G.RING}, holes array<{G.RING}>")
 
 
 def mesh(points: DataFrame) -> DataFrame:
@@ -246,19 +251,23 @@ def mesh(points: DataFrame) -> DataFrame:
 ROOM_LIMITS = (2e6, 250.0, 600.0, 0.08, 0.25)
 
 rectangle_of = ring_udf(lambda r: dict(zip(("area", "long", "short"), K.min_rectangle(r), strict=True)), "struct<area:double,long:double,short:double>")
-inset_left = ring_udf(lambda r: K.survives_inset(r, ROOM_LIMITS[1]), "boolean")
-solidity = ring_udf(K.solidity, "double")
+inset_left = polygon_udf(lambda rings: K.survives_inset(rings, ROOM_LIMITS[1]), "boolean")
+hull_area = ring_udf(lambda r: abs(K.ring_area(K.hull(r))) if len(r) > 2 else 0.0, "double")
 clear_width = ring_udf(K.clear_width, "double")
 
 
 def plausible_rooms(faces: DataFrame) -> DataFrame:
-    """Faces that can be rooms, numbered Space_001 on in face order. Cheap tests come first."""
+    """Faces (drawing_id, face, ring, and holes if they have any) that can be rooms, numbered Space_001 on in face order.
+
+    Islands count for area, boundary and inset; the room's ring is the outer one. Cheap tests come first.
+    """
     least_area, _, short, compact, solid = ROOM_LIMITS
-    ring = F.col("ring")
-    kept = faces.where((G.area(ring) >= least_area) & (G.compactness(ring) >= compact))
-    kept = kept.where(rectangle_of("ring")["short"] >= short).where(solidity("ring") >= solid).where(inset_left("ring"))
+    whole = polygons.parts(F.col("ring"), F.col("holes") if "holes" in faces.columns else None)
+    held = faces.withColumn("polygon", whole).withColumns({"area": polygons.area(F.col("polygon")), "around": polygons.perimeter(F.col("polygon"))})
+    kept = held.where((F.col("area") >= least_area) & (4 * F.pi() * F.col("area") >= compact * F.pow("around", 2)))
+    kept = kept.where(rectangle_of("ring")["short"] >= short).where(F.col("area") >= solid * hull_area("ring")).where(inset_left("polygon"))
     number = F.row_number().over(Window.partitionBy("drawing_id").orderBy("face"))
-    return kept.withColumn("ord", number).select("drawing_id", F.format_string("Space_%03d", "ord").alias("room_id"), "ord", "ring")
+    return kept.withColumn("ord", number).select("drawing_id", F.format_string("Space_%03d", "ord").alias("room_id"), "ord", "ring", "polygon", "area")
 
 
 def opening_edges(edges: DataFrame, openings: DataFrame, *, reach: float = 300.0, longest: float = 3500.0) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import geometry as G
 from ..functions import kernel as K
+from ..functions import planar, polygons
 from ..functions.vocab import EXTERIOR_ID
 from ..sources.shared import materialise
 from .spatial import box_join, boxed, nearest
@@ -96,6 +97,50 @@ def ring_udf(function, kind: str):
     return lazy_udf(run_frame if kind.startswith("struct") else run, kind)
 
 
+def flat_rings(polygon):
+    """All rings of a polygon (outer ones and holes), each as x, y, x, y, ..."""
+    return F.transform(polygons.rings(polygon), flat)
+
+
+def as_rings(rings) -> list[np.ndarray]:
+    return [np.asarray(r, float).reshape(-1, 2) for r in rings]
+
+
+def polygon_udf(function, kind: str):
+    """A pandas UDF of a kernel function of the rings of one or two polygons with holes and parts; null where one is null."""
+
+    def run(first: pd.Series, *more: pd.Series) -> pd.Series:
+        rows = zip(first, *more, strict=True)
+        return pd.Series([None if any(x is None for x in row) else function(*map(as_rings, row)) for row in rows])
+
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
+
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return run(a, b)
+
+    def call(*columns):
+        return pandas_udf(one if len(columns) == 1 else two, kind)(*(flat_rings(F.col(c) if isinstance(c, str) else c) for c in columns))
+
+    return call
+
+
+def _mended(a: pd.Series) -> pd.Series:
+    points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+
+    def one(numbers) -> list | None:
+        if numbers is None:
+            return None
+        ring = [planar.exact(p) for p in as_points(numbers).tolist()]
+        return [{"outer": points(outer), "holes": [points(h) for h in holes]} for outer, holes in planar.mended(ring)]
+
+    return pd.Series([one(x) for x in a], dtype=object)
+
+
+#: The areas of a ring that crosses, touches or folds onto itself; null for a null ring.
+mended = lazy_udf(_mended, polygons.PARTS)
+polygon_distance = polygon_udf(K.region_distance, "double")
+polygon_common_area = polygon_udf(K.common_region_area, "double")
 ring_distance = lazy_udf(_distances, "double")
 shared_length = pair_udf(K.shared_length, "double")
 common_area = lazy_udf(_common_areas, "double")

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygons
 from ..functions import text as T
 from ..functions.vocab import EXTERIOR_ID, LABELS, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS
 from ..operators import elements as E
 from ..operators import enrich as N
 from ..operators import evaluate as V
 from ..operators import graph, rules
+from ..operators import mesh as M
 from ..operators import topology as P
 from ..sources import dxf, jsonld
 from ..sources.shared import materialise
@@ -203,7 +205,7 @@ def divided_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(ROOM, select="SELECT drawing_id, room_id, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' AS wkt, (x1 - x0) * (y1 - y0) AS area_back FROM room"))
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.rooms(spark, sf_dir).withColumn("wkt", G.to_wkt(F.col("ring")))
-    return r.select("drawing_id", "room_id", "wkt", whole(G.area(G.from_wkt(F.col("wkt")))).alias("area_back"))
+    return r.select("drawing_id", "room_id", "wkt", whole(polygons.area(polygons.from_wkt(F.col("wkt")))).alias("area_back"))
 
 
 @query(_with(ROOM, select="SELECT drawing_id, room_id, CAST(5 AS BIGINT) AS n_points, 10 * x0 AS wx, 10 * (140000 - y0) AS wy, 2 * x1 + 7 AS tx, 2 * y1 - 3 AS ty FROM room"))
@@ -374,6 +376,97 @@ def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(G.area(F.col("ring")))).alias("area2"))
 
 
+# --------------------------------------------- polygons with holes, meshes
+
+YARD = """yard AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h, user_id % 2 = 0 AS two, event_id % 5 AS d FROM room),
+ wkt AS (SELECT *, '((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '), (' || x0 + 500 || ' ' || y0 + 500 || ', ' || x0 + 1500 || ' ' || y0 + 500 || ', ' || x0 + 1500 || ' ' || y0 + 1700 || ', ' || x0 + 500 || ' ' || y0 + 1700 || ', ' || x0 + 500 || ' ' || y0 + 500 || '))' AS one,
+ '((' || x1 + 100 || ' ' || y0 || ', ' || x1 + 300 || ' ' || y0 || ', ' || x1 + 300 || ' ' || y0 + 400 || ', ' || x1 + 100 || ' ' || y0 + 400 || ', ' || x1 + 100 || ' ' || y0 || '))' AS more FROM yard)"""
+
+
+def yards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms with a courtyard of 1000 by 1200, half of them with a second part of 200 by 400 beside them."""
+    box = lambda a, b, c, d: G.rectangle(*map(F.expr, (a, b, c, d)))
+    main = polygons.part(F.col("ring"), F.array(box("x0 + 500", "y0 + 500", "x0 + 1500", "y0 + 1700")))
+    beside = polygons.part(box("x1 + 100", "y0", "x1 + 300", "y0 + 400"))
+    return D.rooms(spark, sf_dir).withColumn("polygon", F.when(F.col("user_id") % 2 == 0, F.array(main, beside)).otherwise(F.array(main)))
+
+
+@query(_with(ROOM, YARD, select="""SELECT drawing_id, room_id, w * h - 1200000 + CASE WHEN two THEN 80000 ELSE 0 END AS area, 2 * (w + h) + 4400 + CASE WHEN two THEN 1200 ELSE 0 END AS around,
+ CASE WHEN two THEN x1 + 300 ELSE x1 END AS right_end, false AS in_yard, true AS in_room, two AS in_second, CAST(500 AS BIGINT) AS from_yard, CAST(CASE WHEN two THEN 0 ELSE 200 END AS BIGINT) AS from_second,
+ CASE WHEN two THEN 'MULTIPOLYGON (' || one || ', ' || more || ')' ELSE 'POLYGON ' || one END AS wkt FROM wkt"""))
+def courtyard_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, boundary, points and texts of polygons with holes and two parts; areas are those of the text read back."""
+    r = yards(spark, sf_dir).withColumn("wkt", polygons.to_wkt(F.col("polygon"))).withColumn("back", polygons.from_wkt(F.col("wkt")))
+    p = F.col("back")
+    at = lambda f, x, y: f(p, F.expr(x), F.expr(y))
+    yard, second = ("x0 + 1000", "y0 + 1000"), ("x1 + 200", "y0 + 200")
+    return r.select(
+        "drawing_id", "room_id", whole(polygons.area(p)).alias("area"), whole(polygons.perimeter(p)).alias("around"), whole(polygons.bounds(p)["x1"]).alias("right_end"),
+        at(polygons.contains, *yard).alias("in_yard"), at(polygons.contains, "x0 + 2000", "y0 + 2000").alias("in_room"), at(polygons.contains, *second).alias("in_second"),
+        whole(at(polygons.distance_to, *yard)).alias("from_yard"), whole(at(polygons.distance_to, *second)).alias("from_second"), "wkt",
+    )
+
+
+@query(_with(ROOM, YARD, select="SELECT drawing_id, room_id, 2250000 - (500 - 100 * d) * 700 AS common, 400 - 50 * d AS apart FROM yard"))
+def courtyard_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a box over the courtyard's edge shares with the room, and how far a post in the yard stands from it."""
+    d = F.col("event_id") % 5
+    box = lambda x, y, w: polygons.parts(G.rectangle(x, y, x + w, y + w))
+    r = yards(spark, sf_dir).withColumns({"over": box(F.col("x0") + 1000 + 100 * d, F.col("y0") + 1000, 1500), "post": box(F.col("x0") + 900 + 50 * d, F.col("y0") + 900, 200)})
+    return r.select("drawing_id", "room_id", whole(P.polygon_common_area("polygon", "over")).alias("common"), whole(P.polygon_distance("polygon", "post")).alias("apart"))
+
+
+def _box_walls(x: str, y: str, w: int, h: int, when: str = "true") -> list[str]:
+    """Expressions of the four walls of a box, null where it is not there."""
+    corners = [(x, y), (f"{x} + {w}", y), (f"{x} + {w}", f"{y} + {h}"), (x, f"{y} + {h}")]
+    return [_wall(*p, *q, when) for p, q in zip(corners, corners[1:] + corners[:1], strict=True)]
+
+
+def _wall(x0: str, y0: str, x1: str, y1: str, when: str = "true") -> str:
+    return f"IF({when}, named_struct('x0', {x0}, 'y0', {y0}, 'x1', {x1}, 'y1', {y1}), NULL)"
+
+
+def _walls(cells: DataFrame, *walls: str) -> DataFrame:
+    return cells.select("drawing_id", F.inline(F.array_compact(F.array(*map(F.expr, walls)))))
+
+
+@query(_with(ROOM, """cell AS (SELECT drawing_id, ord, event_id, user_id, ord // 4 AS row, sum(CASE WHEN ord % 4 > 0 AND NOT shut THEN 0 ELSE 1 END) OVER (PARTITION BY drawing_id ORDER BY ord) AS run
+ FROM (SELECT drawing_id, ord, event_id, user_id, lag(user_id) OVER (PARTITION BY drawing_id ORDER BY ord) % 4 IN (1, 3) AS shut FROM room)),
+ area AS (SELECT drawing_id, 4000 * min(ord % 4) AS x, 3500 * min(row) AS y, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS pillars, bool_or(ord % 4 = 0 AND user_id % 7 = 0) AS leaks FROM cell GROUP BY drawing_id, run)""",
+    select="SELECT drawing_id, 'Space_' || lpad(CAST(row_number() OVER (PARTITION BY drawing_id ORDER BY x, y) AS VARCHAR), 3, '0') AS room_id, x, y, 14000000 * n - 160000 * pillars AS area, 2 * (4000 * n + 3500) + 1600 * pillars AS around, pillars AS n_holes FROM area WHERE NOT leaks"))
+def walled_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms grown over the constrained mesh of a lattice of walls, with pillars cut out of them.
+
+    Between rooms k and k + 1 of a row the wall is missing, whole, with a gap, or with a gap and a door in it, by k's
+    user_id. A gap in the outer wall leaks, door or not. Every cell has a stub of wall that ends inside it.
+    """
+    r = D.rooms(spark, sf_dir).withColumn("last", F.max("ord").over(Window.partitionBy("drawing_id")))
+    r = r.selectExpr("*", "4000 * (ord % 4) AS a", "3500 * (ord div 4) AS b", "IF(ord % 4 = 3 OR ord = last, 1, user_id % 4) AS right", "ord % 4 = 0 AND user_id % 7 = 0 AS leaks")
+    walls = _walls(
+        r, _wall("a", "b", "a + 4000", "b"), _wall("a", "b + 3500", "a + 4000", "b + 3500"), _wall("a + 4000", "b", "a + 4000", "b + 3500", "right = 1"), _wall("a", "b", "a", "b + 3500", "ord % 4 = 0 AND NOT leaks"),
+        *(_wall(x, f"b + {lo}", x, f"b + {hi}", when) for x, when in (("a + 4000", "right > 1"), ("a", "leaks")) for lo, hi in ((0, 1000), (1900, 3500))),
+        _wall("a + 2000", "b", "a + 2000", "b + 900"), *_box_walls("a + 2900", "b + 1500", 400, 400, "event_id % 3 = 0"),
+    )
+    doors = r.where("right = 3").selectExpr("drawing_id", "a + 4000 AS x", "b AS y").unionByName(r.where("leaks AND event_id % 2 = 0").selectExpr("drawing_id", "a AS x", "b AS y"))
+    doors = doors.select("drawing_id", G.rectangle(F.col("x") - 100, F.col("y") + 1000, F.col("x") + 100, F.col("y") + 1900).alias("ring"))
+    found = E.plausible_rooms(M.candidate_faces(M.enclosed_areas(walls, doors)))
+    box, p = G.bounds(F.col("ring")), F.col("polygon")
+    return found.select("drawing_id", "room_id", whole(box["x0"]).alias("x"), whole(box["y0"]).alias("y"), whole(F.col("area")).alias("area"), whole(polygons.perimeter(p)).alias("around"), F.size(polygons.holes(p)).cast("bigint").alias("n_holes"))
+
+
+@query(_with(ROOM, "n AS (SELECT drawing_id, count(*) AS k, count(*) FILTER (ord % 4 = 0) AS r FROM room GROUP BY drawing_id)",
+    select="SELECT drawing_id, 2 * (4 + 4 * k + 2 * r) - 6 AS n_triangles, 4 + 4 * k + r AS n_walls, CAST(4 AS BIGINT) AS n_rim, CAST(336000000 AS BIGINT) AS area2, k + 1 AS n_areas, k AS n_holes FROM n"))
+def wall_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet with posts just under long walls, which a plain Delaunay mesh would cross: triangles, sides that are walls, and areas."""
+    r = D.rooms(spark, sf_dir).selectExpr("*", "4000 * (ord % 4) AS a", "3500 * (ord div 4) AS b")
+    mesh = materialise(M.constrained_mesh(_walls(r, *_box_walls("0", "0", 16000, 10500, "ord = 0"), _wall("100", "b + 3400", "15900", "b + 3400", "ord % 4 = 0"), *_box_walls("a + 1000 + event_id % 1000", "b + 2980", 400, 400))), "mesh")
+    typed = materialise(M.typed_sides(mesh), "mesh-sides")
+    sides = typed.groupBy("drawing_id").agg(F.sum(F.when(F.col("wall"), F.when(F.col("other").isNull(), 2).otherwise(1)).otherwise(0)).alias("w"), F.count_if(F.col("other").isNull()).alias("n_rim"))
+    size = M.mesh_rings(mesh).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(G.area(F.col("ring")))).alias("area2"))
+    areas = M.area_polygons(typed, M.filled(typed).where("not exterior")).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_areas"), F.sum(F.size(polygons.holes(F.col("polygon")))).alias("n_holes"))
+    return size.join(sides, "drawing_id").join(areas, "drawing_id").select("drawing_id", "n_triangles", F.expr("w div 2").alias("n_walls"), "n_rim", "area2", "n_areas", "n_holes")
+
+
 # ----------------------------------------------------------- spatial joins
 
 
@@ -577,16 +670,16 @@ def square_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("drawing_id").agg(F.sum(whole(1000 * F.col("p.x"))).alias("x"), F.sum(whole(1000 * F.col("p.y"))).alias("y"))
 
 
-@query(_with(ROOM, select="SELECT drawing_id, room_id, event_id % 4 = 0 AS sound, CASE WHEN event_id % 4 = 0 THEN (x1 - x0) * (y1 - y0) END AS area FROM room"))
+@query(_with(ROOM, """made AS (SELECT drawing_id, room_id, event_id % 6 AS kind, (x1 - x0) * (y1 - y0) AS whole FROM room)""",
+    select="SELECT drawing_id, room_id, ['sound', 'mended', 'lost', 'mended', 'mended', 'mended'][1 + kind] AS state, CAST([1, 1, 0, 1, 2, 1][1 + kind] AS BIGINT) AS n_parts, CASE kind WHEN 1 THEN whole // 4 WHEN 2 THEN NULL WHEN 4 THEN whole // 2 ELSE whole END AS area FROM made"))
 def annotated_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings with a repeated corner, crossed ones, flat ones and ones with a spike: only the first are sound."""
+    """Rings with a repeated corner (sound), crossed, flat, with a spike, pinched at a side, and gone around twice."""
     p = lambda x, y: G.point(F.expr(x), F.expr(y))
-    a, b, c, d = p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")
-    kinds = F.array(F.array(a, b, b, c, d, a), F.array(a, c, b, d), F.array(a, b, p("(x0 + x1) div 2", "y0")), F.array(a, p("x1 + 500", "y0"), b, c, d))
-    r = D.rooms(spark, sf_dir).select("drawing_id", "room_id", F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("ring"))
-    good, bad = dxf.sound_rings(r)
-    good = good.select("drawing_id", "room_id", F.lit(True).alias("sound"), whole(G.area(F.col("ring"))).alias("area"))
-    return good.unionByName(bad.select("drawing_id", "room_id", F.lit(False).alias("sound"), F.lit(None).cast("bigint").alias("area")))
+    a, b, c, d, pinch = p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("(x0 + x1) div 2", "y0")
+    kinds = F.array(F.array(a, b, b, c, d, a), F.array(a, c, b, d), F.array(a, b, pinch), F.array(a, p("x1 + 500", "y0"), b, c, d), F.array(a, b, c, pinch, d), F.array(a, b, c, d, a, b, c, d))
+    r = D.rooms(spark, sf_dir).select("drawing_id", "room_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("ring"))
+    found = dxf.mended_rings(r)
+    return found.select("drawing_id", "room_id", "state", F.size("polygon").cast("bigint").alias("n_parts"), F.when(F.col("state") != "lost", whole(polygons.area(F.col("polygon")))).alias("area"))
 
 
 @query(_with(ROOM, DOOR, select=f"""SELECT drawing_id, thing, type, count(*) AS n, CAST(sum(a) AS BIGINT) AS area FROM (SELECT drawing_id, 'room' AS thing, sem AS type, (x1 - x0) * (y1 - y0) AS a FROM room WHERE sem <> 'Unknown'

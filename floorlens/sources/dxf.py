@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygons
 from ..functions.text import layer_type
 from ..functions.vocab import DOOR_LAYERS, FACILITY_LAYERS, ROOM_LAYERS
+from ..operators.topology import mended
 
 ENTITY = f"drawing string, ord int, kind string, layer string, text string, radius double, coords {G.RING}"
 KINDS = {"LINE", "LWPOLYLINE", "CIRCLE", "ARC", "ELLIPSE", "TEXT", "MTEXT", "SPLINE", "LEADER"}
@@ -232,3 +234,17 @@ def sound_rings(things: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = things.withColumn("ring", G.without_repeats(F.col("ring")))
     sound = F.coalesce(G.is_simple(F.col("ring")), F.lit(False))
     return held.where(sound), held.where(~sound)
+
+
+def mended_rings(things: DataFrame) -> DataFrame:
+    """Annotated things with ``polygon`` (parts with holes), ``ring`` (its largest part's outer ring) and ``state``.
+
+    Sound rings stay as they are; rings that cross, touch or fold onto themselves are mended as a buffer of width 0
+    would: cut where they meet themselves, and left with what they go around in their own direction. Those that
+    bound no area are lost: no parts, and their ring as it was.
+    """
+    held = things.withColumn("ring", G.without_repeats(F.col("ring")))
+    held = held.withColumn("sound", F.coalesce(G.is_simple(F.col("ring")), F.lit(False)))
+    held = held.withColumn("polygon", F.when(F.col("sound"), polygons.parts(F.col("ring"))).otherwise(F.coalesce(mended(F.when(~F.col("sound"), F.col("ring"))), F.array().cast(polygons.PARTS))))
+    state = F.when(F.col("sound"), "sound").when(F.size("polygon") > 0, "mended").otherwise("lost")
+    return held.withColumns({"state": state, "ring": F.coalesce(polygons.largest(F.col("polygon"))["outer"], F.col("ring"))}).drop("sound")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygons
 
 PREDICATES = ["containsZone", "containsElement", "adjacentZone", "interfaceOf", "hasSpace"]
 _NODE = "map<string,string>"
@@ -32,7 +33,7 @@ def references(json: Column) -> Column:
 def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all documents under the path; drawing is the file's base name.
 
-    Nodes: drawing, node_id, ord, types, wkt, ring, attrs. Edges: drawing, src, pred, dst, ord.
+    Nodes: drawing, node_id, ord, types, wkt, polygon (parts with holes), ring (the largest part's outer one), attrs. Edges: drawing, src, pred, dst, ord.
     """
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json(ld)?$", "")
     raw = spark.read.text(path, wholetext=True).select(name.alias("drawing"), "value")
@@ -42,10 +43,10 @@ def read_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     wkt = key("geo:asWKT")
     wkt = F.coalesce(F.get_json_object(wkt, "$['@value']"), wkt)
     nodes = each.select("drawing", key("@id").alias("node_id"), "ord", string_or_list(F.when(key("@type").startswith("["), key("@type")).otherwise(F.concat(F.lit('"'), key("@type"), F.lit('"')))).alias("types"), wkt.alias("wkt"), "attrs")
-    nodes = nodes.withColumn("ring", G.from_wkt(F.col("wkt")))
+    nodes = nodes.withColumn("polygon", polygons.from_wkt(F.col("wkt"))).withColumn("ring", polygons.largest(F.col("polygon"))["outer"])
     links = F.array(*(F.struct(F.lit(p).alias("pred"), references(F.coalesce(key(f"bot:{p}"), F.lit("null"))).alias("to")) for p in PREDICATES))
     edges = each.select("drawing", key("@id").alias("src"), F.explode(links).alias("l")).select("drawing", "src", "l.pred", F.posexplode("l.to").alias("ord", "dst"))
-    return nodes.select("drawing", "node_id", "ord", "types", "wkt", "ring", "attrs"), edges
+    return nodes.select("drawing", "node_id", "ord", "types", "wkt", "ring", "polygon", "attrs"), edges
 
 
 def node_kinds(nodes: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def node_kinds(nodes: DataFrame) -> DataFrame:
 def read_plain_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rooms, adjacencies and violations of documents {"rooms": {id: {...}}, "adjacencies": [[a, b]], "violations": [...]}.
 
-    Rooms: drawing, room_id, wkt, ring, area_m2, short_side_m, semantic_type. Adjacencies: drawing, u, v
+    Rooms: drawing, room_id, wkt, ring, polygon, area_m2, short_side_m, semantic_type. Adjacencies: drawing, u, v
     in order, once. Violations: drawing, node_id, rule.
     """
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json(ld)?$", "")
@@ -73,18 +74,20 @@ def read_plain_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     doc = F.from_json("value", f"rooms map<string,{room}>, adjacencies array<array<string>>, violations array<struct<node_id:string,rule:string>>")
     doc = raw.select("drawing", doc.alias("d"))
     rooms = doc.select("drawing", F.explode("d.rooms").alias("room_id", "r"))
-    rooms = rooms.select("drawing", "room_id", "r.wkt", G.from_wkt(F.col("r.wkt")).alias("ring"), F.col("r.area").alias("area_m2"), F.col("r.short_side").alias("short_side_m"), "r.semantic_type")
+    polygon = polygons.from_wkt(F.col("r.wkt"))
+    rooms = rooms.select("drawing", "room_id", "r.wkt", polygons.largest(polygon)["outer"].alias("ring"), polygon.alias("polygon"), F.col("r.area").alias("area_m2"), F.col("r.short_side").alias("short_side_m"), "r.semantic_type")
     pairs = doc.select("drawing", F.explode("d.adjacencies").alias("p")).where(F.size("p") == 2).select("drawing", F.array_min("p").alias("u"), F.array_max("p").alias("v"))
     return rooms, pairs.where("u <> v").distinct(), doc.select("drawing", F.explode("d.violations").alias("v")).select("drawing", "v.node_id", "v.rule")
 
 
 def node_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """drawing_id, node_id, ord, json of nodes (drawing_id, node_id, ord, types, label, ring) with their edges."""
+    """drawing_id, node_id, ord, json of nodes (drawing_id, node_id, ord, types, label, and ring or polygon) with their edges."""
     refs = edges.groupBy("drawing_id", F.col("src").alias("node_id"), "pred").agg(F.sort_array(F.collect_set("dst")).alias("to"))
     refs = refs.groupBy("drawing_id", "node_id").pivot("pred", PREDICATES).agg(F.first("to"))
     held = nodes.join(refs, ["drawing_id", "node_id"], "left")
     links = [F.transform(F.col(p), lambda r: F.struct(r.alias("@id"))).alias(f"bot:{p}") for p in PREDICATES]
-    body = F.to_json(F.struct(F.col("node_id").alias("@id"), F.col("types").alias("@type"), F.col("label").alias("rdfs:label"), G.to_wkt(F.col("ring")).alias("geo:asWKT"), *links))
+    shape = polygons.to_wkt(F.col("polygon")) if "polygon" in nodes.columns else G.to_wkt(F.col("ring"))
+    body = F.to_json(F.struct(F.col("node_id").alias("@id"), F.col("types").alias("@type"), F.col("label").alias("rdfs:label"), shape.alias("geo:asWKT"), *links))
     return held.select("drawing_id", "node_id", "ord", body.alias("json"))
 
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from floorlens.functions import kernel as K
+from floorlens.functions import planar
 
 L = np.array([(0, 0), (4000, 0), (4000, 3200), (2200, 3200), (2200, 5000), (0, 5000)], float)
 TRAPEZOID = np.array([(0, 0), (4500, 0), (4500, 2500), (1500, 5000), (0, 5000)], float)
@@ -69,9 +70,9 @@ def test_shared_boundaries_and_distances():
 def test_noding_and_faces():
     square = [((0, 0), (4, 0)), ((4, 0), (4, 4)), ((4, 4), (0, 4)), ((0, 4), (0, 0))]
     cross = [*square, ((2, -1), (2, 5)), ((0, 2), (4, 2)), ((1, 0), (3, 0))]
-    faces = K.faces(K.node_lines(cross))
+    faces = planar.faces(K.node_lines(cross))
     assert len(faces) == 4
-    assert {K.ring_area(np.array(f, float)) for f in faces} == {4.0}
+    assert {K.ring_area(np.array(f, float)) for f, _ in faces} == {4.0} and not any(holes for _, holes in faces)
     assert len(K.node_lines(square)) == 4
     assert K.node_lines([((0, 0), (2, 0)), ((2, 0), (5, 0)), ((1, 0), (3, 0))]) == [((0, 0), (5, 0))]
 
