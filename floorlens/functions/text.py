@@ -34,8 +34,8 @@ def layer_type(layer: Column, table: dict[str, str]) -> Column:
 
 
 def shown_colour(r: Column, g: Column, b: Column) -> Column:
-    """Drawing colours on white paper: white is black, bright ones are halved."""
-    bright = (r + g + b) / 3 > 200
+    """Drawing colours on white paper: white is black, those of a luminance above 200 are halved."""
+    bright = 0.299 * r + 0.587 * g + 0.114 * b > 200
     white = (r == 255) & (g == 255) & (b == 255)
     each = lambda c: F.when(white, 0).when(bright, F.floor(c / 2)).otherwise(c).cast("int")
     return F.struct(each(r).alias("r"), each(g).alias("g"), each(b).alias("b"))

@@ -20,8 +20,8 @@ from ..operators import evaluate as V
 from ..operators import graph, rules
 from ..operators import mesh as M
 from ..operators import topology as P
-from ..sources import dxf, jsonld
-from ..sources.shared import materialise
+from ..sources import dxf, files, jsonld, svg
+from ..sources.shared import fresh_path, materialise
 from . import derived as D
 
 QUERIES: dict = {}
@@ -296,7 +296,7 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = "line AS (SELECT o_orderkey // 20 AS drawing_id, o_orderkey AS elem_id, o_orderkey % 20 AS i, o_custkey % 5 = 0 AS gap, o_custkey % 4 = 0 AS wall FROM orders)"
 
 
-@query("""SELECT p_partkey, p_name AS name, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN r // 2 ELSE r END AS BIGINT) AS r, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN g // 2 ELSE g END AS BIGINT) AS g, CAST(CASE WHEN white THEN 0 WHEN r + g + b > 600 THEN b // 2 ELSE b END AS BIGINT) AS b
+@query("""SELECT p_partkey, p_name AS name, CAST(CASE WHEN white THEN 0 WHEN 299 * r + 587 * g + 114 * b > 200000 THEN r // 2 ELSE r END AS BIGINT) AS r, CAST(CASE WHEN white THEN 0 WHEN 299 * r + 587 * g + 114 * b > 200000 THEN g // 2 ELSE g END AS BIGINT) AS g, CAST(CASE WHEN white THEN 0 WHEN 299 * r + 587 * g + 114 * b > 200000 THEN b // 2 ELSE b END AS BIGINT) AS b
  FROM (SELECT p_partkey, p_name, p_partkey % 10 = 0 AS white, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 7 * p_partkey % 256 END AS r, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 255 - p_partkey % 40 END AS g, CASE WHEN p_partkey % 10 = 0 THEN 255 ELSE 5 * p_size END AS b FROM part)""")
 def shown_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours as drawn on white paper, and names without their prefix."""
@@ -670,6 +670,59 @@ def square_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("drawing_id").agg(F.sum(whole(1000 * F.col("p.x"))).alias("x"), F.sum(whole(1000 * F.col("p.y"))).alias("y"))
 
 
+# ------------------------------------------------------- drawing files
+
+PALETTE = """tone AS (SELECT i, CASE WHEN i BETWEEN 10 AND 249 THEN [list_transform([i // 10 - 1, i // 10 + 15, i // 10 + 7], lambda k: 255 * least(4, greatest(0, 8 - least(k % 24, (24 - k % 24) % 24))) // 4)] END AS vivid, [255, 165, 127, 76, 38][i % 10 // 2 + 1] AS level FROM (SELECT unnest(range(1, 256)) AS i)),
+ colour AS (SELECT i, CASE WHEN i < 10 THEN [[255, 0, 0], [255, 255, 0], [0, 255, 0], [0, 255, 255], [0, 0, 255], [255, 0, 255], [255, 255, 255], [128, 128, 128], [192, 192, 192]][i] WHEN i > 249 THEN list_transform([0, 0, 0], lambda x: [51, 80, 105, 130, 190, 255][i - 249])
+ ELSE list_transform(vivid[1], lambda c: (2 * level * CASE WHEN i % 2 = 1 THEN (c + 255) // 2 ELSE c END + 255) // 510) END AS c FROM tone)"""
+FILED = """item AS (SELECT drawing_id, 'LWPOLYLINE' AS kind, 'L' || ord AS layer, '' AS text, 5 AS n_points, x0 AS x, CASE WHEN user_id % 4 = 0 THEN 1 + 7 * event_id % 255 WHEN user_id % 4 <> 2 THEN 1 + event_id % 255 END AS i, 65537 * event_id % 16777216 AS rgb FROM room
+ UNION ALL SELECT drawing_id, 'LINE', 'L' || ord, '', 2, x0, 1 + event_id % 255, NULL FROM room WHERE ord % 3 = 0 UNION ALL SELECT DISTINCT drawing_id, 'MTEXT', '0', 'Plan' || chr(10) || 'no ' || drawing_id, 1, 0, 7, NULL FROM room),
+ hue AS (SELECT item.*, coalesce(c, [rgb // 65536, rgb // 256 % 256, rgb % 256]) AS c FROM item LEFT JOIN colour USING (i)),
+ seen AS (SELECT *, CASE WHEN c = [255, 255, 255] THEN [0, 0, 0] WHEN 299 * c[1] + 587 * c[2] + 114 * c[3] > 200000 THEN list_transform(c, lambda x: x // 2) ELSE c END AS s FROM hue)"""
+
+
+def dxf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """drawing, value: DXF texts of rooms in colours of all kinds, lines in a block that is inserted on every third room's layer, and a title."""
+    pairs = lambda *p: F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
+    number, layer = F.col("event_id"), F.concat(F.lit("L"), F.col("ord"))
+    kind = F.col("user_id") % 4
+    colour = F.when(kind == 0, pairs("62", 1 + 7 * number % 255)).when(kind == 2, pairs("420", 65537 * number % 16777216)).when(kind == 3, F.lit("62\n256"))
+    corners = F.array_join(F.transform("ring", lambda p: pairs("10", p["x"], "20", p["y"])), "\n")
+    room = pairs("0", "LWPOLYLINE", "8", layer, colour, "70", "1", corners)
+    insert = F.when(F.col("ord") % 3 == 0, pairs("0", "INSERT", "2", "B", "8", layer, "10", F.col("x0"), "20", F.col("y0")))
+    rows = D.rooms(spark, sf_dir).select("drawing_id", "ord", pairs("0", "LAYER", "2", layer, "62", 1 + number % 255).alias("table"), F.concat_ws("\n", room, insert).alias("body"))
+    listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", c))), lambda r: r[c]), "\n")
+    block = F.lit("0\nENDSEC\n0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB\n10\n0\n20\n0\n0\nLINE\n8\n0\n62\n0\n10\n0\n20\n0\n11\n10\n21\n0\n0\nENDBLK\n0\nENDSEC\n0\nSECTION\n2\nENTITIES")
+    title = F.concat(F.lit("0\nMTEXT\n8\n0\n10\n0\n20\n0\n3\n{\\fArial|b0;Plan\\P\n1\nno "), F.col("drawing_id").cast("string"), F.lit("}"))
+    text = F.concat_ws("\n", F.lit("0\nSECTION\n2\nTABLES"), listed("table"), block, listed("body"), F.any_value(title), F.lit("0\nENDSEC\n0\nEOF"))
+    return rows.groupBy("drawing_id").agg(text.alias("value")).select(F.col("drawing_id").cast("string").alias("drawing"), "value")
+
+
+def filed(documents: DataFrame, suffix: str) -> str:
+    """The folder in which the documents now stand as files."""
+    files.register(documents.sparkSession)
+    path = fresh_path(documents.sparkSession, "drawings")
+    documents.write.format("floorlens_documents").option("suffix", suffix).mode("append").save(path)
+    return path
+
+
+@query(_with(ROOM, PALETTE, FILED, select="SELECT drawing_id, kind, layer, text, CAST(n_points AS BIGINT) AS n_points, CAST(x AS BIGINT) AS x, CAST(s[1] AS BIGINT) AS r, CAST(s[2] AS BIGINT) AS g, CAST(s[3] AS BIGINT) AS b FROM seen"))
+def drawing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of DXF files, written and read through the data sources: places, texts and colours as shown."""
+    found = spark.read.format("floorlens_dxf").load(filed(dxf_documents(spark, sf_dir), ".dxf"))
+    shown = T.shown_colour(F.col("rgb.r"), F.col("rgb.g"), F.col("rgb.b"))
+    return found.select(F.col("drawing").cast("bigint").alias("drawing_id"), "kind", "layer", F.coalesce("text", F.lit("")).alias("text"), F.size("coords").cast("bigint").alias("n_points"), whole(F.element_at("coords", 1)["x"]).alias("x"), *(shown[k].cast("bigint").alias(k) for k in "rgb"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, room_id, (x1 - x0) * (y1 - y0) AS area, x0, y1 AS top FROM room"))
+def svg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of SVG files, written and read through the data sources."""
+    documents = svg.room_svgs(D.rooms(spark, sf_dir), 0.01).select(F.col("drawing_id").cast("string").alias("drawing"), F.col("svg").alias("value"))
+    found = svg.rooms_of(spark.read.format("floorlens_svg").option("tags", "path").load(filed(documents, ".svg")), 0.01)
+    box = G.bounds(F.col("ring"))
+    return found.select(F.col("drawing").cast("bigint").alias("drawing_id"), "room_id", whole(G.area(F.col("ring"))).alias("area"), whole(box["x0"]).alias("x0"), whole(box["y1"]).alias("top"))
+
+
 @query(_with(ROOM, """made AS (SELECT drawing_id, room_id, event_id % 6 AS kind, (x1 - x0) * (y1 - y0) AS whole FROM room)""",
     select="SELECT drawing_id, room_id, ['sound', 'mended', 'lost', 'mended', 'mended', 'mended'][1 + kind] AS state, CAST([1, 1, 0, 1, 2, 1][1 + kind] AS BIGINT) AS n_parts, CASE kind WHEN 1 THEN whole // 4 WHEN 2 THEN NULL WHEN 4 THEN whole // 2 ELSE whole END AS area FROM made"))
 def annotated_rings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,11 @@ from ..functions import polygons
 from ..functions.text import layer_type
 from ..functions.vocab import DOOR_LAYERS, FACILITY_LAYERS, ROOM_LAYERS
 from ..operators.topology import mended
+from .colours import WHITE, entity_colour
 
 ENTITY = f"drawing string, ord int, kind string, layer string, text string, radius double, coords {G.RING}"
+#: The same with the colour an entity has by itself, its insertion or its layer.
+DRAWN = f"drawing string, ord int, kind string, layer string, text string, radius double, rgb struct<r:int,g:int,b:int>, coords {G.RING}"
 KINDS = {"LINE", "LWPOLYLINE", "CIRCLE", "ARC", "ELLIPSE", "TEXT", "MTEXT", "SPLINE", "LEADER"}
 #: References to blocks: their entities are written in place.
 HOLDERS = {"INSERT", "DIMENSION"}
@@ -27,6 +32,15 @@ Pair = tuple[str, str]
 Point = tuple[float, float]
 
 
+class Entity(NamedTuple):
+    kind: str
+    layer: str
+    text: str | None
+    radius: float | None
+    colour: tuple[int, int, int]
+    points: list[Point]
+
+
 def _records(pairs: list[Pair]) -> list[tuple[str, str, dict]]:
     """(section, kind, values by group code); codes that repeat hold lists.
 
@@ -47,13 +61,39 @@ def _records(pairs: list[Pair]) -> list[tuple[str, str, dict]]:
                 values.setdefault("bulges", {})[len(values.get("10", [])) - 1] = float(value)
             elif code == "41" and out[-1][1] == "SPLINE":
                 values.setdefault("weights", []).append(float(value))
+            elif code == "3" and out[-1][1] == "MTEXT":
+                values.setdefault("parts", []).append(value)
             elif code in _REPEATED:
                 values.setdefault(code, []).append(float(value))
             else:
-                values.setdefault(code, value)
+                values.setdefault(code, value if code == "1" else value.strip())
     return out
 
 
+_MTEXT = re.compile(r"\\([\\{}~])|\\P|\\S([^;]*);|\\[LlOoKkNX]|\\[A-Za-z][^;\\]*;|[{}]")
+_TEXT = re.compile(r"%%(?:([dDcCpP%])|[uUoOkK]|(\d{3}))")
+#: Characters that texts write as codes.
+_SIGNS = {"d": "°", "c": "⌀", "p": "±", "%": "%"}
+
+
+def _plain_text(kind: str, v: dict) -> str | None:
+    """A text without its formatting codes; all parts of a long one, with its line breaks."""
+    if "1" not in v and "parts" not in v:
+        return None
+    text = "".join([*v.get("parts", []), v.get("1", "")])
+    if kind == "MTEXT":
+
+        def shown(m: re.Match) -> str:
+            if m[1]:
+                return "\u00a0" if m[1] == "~" else m[1]
+            if m[2] is not None:
+                return re.sub(r"[#^]", "/", m[2])
+            return "\n" if m[0] == "\\P" else ""
+
+        return _MTEXT.sub(shown, text)
+    return _TEXT.sub(lambda m: _SIGNS[m[1].lower()] if m[1] else chr(int(m[2])) if m[2] else "", text.strip())
+
+
 def _spline(degree: int, knots: list[float], control: list[Point], weights: list[float]) -> list[Point]:
     """Points at even parameters of a B-spline, by de Boor's recurrence; control points if the knots do not fit.
 
@@ -123,16 +163,23 @@ def _hidden_layers(records: list[tuple[str, str, dict]]) -> set[str]:
 
 
 def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, list[Point]]]:
-    """(kind, layer, text, radius, points) of the visible entities.
+    """(kind, layer, text, radius, points) of the visible entities, as :func:`drawn_entities` finds them."""
+    return [(e.kind, e.layer, e.text, e.radius, e.points) for e in drawn_entities(text)]
+
+
+def drawn_entities(text: str) -> list[Entity]:
+    """The visible entities with their colours.
 
     A closed polyline repeats its first point; arcs, bulges, ellipses and splines are CURVE_POINTS points. A
     block's entities stand where it is inserted, scaled, turned and moved, at any depth, on the layer of
     the outermost insertion, which alone decides whether they are shown. Blocks that hold themselves are left out, as are entities that are
-    invisible or whose layer is off or frozen. A radius follows the insertion's first scale.
+    invisible or whose layer is off or frozen. A radius follows the insertion's first scale. What is coloured by
+    layer or by block has the colour of the layer on which it is shown.
     """
     lines = text.splitlines()
-    records = _records(list(zip((x.strip() for x in lines[::2]), (x.strip() for x in lines[1::2]), strict=False)))
+    records = _records([(code.strip(), value if code.strip() in ("1", "3") else value.strip()) for code, value in zip(lines[::2], lines[1::2], strict=False)])
     hidden = _hidden_layers(records)
+    of_layer = {v.get("2", ""): int(v.get("62", WHITE)) for section, kind, v in records if section == "TABLES" and kind == "LAYER"}
     blocks: dict[str, tuple[Point, list]] = {}
     top: list[tuple[str, dict]] = []
     inside: list | None = None
@@ -147,7 +194,7 @@ def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, lis
             inside.append((kind, v))
         elif section == "ENTITIES":
             top.append((kind, v))
-    out: list[tuple[str, str, str | None, float | None, list[Point]]] = []
+    out: list[Entity] = []
 
     def place(items: list, m: tuple, scale: float, layer: str | None, within: tuple[str, ...]) -> None:
         a, b, c, d, e, f = m
@@ -157,7 +204,8 @@ def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, lis
                 continue
             if kind in KINDS:
                 radius = v["40"][0] * scale if kind in ("CIRCLE", "ARC") and v.get("40") else None
-                out.append((kind, own, v.get("1"), radius, [(a * x + c * y + e, b * x + d * y + f) for x, y in _points(kind, v)]))
+                colour = entity_colour(int(v["62"]) if "62" in v else None, int(v["420"]) if "420" in v else None, of_layer.get(own))
+                out.append(Entity(kind, own, _plain_text(kind, v), radius, colour, [(a * x + c * y + e, b * x + d * y + f) for x, y in _points(kind, v)]))
             elif kind in HOLDERS and (name := v.get("2", "")) in blocks and name not in within:
                 (bx, by), held = blocks[name]
                 if kind == "DIMENSION":
@@ -175,15 +223,17 @@ def entities_of(text: str) -> list[tuple[str, str, str | None, float | None, lis
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    """Entities with their colours (columns as in DRAWN) of all DXF files under the path, on any store that Spark reads."""
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.dxf$", "")
     files = spark.read.option("pathGlobFilter", "*.dxf").text(path, wholetext=True).select(name.alias("drawing"), "value")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, k, layer, t, r, [{"x": x, "y": y} for x, y in pts]) for d, v in zip(frame["drawing"], frame["value"], strict=True) for i, (k, layer, t, r, pts) in enumerate(entities_of(v))]
-            yield pd.DataFrame(rows, columns=["drawing", "ord", "kind", "layer", "text", "radius", "coords"])
+            found = [(d, i, e) for d, v in zip(frame["drawing"], frame["value"], strict=True) for i, e in enumerate(drawn_entities(v))]
+            rows = [(d, i, e.kind, e.layer, e.text, e.radius, dict(zip("rgb", e.colour, strict=True)), [{"x": x, "y": y} for x, y in e.points]) for d, i, e in found]
+            yield pd.DataFrame(rows, columns=["drawing", "ord", "kind", "layer", "text", "radius", "rgb", "coords"])
 
-    return files.mapInPandas(run, ENTITY)
+    return files.mapInPandas(run, DRAWN)
 
 
 def fit_scale(entities: DataFrame, size: float = 140.0) -> DataFrame:

@@ -22,8 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/floorlens/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/floorlens/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

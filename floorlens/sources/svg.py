@@ -172,5 +172,5 @@ def room_svgs(rooms: DataFrame, scale: float) -> DataFrame:
     """drawing_id, svg: a document with one path per room (room_id, ord, ring), for inspection."""
     path = F.concat(F.lit('<path id="'), "room_id", F.lit('" d="'), G.svg_path(F.col("ring"), F.lit(scale)), F.lit('"/>'))
     body = F.transform(F.sort_array(F.collect_list(F.struct("ord", path.alias("p")))), lambda s: s["p"])
-    head = '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 140 140"><g id="rooms">'
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 140 140"><g id="rooms">'
     return rooms.groupBy("drawing_id").agg(F.concat(F.lit(head), F.array_join(body, ""), F.lit("</g></svg>")).alias("svg"))
