@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..functions import polygons
 from ..functions import text as T
 from ..functions.vocab import EXTERIOR_ID, LABELS, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS
+from ..operators import division as X
 from ..operators import elements as E
 from ..operators import enrich as N
 from ..operators import evaluate as V
@@ -202,6 +203,43 @@ def divided_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("drawing_id", whole(F.col("shared")).alias("shared"))
 
 
+@query(_with(ROOM, L_ROOM, """rect AS (SELECT drawing_id, ord, room_id, event_id % 2 = 0 AS cut, unnest([{'a': x0, 'b': y0, 'c': xm, 'd': y1}, {'a': xm, 'b': y0, 'c': x1, 'd': ym}]) AS q, x0, y0 FROM l),
+ unit AS (SELECT *, room_id || ':' || CASE WHEN cut THEN q.a || ',' || q.b ELSE x0 || ',' || y0 END AS name FROM rect),
+ wall AS (SELECT x.drawing_id, x.name AS a, y.name AS b, bool_or(x.cut OR y.cut) AS cut, bool_or(x.q.a <= y.q.c AND y.q.a <= x.q.c AND x.q.b <= y.q.d AND y.q.b <= x.q.d) AS touch,
+ sum(CASE WHEN x.q.a = y.q.c OR x.q.c = y.q.a THEN greatest(0, least(x.q.d, y.q.d) - greatest(x.q.b, y.q.b)) ELSE 0 END + CASE WHEN x.q.b = y.q.d OR x.q.d = y.q.b THEN greatest(0, least(x.q.c, y.q.c) - greatest(x.q.a, y.q.a)) ELSE 0 END) AS shared
+ FROM unit x JOIN unit y ON x.drawing_id = y.drawing_id AND x.name < y.name GROUP BY ALL),
+ gate AS (SELECT l.drawing_id, 'D_' || l.event_id AS uid, l.ord, 4000 * (l.ord % 4 + 1) AS x, l.y0 + 200 AS lo, l.y0 + 800 AS hi FROM l JOIN l n ON n.event_id = l.event_id + 1 WHERE l.ord % 4 < 3 AND l.user_id % 2 = 0),
+ far AS (SELECT g.drawing_id, uid, u.ord, name, min(greatest(0, q.a - x - 100, x - 100 - q.c) ** 2 + greatest(0, q.b - hi, lo - q.d) ** 2) AS d FROM gate g JOIN unit u ON u.drawing_id = g.drawing_id AND u.ord IN (g.ord, g.ord + 1) GROUP BY ALL),
+ fin AS (SELECT drawing_id, uid, ord, min_by(name, d) AS name FROM far GROUP BY ALL),
+ door AS (SELECT DISTINCT x.drawing_id, least(x.name, y.name) AS a, greatest(x.name, y.name) AS b FROM fin x JOIN fin y ON x.drawing_id = y.drawing_id AND x.uid = y.uid AND x.ord < y.ord)""",
+    select="""SELECT drawing_id, 'door' AS what, a, b FROM door UNION ALL SELECT drawing_id, 'touch', a, b FROM wall w WHERE (CASE WHEN cut THEN shared > 10 ELSE touch END) AND NOT EXISTS (SELECT 1 FROM door d WHERE d.drawing_id = w.drawing_id AND d.a = w.a AND d.b = w.b)
+ UNION ALL SELECT drawing_id, 'end', uid, name FROM fin UNION ALL SELECT drawing_id, 'holds', spot || ord, name FROM unit, (SELECT unnest(['T', 'L']) AS spot) WHERE CASE WHEN spot = 'T' THEN q.a = x0 ELSE q.a > x0 END UNION ALL SELECT drawing_id, 'holds', 'W' || ord, name FROM unit WHERE NOT cut AND q.a = x0"""))
+def divided_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, door ends and held elements of drawings of L-shaped rooms, every second of which is divided into its parts.
+
+    Rooms and parts are named by their lower left corner. Elements stand in the upper arm, in the lower one, and on the
+    line between the parts.
+    """
+    types = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("LivingRoom"), F.lit("DiningRoom"))).otherwise(F.array(F.lit("LivingRoom")))
+    anchors = F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")
+    rooms = materialise(l_rooms(spark, sf_dir).withColumns({"types": types, "anchors": anchors}), "rooms")
+    most = rooms.agg(F.max("event_id").alias("most"))
+    gates = rooms.join(F.broadcast(most)).where("ord % 4 < 3 AND user_id % 2 = 0 AND event_id < most").withColumn("x", 4000 * (F.col("ord") % 4 + 1))
+    gates = gates.select("drawing_id", F.concat(F.lit("D_"), "event_id").alias("uid"), G.rectangle(F.col("x") - 100, F.col("y0") + 200, F.col("x") + 100, F.col("y0") + 800).alias("ring"), F.array("room_id", F.format_string("Space_%03d", F.col("ord") + 1)).alias("ends"))
+    spot = lambda tag, x, y: F.struct(F.concat(F.lit(tag), "ord").alias("uid"), F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    held = rooms.select("drawing_id", "room_id", F.inline(F.array(spot("T", "x0 + 200", "y1 - 200"), spot("L", "x1 - 200", "y0 + 200"), spot("W", "(x0 + x1) div 2", "y0 + 200"))))
+    bound = gates.select("drawing_id", "uid", "ends")
+    found = X.divided(X.Graph(rooms, bound, held.select("drawing_id", "uid", "room_id"), P.adjacency(rooms, bound)), gates, held, N.decompose(rooms))
+    low = G.bounds(F.col("ring"))
+    name = F.concat_ws(":", F.regexp_replace("room_id", "_Sub_.*", ""), F.concat_ws(",", whole(low["x0"]), whole(low["y0"])))
+    named = materialise(found.rooms.select("drawing_id", "room_id", name.alias("name")), "names")
+    of = lambda rows, column: rows.join(named.withColumnsRenamed({"room_id": column, "name": f"{column}_name"}), ["drawing_id", column])
+    edges = of(of(found.edges, "u"), "v").select("drawing_id", F.col("kind").alias("what"), F.least("u_name", "v_name").alias("a"), F.greatest("u_name", "v_name").alias("b"))
+    ends = of(found.bound.select("drawing_id", F.col("uid").alias("a"), F.explode("ends").alias("room")), "room").select("drawing_id", F.lit("end").alias("what"), "a", F.col("room_name").alias("b"))
+    holds = of(found.held.withColumnRenamed("room_id", "room"), "room").select("drawing_id", F.lit("holds").alias("what"), F.col("uid").alias("a"), F.col("room_name").alias("b"))
+    return edges.unionByName(ends).unionByName(holds)
+
+
 @query(_with(ROOM, select="SELECT drawing_id, room_id, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' AS wkt, (x1 - x0) * (y1 - y0) AS area_back FROM room"))
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = D.rooms(spark, sf_dir).withColumn("wkt", G.to_wkt(F.col("ring")))
