@@ -2,12 +2,13 @@
 
 A rule names its target types and a kind:
 
-* ``min`` / ``above``: a value of the node must be at least / more than the threshold; nodes without
-  the value conform.
-* ``min_if``: as ``min``, for nodes that also have the type ``among[0]``.
-* ``some_type``: of the nodes that an edge of kind ``path`` leads to, at least one has a type in ``among``.
-* ``some_label``: of those nodes, at least one has a label in ``among``.
-* ``none_type``: none of them has a type in ``among``; one result for each that does.
+* ``min`` / ``above`` / ``max`` / ``below``: a value of the node must be at least / more than / at most / less than
+  the threshold; nodes without the value conform.
+* ``min_if`` and so on: the same, for nodes that also have a type in ``among``.
+* ``some_type``: of the nodes that an edge of kind ``path`` leads to, at least one (or as many as the threshold) has
+  a type in ``among``; ``few_type``: at most as many as the threshold.
+* ``some_label`` / ``few_label``: the same, of labels.
+* ``none_type`` / ``all_type``: none of them has / each of them has a type in ``among``; one result for each that does not conform.
 
 Nodes: drawing_id, node_id, types array<string>, label, and the measured values. Edges: drawing_id,
 src, pred, dst.
@@ -71,7 +72,10 @@ def violations(nodes: DataFrame, edges: DataFrame | None, levels: list[str] | No
     chosen = [r for r in rules if levels is None or r[1] in levels]
     by_kind: dict[str, list[tuple]] = {}
     for r in chosen:
-        by_kind.setdefault({"min": "value", "above": "value", "min_if": "value", "some_type": "some", "some_label": "some"}.get(r[3], r[3]), []).append(r)
+        kind = "value" if r[3].removesuffix("_if") in ("min", "above", "max", "below") else r[3].partition("_")[0]
+        by_kind.setdefault({"some": "count", "few": "count", "none": "each", "all": "each"}.get(kind, kind), []).append(r)
+    if unknown := set(by_kind) - {"value", "count", "each"}:
+        raise ValueError(f"rules of unknown kinds: {sorted(unknown)}")
     found: list[DataFrame] = []
     none = F.lit(None).cast("string").alias("other")
     if own := by_kind.get("value"):
@@ -79,21 +83,24 @@ def violations(nodes: DataFrame, edges: DataFrame | None, levels: list[str] | No
         paths = sorted({r[4] for r in own} & set(nodes.columns))
         value = reduce(lambda a, p: a.when(F.col("path") == p, F.col(p)), paths, F.when(F.lit(False), F.lit(0.0)))
         focus = focus.withColumn("value", value)
-        bad = F.when(F.col("kind") == "above", F.col("value") <= F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
-        applies = (F.col("kind") != "min_if") | F.arrays_overlap("types", "among")
+        plain, value, most = F.regexp_replace("kind", "_if$", ""), F.col("value"), F.col("threshold")
+        bad = F.when(plain == "above", value <= most).when(plain == "max", value > most).when(plain == "below", value >= most).otherwise(value < most)
+        applies = ~F.endswith("kind", F.lit("_if")) | F.arrays_overlap("types", "among")
         found.append(focus.where(applies & bad).select("drawing_id", "node_id", "rule_id", "level", none))
-    if edges is not None and (own := by_kind.get("some")):
+    if edges is not None and (own := by_kind.get("count")):
         focus = _focus(nodes.select("drawing_id", "node_id", "types"), own, spark)
         ends = nodes.select("drawing_id", F.col("node_id").alias("dst"), F.col("types").alias("dst_types"), F.col("label").alias("dst_label"))
         reach = focus.join(edges.withColumnsRenamed({"src": "node_id", "pred": "path"}), ["drawing_id", "node_id", "path"]).join(ends, ["drawing_id", "dst"])
-        good = F.when(F.col("kind") == "some_type", F.arrays_overlap("dst_types", "among")).otherwise(F.array_contains("among", F.col("dst_label")))
-        met = reach.where(good).select("drawing_id", "node_id", "rule_id").distinct()
-        found.append(focus.join(met, ["drawing_id", "node_id", "rule_id"], "left_anti").select("drawing_id", "node_id", "rule_id", "level", none))
-    if edges is not None and (own := by_kind.get("none_type")):
+        good = F.when(F.endswith("kind", F.lit("_type")), F.arrays_overlap("dst_types", "among")).otherwise(F.array_contains("among", F.col("dst_label")))
+        n = reach.where(good).groupBy("drawing_id", "node_id", "rule_id").agg(F.count_distinct("dst").alias("n"))
+        counted = focus.join(n, ["drawing_id", "node_id", "rule_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        bad = F.when(F.startswith("kind", F.lit("few_")), F.col("n") > F.col("threshold")).otherwise(F.col("n") < F.coalesce("threshold", F.lit(1.0)))
+        found.append(counted.where(bad).select("drawing_id", "node_id", "rule_id", "level", none))
+    if edges is not None and (own := by_kind.get("each")):
         focus = _focus(nodes.select("drawing_id", "node_id", "types"), own, spark)
         ends = nodes.select("drawing_id", F.col("node_id").alias("dst"), F.col("types").alias("dst_types"))
         reach = focus.join(edges.withColumnsRenamed({"src": "node_id", "pred": "path"}), ["drawing_id", "node_id", "path"]).join(ends, ["drawing_id", "dst"])
-        found.append(reach.where(F.arrays_overlap("dst_types", "among")).select("drawing_id", "node_id", "rule_id", "level", F.col("dst").alias("other")))
+        found.append(reach.where(F.arrays_overlap("dst_types", "among") == (F.col("kind") == "none_type")).select("drawing_id", "node_id", "rule_id", "level", F.col("dst").alias("other")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -18,7 +18,7 @@ from ..operators import division as X
 from ..operators import elements as E
 from ..operators import enrich as N
 from ..operators import evaluate as V
-from ..operators import graph, rules
+from ..operators import graph, rules, shapes
 from ..operators import mesh as M
 from ..operators import topology as P
 from ..sources import dxf, files, jsonld, svg
@@ -917,6 +917,35 @@ def rules_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _level(spark, sf_dir, "exp")
 
 
+SHAPES = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix bot: <https://w3id.org/bot#> .
+@prefix props: <http://example.org/props/> . @prefix bldg: <http://example.org/bldg/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+bldg:Sizes a sh:NodeShape ; sh:targetClass bldg:Bedroom , bldg:DiningRoom ; sh:property [ sh:path props:hasArea ; sh:minInclusive 12.25 ; sh:maxExclusive 14.0 ] .
+bldg:Cooking a sh:NodeShape ; sh:targetClass bldg:Kitchen ;
+  sh:property [ sh:path bot:containsElement ; sh:qualifiedValueShape [ sh:property [ sh:path rdfs:label ; sh:in ( "sink" "gas stove" ) ] ] ; sh:qualifiedMinCount 1 ] ;
+  sh:property [ sh:path bot:adjacentZone ; sh:node [ sh:not [ sh:class bldg:Bathroom ] ] ; sh:message "not beside a bathroom" ] .
+bldg:Living a sh:NodeShape ; sh:targetClass bldg:LivingRoom ; # two bedrooms at least, one corridor at most
+  sh:property [ sh:path bot:adjacentZone ; sh:qualifiedValueShape [ sh:class bldg:Bedroom ] ; sh:qualifiedMinCount 2 ] ;
+  sh:property [ sh:path bot:adjacentZone ; sh:qualifiedValueShape [ sh:class bldg:Corridor ] ; sh:qualifiedMaxCount 1 ] .
+"""
+_AROUND = "around AS (SELECT r.drawing_id, r.room_id, r.sem, count(*) FILTER (s.sem = 'Bedroom') AS beds, count(*) FILTER (s.sem = 'Corridor') AS ways, count(*) FILTER (s.sem = 'Bathroom') AS baths FROM room r LEFT JOIN arc a ON a.drawing_id = r.drawing_id AND a.src = r.room_id LEFT JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst GROUP BY ALL)"
+
+
+@query(_with(ROOM, GRID, FURNITURE, IN_ROOM, _AROUND, select="SELECT drawing_id, rule_id, count(*) AS n, min(node_id) AS first_node FROM (" + " UNION ALL ".join([
+    "SELECT drawing_id, room_id AS node_id, unnest(list_filter([CASE WHEN (x1 - x0) * (y1 - y0) < 12250000 THEN 'own:Sizes.1' END, CASE WHEN (x1 - x0) * (y1 - y0) >= 14000000 THEN 'own:Sizes.2' END], lambda x: x IS NOT NULL)) AS rule_id FROM room WHERE sem IN ('Bedroom', 'DiningRoom')",
+    "SELECT drawing_id, node_id, rule_id FROM (" + _some("own:Cooking.1", "Kitchen", ["sink", "gas stove"]) + ")",
+    "SELECT drawing_id, room_id, 'own:Cooking.2' FROM (SELECT drawing_id, room_id, unnest(range(baths)) FROM around WHERE sem = 'Kitchen')",
+    "SELECT drawing_id, room_id, unnest(list_filter([CASE WHEN beds < 2 THEN 'own:Living.1' END, CASE WHEN ways > 1 THEN 'own:Living.2' END], lambda x: x IS NOT NULL)) FROM around WHERE sem = 'LivingRoom'",
+]) + ") GROUP BY drawing_id, rule_id"))
+def shape_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a Turtle file, read, compiled and checked on the derived rooms."""
+    files.register(spark)
+    path = fresh_path(spark, "rules")
+    spark.createDataFrame([("own", SHAPES)], "drawing string, value string").write.format("floorlens_documents").option("suffix", ".ttl").mode("append").save(path)
+    nodes, edges = rule_tables(spark, sf_dir)
+    found = rules.violations(nodes, edges, rules=shapes.read_shapes(spark, path).rules)
+    return found.groupBy("drawing_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_node"))
+
+
 @query(_with(ROOM, """small AS (SELECT *, (x1 - x0) * (2 + event_id % 9) // 10 AS w, (y1 - y0) * (2 + user_id % 9) // 10 AS h FROM room),
  bad AS (SELECT drawing_id, room_id, unnest(list_filter([CASE WHEN sem = 'Bedroom' AND w * h < 12000000 THEN 'R11' END, CASE WHEN sem = 'Bedroom' AND event_id % 2 = 0 AND w * h < 9000000 THEN 'R12' END,
  CASE WHEN sem = 'Kitchen' AND w * h < 3500000 THEN 'R13' END, CASE WHEN sem = 'Bathroom' AND w * h < 2500000 THEN 'R14' END, CASE WHEN sem = 'Bedroom' AND least(w, h) < 1800 THEN 'R15' END,
