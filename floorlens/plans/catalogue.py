@@ -21,8 +21,9 @@ from ..operators import evaluate as V
 from ..operators import graph, rules, shapes
 from ..operators import mesh as M
 from ..operators import topology as P
-from ..sources import dxf, files, jsonld, svg
+from ..sources import dxf, files, jsonld, predictions, svg
 from ..sources.shared import fresh_path, materialise
+from ..streaming.drawings import process_pieces
 from . import derived as D
 
 QUERIES: dict = {}
@@ -307,6 +308,32 @@ def mask_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.inject_instances(prim, inst).select("drawing_id", F.col("ord").cast("bigint").alias("ord"), "instance_id", F.col("label_id").cast("bigint").alias("label_id"))
 
 
+@query(_with(MASK, "place AS (SELECT DISTINCT drawing_id, instance_id, dense_rank() OVER (PARTITION BY drawing_id ORDER BY instance_id) - 1 AS i FROM bit)",
+    select="SELECT drawing_id, ord, i AS instance_id, instance_id % 35 AS label_id, CASE WHEN instance_id % 2 = 0 THEN instance_id END AS score FROM hit JOIN place USING (drawing_id, instance_id)"))
+def prediction_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primitives under a mask of prediction files, which are written as pickles and read back."""
+    bits = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (7 * F.col("s_suppkey") + 3 * i) % 5 == 0)
+    key = F.col("s_suppkey")
+    inst = D.table(spark, sf_dir, "supplier").select((key % 10).cast("string").alias("drawing"), key.alias("instance_id"), bits.alias("masks"), (key % 35).alias("label_id"), F.when(key % 2 == 0, key.cast("double")).alias("score"))
+    found = predictions.read_predictions(spark, filed(predictions.prediction_files(inst), ".pkl")).withColumnRenamed("drawing", "drawing_id")
+    prim = found.select("drawing_id", F.posexplode("masks").alias("ord", "bit")).select("drawing_id", "ord").distinct()
+    hit = E.inject_instances(prim, found).where("instance_id >= 0")
+    return hit.select(F.col("drawing_id").cast("bigint").alias("drawing_id"), F.col("ord").cast("bigint").alias("ord"), F.col("instance_id").cast("bigint").alias("instance_id"), F.col("label_id").cast("bigint").alias("label_id"), F.col("score").cast("bigint").alias("score"))
+
+
+@query(_with(ROOM, select="SELECT drawing_id, count(*) AS n_rooms, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area FROM room GROUP BY drawing_id HAVING drawing_id % 5 > 0 OR count(*) FILTER (ord % 3 = 1) = 0"))
+def streamed_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings that arrive in three files, as a stream puts them together; of every fifth the second piece never comes."""
+    piece = F.col("ord") % 3
+    rooms = D.rooms(spark, sf_dir).withColumns({"piece": piece, "n_pieces": F.size(F.collect_set(piece).over(Window.partitionBy("drawing_id")))})
+    rooms = materialise(rooms.where("piece <> 1 OR drawing_id % 5 > 0").select("drawing_id", "piece", "n_pieces", G.area(F.col("ring")).alias("area")), "pieces")
+    path, sink, log = (fresh_path(spark, label) for label in ("pieces-in", "pieces-out", "pieces-log"))
+    rooms.repartition(3, "piece").sortWithinPartitions("piece").write.parquet(path)
+    plan = lambda batch: batch.where("complete").groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_rooms"), whole(F.sum("area")).alias("area"))
+    process_pieces(spark, path, rooms.schema.simpleString()[7:-1].replace(":", " "), plan, sink, log, files=1).awaitTermination()
+    return spark.read.schema("drawing_id bigint, n_rooms bigint, area bigint").parquet(sink).select("drawing_id", "n_rooms", "area")
+
+
 TEXT = "txt AS (SELECT p_name AS t FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_type FROM part), good AS (SELECT trim(t) AS t FROM txt WHERE length(trim(t)) >= 2 AND NOT regexp_full_match(trim(t), '[a-zA-Z0-9.]+')), map AS (SELECT DISTINCT p_name AS raw, ['Unknown', 'Kitchen', 'Bedroom', 'Balcony'][1 + length(p_name) % 4] AS std FROM part)"
 
 

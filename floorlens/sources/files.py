@@ -157,7 +157,7 @@ class SvgFiles(_Source):
 
 
 class DocumentWriter(DataSourceWriter):
-    """Each row as a file <drawing><suffix> in UTF-8. A task that runs again writes the same files again."""
+    """Each row as a file <drawing><suffix>, texts in UTF-8. A task that runs again writes the same files again."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.suffix = options["path"], options.get("suffix", ".txt")
@@ -167,7 +167,8 @@ class DocumentWriter(DataSourceWriter):
         system.create_dir(root, recursive=True)
         for row in rows:
             with system.open_output_stream(f"{root.rstrip('/')}/{row['drawing']}{self.suffix}") as f:
-                f.write((row["value"] or "").encode())
+                value = row["value"]
+                f.write(bytes(value) if isinstance(value, bytes | bytearray) else (value or "").encode())
         return WriterCommitMessage()
 
 

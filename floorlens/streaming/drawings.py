@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def process_folder(spark: SparkSession, path: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
@@ -20,3 +24,49 @@ def process_folder(spark: SparkSession, path: str, schema: str, plan: Callable[[
 
     stream = spark.readStream.schema(schema).parquet(path)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def whole_drawings(pieces: DataFrame, *, wait_ms: int | None = None) -> DataFrame:
+    """A stream of pieces of drawings as a stream of whole ones: its rows with ``complete``.
+
+    Pieces: drawing_id, piece, n_pieces and more columns; a piece may have many rows, all in one micro-batch. A drawing's
+    rows are held in the state until all its pieces are there, and then let go together; a piece that comes again
+    counts once. With ``wait_ms``, a drawing for which nothing new has come for so long is let go as it is, as not
+    complete; a stream with such timers has always something to wait for, and does not end by itself.
+    """
+    schema = pieces.schema
+
+    def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[int, pd.DataFrame] = pickle.loads(state.get[0]) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.concat(held.values(), ignore_index=True).assign(complete=False)
+            return
+        rows = pd.concat(list(frames), ignore_index=True)
+        held = {int(n): part for n, part in rows.groupby("piece")} | held
+        if len(held) >= int(rows["n_pieces"].iloc[0]):
+            if state.exists:
+                state.remove()
+            yield pd.concat([held[n] for n in sorted(held)], ignore_index=True).assign(complete=True)
+        else:
+            state.update((pickle.dumps(held),))
+            if wait_ms is not None:
+                state.setTimeoutDuration(wait_ms)
+
+    out = StructType([*schema.fields, StructField("complete", BooleanType())])
+    return pieces.groupBy("drawing_id").applyInPandasWithState(gather, out, "held binary", "append", GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def process_pieces(spark: SparkSession, path: str, schema: str, plan: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, *, wait_ms: int | None = None, files: int = 1000) -> StreamingQuery:
+    """As :func:`process_folder`, for drawings whose pieces arrive in different files: ``plan`` gets whole drawings only.
+
+    Without ``wait_ms`` the query ends when all files are read, and what is not whole waits in the checkpoint for the
+    next run; with it the query goes on, and drawings that wait for longer come with ``complete`` false.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        plan(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    written = whole_drawings(stream, wait_ms=wait_ms).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (written.trigger(availableNow=True) if wait_ms is None else written.trigger(processingTime="1 second")).start()
