@@ -176,7 +176,7 @@ def drawn_entities(text: str) -> list[Entity]:
     invisible or whose layer is off or frozen. A radius follows the insertion's first scale. What is coloured by
     layer or by block has the colour of the layer on which it is shown.
     """
-    lines = text.splitlines()
+    lines = text.removeprefix("\ufeff").splitlines()
     records = _records([(code.strip(), value if code.strip() in ("1", "3") else value.strip()) for code, value in zip(lines[::2], lines[1::2], strict=False)])
     hidden = _hidden_layers(records)
     of_layer = {v.get("2", ""): int(v.get("62", WHITE)) for section, kind, v in records if section == "TABLES" and kind == "LAYER"}
