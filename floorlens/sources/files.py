@@ -72,7 +72,9 @@ class _Folder:
         files = listed(self.path, self.suffix)
         return [f for f in files if "drawing" not in self.only or self.drawing(f[1]) in self.only["drawing"]]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files | None) -> Iterator[tuple]:
+        if partition is None:  # there are no files
+            return
         system, _ = _system(self.path)
         checks = [(self.columns.index(c), values) for c, values in self.only.items()]
         for path in partition.value:
