@@ -76,12 +76,16 @@ _NAME_CUT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def chrome_name(names: str, inside: bool) -> bool:
-    """Whether one of the names of a class or id attribute marks chrome. inside: the element is part of an article."""
+    """Whether one of the names of a class or id attribute marks chrome.
+
+    inside: the element is part of an article, where a name such as menu-recipe may tell of its subject: there all
+    words of the name must be chrome's or tell of a box.
+    """
     for name in names.split():
         words = [w.lower() for w in _NAME_CUT.split(name) if w]
         if not words or words[0] in STATE_WORDS:
             continue
-        if any(w in CHROME_WORDS for w in words):
+        if any(w in CHROME_WORDS for w in words) and (not inside or all(w in CHROME_WORDS or w in CHROME_NAMES or w in BOX_WORDS for w in words)):
             return True
         marks = [w for w in words if w in CHROME_NAMES and not (inside and w in ("header", "banner"))]
         if marks and all(w in CHROME_NAMES or w in BOX_WORDS for w in words) and len(words) < 4:
@@ -96,12 +100,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+))""")
 
 
+_UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+
+
 def _zone(tag: str, attributes: str, zone: str) -> str:
     if zone == CHROME:
         return CHROME
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
     roles = found.get("role", "").lower().split()
-    if tag in CHROME_TAGS or any(r in CHROME_ROLES for r in roles) or "hidden" in attributes.lower().split():
+    if tag in CHROME_TAGS or any(r in CHROME_ROLES for r in roles) or "hidden" in attributes.lower().split() or _UNDISPLAYED.search(found.get("style", "")):
         # A heading group of the article itself is part of the article.
         return CHROME if not (tag == "header" and zone == CONTENT) else zone
     if tag in ("html", "body", "article", "main"):
@@ -375,9 +382,15 @@ def decisions(held: DataFrame) -> DataFrame:
     streams = streams.withColumn("group", F.pmod(F.xxhash64("page"), F.col("groups")))
     # Hosts of one group need no count across groups.
     seen = streams.where(F.col("groups") > 1).select("host", "group", F.filter("blocks", lambda b: b["zone"] != CONTENT).alias("blocks"))
-    spread = seen.mapInArrow(tk.freeing(_windows), "host string, group long, window long").distinct()
-    wide = spread.groupBy("host", "window").agg(F.collect_set("group").alias("groups")).where(F.size("groups") > 1)
-    wide = wide.select("host", F.explode("groups").alias("group"), "window")
+    kind = "host string, group long, window long"
+    if hosts.where("groups > 1").isEmpty():
+        wide = held.sparkSession.createDataFrame([], kind)
+    else:
+        spread = materialise(seen.mapInArrow(tk.freeing(_windows), kind).distinct(), "html-windows")
+        # A run of a large host may stand in all its groups: only the least and the largest are gathered for it.
+        ends = spread.groupBy("host", "window").agg(F.min("group").alias("a"), F.max("group").alias("z"), F.count(F.lit(1)).alias("__rows")).where("a < z")
+        several = materialise(ends.select("host", "window", "__rows", F.lit(True).alias("several")), "html-several")
+        wide = skewed_left_join(spread, several, ["host", "window"]).where("several").select("host", "group", "window")
     covered = materialise(streams.groupBy("host", "group").cogroup(wide.groupBy("host", "group")).applyInArrow(_cover_group, _COVER), "html-covered")
 
     single = own.select("host", "page", F.explode("blocks").alias("b")).where(F.col("b.zone") != CHROME)

@@ -353,6 +353,15 @@ def test_names_of_chrome(name, inside, chrome):
     assert html.chrome_name(name, inside) == chrome
 
 
+def test_names_in_an_article_may_tell_of_its_subject():
+    keep = ("menu-recipe", "sponsor-history", "login-screen-tutorial", "cookieRecipes", "has-sidebar")
+    drop = ("menu", "newsletter-signup", "login-form", "ad-slot", "comments-list", "cookie-banner box")
+    text = lambda name: [t for zone, t in html.blocks(f'<article><p>story</p><div class="{name}"><p>x</p></div></article>') if zone == html.CONTENT]
+    assert [text(n) for n in keep] == [["story", "x"]] * len(keep) and [text(n) for n in drop] == [["story"]] * len(drop)
+    page = '<body><div class="menu-bar-top"><p>a</p></div><article><p>story</p><p style="color:red; display : none">b</p><p style="display:nonesuch">c</p></article>'
+    assert [t for zone, t in html.blocks(page) if zone == html.CONTENT] == ["story", "c"]
+
+
 def test_pages_of_odd_kinds(spark):
     long = " ".join(f"word{i}" for i in range(300_000))
     rows = [(1, "http://h.example/1", f"<article><p>{long}</p></article>", 1, "x"), (1, "http://h.example/1", f"<article><p>{long}</p></article>", 2, "y"), (None, None, None, 3, None), (2, None, "", 4, None), (None, "http://h.example/2", "<p>a b", 5, "z"), (3, "no url", f"<div>{long}", 6, None)]
