@@ -38,18 +38,18 @@ def types_from_texts(rooms: DataFrame, typed: DataFrame) -> DataFrame:
 
 
 def room_context(rooms: DataFrame, furniture: DataFrame, edges: DataFrame) -> DataFrame:
-    """What is known of a room: area in square metres, furniture and neighbours' types, sorted.
+    """What is known of a room: area in square metres, furniture (each piece), neighbours and their types, all sorted.
 
     Doors, windows and what is unknown or has no label are no furniture.
     """
     label = F.lower("specific_type")
     furniture = furniture.where(~label.contains("door") & ~label.contains("window") & (F.col("specific_type") != "unknown"))
-    items = furniture.groupBy("drawing_id", "room_id").agg(F.sort_array(F.collect_set("specific_type")).alias("items"))
-    around = both_ways(edges).join(rooms.select("drawing_id", F.col("room_id").alias("dst"), F.explode("types").alias("near")), ["drawing_id", "dst"])
-    around = around.groupBy("drawing_id", F.col("src").alias("room_id")).agg(F.sort_array(F.collect_set("near")).alias("near"))
+    items = furniture.groupBy("drawing_id", "room_id").agg(F.sort_array(F.collect_list("specific_type")).alias("items"))
+    around = both_ways(edges).join(rooms.select("drawing_id", F.col("room_id").alias("dst"), F.explode_outer("types").alias("near")), ["drawing_id", "dst"])
+    around = around.groupBy("drawing_id", F.col("src").alias("room_id")).agg(F.sort_array(F.collect_set("near")).alias("near"), F.sort_array(F.collect_set("dst")).alias("neighbours"))
     none = F.array().cast("array<string>")
     out = rooms.join(items, ["drawing_id", "room_id"], "left").join(around, ["drawing_id", "room_id"], "left")
-    return out.withColumns({"area_m2": G.area(F.col("ring")) / 1e6, "items": F.coalesce("items", none), "near": F.coalesce("near", none)})
+    return out.withColumns({"area_m2": G.area(F.col("ring")) / 1e6, "items": F.coalesce("items", none), "near": F.coalesce("near", none), "neighbours": F.coalesce("neighbours", none)})
 
 
 def room_prompts(context: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def room_prompts(context: DataFrame) -> DataFrame:
 
     The context is that of :func:`room_context`; a reply is read by ``functions.text.parse_reply``.
     """
-    room = F.struct("ord", F.struct("room_id", F.round("area_m2", 2).alias("area"), F.col("items").alias("furniture"), F.col("near").alias("neighbours")).alias("r"))
+    room = F.struct("ord", F.struct("room_id", F.round("area_m2", 2).alias("area"), F.col("items").alias("furniture"), "neighbours").alias("r"))
     rows = F.transform(F.sort_array(F.collect_list(room)), lambda x: x["r"])
     return context.where(F.size("types") == 0).groupBy("drawing_id").agg(F.to_json(rows).alias("prompt"))
 

@@ -196,6 +196,18 @@ def divided_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.rehome_elements(held, parts).join(size, ["drawing_id", "sub_id"]).select("drawing_id", "uid", "area")
 
 
+@query(_with(ROOM, """part AS (SELECT drawing_id, room_id, unnest(CASE WHEN event_id % 2 = 1 THEN ['Bedroom|LivingRoom'] ELSE ['Bedroom', 'LivingRoom'] END) AS types, event_id % 2 = 0 AS cut, (x1 - x0) * (y1 - y0) AS area FROM room)""",
+    select="SELECT drawing_id, room_id, types, CASE WHEN cut THEN area // 2 ELSE area END AS area FROM part"))
+def anchored_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes with two types: cut halfway between two anchors, across the axis on which they are further apart; three anchors cut nothing."""
+    p = lambda i, label, x, y: F.struct(F.lit(i).alias("text_ord"), F.lit("t").alias("raw_text"), F.lit(label).alias("std_label"), F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    beside = (p(0, "Bedroom", "x0 + 500", "y0 + 500"), p(1, "LivingRoom", "x1 - 500", "y0 + 900"))
+    above = (p(0, "Bedroom", "x0 + 500", "y1 - 500"), p(1, "LivingRoom", "x0 + 900", "y0 + 500"))
+    anchors = F.when(F.col("event_id") % 2 == 1, F.array(*beside, p(2, "Bedroom", "x0 + 700", "y1 - 700"))).when(F.col("user_id") % 3 == 0, F.array(*above)).otherwise(F.array(*beside))
+    rooms = D.rooms(spark, sf_dir).withColumns({"types": F.array(F.lit("Bedroom"), F.lit("LivingRoom")), "anchors": anchors})
+    return N.decompose(rooms).select("drawing_id", "room_id", F.array_join("types", "|").alias("types"), whole(G.area(F.col("ring"))).alias("area"))
+
+
 @query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, CASE WHEN flat THEN xm - x0 ELSE ym - y0 END AS shared FROM half WHERE event_id % 2 = 0"))
 def divided_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wall that the two parts of a divided room share."""
@@ -844,6 +856,16 @@ def drawing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.drawing_summary(D.rooms(spark, sf_dir), D.doors(spark, sf_dir), edges, N.suites(typed_rooms(spark, sf_dir), edges))
 
 
+@query(_with(ROOM, select=f"SELECT r.drawing_id, 'N_' || r.event_id AS uid, CASE WHEN r.event_id % 2 = 0 THEN r.room_id ELSE s.room_id END AS a, CASE WHEN r.event_id % 2 = 0 THEN s.room_id ELSE '{EXTERIOR_ID}' END AS b FROM room r JOIN room s ON s.event_id = r.event_id + 1 WHERE r.ord % 4 < 3 AND r.user_id % 3 = 0"))
+def unhit_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doors in the gaps between rooms, which touch no wall: what is nearer than 300 mm is theirs, on both sides or on one."""
+    rooms = D.rooms(spark, sf_dir)
+    most = rooms.agg(F.max("event_id").alias("most"))
+    gaps = rooms.join(F.broadcast(most)).where("ord % 4 < 3 AND user_id % 3 = 0 AND event_id < most").withColumns({"lo": F.expr("x1 + IF(event_id % 2 = 0, 150, 320)"), "hi": F.expr("x1 + IF(event_id % 2 = 0, 350, 450)")})
+    doors = gaps.select("drawing_id", F.concat(F.lit("N_"), "event_id").alias("uid"), G.rectangle(F.col("lo"), F.col("y0") + 1000, F.col("hi"), F.col("y0") + 1700).alias("ring"))
+    return P.bind_doors(doors, rooms).select("drawing_id", "uid", F.get("ends", F.lit(0)).alias("a"), F.get("ends", F.lit(1)).alias("b"))
+
+
 @query(_with(ROOM, DOOR, select="""SELECT d.drawing_id, d.uid, count(r.room_id) = 1 AND max(hi - lo) >= 850 AND NOT bool_or(r.sem = 'Balcony') AS is_entrance FROM door d LEFT JOIN room r ON d.drawing_id = r.drawing_id
  AND pow(greatest(r.x0 - xc - 100, xc - 100 - r.x1, 0), 2) + pow(greatest(r.y0 - hi, lo - r.y1, 0), 2) < 0.16 GROUP BY ALL"""))
 def outer_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -852,8 +874,8 @@ def outer_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_with(ROOM, FURNITURE, IN_ROOM, GRID, select="""SELECT drawing_id, '[' || string_agg('{"room_id":"' || room_id || '","area":' || CAST((x1 - x0) * (y1 - y0) / 1e6 AS DOUBLE) || ',"furniture":[' || it || '],"neighbours":[' || near || ']}', ',' ORDER BY ord) || ']' AS prompt
- FROM (SELECT *, coalesce((SELECT string_agg('"' || specific_type || '"', ',' ORDER BY specific_type) FROM (SELECT DISTINCT specific_type FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id AND specific_type NOT ILIKE '%door%' AND specific_type NOT ILIKE '%window%' AND specific_type <> 'unknown')), '') AS it,
- coalesce((SELECT string_agg('"' || sem || '"', ',' ORDER BY sem) FROM (SELECT DISTINCT s.sem FROM arc a JOIN room s ON s.drawing_id = a.drawing_id AND s.room_id = a.dst WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id AND s.sem <> 'Unknown')), '') AS near
+ FROM (SELECT *, coalesce((SELECT string_agg('"' || specific_type || '"', ',' ORDER BY specific_type) FROM in_room i WHERE i.drawing_id = r.drawing_id AND i.room_id = r.room_id AND specific_type NOT ILIKE '%door%' AND specific_type NOT ILIKE '%window%' AND specific_type <> 'unknown'), '') AS it,
+ coalesce((SELECT string_agg('"' || dst || '"', ',' ORDER BY dst) FROM arc a WHERE a.drawing_id = r.drawing_id AND a.src = r.room_id), '') AS near
  FROM room r WHERE sem = 'Unknown') GROUP BY drawing_id"""))
 def room_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rooms = D.rooms(spark, sf_dir)
