@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.vocab import UNKNOWN
+from ..sources.shared import materialise
 from .graph import both_ways
 from .spatial import box_join, boxed
 from .topology import common_area
@@ -42,6 +43,8 @@ def match_rooms(gt: DataFrame, pairs: DataFrame) -> DataFrame:
     An IoU of more than one half leaves at most one partner if rooms of a side do not overlap; where they
     do, the better IoU, then the earlier room, wins.
     """
+    # Read by all three passes; written out, or every pass would meet and measure the rooms again.
+    pairs = materialise(pairs, "pairs")
     covered = pairs.where(F.col("both") > CONTAINED * F.col("gt_area"))
     many = covered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("drawing_id", "sys_id"))).where("n >= 2")
     under = many.groupBy("drawing_id", "gt_id").agg(F.max_by("sys_id", "sys_ord").alias("sys_id"))

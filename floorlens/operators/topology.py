@@ -7,7 +7,7 @@ kernel (in Arrow batches) where they cannot.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from ..functions import kernel as K
 from ..functions import planar, polygons
 from ..functions.vocab import EXTERIOR_ID
 from ..sources.shared import materialise
-from .spatial import box_join, boxed, nearest
+from .spatial import box_distance, box_join, boxed, nearest
 
 #: Millimetres: length of the probe on both sides of a threshold, reach of windows and unhit doors.
 PROBE, REACH, DOOR_MARGIN = 300.0, 300.0, 0.1
@@ -58,10 +58,11 @@ def pair_udf(function, kind: str):
 
 def stacks(a: pd.Series, b: pd.Series):
     """Pairs of rings by their numbers of points: (places, first rings (n, k, 2), second rings (n, m, 2))."""
-    one, two = ([as_points(x) for x in side] for side in (a, b))
+    one, two = ([None if x is None else as_points(x) for x in side] for side in (a, b))
     by: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(one, two, strict=True)):
-        by.setdefault((len(x), len(y)), []).append(i)
+        if x is not None and y is not None:
+            by.setdefault((len(x), len(y)), []).append(i)
     for (k, m), at in by.items():
         if k and m:
             yield np.array(at), np.stack([one[i] for i in at]), np.stack([two[i] for i in at])
@@ -86,13 +87,14 @@ def _common_areas(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def ring_udf(function, kind: str):
-    """A pandas UDF of a kernel function of one ring."""
+    """A pandas UDF of a kernel function of one ring; null for null."""
 
     def run(a: pd.Series) -> pd.Series:
-        return pd.Series([function(as_points(x)) for x in a])
+        return pd.Series([None if x is None else function(as_points(x)) for x in a], dtype=object)
 
     def run_frame(a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([function(as_points(x)) for x in a])
+        names = [f.split(":")[0] for f in kind[7:-1].split(",")]
+        return pd.DataFrame([dict.fromkeys(names) if x is None else function(as_points(x)) for x in a], columns=names)
 
     return lazy_udf(run_frame if kind.startswith("struct") else run, kind)
 
@@ -141,9 +143,29 @@ def _mended(a: pd.Series) -> pd.Series:
 mended = lazy_udf(_mended, polygons.PARTS)
 polygon_distance = polygon_udf(K.region_distance, "double")
 polygon_common_area = polygon_udf(K.common_region_area, "double")
-ring_distance = lazy_udf(_distances, "double")
 shared_length = pair_udf(K.shared_length, "double")
-common_area = lazy_udf(_common_areas, "double")
+
+
+def boxes_first(of_boxes, of_rings, *rings):
+    """A measure of rings: of boxes by a Column of their corners, of others in Python, to which boxes go as nulls."""
+    rings = [F.col(r) if isinstance(r, str) else r for r in rings]
+    plain = reduce(lambda a, b: a & b, (G.is_box(r) for r in rings))
+    return F.when(plain, of_boxes(*map(G.box_of, rings))).otherwise(of_rings(*(F.when(~plain, r) for r in rings)))
+
+
+def _common_box_area(a, b):
+    side = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0.0))
+    return side("x0", "x1") * side("y0", "y1")
+
+
+def ring_distance(a, b):
+    """Distance of two polygons, 0 if they touch or overlap."""
+    return boxes_first(box_distance, lazy_udf(_distances, "double"), a, b)
+
+
+def common_area(a, b):
+    """Area that two polygons share."""
+    return boxes_first(_common_box_area, lazy_udf(_common_areas, "double"), a, b)
 
 
 def _rooms(rooms: DataFrame, margin: float = 0.0) -> DataFrame:
