@@ -42,34 +42,16 @@ LABELS = [
 BOUNDARY_LABELS = ["wall", "curtain wall", "railing", "window", "bay window", "blind window"]
 OPENING_LABELS = ["single door", "double door", "sliding door", "folding door", "revolving door", "rolling door", "opening symbol"]
 WINDOW_LABELS = ["window", "bay window", "blind window"]
+# Labels of texts and of what is none.
 TEXT_LABEL = "room_label"
 BACKGROUND = "background"
 
-# Room types, and the sets that decide what is public.
-ROOM_TYPES = [
-    "Bedroom",
-    "LivingRoom",
-    "Kitchen",
-    "Bathroom",
-    "Balcony",
-    "Corridor",
-    "Entrance",
-    "Garden",
-    "DiningRoom",
-    "ElevatorShaft",
-    "StorageRoom",
-    "Stairwell",
-    "Cloakroom",
-    "StudyRoom",
-    "SunRoom",
-    "WaterRoom",
-    "ElectricalRoom",
-    "VentilationRoom",
-]
+# The sets of room types that decide what is public.
 UNKNOWN = "Unknown"
 PUBLIC_SEEDS = ["ElevatorShaft", "Stairwell", "WaterRoom", "ElectricalRoom", "VentilationRoom", "EquipmentRoom", "Exterior"]
 PRIVATE_SEEDS = ["Bedroom", "LivingRoom", "Kitchen", "Bathroom", "DiningRoom", "Cloakroom", "StudyRoom", "Balcony", "Entrance"]
 PUBLIC_BLOCKERS = [*PUBLIC_SEEDS, "PublicCorridor", UNKNOWN]
+# Fixed value: the node outside all rooms.
 EXTERIOR_ID = "UnmodeledExterior"
 
 # Layers of annotated drawings.
@@ -102,6 +84,6 @@ FACILITY_LAYERS = {
     "GT_TOILET": "beo:Toilet", "GT_便器": "beo:Toilet",
 }
 
-#: Room texts that are mapped when no mapping table is given.
-DEFAULT_TEXTS = {"卧室": "Bedroom", "客厅": "LivingRoom", "厨房": "Kitchen"}
+# Room texts that are mapped when no mapping table is given, and the text that is no room's.
+DEFAULT_TEXTS = {"次卧": "Bedroom", "主卫": "Bathroom", "餐客厅": "LivingRoom"}
 STOP_TEXT = "标注"

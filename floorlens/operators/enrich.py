@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import kernel as K
-from ..functions.vocab import EXTERIOR_ID, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS, UNKNOWN
+from ..functions.vocab import DEFAULT_TEXTS, EXTERIOR_ID, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS, UNKNOWN
 from .elements import clear_width, rectangle_of
 from .graph import both_ways, components, has_any, hops
 from .topology import points_in_rooms
@@ -21,8 +21,10 @@ from .topology import points_in_rooms
 LARGE, TINY = 20.0, 2.0
 
 
-def type_texts(texts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Texts with their standard type (mapping: raw_text, std_label); unmapped and unknown ones are dropped."""
+def type_texts(texts: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Texts with their standard type (mapping: raw_text, std_label; DEFAULT_TEXTS if there is none); unmapped and unknown ones are dropped."""
+    if mapping is None:
+        mapping = F.broadcast(texts.sparkSession.createDataFrame(list(DEFAULT_TEXTS.items()), "raw_text string, std_label string"))
     return texts.join(mapping.where(F.col("std_label") != UNKNOWN), F.col("text") == F.col("raw_text")).drop("raw_text")
 
 

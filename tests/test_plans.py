@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as G
 from floorlens.operators import elements as E
-from floorlens.operators import graph, rules
+from floorlens.operators import enrich, graph, rules
 from floorlens.plans import catalogue
 from floorlens.sources import dxf, jsonld, svg
 from floorlens.streaming.drawings import process_folder
@@ -190,6 +190,11 @@ def test_ring_columns(spark):
     assert tuple(row) == (12.0, 14.0, True, False, 5.0, "POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))")
 
 
+def test_texts_without_a_mapping_take_the_default_one(spark):
+    texts = spark.createDataFrame([(1, "次卧"), (2, "主卫"), (3, "x"), (4, "餐客厅")], "ord int, text string")
+    assert [(r["ord"], r["std_label"]) for r in enrich.type_texts(texts).orderBy("ord").collect()] == [(1, "Bedroom"), (2, "Bathroom"), (4, "LivingRoom")]
+
+
 def test_entry_registers_every_oracle():
     import __spark_entry__ as entry
 
