@@ -506,42 +506,6 @@ def node_lines(segments: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[
     return sorted(out)
 
 
-def delaunay(points: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """Delaunay triangles (counter-clockwise point numbers) of integer points, by incremental insertion with exact tests."""
-    n = len(points)
-    if n < 3:
-        return []
-    low, high = min(min(p) for p in points), max(max(p) for p in points)
-    # Beyond the circumcircle of any three integer points, so that the hull's triangles are all found.
-    big = 10 * (high - low + 1) ** 3
-    pts = [*points, (low - 3 * big, low - big), (high + 3 * big, low - big), ((low + high) // 2, high + 3 * big)]
-
-    def turn(a, b, c):
-        (ax, ay), (bx, by), (cx, cy) = pts[a], pts[b], pts[c]
-        return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-
-    def within(t, p):
-        px, py = pts[p]
-        rows = [(pts[v][0] - px, pts[v][1] - py) for v in t]
-        (a, b), (c, d), (e, f) = rows
-        s, u, w = a * a + b * b, c * c + d * d, e * e + f * f
-        return a * (d * w - u * f) - b * (c * w - u * e) + s * (c * f - d * e) > 0
-
-    triangles = {(n, n + 1, n + 2)}
-    for p in range(n):
-        bad = {t for t in triangles if within(t, p)}
-        rim = set()
-        for a, b, c in bad:
-            for e in ((a, b), (b, c), (c, a)):
-                if (e[1], e[0]) in rim:
-                    rim.discard((e[1], e[0]))
-                else:
-                    rim.add(e)
-        triangles -= bad
-        triangles |= {(a, b, p) for a, b in rim if turn(a, b, p) > 0}
-    return sorted(t for t in triangles if max(t) < n)
-
-
 def circumcircle(a: tuple, b: tuple, c: tuple) -> tuple[float, float, float] | None:
     d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
     if d == 0:

@@ -202,16 +202,18 @@ def clean_walls(elements: DataFrame) -> DataFrame:
     Ends at crossings that are no integers are rounded to 1e-6.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for line in group["line"]:
-            pts = [(int(p["x"]), int(p["y"])) for p in line]
-            parts += list(zip(pts[:-1], pts[1:], strict=True))
-        rows = [(group["drawing_id"].iloc[0], i, *(round(float(v), 6) for p in s for v in p)) for i, s in enumerate(K.node_lines(parts))]
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for drawing, group in frame.groupby("drawing_id", sort=True):
+            parts = []
+            for line in group["line"]:
+                pts = [(int(p["x"]), int(p["y"])) for p in line]
+                parts += list(zip(pts[:-1], pts[1:], strict=True))
+            rows += [(drawing, i, *(round(float(v), 6) for p in s for v in p)) for i, s in enumerate(K.node_lines(parts))]
         return pd.DataFrame(rows, columns=["drawing_id", "seg", "x0", "y0", "x1", "y1"])
 
     lines = elements.select("drawing_id", G.snap(F.col("coords")).alias("line")).where(F.size("line") >= 2)
-    return lines.groupBy("drawing_id").applyInPandas(run, "drawing_id long, seg int, x0 double, y0 double, x1 double, y1 double")
+    return by_drawing(lines, run, "drawing_id long, seg int, x0 double, y0 double, x1 double, y1 double")
 
 
 def room_faces(segments: DataFrame) -> DataFrame:
@@ -235,16 +237,16 @@ def mesh(points: DataFrame) -> DataFrame:
     triangles' sides are counter-clockwise; centre and radius are those of the circumcircle.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(int(x), int(y)) for x, y in zip(group["x"], group["y"], strict=True)})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for i, t in enumerate(K.delaunay(pts)):
-            ring = [pts[v] for v in t]
-            rows.append((group["drawing_id"].iloc[0], i, [{"x": float(x), "y": float(y)} for x, y in ring], *K.circumcircle(*ring)))
+        for drawing, group in frame.groupby("drawing_id", sort=True):
+            mesh = planar.Mesh(zip(group["x"].tolist(), group["y"].tolist(), strict=True))
+            for i, ring in enumerate(mesh.triangles()):
+                rows.append((drawing, i, [{"x": float(x), "y": float(y)} for x, y in ring], *K.circumcircle(*ring)))
         return pd.DataFrame(rows, columns=["drawing_id", "tri", "ring", "cx", "cy", "radius"])
 
     whole = points.select("drawing_id", F.rint("x").cast("bigint").alias("x"), F.rint("y").cast("bigint").alias("y")).where("x is not null and y is not null")
-    return whole.groupBy("drawing_id").applyInPandas(run, f"drawing_id long, tri int, ring {G.RING}, cx double, cy double, radius double")
+    return by_drawing(whole, run, f"drawing_id long, tri int, ring {G.RING}, cx double, cy double, radius double")
 
 
 #: Least area (mm2), inset (mm), short side (mm), compactness and solidity of a plausible room.

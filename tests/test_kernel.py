@@ -79,19 +79,19 @@ def test_noding_and_faces():
 
 def test_delaunay_has_empty_circles():
     points = [(0, 0), (7, 1), (3, 6), (9, 8), (1, 9), (5, 3)]
-    triangles = K.delaunay(points)
+    triangles = planar.Mesh(points).triangles()
     hull = abs(K.ring_area(K.hull(np.array(points))))
-    assert sum(abs(K.ring_area(np.array([points[v] for v in t], float))) for t in triangles) == pytest.approx(hull)
+    assert sum(abs(K.ring_area(np.array(t, float))) for t in triangles) == pytest.approx(hull)
     for t in triangles:
-        x, y, r = K.circumcircle(*(points[v] for v in t))
-        assert all(math.hypot(px - x, py - y) >= r - 1e-9 for i, (px, py) in enumerate(points) if i not in t)
+        x, y, r = K.circumcircle(*t)
+        assert all(math.hypot(px - x, py - y) >= r - 1e-9 for px, py in points if (px, py) not in t)
 
 
 def test_delaunay_covers_flat_hulls():
     points = [(0, 0), (500, 1), (1000, 0), (500, 900), (250, 1), (0, 400)]
     hull = abs(K.ring_area(K.hull(np.array(points))))
-    assert sum(abs(K.ring_area(np.array([points[v] for v in t], float))) for t in K.delaunay(points)) == pytest.approx(hull)
-    assert K.delaunay([(0, 0), (1, 0), (2, 0), (9, 0)]) == []
+    assert sum(abs(K.ring_area(np.array(t, float))) for t in planar.Mesh(points).triangles()) == pytest.approx(hull)
+    assert planar.Mesh([(0, 0), (1, 0), (2, 0), (9, 0)]).triangles() == []
 
 
 def test_batches_of_pairs_are_the_single_ones():
