@@ -127,13 +127,17 @@ class Plan:
         return epoch * self.size[source] + place * self.block - np.where(place > at, self.block - tail, 0)
 
     def tail_place(self, source: np.ndarray, epoch: np.ndarray) -> np.ndarray:
-        cache = self.__dict__.setdefault("_tails", {})
-        code = source.astype(np.int64) * 1000 + epoch
-        for c in np.unique(code).tolist():
-            if c not in cache:
-                s, e = divmod(c, 1000)
-                cache[c] = _place_of(int(self.blocks[s]) - 1, int(self.blocks[s]), self.key_of(np.array([s]), np.array([e]))[0])
-        return np.array([cache[c] for c in code.tolist()], np.int64)
+        """Where each source's last block comes in a pass; of a pass that is asked for, all sources' places are worked out at once."""
+        held = self.__dict__.setdefault("_tails", {})
+        out = np.zeros(len(source), np.int64)
+        for e in np.unique(epoch).tolist():
+            if e not in held:
+                every = np.arange(len(self.blocks))
+                blocks = np.maximum(self.blocks, 1)
+                held[e] = places_of(blocks - 1, blocks, self.key_of(every, np.full(len(every), e)))
+            at = epoch == e
+            out[at] = held[e][source[at]]
+        return out
 
     def draw(self, shard: int) -> np.ndarray:
         """Multinomial counts of a shard's slots by source."""
@@ -145,19 +149,25 @@ class Plan:
         return range(group * self.group, min((group + 1) * self.group, self.shards))
 
 
-def _place_of(value: int, n: int, key: int) -> int:
-    """The place that the permutation takes to ``value``: its inverse, one Feistel walk backwards."""
-    bits = max(1, int(np.ceil(np.log2(max(n, 2)) / 2)))
-    bits += (1 << 2 * bits) < n
-    mask, x = (1 << bits) - 1, value
-    while True:
-        left, right = x >> bits, x & mask
+def places_of(value: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The places that the permutations of n take to values: the inverse of :func:`permuted`, Feistel walks backwards."""
+    bits = np.maximum(1, np.ceil(np.log2(np.maximum(n, 2)) / 2)).astype(np.int64)
+    bits += (np.int64(1) << 2 * bits) < n
+    x, todo = np.asarray(value, np.int64).copy(), np.arange(len(n))
+    while len(todo):
+        b = bits[todo]
+        mask = (np.int64(1) << b) - 1
+        left, right = x[todo] >> b, x[todo] & mask
         for r in reversed(range(4)):
-            mixed = int(mix64(np.array([left], U64) + np.array([key], U64) * U64(0x9E3779B97F4A7C15) + U64(r + 1))[0])
-            left, right = right ^ (mixed & mask), left
-        x = left << bits | right
-        if x < n:
-            return x
+            mixed = mix64(left.astype(U64) + key[todo] * U64(0x9E3779B97F4A7C15) + U64(r + 1))
+            left, right = right ^ (mixed & mask.astype(U64)).astype(np.int64), left
+        x[todo] = left << b | right
+        todo = todo[x[todo] >= n[todo]]
+    return x
+
+
+def _place_of(value: int, n: int, key: int) -> int:
+    return int(places_of(np.array([value]), np.array([n]), np.array([key], U64))[0])
 
 
 def make_plan(sizes: dict[str, int], *, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED, weights=None, share: float = SHARE, most: float = MOST) -> Plan:
@@ -168,12 +178,15 @@ def make_plan(sizes: dict[str, int], *, block: int = BLOCK, slots: int = SLOTS,
     want = np.minimum(np.round(target).astype(np.int64), np.floor(most * size).astype(np.int64))
     blocks = -(-size // block)
     plan = Plan(keys, size, target, want, blocks, np.zeros(len(keys), np.int64), block, slots, seed)
-    for i in np.flatnonzero(want > 0):
-        low, high = 0, int(2 * blocks[i] * max(1, np.ceil(most)) + 2)  # the least n whose words reach what is wanted
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if plan.words_before(np.array([i]), np.array([mid]))[0] >= want[i] else (mid + 1, high)
-        plan.quota[i] = low
+    # The least number of slots whose words reach what is wanted, for all sources side by side.
+    at = np.flatnonzero(want > 0)
+    low, high = np.zeros(len(at), np.int64), 2 * blocks[at] * max(1, int(np.ceil(most))) + 2
+    while (unsettled := np.flatnonzero(low < high)).size:
+        mid = (low[unsettled] + high[unsettled]) // 2
+        enough = plan.words_before(at[unsettled], mid) >= want[at[unsettled]]
+        high[unsettled] = np.where(enough, mid, high[unsettled])
+        low[unsettled] = np.where(enough, low[unsettled], mid + 1)
+    plan.quota[at] = low
     # More shards share a row where the table of running totals would have more than CELLS numbers.
     plan.group = max(GROUP, -(-plan.shards * len(keys) // CELLS))
     return plan
