@@ -979,6 +979,47 @@ def test_pipeline_stages(spark, odd, empty):
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
 
 
+def test_pipeline_is_that_of_the_composed_brute_forces(spark):
+    """The whole result on the smallest tables: kept rows, taken words and token ids, each stage worked out anew from the one before."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    # Rows that fail the base rules go, and those beyond the cut of their cell (whose estimate has tests of its own).
+    far = {r["doc_id"] for r in quality.score(spark.read.parquet(f"{sf}/documents.parquet")).where(~F.col("kept") & ~F.col("base_failed")).collect()}
+    kept = []
+    for d in sorted(rows):
+        n, *_, repeated = brute_statistics(rows[d]["text"])
+        if n >= 50 and 100 * repeated <= 50 * n and d not in far:
+            kept.append(d)
+    kept = [d for d, _, component in brute_groups([(d, rows[d]["text"]) for d in kept]) if d == component]
+    # Quotes of 80 characters are found by looking for them; what goes besides them must be within 7 edits of a segment.
+    plain = lambda t: " ".join(re.sub(r"\s+", " ", (t or "").lower()).split())
+    items = [plain(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    segments = {t[k : k + 80] for t in items for k in range(0, max(1, len(t) - 79))}
+    quoted = {d for d in kept if any(plain(rows[d]["text"]).find(s) >= 0 for s in segments)}
+    docs = spark.createDataFrame([tuple(rows[d]) for d in kept], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    found = decontam.contaminations(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()
+    assert quoted <= {r["doc_id"] for r in found}
+    for r in found:
+        part = plain(rows[r["doc_id"]]["text"][r["start"] : r["end"]])
+        assert any(substring_distance(s, part) <= 7 for t in items for s in [t[k : k + 80] for k in range(0, max(1, len(t) - 79), 10)])
+    gone = {r["doc_id"] for r in found}
+    kept = [d for d in kept if d not in gone]
+    docs = docs.where(~F.col("doc_id").isin(list(gone)))
+    held = {r["doc_id"]: r["__start"] for r in mixing.placed(mixing.sized(docs)).collect()}
+    ordered = sorted(((d, rows[d]["source"], len(words(rows[d]["text"]))) for d in kept), key=lambda r: held[r[0]])
+    taken = dict(zip((r[0] for r in ordered), brute_mix(ordered, mixing.BLOCK, mixing.SLOTS), strict=True))
+    mixed = texts(mixing.mixed_documents(docs))
+    assert {d: n for d, n in taken.items() if n} == {d: sum(len(words(t)) for k, t in mixed if k == d) for d in {k for k, _ in mixed}}
+    library = Tokenizer.from_file(default_tokenizer())
+    coded = [(d, np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")) for d, t in mixed]
+    got = corpus_pipeline.run(spark, sf).orderBy("start").collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((d, len(ids), zlib.crc32(ids.tobytes())) for d, ids in coded)
+    assert [r["start"] for r in got] == list(itertools.accumulate((r["n_tokens"] for r in got[:-1]), initial=0))
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     """Nulls, empty and long texts, repeated rows and extra columns go through every stage; ties are settled."""
     import corpus_pipeline
