@@ -180,6 +180,43 @@ def test_unknown_constraints_are_errors(body):
         shapes.compile_shapes(turtle.statements(f"@prefix s: <http://www.w3.org/ns/shacl#> . @prefix x: <http://e/> . x:S s:targetClass x:T ; {body} ."), "x")
 
 
+# --------------------------------------------------------------- settings
+
+YAML = """# a deployment
+---
+paths:
+  in: ./data/in   # relative
+  "out dir": 'it''s # here'
+limits:
+    area: 2.5e6
+    steps: 12
+    on: true
+    off: no
+    nothing:
+    names: [a, "b, c", 3]
+    list:
+    - x
+    - 'y'
+    deep:
+      more: "\\u00e9"
+last: word of several
+"""
+
+
+def test_yaml_settings(tmp_path, monkeypatch):
+    from floorlens.settings import Settings, parse_yaml
+
+    want = {"paths": {"in": "./data/in", "out dir": "it's # here"}, "limits": {"area": 2.5e6, "steps": 12, "on": True, "off": False, "nothing": None, "names": ["a", "b, c", 3], "list": ["x", "y"], "deep": {"more": "é"}}, "last": "word of several"}
+    assert parse_yaml(YAML) == want and parse_yaml("") == {} and parse_yaml("# x\n") == {}
+    (tmp_path / "s.yaml").write_text(YAML, encoding="utf-8")
+    held = Settings(tmp_path / "s.yaml")
+    monkeypatch.setenv("FLOORLENS_LIMITS_STEPS", "13")
+    assert held.get("limits", "steps") == "13" and held.get("limits", "area") == 2.5e6 and held.path("paths", "in") == tmp_path.resolve() / "data/in" and held.get("last", "x", 5) == 5
+    for bad in ("a: &x 1", "a: {b: 1}", "a: |\n  text", "- x", "a: 1\n   b: 2", "just words", "a: 'open"):
+        with pytest.raises(ValueError):
+            parse_yaml(bad)
+
+
 # ------------------------------------------------------- prediction files
 
 
