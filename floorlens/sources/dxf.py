@@ -23,7 +23,7 @@ ENTITY = f"drawing string, ord int, kind string, layer string, text string, radi
 DRAWN = f"drawing string, ord int, kind string, layer string, text string, radius double, rgb struct<r:int,g:int,b:int>, coords {G.RING}"
 KINDS = {"LINE", "LWPOLYLINE", "CIRCLE", "ARC", "ELLIPSE", "TEXT", "MTEXT", "SPLINE", "LEADER"}
 #: References to blocks: their entities are written in place.
-HOLDERS = {"INSERT", "DIMENSION"}
+HOLDERS = {"INSERT", "DIMENSION", "ARC_DIMENSION", "LARGE_RADIAL_DIMENSION"}
 #: Points on an arc, an ellipse or a spline.
 CURVE_POINTS = 20
 _REPEATED = {"10", "20", "11", "21", "40"}
@@ -208,7 +208,7 @@ def drawn_entities(text: str) -> list[Entity]:
                 out.append(Entity(kind, own, _plain_text(kind, v), radius, colour, [(a * x + c * y + e, b * x + d * y + f) for x, y in _points(kind, v)]))
             elif kind in HOLDERS and (name := v.get("2", "")) in blocks and name not in within:
                 (bx, by), held = blocks[name]
-                if kind == "DIMENSION":
+                if kind != "INSERT":
                     place(held, m, scale, own, (*within, name))
                     continue
                 x, y = v.get("10", [0.0])[0], v.get("20", [0.0])[0]

@@ -33,6 +33,17 @@ def test_colours_come_from_entities_blocks_and_layers():
     assert [colours.palette(i) for i in (10, 11, 50, 90, 130, 170, 249, 255)] == [(255, 0, 0), (255, 127, 127), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (38, 19, 24), (255, 255, 255)]
 
 
+@pytest.mark.parametrize("kind", sorted(dxf.HOLDERS))
+def test_holders_stand_for_their_blocks(kind):
+    text = dxf_text(
+        [(0, "SECTION"), (2, "BLOCKS")], [(0, "BLOCK"), (2, "*D1"), (10, 0), (20, 0)], [(0, "LINE"), (8, "0"), *LINE], [(0, "ENDBLK")], [(0, "ENDSEC")],
+        [(0, "SECTION"), (2, "ENTITIES")], [(0, kind), (2, "*D1"), (8, "dims"), (10, 7), (20, 0)], [(0, "ENDSEC")],
+    )
+    (line,) = dxf.drawn_entities(text)
+    # An insertion moves its block; a dimension's block stands where it is.
+    assert (line.kind, line.layer, line.points[0]) == ("LINE", "dims", (7, 0) if kind == "INSERT" else (0, 0))
+
+
 def test_shown_colours_go_by_luminance(spark):
     rows = [(255, 255, 255, 0, 0, 0), (255, 255, 0, 127, 127, 0), (255, 0, 255, 255, 0, 255), (0, 255, 255, 0, 255, 255), (200, 200, 200, 200, 200, 200), (201, 201, 201, 100, 100, 100), (10, 255, 200, 10, 255, 200), (90, 255, 240, 45, 127, 120)]
     c = T.shown_colour(F.col("r"), F.col("g"), F.col("b"))
