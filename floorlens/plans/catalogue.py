@@ -395,6 +395,23 @@ def wall_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.diffuse_walls(D.lines(spark, sf_dir)).select("drawing_id", "elem_id", "type")
 
 
+@query("SELECT o_orderkey // 20 AS drawing_id, 3 * o_orderkey + 2 AS elem_id, CASE WHEN o_custkey % 3 = 0 OR o_custkey % 3 = 2 AND 1 + o_custkey % 30 <= 14 THEN 'wall' ELSE 'background' END AS type FROM orders")
+def overlapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Background lines that end where walls end: those that lead on become walls, those that run along one do not.
+
+    By o_custkey a line leads on, runs back along its wall, or runs along it by 1 to 30 mm and then up to another wall's
+    end; more than 15 mm of overlap forbid it.
+    """
+    along = 1 + F.col("o_custkey") % 30
+    o = D.table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 20").alias("drawing_id"), "o_orderkey", "o_custkey", (1000 * (F.col("o_orderkey") % 20)).alias("y"))
+    at = lambda x, up=0: G.point(F.lit(x) if isinstance(x, int) else x, F.col("y") + up)
+    kind = F.col("o_custkey") % 3
+    ground = F.when(kind == 0, F.array(at(1000), at(1200))).when(kind == 1, F.array(at(1000), at(1000 - along))).otherwise(F.array(at(1000 - along), at(1000), at(1000, 500)))
+    item = lambda i, label, coords: F.struct((3 * F.col("o_orderkey") + i).alias("elem_id"), F.lit(label).alias("type"), coords.alias("coords"))
+    lines = o.select("drawing_id", F.inline(F.array(item(0, "wall", F.array(at(0), at(1000))), item(1, "wall", F.array(at(1000, 500), at(2000, 500))), item(2, "background", ground))))
+    return E.diffuse_walls(lines).where("elem_id % 3 = 2").select("drawing_id", "elem_id", "type")
+
+
 @query(_with(LINE, select="SELECT drawing_id, count(*) FILTER (wall) AS n_wall, count(*) FILTER (NOT wall) AS n_background, min(100 * i + CASE WHEN gap THEN 10 ELSE 0 END) AS x0, max(100 * i + 100) AS x1 FROM line GROUP BY drawing_id"))
 def drawing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of types and extents of each drawing."""
