@@ -126,21 +126,6 @@ def concave_points(ring: Column) -> Column:
     return F.transform(F.filter(turned, reflex), lambda t: t["b"])
 
 
-def is_box(ring: Column) -> Column:
-    """Whether a ring is an axis-parallel rectangle, as most rooms are."""
-    a, b, c, d = (F.get(ring, F.lit(i)) for i in range(4))
-    one = (a["y"] == b["y"]) & (b["x"] == c["x"]) & (c["y"] == d["y"]) & (d["x"] == a["x"])
-    two = (a["x"] == b["x"]) & (b["y"] == c["y"]) & (c["x"] == d["x"]) & (d["y"] == a["y"])
-    return F.coalesce((F.size(ring) == 4) & (one | two), F.lit(False))
-
-
-def box_of(ring: Column) -> Column:
-    """:func:`bounds` of a ring that is a box, from two of its corners."""
-    a, c = F.get(ring, F.lit(0)), F.get(ring, F.lit(2))
-    least, most = (lambda k: F.least(a[k], c[k])), (lambda k: F.greatest(a[k], c[k]))
-    return F.struct(least("x").alias("x0"), least("y").alias("y0"), most("x").alias("x1"), most("y").alias("y1"))
-
-
 def without_repeats(ring: Column) -> Column:
     """The ring without corners that equal the next one."""
     pairs = _edges(ring, lambda p, q: F.struct(p.alias("p"), q.alias("q")))

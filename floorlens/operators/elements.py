@@ -13,7 +13,7 @@ from ..functions.vocab import BACKGROUND, BOUNDARY_LABELS, LABELS, OPENING_LABEL
 from .graph import by_drawing
 from .graph import components as connected
 from .spatial import box_join, boxed
-from .topology import as_points, boxes_first, lazy_udf, polygon_udf, ring_udf
+from .topology import as_points, lazy_udf, polygon_udf, ring_udf
 
 
 def label_of(semantic: Column, instance: Column) -> Column:
@@ -252,46 +252,11 @@ def mesh(points: DataFrame) -> DataFrame:
 #: Least area (mm2), inset (mm), short side (mm), compactness and solidity of a plausible room.
 ROOM_LIMITS = (2e6, 250.0, 600.0, 0.08, 0.25)
 
-_rectangle = "struct<area:double,long:double,short:double>"
-_rectangle_of = ring_udf(lambda r: dict(zip(("area", "long", "short"), K.min_rectangle(r), strict=True)), _rectangle)
-_inset_left = polygon_udf(lambda rings: K.survives_inset(rings, ROOM_LIMITS[1]), "boolean")
-_hull_area = ring_udf(lambda r: abs(K.ring_area(K.hull(r))) if len(r) > 2 else 0.0, "double")
-_clear_width = ring_udf(K.clear_width, "double")
-
-
-def _sides(box: Column) -> tuple[Column, Column]:
-    return box["x1"] - box["x0"], box["y1"] - box["y0"]
-
-
-def rectangle_of(ring) -> Column:
-    """area, long and short side of the smallest rectangle, at any angle, around a ring."""
-
-    def of_box(box: Column) -> Column:
-        w, h = _sides(box)
-        return F.struct((w * h).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short")).cast(_rectangle)
-
-    return boxes_first(of_box, _rectangle_of, ring)
-
-
-def clear_width(ring) -> Column:
-    """Least distance of two sides of a ring that do not touch."""
-    return boxes_first(lambda box: F.least(*_sides(box)), _clear_width, ring)
-
-
-def hull_area(ring) -> Column:
-    return boxes_first(lambda box: _sides(box)[0] * _sides(box)[1], _hull_area, ring)
-
-
-def inset_left(ring) -> Column:
-    """Whether something is left of a ring's area when it is shrunk by ROOM_LIMITS' inset."""
-    return polygon_inset_left(polygons.parts(F.col(ring) if isinstance(ring, str) else ring))
-
-
-def polygon_inset_left(polygon: Column) -> Column:
-    """:func:`inset_left` of a polygon of one part, which shrinks from its holes as well."""
-    ring = F.get(polygon, F.lit(0))["outer"]
-    plain = (F.size(polygons.holes(polygon)) == 0) & G.is_box(ring)
-    return F.when(plain, F.least(*_sides(G.box_of(ring))) > 2 * ROOM_LIMITS[1]).otherwise(_inset_left(F.when(~plain, polygon)))
+rectangle_of = ring_udf(lambda r: dict(zip(("area", "long", "short"), K.min_rectangle(r), strict=True)), "struct<area:double,long:double,short:double>")
+inset_left = ring_udf(lambda r: K.survives_inset(r, ROOM_LIMITS[1]), "boolean")
+polygon_inset_left = polygon_udf(lambda rings: K.survives_inset(rings, ROOM_LIMITS[1]), "boolean")
+hull_area = ring_udf(lambda r: abs(K.ring_area(K.hull(r))) if len(r) > 2 else 0.0, "double")
+clear_width = ring_udf(K.clear_width, "double")
 
 
 def plausible_rooms(faces: DataFrame) -> DataFrame:
@@ -303,7 +268,7 @@ def plausible_rooms(faces: DataFrame) -> DataFrame:
     whole = polygons.parts(F.col("ring"), F.col("holes") if "holes" in faces.columns else None)
     held = faces.withColumn("polygon", whole).withColumns({"area": polygons.area(F.col("polygon")), "around": polygons.perimeter(F.col("polygon"))})
     kept = held.where((F.col("area") >= least_area) & (4 * F.pi() * F.col("area") >= compact * F.pow("around", 2)))
-    kept = kept.where(rectangle_of("ring")["short"] >= short).where(F.col("area") >= solid * hull_area("ring")).where(polygon_inset_left(F.col("polygon")))
+    kept = kept.where(rectangle_of("ring")["short"] >= short).where(F.col("area") >= solid * hull_area("ring")).where(polygon_inset_left("polygon"))
     number = F.row_number().over(Window.partitionBy("drawing_id").orderBy("face"))
     return kept.withColumn("ord", number).select("drawing_id", F.format_string("Space_%03d", "ord").alias("room_id"), "ord", "ring", "polygon", "area")
 
