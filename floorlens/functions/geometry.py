@@ -206,9 +206,6 @@ def path_points(d: Column) -> Column:
     return F.when(d.rlike(r"[zZ]\s*$"), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
 
 
-_AFFINE = "struct<a:double,b:double,c:double,d:double,e:double,f:double>"
-
-
 def _matrix(*six: Column) -> Column:
     return F.struct(*(v.cast("double").alias(n) for v, n in zip(six, "abcdef", strict=True)))
 

@@ -40,10 +40,3 @@ def nearest(pairs: DataFrame, by: list[str], order: list[Column], k: int) -> Dat
     """The first k rows of each group, with their ``rank``."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def box_distance(a: Column, b: Column) -> Column:
-    """Distance of two axis-parallel boxes, 0 if they touch."""
-    dx = F.greatest(a["x0"] - b["x1"], b["x0"] - a["x1"], F.lit(0.0))
-    dy = F.greatest(a["y0"] - b["y1"], b["y0"] - a["y1"], F.lit(0.0))
-    return F.hypot(dx, dy)

@@ -104,4 +104,6 @@ def write_graphs(documents: DataFrame, path: str) -> None:
 
 
 def write_table_csv(table: DataFrame, path: str) -> None:
-    table.write.option("header", True).csv(path)
+    """CSV files with a header, each begun by a byte-order mark, by which spreadsheets know UTF-8."""
+    first = table.columns[0]
+    table.withColumnRenamed(first, "\ufeff" + first).write.option("header", True).csv(path)

@@ -124,6 +124,16 @@ def test_graphs_keep_holes(spark, tmp_path):
     assert len(node["ring"]) == 4 and len(node["polygon"]) == 1 and len(node["polygon"][0]["holes"]) == 1
 
 
+def test_graphs_and_tables_are_written(spark, tmp_path):
+    documents = spark.createDataFrame([(1, '{"@graph":[{"@id":"inst:é","@type":"bot:Space"}]}'), (2, '{"@graph":[]}')], "drawing_id long, json string")
+    jsonld.write_graphs(documents, str(tmp_path / "graphs"))
+    (one,) = (tmp_path / "graphs" / "drawing_id=1").glob("part-*")
+    assert one.read_text(encoding="utf-8").strip() == documents.where("drawing_id = 1").first()["json"]
+    jsonld.write_table_csv(spark.createDataFrame([("客厅", 3)], "label string, n int").coalesce(1), str(tmp_path / "csv"))
+    (table,) = (tmp_path / "csv").glob("part-*.csv")
+    assert table.read_bytes().startswith(b"\xef\xbb\xbf") and table.read_text(encoding="utf-8-sig").splitlines() == ["label,n", "客厅,3"]
+
+
 # ------------------------------------------------------------- rule files
 
 
