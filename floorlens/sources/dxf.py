@@ -276,16 +276,6 @@ def annotated(entities: DataFrame) -> DataFrame:
     return held.select("drawing", "ord", thing.alias("thing"), F.coalesce(room, facility).alias("type"), ring.alias("ring")).where(F.col("thing").isNotNull())
 
 
-def sound_rings(things: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Annotated rooms and facilities by their ring, without repeated corners: those that bound one area, and those set aside.
-
-    Rings that cross, touch or fold onto themselves, or have fewer than three corners, are set aside.
-    """
-    held = things.withColumn("ring", G.without_repeats(F.col("ring")))
-    sound = F.coalesce(G.is_simple(F.col("ring")), F.lit(False))
-    return held.where(sound), held.where(~sound)
-
-
 def mended_rings(things: DataFrame) -> DataFrame:
     """Annotated things with ``polygon`` (parts with holes), ``ring`` (its largest part's outer ring) and ``state``.
 
