@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import kernel as K
 from ..functions import planar, polygons
 from ..functions.vocab import BACKGROUND, BOUNDARY_LABELS, LABELS, OPENING_LABELS, STOP_TEXT, TEXT_LABEL, WINDOW_LABELS
-from .graph import by_drawing
+from .graph import by_drawing, drawings
 from .graph import components as connected
 from .spatial import box_join, boxed
 from .topology import as_points, lazy_udf, polygon_udf, ring_udf
@@ -222,8 +222,8 @@ def room_faces(segments: DataFrame) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
         rows = []
-        for drawing, group in frame.groupby("drawing_id", sort=True):
-            lines = K.node_lines([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in zip(group["x0"], group["y0"], group["x1"], group["y1"], strict=True)])
+        for drawing, walls_ in drawings(frame, "x0", "y0", "x1", "y1"):
+            lines = K.node_lines([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in walls_])
             rows += [(drawing, i, points(ring), [points(h) for h in holes]) for i, (ring, holes) in enumerate(planar.faces(lines))]
         return pd.DataFrame(rows, columns=["drawing_id", "face", "ring", "holes"])
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 
 def undirected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Each edge once, ends in order, loops dropped."""
@@ -26,6 +28,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return one.unionByName(edges.select("drawing_id", F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
 
 
+def drawings(frame: pd.DataFrame, *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each drawing as tuples of the columns, from a frame in which a drawing's rows stand together."""
+    if not len(frame):
+        return
+    ids = frame["drawing_id"].to_numpy()
+    rows = list(zip(*(frame[c].tolist() for c in columns), strict=True))
+    edges = [0, *((ids[1:] != ids[:-1]).nonzero()[0] + 1).tolist(), len(ids)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield ids[a].item(), rows[a:b]
+
+
 def by_drawing(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` applied to frames of whole drawings, many at a time. A drawing is never cut."""
 
@@ -44,7 +57,7 @@ def by_drawing(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], sc
         if held:
             yield work(pd.concat(held, ignore_index=True))
 
-    return rows.repartition("drawing_id").sortWithinPartitions("drawing_id").mapInPandas(run, schema)
+    return spread(rows, "drawing_id").sortWithinPartitions("drawing_id").mapInPandas(run, schema)
 
 
 def _neighbours(d: list, u: list, v: list) -> dict[tuple, list]:

@@ -26,6 +26,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/floorlens/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by the keys to four tasks a core, for work in Python and on long expressions.
+
+    A table of few bytes is otherwise read, and after a shuffle put together again, by a task or two, however
+    long its rows take.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back, which cuts the lineage."""
     path = fresh_path(df.sparkSession, label)

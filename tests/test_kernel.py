@@ -125,3 +125,10 @@ def test_settings_and_their_override(tmp_path, monkeypatch):
     assert Settings(tmp_path / "s.json").get("runtime", "mode") == "ALL"
     with pytest.raises(FileNotFoundError):
         Settings(tmp_path / "none.toml")
+
+
+def test_whole_crossings_stay_integers():
+    lattice = [((0, y), (40, y)) for y in (0, 20, 40)] + [((x, 0), (x, 40)) for x in (0, 20, 40)]
+    noded = K.node_lines(lattice)
+    assert len(noded) == 12 and all(type(v) is int for s in noded for p in s for v in p)
+    assert K.node_lines([((0, 0), (1, 1)), ((0, 1), (1, 0))])[0][1] == (0.5, 0.5)
