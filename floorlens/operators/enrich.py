@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kernel as K
 from ..functions.vocab import DEFAULT_TEXTS, EXTERIOR_ID, PRIVATE_SEEDS, PUBLIC_BLOCKERS, PUBLIC_SEEDS, UNKNOWN
+from ..sources.shared import spread
 from .elements import clear_width, rectangle_of
 from .graph import both_ways, components, has_any, hops
-from .topology import points_in_rooms
+from .topology import as_points, flat, points_in_rooms, ring_distance
 
 #: Areas in square metres that count as large and tiny where priors ask for them.
 LARGE, TINY = 20.0, 2.0
@@ -238,16 +239,15 @@ def decompose(rooms: DataFrame) -> DataFrame:
 
     @F.pandas_udf(kind)
     def parts(rings: pd.Series, anchors: pd.Series) -> pd.Series:
-        from .topology import as_points
-
         out = []
         for r, a in zip(rings, anchors, strict=True):
             found = K.convex_parts(as_points(r), as_points(a) if a is not None else None)
-            out.append([[{"x": float(x), "y": float(y)} for x, y in p] for p in found])
+            out.append([[{"x": x, "y": y} for x, y in p.tolist()] for p in found])
         return pd.Series(out)
 
+    # Else the filter that Spark infers from the explode (not null, not empty) would cut all rooms once more, before they are dealt.
     points = F.transform(F.coalesce("anchors", F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")), lambda a: G.point(a["x"], a["y"]))
-    cut = rooms.where(is_composite(F.col("types"))).withColumn("parts", parts("ring", points))
+    cut = spread(rooms.where(is_composite(F.col("types"))), "drawing_id", "room_id").withColumn("parts", parts.asNondeterministic()(flat(F.col("ring")), flat(points)))
     one = F.size("parts") < 2
     each = cut.select("drawing_id", "room_id", "types", "anchors", one.alias("one"), F.posexplode("parts").alias("part", "ring"))
     inside = F.filter("anchors", lambda a: G.contains(F.col("ring"), a["x"].cast("double"), a["y"].cast("double")))
@@ -258,8 +258,6 @@ def decompose(rooms: DataFrame) -> DataFrame:
 
 def rehome_doors(doors: DataFrame, subs: DataFrame) -> DataFrame:
     """For each door end at a divided room (drawing_id, uid, room_id, ring) the nearest part, the first on ties."""
-    from .topology import ring_distance
-
     parts = subs.select("drawing_id", "room_id", "sub_id", "ord", F.col("ring").alias("part"))
     near = doors.join(parts, ["drawing_id", "room_id"]).withColumn("distance", ring_distance("ring", "part"))
     return near.groupBy("drawing_id", "uid", "room_id").agg(F.min_by("sub_id", F.struct("distance", "ord")).alias("sub_id"))

@@ -200,3 +200,13 @@ def test_entry_registers_every_oracle():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert os.path.isdir(SF)
+
+
+def test_rooms_are_cut_once_and_by_all_tasks(spark):
+    p = lambda x, y: G.point(F.lit(x), F.lit(y))
+    ring = F.array(p(0, 0), p(4, 0), p(4, 2), p(2, 2), p(2, 4), p(0, 4))
+    rooms = spark.range(100, numPartitions=1).select(F.col("id").alias("drawing_id"), F.lit("A").alias("room_id"), ring.alias("ring"), F.array(F.lit("Bedroom"), F.lit("LivingRoom")).alias("types"), F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>").alias("anchors"))
+    parts = enrich.decompose(rooms)
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("parts(") == 1
+    assert parts.select(F.spark_partition_id()).distinct().count() > 1
+    assert parts.count() == 200
