@@ -127,6 +127,38 @@ def polygon_udf(function, kind: str):
     return call
 
 
+def region_udf(alone, together, kind: str):
+    """A pandas UDF of a kernel function of two polygons: ``together`` for many whose rings have equally many points,
+    ``alone`` for those with a ring without points; null where one is null."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out: list[float | None] = [None] * len(a)
+        by: dict[tuple, list[int]] = {}
+        one, two = ([None if x is None else as_rings(x) for x in side] for side in (a, b))
+        for i, (r, s) in enumerate(zip(one, two, strict=True)):
+            if r is None or s is None:
+                continue
+            sizes = tuple(map(len, r)), tuple(map(len, s))
+            if all(n and min(n) > 0 and sum(n) > 2 for n in sizes):
+                by.setdefault(sizes, []).append(i)
+            else:
+                out[i] = alone(r, s)
+        for (rings, others), at in by.items():
+            # as many pairs at once as have some million pairs of sides
+            step = max(1, 500_000 // (sum(rings) * sum(others)))
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                found = together(np.stack([np.concatenate(one[i]) for i in some]), rings, np.stack([np.concatenate(two[i]) for i in some]), others)
+                for i, x in zip(some, found.tolist(), strict=True):
+                    out[i] = x
+        return pd.Series(out, dtype="Float64")
+
+    def call(*columns):
+        return pandas_udf(run, kind)(*(flat_rings(F.col(c) if isinstance(c, str) else c) for c in columns))
+
+    return call
+
+
 def _mended(a: pd.Series) -> pd.Series:
     points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
 
@@ -141,8 +173,8 @@ def _mended(a: pd.Series) -> pd.Series:
 
 #: The areas of a ring that crosses, touches or folds onto itself; null for a null ring.
 mended = lazy_udf(_mended, polygons.PARTS)
-polygon_distance = polygon_udf(K.region_distance, "double")
-polygon_common_area = polygon_udf(K.common_region_area, "double")
+polygon_distance = region_udf(K.region_distance, K.region_distances, "double")
+polygon_common_area = region_udf(K.common_region_area, K.common_region_areas, "double")
 shared_length = pair_udf(K.shared_length, "double")
 ring_distance = lazy_udf(_distances, "double")
 common_area = lazy_udf(_common_areas, "double")

@@ -22,7 +22,7 @@ from ..operators import graph, rules, shapes
 from ..operators import mesh as M
 from ..operators import topology as P
 from ..sources import dxf, files, jsonld, predictions, svg
-from ..sources.shared import fresh_path, materialise
+from ..sources.shared import fresh_path, materialise, spread
 from ..streaming.drawings import process_pieces
 from . import derived as D
 
@@ -506,7 +506,7 @@ def courtyard_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a box over the courtyard's edge shares with the room, and how far a post in the yard stands from it."""
     d = F.col("event_id") % 5
     box = lambda x, y, w: polygons.parts(G.rectangle(x, y, x + w, y + w))
-    r = yards(spark, sf_dir).withColumns({"over": box(F.col("x0") + 1000 + 100 * d, F.col("y0") + 1000, 1500), "post": box(F.col("x0") + 900 + 50 * d, F.col("y0") + 900, 200)})
+    r = spread(yards(spark, sf_dir), "drawing_id", "room_id").withColumns({"over": box(F.col("x0") + 1000 + 100 * d, F.col("y0") + 1000, 1500), "post": box(F.col("x0") + 900 + 50 * d, F.col("y0") + 900, 200)})
     return r.select("drawing_id", "room_id", whole(P.polygon_common_area("polygon", "over")).alias("common"), whole(P.polygon_distance("polygon", "post")).alias("apart"))
 
 

@@ -132,3 +132,20 @@ def test_whole_crossings_stay_integers():
     noded = K.node_lines(lattice)
     assert len(noded) == 12 and all(type(v) is int for s in noded for p in s for v in p)
     assert K.node_lines([((0, 0), (1, 1)), ((0, 1), (1, 0))])[0][1] == (0.5, 0.5)
+
+
+def test_many_polygons_share_and_stand_apart_as_one_by_one():
+    rng = np.random.default_rng(7)
+    sizes, others = (4, 3), (5,)
+
+    def rings(kind):
+        out = []
+        for k in kind:
+            turn = np.sort(rng.random(k) * 2 * math.pi)
+            out.append(np.round((np.stack([np.cos(turn), np.sin(turn)], 1) * rng.uniform(2, 20, (k, 1)) + rng.random(2) * 30) / 2) * 2)
+        return out
+
+    one, two = [rings(sizes) for _ in range(200)], [rings(others) for _ in range(200)]
+    r, s = np.stack([np.concatenate(x) for x in one]), np.stack([np.concatenate(x) for x in two])
+    assert K.common_region_areas(r, sizes, s, others) == pytest.approx([K.common_region_area(a, b) for a, b in zip(one, two, strict=True)])
+    assert K.region_distances(r, sizes, s, others) == pytest.approx([K.region_distance(a, b) for a, b in zip(one, two, strict=True)])
