@@ -108,10 +108,15 @@ def skewed_left_join(rows: DataFrame, known: DataFrame, keys: list[str], *, broa
     if broadcast_rows and known.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return rows.join(F.broadcast(known.drop("__rows")), keys, "left")
     total = known.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]
-    hot = F.broadcast(known.where(F.col("__rows") * HOT > total).drop("__rows"))
+    hot = known.where(F.col("__rows") * HOT > total).drop("__rows")
     others = known.where(F.col("__rows") * HOT <= total).drop("__rows")
-    rest = rows.join(hot.select(*keys), keys, "left_anti").join(others, keys, "left")
-    return rows.join(hot, keys).unionByName(rest)
+    # fewer than HOT keys: the rows are told apart by a list of them, in place of joins that leave most rows as they are
+    kinds = {k: known.schema[k].dataType for k in keys}
+    listed = [F.struct(*(F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys)) for r in hot.select(*keys).collect()]
+    if not listed:
+        return rows.join(others, keys, "left")
+    among = F.struct(*(F.col(k).cast(kinds[k]).alias(k) for k in keys)).isin(*listed)
+    return rows.where(among).join(F.broadcast(hot), keys).unionByName(rows.where(~among).join(others, keys, "left"))
 
 
 def null_key(col: str):

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from floorlens.llm import decontam, graph, html, language, licenses, mixing, neardup, quality, secrets, tokens, warc
+from floorlens.llm import common, decontam, graph, html, language, licenses, mixing, neardup, quality, secrets, tokens, warc
 from floorlens.llm import textkernel as tk
 from floorlens.llm.queries import ORACLES, default_tokenizer
 
@@ -1039,3 +1039,12 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     assert None not in kept["quality rules"]  # 30 words
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r["n_tokens"] for r in rows) == max(r["start"] + r["n_tokens"] for r in rows)
+
+
+def test_rows_of_frequent_keys_are_told_apart_without_a_join(spark):
+    rows = spark.sql("SELECT id % 3 = 0 AS a, IF(id % 2 = 0, 7, id) AS k, id FROM range(4000)")
+    known = rows.groupBy("a", "k").agg(F.count(F.lit(1)).alias("__rows"), F.max("id").alias("most"))
+    found = common.skewed_left_join(rows, known.where("k <> 9"), ["a", "k"])
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = rows.join(known.where("k <> 9").drop("__rows"), ["a", "k"], "left")
+    assert sorted(map(tuple, found.select("id", "most").collect())) == sorted(map(tuple, expected.select("id", "most").collect()))
