@@ -7,8 +7,6 @@ kernel (in Arrow batches) where they cannot.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,14 +56,14 @@ def pair_udf(function, kind: str):
 
 def stacks(a: pd.Series, b: pd.Series):
     """Pairs of rings by their numbers of points: (places, first rings (n, k, 2), second rings (n, m, 2))."""
-    one, two = ([None if x is None else as_points(x) for x in side] for side in (a, b))
+    one, two = ([None if x is None else as_points(x) if x.dtype == object else x for x in side] for side in (a, b))
     by: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(one, two, strict=True)):
         if x is not None and y is not None:
-            by.setdefault((len(x), len(y)), []).append(i)
+            by.setdefault((x.size, y.size), []).append(i)
     for (k, m), at in by.items():
         if k and m:
-            yield np.array(at), np.stack([one[i] for i in at]), np.stack([two[i] for i in at])
+            yield np.array(at), *(np.concatenate([side[i] for i in at], axis=None).reshape(len(at), -1, 2) for side in (one, two))
 
 
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -86,6 +84,46 @@ def _common_areas(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _shared_lengths(a: pd.Series, b: pd.Series, tolerance: float = 0.0) -> pd.Series:
+    out = np.zeros(len(a))
+    for at, r, s in stacks(a, b):
+        out[at] = K.shared_lengths(r, s, tolerance)
+    return pd.Series(out)
+
+
+def shared_within(tolerance: float):
+    """A pandas UDF of the length of the boundary that two rings share, walls up to the tolerance apart."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _shared_lengths(a, b, tolerance)
+
+    return lazy_udf(run, "double")
+
+
+def measured(function, *names: str):
+    """A pandas UDF of a kernel function of many rings with equally many points (n, k, 2), which gives a number for
+    each, or a row of the named ones; null for null."""
+
+    def table(a: pd.Series) -> np.ndarray:
+        out = np.full((len(a), len(names) or 1), np.nan)
+        rings = [None if x is None else as_points(x) for x in a]
+        by: dict[int, list[int]] = {}
+        for i, x in enumerate(rings):
+            if x is not None and len(x):
+                by.setdefault(len(x), []).append(i)
+        for at in by.values():
+            out[at] = np.reshape(function(np.stack([rings[i] for i in at])), (len(at), -1))
+        return out
+
+    def number(a: pd.Series) -> pd.Series:
+        return pd.Series(table(a)[:, 0])
+
+    def row(a: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(table(a), columns=list(names))
+
+    return lazy_udf(row, f"struct<{','.join(f'{n}:double' for n in names)}>") if names else lazy_udf(number, "double")
+
+
 def ring_udf(function, kind: str):
     """A pandas UDF of a kernel function of one ring; null for null."""
 
@@ -175,7 +213,7 @@ def _mended(a: pd.Series) -> pd.Series:
 mended = lazy_udf(_mended, polygons.PARTS)
 polygon_distance = region_udf(K.region_distance, K.region_distances, "double")
 polygon_common_area = region_udf(K.common_region_area, K.common_region_areas, "double")
-shared_length = pair_udf(K.shared_length, "double")
+shared_length = shared_within(0.0)
 ring_distance = lazy_udf(_distances, "double")
 common_area = lazy_udf(_common_areas, "double")
 
@@ -276,8 +314,7 @@ def touching_rooms(rooms: DataFrame, *, min_shared: float | None = None, toleran
     pairs = box_join(a, b).where("a_ord < b_ord")
     if min_shared is None:
         pairs = pairs.where(ring_distance("a_ring", "b_ring") <= tolerance)
-    common = shared_length if tolerance == 0 else pair_udf(partial(K.shared_length, tolerance=tolerance), "double")
-    pairs = pairs.withColumn("shared", common("a_ring", "b_ring"))
+    pairs = pairs.withColumn("shared", shared_within(tolerance)("a_ring", "b_ring"))
     if min_shared is not None:
         pairs = pairs.where(F.col("shared") > min_shared)
     return pairs.select("drawing_id", "u", "v", "shared")

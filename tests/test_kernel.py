@@ -149,3 +149,17 @@ def test_many_polygons_share_and_stand_apart_as_one_by_one():
     r, s = np.stack([np.concatenate(x) for x in one]), np.stack([np.concatenate(x) for x in two])
     assert K.common_region_areas(r, sizes, s, others) == pytest.approx([K.common_region_area(a, b) for a, b in zip(one, two, strict=True)])
     assert K.region_distances(r, sizes, s, others) == pytest.approx([K.region_distance(a, b) for a, b in zip(one, two, strict=True)])
+
+
+def test_shared_lengths_and_widths_of_many_rings_are_those_of_each():
+    rng = np.random.default_rng(7)
+    for k, m in ((4, 4), (4, 6), (6, 6), (3, 5)):
+        r, s = (rng.integers(0, 5, (60, n, 2)).astype(float) for n in (k, m))
+        if k == 4:
+            low, high = r.min(axis=1), r.max(axis=1)
+            r[:30] = np.stack([low, np.column_stack([high[:, 0], low[:, 1]]), high, np.column_stack([low[:, 0], high[:, 1]])], axis=1)[:30]
+        for tolerance in (0.0, 1.0):
+            assert K.shared_lengths(r, s, tolerance) == pytest.approx([K.shared_length(a, b, tolerance) for a, b in zip(r, s, strict=True)])
+        assert K.clear_widths(r) == pytest.approx([K.clear_width(x) for x in r])
+        assert K.min_rectangles(r) == pytest.approx(np.array([K.min_rectangle(x) for x in r]))
+    assert K.shared_lengths(L[None], (L + [4000, 0])[None], 1.0) == [3200.0]
