@@ -23,6 +23,14 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it.
+
+    Spark works out anew what a lambda function names twice, and once an item what it takes from outside.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _turn(ring: Column, step: int) -> Column:
     """The ring, beginning at its second (step 1) or last (step -1) point."""
     n = F.size(ring)
@@ -116,14 +124,13 @@ def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
 def concave_points(ring: Column) -> Column:
     """Vertices with a reflex angle, whatever the orientation."""
     turned = F.zip_with(_turn(ring, -1), F.arrays_zip(ring.alias("b"), _turn(ring, 1).alias("c")), lambda a, z: F.struct(a.alias("a"), z["b"].alias("b"), z["c"].alias("c")))
-    side = F.signum(signed_area(ring))
 
-    def reflex(t: Column) -> Column:
+    def reflex(t: Column, side: Column) -> Column:
         a, b, c = t["a"], t["b"], t["c"]
         cross = (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
         return cross * side < -1e-4
 
-    return F.transform(F.filter(turned, reflex), lambda t: t["b"])
+    return once(F.signum(signed_area(ring)), lambda side: F.transform(F.filter(turned, lambda t: reflex(t, side)), lambda t: t["b"]))
 
 
 def without_repeats(ring: Column) -> Column:
@@ -147,7 +154,7 @@ def is_simple(ring: Column) -> Column:
         meets = ~apart(s, t, "x") & ~apart(s, t, "y") & (cross(a, b, c) * cross(a, b, d) <= 0) & (cross(c, d, a) * cross(c, d, b) <= 0)
         return (t["i"] > s["i"]) & F.when(beside, folds).otherwise(meets)
 
-    return (n >= 3) & ~F.exists(sides, lambda s: F.exists(sides, lambda t: bad(s, t)))
+    return (n >= 3) & ~once(sides, lambda all_sides: F.exists(all_sides, lambda s: F.exists(all_sides, lambda t: bad(s, t))))
 
 
 def compactness(ring: Column) -> Column:
@@ -168,7 +175,7 @@ def world_to_svg(line: Column, scale: Column, height: float = 140.0) -> Column:
 
 def affine(line: Column, m: Column) -> Column:
     """Applies struct<a,b,c,d,e,f> as in SVG: x' = a x + c y + e, y' = b x + d y + f."""
-    return F.transform(line, lambda p: point(m["a"] * p["x"] + m["c"] * p["y"] + m["e"], m["b"] * p["x"] + m["d"] * p["y"] + m["f"]))
+    return once(m, lambda m: F.transform(line, lambda p: point(m["a"] * p["x"] + m["c"] * p["y"] + m["e"], m["b"] * p["x"] + m["d"] * p["y"] + m["f"])))
 
 
 def drop_close(line: Column, tolerance: float = 1e-4) -> Column:
@@ -202,8 +209,8 @@ def circle_points(cx: Column, cy: Column, rx: Column, ry: Column, n: int = 20) -
 def path_points(d: Column) -> Column:
     """Points of an SVG path of absolute M, L and Z commands, each subpath's end joined to its start by Z."""
     pairs = F.regexp_extract_all(d, F.lit(r"(-?[0-9.]+(?:[eE][-+]?\d+)?)[ ,]+(-?[0-9.]+(?:[eE][-+]?\d+)?)"), F.lit(0))
-    points = F.transform(pairs, lambda s: point(F.element_at(F.split(s, "[ ,]+"), 1), F.element_at(F.split(s, "[ ,]+"), 2)))
-    return F.when(d.rlike(r"[zZ]\s*$"), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    points = F.transform(F.transform(pairs, lambda s: F.split(s, "[ ,]+")), lambda v: point(F.element_at(v, 1), F.element_at(v, 2)))
+    return once(points, lambda p: F.when(d.rlike(r"[zZ]\s*$"), F.concat(p, F.slice(p, 1, 1))).otherwise(p))
 
 
 def _matrix(*six: Column) -> Column:
@@ -215,8 +222,10 @@ def transform_matrix(text: Column) -> Column:
     calls = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:matrix|translate|scale|rotate)\s*\([^)]*\)"), F.lit(0))
 
     def one(call: Column) -> Column:
-        kind = F.regexp_extract(call, r"^(\w+)", 1)
-        v = F.transform(F.regexp_extract_all(call, F.lit(r"-?\d*\.?\d+(?:[eE][-+]?\d+)?"), F.lit(0)), lambda s: s.cast("double"))
+        numbers = F.transform(F.regexp_extract_all(call, F.lit(r"-?\d*\.?\d+(?:[eE][-+]?\d+)?"), F.lit(0)), lambda s: s.cast("double"))
+        return once(numbers, lambda v: once(F.regexp_extract(call, r"^(\w+)", 1), lambda kind: matrix(kind, v)))
+
+    def matrix(kind: Column, v: Column) -> Column:
         get = lambda i, default: F.coalesce(F.get(v, F.lit(i)), default)
         zero, unit = F.lit(0.0), F.lit(1.0)
         angle, cx, cy = F.radians(get(0, zero)), get(1, zero), get(2, zero)

@@ -99,19 +99,24 @@ def from_wkt(text: Column) -> Column:
 
     An empty one has no parts; anything else, and a text with a coordinate that is no number, is null.
     """
-    body = F.regexp_extract(text, r"(?is)^\s*(?:SRID=\d+;\s*|<[^>]*>\s*)?(?:MULTI)?POLYGON\s*(?:ZM?|M)?\s*(\(.*\)|EMPTY)\s*$", 1)
-    bare = F.regexp_replace(F.regexp_replace(body, r"^[\s(]+", ""), r"[\s)]+$", "")
+    whole = F.regexp_extract(text, r"(?is)^\s*(?:SRID=\d+;\s*|<[^>]*>\s*)?(?:MULTI)?POLYGON\s*(?:ZM?|M)?\s*(\(.*\)|EMPTY)\s*$", 1)
 
-    def read_ring(s: Column) -> Column:
-        points = F.transform(F.split(s, ","), lambda c: F.split(F.trim(c), r"\s+"))
-        ring = F.transform(points, lambda v: G.point(F.get(v, F.lit(0)).try_cast("double"), F.get(v, F.lit(1)).try_cast("double")))
+    def opened(ring: Column) -> Column:
         closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
         return F.when(closed, F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(1)))).otherwise(ring)
 
+    def read_ring(s: Column) -> Column:
+        points = F.transform(F.split(s, ","), lambda c: F.split(F.trim(c), r"\s+"))
+        return G.once(F.transform(points, lambda v: G.point(F.get(v, F.lit(0)).try_cast("double"), F.get(v, F.lit(1)).try_cast("double"))), opened)
+
     def read_part(s: Column) -> Column:
         found = F.transform(F.split(s, r"\)\s*,\s*\("), read_ring)
-        return F.struct(F.get(found, F.lit(0)).alias("outer"), F.slice(found, F.lit(2), F.size(found)).alias("holes"))
+        return G.once(found, lambda r: F.struct(F.get(r, F.lit(0)).alias("outer"), F.slice(r, F.lit(2), F.size(r)).alias("holes")))
+
+    def read(body: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(body, r"^[\s(]+", ""), r"[\s)]+$", "")
+        found = F.transform(F.split(bare, r"\)\s*\)\s*,\s*\(\s*\("), read_part)
+        sound = lambda f: F.coalesce(~F.exists(rings(f), lambda r: F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull())), F.lit(False))
+        return F.when(F.upper(body) == "EMPTY", F.array().cast(PARTS)).when(body != "", G.once(found, lambda f: F.when(sound(f), f)))
 
-    found = F.transform(F.split(bare, r"\)\s*\)\s*,\s*\(\s*\("), read_part)
-    sound = ~F.exists(rings(found), lambda r: F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull()))
-    return F.when(F.upper(body) == "EMPTY", F.array().cast(PARTS)).when((body != "") & F.coalesce(sound, F.lit(False)), found)
+    return G.once(whole, read)

@@ -145,7 +145,7 @@ L_ROOM = "l AS (SELECT *, (x0 + x1) // 2 AS xm, (2 * y0 + y1) // 3 AS ym FROM ro
 def l_room_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.col("ring")
     c = G.concave_points(ring)
-    return l_rooms(spark, sf_dir).select("drawing_id", "room_id", whole(G.area(ring)).alias("area"), F.size(c).cast("bigint").alias("n_concave"), whole(F.element_at(c, 1)["x"]).alias("cx"), whole(F.element_at(c, 1)["y"]).alias("cy"), whole(E.clear_width("ring")).alias("clear_mm"))
+    return spread(l_rooms(spark, sf_dir), "drawing_id", "room_id").select("drawing_id", "room_id", whole(G.area(ring)).alias("area"), F.size(c).cast("bigint").alias("n_concave"), whole(F.element_at(c, 1)["x"]).alias("cx"), whole(F.element_at(c, 1)["y"]).alias("cy"), whole(E.clear_width("ring")).alias("clear_mm"))
 
 
 @query(_with(ROOM, L_ROOM, select="""SELECT drawing_id, room_id, CAST(2 AS BIGINT) AS n_parts, (x1 - x0) * (ym - y0) + (xm - x0) * (y1 - ym) AS area,
@@ -262,7 +262,7 @@ def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_with(ROOM, select="SELECT drawing_id, room_id, CAST(5 AS BIGINT) AS n_points, 10 * x0 AS wx, 10 * (140000 - y0) AS wy, 2 * x1 + 7 AS tx, 2 * y1 - 3 AS ty FROM room"))
 def svg_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.format_string("M %d %d L %d %d L %d,%d L %d %d Z", "x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")
-    r = D.rooms(spark, sf_dir).withColumn("p", G.path_points(d))
+    r = spread(D.rooms(spark, sf_dir), "drawing_id", "room_id").withColumn("p", G.path_points(d))
     w = F.element_at(G.svg_to_world(F.col("p"), F.lit(0.1), 140000.0), 1)
     t = F.element_at(G.affine(F.col("p"), G.transform_matrix(F.lit("translate(7,-3) scale(2)"))), 3)
     return r.select("drawing_id", "room_id", F.size("p").cast("bigint").alias("n_points"), whole(w["x"]).alias("wx"), whole(w["y"]).alias("wy"), whole(t["x"]).alias("tx"), whole(t["y"]).alias("ty"))
@@ -490,7 +490,7 @@ def yards(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN two THEN 'MULTIPOLYGON (' || one || ', ' || more || ')' ELSE 'POLYGON ' || one END AS wkt FROM wkt"""))
 def courtyard_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area, boundary, points and texts of polygons with holes and two parts; areas are those of the text read back."""
-    r = yards(spark, sf_dir).withColumn("wkt", polygons.to_wkt(F.col("polygon"))).withColumn("back", polygons.from_wkt(F.col("wkt")))
+    r = spread(yards(spark, sf_dir), "drawing_id", "room_id").withColumn("wkt", polygons.to_wkt(F.col("polygon"))).withColumn("back", polygons.from_wkt(F.col("wkt")))
     p = F.col("back")
     at = lambda f, x, y: f(p, F.expr(x), F.expr(y))
     yard, second = ("x0 + 1000", "y0 + 1000"), ("x1 + 200", "y0 + 200")
@@ -723,7 +723,7 @@ def graph_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_partkey - 2 * 3 AS x, 3 * p_size + 5 AS y FROM part")
 def svg_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transform attribute of three calls, applied to the point (p_size, 3)."""
-    p = D.table(spark, sf_dir, "part")
+    p = spread(D.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     text = F.concat(F.lit("translate("), F.col("p_partkey").cast("string"), F.lit(" 5) scale(2,3) matrix(0 1 -1 0 0 0)"))
     moved = F.element_at(G.affine(F.array(G.point(F.col("p_size"), F.lit(3))), G.transform_matrix(text)), 1)
     return p.select("p_partkey", whole(moved["x"]).alias("x"), whole(moved["y"]).alias("y"))
@@ -824,7 +824,7 @@ def annotated_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda x, y: G.point(F.expr(x), F.expr(y))
     a, b, c, d, pinch = p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"), p("(x0 + x1) div 2", "y0")
     kinds = F.array(F.array(a, b, b, c, d, a), F.array(a, c, b, d), F.array(a, b, pinch), F.array(a, p("x1 + 500", "y0"), b, c, d), F.array(a, b, c, pinch, d), F.array(a, b, c, d, a, b, c, d))
-    r = D.rooms(spark, sf_dir).select("drawing_id", "room_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("ring"))
+    r = spread(D.rooms(spark, sf_dir), "drawing_id", "room_id").select("drawing_id", "room_id", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")).alias("ring"))
     found = dxf.mended_rings(r)
     return found.select("drawing_id", "room_id", "state", F.size("polygon").cast("bigint").alias("n_parts"), F.when(F.col("state") != "lost", whole(polygons.area(F.col("polygon")))).alias("area"))
 

@@ -210,3 +210,17 @@ def test_rooms_are_cut_once_and_by_all_tasks(spark):
     assert parts._jdf.queryExecution().optimizedPlan().toString().count("parts(") == 1
     assert parts.select(F.spark_partition_id()).distinct().count() > 1
     assert parts.count() == 200
+
+
+def test_lambda_functions_work_a_value_out_once(spark):
+    from floorlens.functions import polygons
+
+    # As each was named inside another, a ring's points were read some thirty times, and a matrix six times a point.
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    body = polygons.from_wkt(F.col("t")).alias("p")
+    plan = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 4, 0 0))", "scale(2) translate(1,2)")], "t string, m string")
+    assert text(plan.select(body)).count("split(") == 4
+    line = F.array(*(G.point(F.lit(i), F.lit(i)) for i in range(3)))
+    moved = plan.select(G.affine(line, G.transform_matrix(F.col("m"))).alias("p"))
+    assert text(moved).count("rotate") == 1
+    assert [tuple(p) for p in moved.first()["p"]] == [(2.0, 4.0), (4.0, 6.0), (6.0, 8.0)]
