@@ -199,12 +199,17 @@ def region_udf(alone, together, kind: str):
 
 def _mended(a: pd.Series) -> pd.Series:
     points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
+    # Storeys repeat: rings that are equal, point by point, are mended once a batch.
+    known: dict[bytes, list] = {}
 
     def one(numbers) -> list | None:
         if numbers is None:
             return None
-        ring = [planar.exact(p) for p in as_points(numbers).tolist()]
-        return [{"outer": points(outer), "holes": [points(h) for h in holes]} for outer, holes in planar.mended(ring)]
+        ring = as_points(numbers)
+        same = ring.tobytes()
+        if same not in known:
+            known[same] = [{"outer": points(outer), "holes": [points(h) for h in holes]} for outer, holes in planar.mended([planar.exact(p) for p in ring.tolist()])]
+        return known[same]
 
     return pd.Series([one(x) for x in a], dtype=object)
 

@@ -163,3 +163,19 @@ def test_shared_lengths_and_widths_of_many_rings_are_those_of_each():
         assert K.clear_widths(r) == pytest.approx([K.clear_width(x) for x in r])
         assert K.min_rectangles(r) == pytest.approx(np.array([K.min_rectangle(x) for x in r]))
     assert K.shared_lengths(L[None], (L + [4000, 0])[None], 1.0) == [3200.0]
+
+
+def test_rings_that_repeat_are_mended_once_a_batch(monkeypatch):
+    import pandas as pd
+
+    from floorlens.functions import planar
+    from floorlens.operators import topology
+
+    calls = []
+    real = planar.mended
+    monkeypatch.setattr(planar, "mended", lambda ring: calls.append(ring) or real(ring))
+    crossed, flat = np.array([0, 0, 4, 4, 4, 0, 0, 4], float), np.array([0, 0, 4, 0, 2, 0], float)
+    found = topology._mended(pd.Series([crossed, flat, None, crossed, flat, crossed]))
+    assert len(calls) == 2
+    assert found[2] is None and found[1] == [] and found[0] == found[3] == found[5]
+    assert len(found[0]) == 1
