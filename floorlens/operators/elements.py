@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from ..functions import geometry as G
 from ..functions import kernel as K
 from ..functions import planar, polygons
 from ..functions.vocab import BACKGROUND, BOUNDARY_LABELS, LABELS, OPENING_LABELS, STOP_TEXT, TEXT_LABEL, WINDOW_LABELS
+from ..sources.shared import spread
 from .graph import by_drawing, drawings
 from .graph import components as connected
 from .spatial import box_join, boxed
-from .topology import as_points, lazy_udf, polygon_udf, ring_udf
+from .topology import lazy_udf, measured, polygon_udf, ring_udf, stacks
 
 
 def label_of(semantic: Column, instance: Column) -> Column:
@@ -98,66 +100,67 @@ def component_segments(components: DataFrame) -> DataFrame:
 
 def _covered_lengths(line: pd.Series, wall: pd.Series) -> pd.Series:
     """Length of a polyline within 0.1 of another one, by exact clipping of its parts to capsules."""
-    return pd.Series([covered_length(as_points(a), as_points(b), 0.1) for a, b in zip(line, wall, strict=True)])
+    out = np.zeros(len(line))
+    for at, a, b in stacks(line, wall):
+        out[at] = covered_lengths(a, b, 0.1)
+    return pd.Series(out)
 
 
-_covered = lazy_udf(_covered_lengths, "double")
+_covered = lazy_udf(_covered_lengths, "double", in_place=True)
 
 
 def covered_length(line, wall, reach: float) -> float:
     """Length of ``line`` within ``reach`` of ``wall`` (both open polylines)."""
-    import numpy as np
-
-    total = 0.0
-    for p, q in zip(line[:-1], line[1:], strict=True):
-        n = float(np.hypot(*(q - p)))
-        if n == 0:
+    return float(covered_lengths(line[None], wall[None], reach)[0])
+
+
+def covered_lengths(line: np.ndarray, wall: np.ndarray, reach: float) -> np.ndarray:
+    """Lengths of ``line`` within ``reach`` of ``wall``, of many pairs of open polylines; those of a side have equally many points (n, k, 2)."""
+    total = np.zeros(len(line))
+    for i in range(line.shape[1] - 1):
+        p, v = line[:, i], line[:, i + 1] - line[:, i]
+        n = np.hypot(v[:, 0], v[:, 1])
+        u = v / np.where(n == 0, 1.0, n)[:, None]
+        spans = [_capsules(p, u, n, wall[:, j], wall[:, j + 1], reach) for j in range(wall.shape[1] - 1)]
+        if not spans:
             continue
-        spans = []
-        for a, b in zip(wall[:-1], wall[1:], strict=True):
-            span = _capsule(p, (q - p) / n, n, a, b, reach)
-            if span:
-                spans.append(span)
-        end = 0.0
-        for lo, hi in sorted(spans):
-            lo = max(lo, end)
-            if hi > lo:
-                total += hi - lo
-                end = hi
+        lo, hi = (np.stack([s[k] for s in spans]) for k in (0, 1))
+        order = np.argsort(lo, axis=0, kind="stable")
+        lo, hi = (np.take_along_axis(x, order, axis=0) for x in (lo, hi))
+        end, found = np.zeros(len(line)), np.zeros(len(line))
+        for x, y in zip(lo, hi, strict=True):
+            x = np.maximum(x, end)
+            found += np.where(y > x, y - x, 0.0)
+            end = np.where(y > x, y, end)
+        total += np.where(n > 0, found, 0.0)
     return total
 
 
-def _capsule(p, u, n: float, a, b, reach: float) -> tuple[float, float] | None:
-    """The part of p + t u, 0 <= t <= n, within ``reach`` of the segment ab: an interval, since capsules are convex."""
-    import numpy as np
-
-    found = []
-    v = b - a
-    m = float(np.hypot(*v))
+def _capsules(p: np.ndarray, u: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The part of p + t u, 0 <= t <= n, within ``reach`` of the segment ab: an interval, since capsules are convex; empty ones end before they begin."""
+    dot = lambda x, y: x[:, 0] * y[:, 0] + x[:, 1] * y[:, 1]
+    low, high = np.full(len(p), np.inf), np.full(len(p), -np.inf)
     for c in (a, b):
         w = p - c
-        k, d = float(w @ u), float(w @ w) - reach * reach
-        if k * k - d >= 0:
-            r = (k * k - d) ** 0.5
-            found.append((-k - r, -k + r))
-    if m > 0:
-        e = v / m
-        f = np.array([-e[1], e[0]])
-        lo, hi = -np.inf, np.inf
-        for axis, low, high in ((e, 0.0, m), (f, -reach, reach)):
-            s, w = float(u @ axis), float((p - a) @ axis)
-            if abs(s) < 1e-15:
-                if not low <= w <= high:
-                    lo, hi = 1.0, 0.0
-            else:
-                x, y = sorted(((low - w) / s, (high - w) / s))
-                lo, hi = max(lo, x), min(hi, y)
-        if lo <= hi:
-            found.append((lo, hi))
-    if not found:
-        return None
-    lo, hi = max(0.0, min(x for x, _ in found)), min(n, max(y for _, y in found))
-    return (lo, hi) if hi >= lo else None
+        k = dot(w, u)
+        d = k * k - (dot(w, w) - reach * reach)
+        r = np.sqrt(np.maximum(d, 0))
+        low, high = np.where(d >= 0, np.minimum(low, -k - r), low), np.where(d >= 0, np.maximum(high, -k + r), high)
+    v = b - a
+    m = np.hypot(v[:, 0], v[:, 1])
+    e = v / np.where(m == 0, 1.0, m)[:, None]
+    lo, hi = np.full(len(p), -np.inf), np.full(len(p), np.inf)
+    for axis, least, most in ((e, 0.0, m), (np.column_stack([-e[:, 1], e[:, 0]]), -reach, reach)):
+        s, w = dot(u, axis), dot(p - a, axis)
+        flat = np.abs(s) < 1e-15
+        step = np.where(flat, 1.0, s)
+        x, y = (least - w) / step, (most - w) / step
+        out = flat & ~((least <= w) & (w <= most))
+        lo = np.where(flat, np.where(out, np.inf, lo), np.maximum(lo, np.minimum(x, y)))
+        hi = np.where(flat, np.where(out, -np.inf, hi), np.minimum(hi, np.maximum(x, y)))
+    held = (m > 0) & (lo <= hi)
+    low, high = np.where(held, np.minimum(low, lo), low), np.where(held, np.maximum(high, hi), high)
+    return np.maximum(low, 0.0), np.minimum(high, n)
 
 
 def diffuse_walls(elements: DataFrame, *, reach: float = 0.1) -> DataFrame:
@@ -171,7 +174,7 @@ def diffuse_walls(elements: DataFrame, *, reach: float = 0.1) -> DataFrame:
     wall = lines.where(F.col("type").isin(BOUNDARY_LABELS))
     ground = lines.where(F.col("type").contains(BACKGROUND))
     side = lambda df, n: boxed(df.select("drawing_id", F.col("elem_id").alias(f"{n}_id"), F.col("coords").alias(f"{n}_line")), G.bounds(F.col(f"{n}_line")), reach)
-    near = box_join(side(ground, "g"), side(wall, "w"))
+    near = spread(box_join(side(ground, "g"), side(wall, "w")), "drawing_id", "g_id", "w_id")
     full = G.length(F.col("g_line"))
     over = _covered("g_line", "w_line")
     along = near.withColumn("full", full).where("full >= 1e-3").withColumn("over", over).where((F.col("over") > 15) | (F.col("over") / F.col("full") > 0.3))
@@ -252,11 +255,11 @@ def mesh(points: DataFrame) -> DataFrame:
 #: Least area (mm2), inset (mm), short side (mm), compactness and solidity of a plausible room.
 ROOM_LIMITS = (2e6, 250.0, 600.0, 0.08, 0.25)
 
-rectangle_of = ring_udf(lambda r: dict(zip(("area", "long", "short"), K.min_rectangle(r), strict=True)), "struct<area:double,long:double,short:double>")
+rectangle_of = measured(K.min_rectangles, "area", "long", "short")
 inset_left = ring_udf(lambda r: K.survives_inset(r, ROOM_LIMITS[1]), "boolean")
 polygon_inset_left = polygon_udf(lambda rings: K.survives_inset(rings, ROOM_LIMITS[1]), "boolean")
 hull_area = ring_udf(lambda r: abs(K.ring_area(K.hull(r))) if len(r) > 2 else 0.0, "double")
-clear_width = ring_udf(K.clear_width, "double")
+clear_width = measured(K.clear_widths)
 
 
 def plausible_rooms(faces: DataFrame) -> DataFrame:

@@ -36,11 +36,15 @@ def flat(ring):
     return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
 
 
-def lazy_udf(function, kind: str):
-    """A pandas UDF that is made when it is called, since workers import this module without a session."""
+def lazy_udf(function, kind: str, *, in_place: bool = False):
+    """A pandas UDF that is made when it is called, since workers import this module without a session.
+
+    With ``in_place`` filters on its result stay above it, and do not take it below a shuffle that deals its rows.
+    """
 
     def call(*rings):
-        return pandas_udf(function, kind)(*(flat(F.col(r) if isinstance(r, str) else r) for r in rings))
+        made = pandas_udf(function, kind)
+        return (made.asNondeterministic() if in_place else made)(*(flat(F.col(r) if isinstance(r, str) else r) for r in rings))
 
     return call
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,13 @@ def test_lambda_functions_work_a_value_out_once(spark):
     moved = plan.select(G.affine(line, G.transform_matrix(F.col("m"))).alias("p"))
     assert text(moved).count("rotate") == 1
     assert [tuple(p) for p in moved.first()["p"]] == [(2.0, 4.0), (4.0, 6.0), (6.0, 8.0)]
+
+
+def test_covered_lengths_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for k, m in ((2, 2), (3, 2), (3, 4)):
+        line, wall = (rng.integers(0, 5, (80, n, 2)) / 10 for n in (k, m))
+        assert E.covered_lengths(line, wall, 0.1) == pytest.approx([E.covered_length(a, b, 0.1) for a, b in zip(line, wall, strict=True)])
+    line = np.array([[(0, 0), (10, 0)], [(0, 0), (0, 0)], [(0, 5), (10, 5)]], float)
+    wall = np.array([[(4, 0), (20, 0)], [(0, 0), (9, 0)], [(3, 0), (3, 9)]], float)
+    assert E.covered_lengths(line, wall, 0.1) == pytest.approx([6.1, 0, 0.2])
