@@ -106,15 +106,16 @@ def shared_within(tolerance: float):
 
 def measured(function, *names: str):
     """A pandas UDF of a kernel function of many rings with equally many points (n, k, 2), which gives a number for
-    each, or a row of the named ones; null for null."""
+    each, or a row of the named ones; 0 for a ring without points, null for null."""
 
     def table(a: pd.Series) -> np.ndarray:
         out = np.full((len(a), len(names) or 1), np.nan)
         rings = [None if x is None else as_points(x) for x in a]
         by: dict[int, list[int]] = {}
         for i, x in enumerate(rings):
-            if x is not None and len(x):
+            if x is not None:
                 by.setdefault(len(x), []).append(i)
+        out[by.pop(0, [])] = 0
         for at in by.values():
             out[at] = np.reshape(function(np.stack([rings[i] for i in at])), (len(at), -1))
         return out

@@ -235,3 +235,9 @@ def test_covered_lengths_of_many_pairs_are_those_of_each():
     line = np.array([[(0, 0), (10, 0)], [(0, 0), (0, 0)], [(0, 5), (10, 5)]], float)
     wall = np.array([[(4, 0), (20, 0)], [(0, 0), (9, 0)], [(3, 0), (3, 9)]], float)
     assert E.covered_lengths(line, wall, 0.1) == pytest.approx([6.1, 0, 0.2])
+
+
+def test_rings_without_points_measure_nothing(spark):
+    rings = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)]), (2, []), (3, None)], f"id int, ring {G.RING}")
+    found = rings.select("id", E.rectangle_of("ring").alias("m"), E.clear_width("ring").alias("w")).orderBy("id").collect()
+    assert [(r["m"]["area"], r["m"]["long"], r["m"]["short"], r["w"]) for r in found] == [(12.0, 4.0, 3.0, 3.0), (0.0, 0.0, 0.0, 0.0), (None, None, None, None)]
