@@ -11,6 +11,7 @@ from floorlens.functions import text as T
 from floorlens.functions.vocab import EXTERIOR_ID
 from floorlens.operators import division, rules, shapes
 from floorlens.sources import colours, dxf, files, jsonld, predictions, svg, turtle
+from floorlens.streaming import drawings
 from floorlens.streaming.drawings import process_pieces, whole_drawings
 
 
@@ -295,6 +296,37 @@ def test_drawings_that_wait_too_long_are_let_go(spark, tmp_path):
         q.stop()
 
 
+def test_the_state_holds_many_drawings_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(drawings, "GROUPS", 2)
+    big = 2**53 + 1
+    rows = [(big + 2 * d, n, 2, big + d if n else None) for d in range(50) for n in (0, 1)] + [(None, 0, 2, 1), (None, 1, 2, big), (7, 0, 2, 8), (8, None, 1, 8), (9, 0, None, 9)]
+    seen = []
+    for some in (rows[::2], rows[1::2]):
+        spark.createDataFrame(some, PIECE.replace("v int", "v long")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = process_pieces(spark, str(tmp_path / "in"), PIECE.replace("v int", "v long"), lambda batch: batch, str(tmp_path / "out"), str(tmp_path / "log"))
+        assert q.awaitTermination(120)
+        seen.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert seen[0] == 2 and seen[1] <= 2
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("drawing_id", "piece", "n_pieces", "v", "complete").collect()]
+    key = lambda r: [(v is not None, v or 0) for v in r]
+    assert sorted(got, key=key) == sorted([(*r, True) for r in rows[:102]], key=key)
+
+
+def test_of_a_group_only_drawings_that_wait_too_long_are_let_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(drawings, "GROUPS", 1)
+    spark.createDataFrame([(1, 0, 2, 3), (2, 0, 2, 4), (2, 1, 2, 5), (3, 1, 2, 6)], PIECE).write.parquet(str(tmp_path / "in"))
+    stream = whole_drawings(spark.readStream.schema(PIECE).parquet(str(tmp_path / "in")), wait_ms=500)
+    q = stream.writeStream.format("memory").queryName("late_of_group").option("checkpointLocation", str(tmp_path / "log")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            if len(got := spark.table("late_of_group").collect()) >= 4 or not q.isActive:
+                break
+            time.sleep(1)
+        assert sorted(tuple(r) for r in got) == [(1, 0, 2, 3, False), (2, 0, 2, 4, True), (2, 1, 2, 5, True), (3, 1, 2, 6, False)]
+    finally:
+        q.stop()
+
+
 def test_division_leaves_other_rooms_alone(spark):
     ring = lambda x: f"array(named_struct('x', {x}D, 'y', 0D), named_struct('x', {x + 100}D, 'y', 0D), named_struct('x', {x + 100}D, 'y', 100D), named_struct('x', {x}D, 'y', 100D))"
     rooms = spark.sql(" UNION ALL ".join(f"SELECT {d}L drawing_id, '{r}' room_id, {i} ord, array('A') types, {ring(x)} ring" for d, r, i, x in ((1, "a", 0, 0), (1, "b", 1, 200), (1, "c", 2, 300), (2, "a", 0, 0), (2, "b", 1, 100))))
