@@ -77,6 +77,16 @@ def bounds(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def as_box(ring: Column) -> Column:
+    """:func:`bounds` of a ring that is an axis-parallel rectangle, as most rooms are; else null."""
+    x, y = ([F.get(ring, F.lit(i))[c] for i in range(4)] for c in "xy")
+    same = lambda z, i, j: z[i] == z[j]
+    flat = same(y, 0, 1) & same(x, 1, 2) & same(y, 2, 3) & same(x, 3, 0)
+    tall = same(x, 0, 1) & same(y, 1, 2) & same(x, 2, 3) & same(y, 3, 0)
+    box = F.struct(F.least(x[0], x[2]).alias("x0"), F.least(y[0], y[2]).alias("y0"), F.greatest(x[0], x[2]).alias("x1"), F.greatest(y[0], y[2]).alias("y1"))
+    return F.when((F.size(ring) == 4) & (flat | tall), box)
+
+
 def centroid(ring: Column) -> Column:
     """Centre of mass of a polygon; of a degenerate one, the mean of its points."""
     cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.vocab import UNKNOWN
-from ..sources.shared import materialise
+from ..sources.shared import materialise, spread
 from .graph import both_ways
 from .spatial import box_join, boxed
 from .topology import common_area
@@ -25,15 +25,38 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def overlaps(gt: DataFrame, sys: DataFrame) -> DataFrame:
-    """drawing_id, gt_id, sys_id, gt_ord, sys_ord, both, gt_area, sys_area of pairs with common area."""
-    a = gt.select("drawing_id", F.col("room_id").alias("gt_id"), F.col("ord").alias("gt_ord"), F.col("ring").alias("gt_ring"))
-    b = sys.select("drawing_id", F.col("room_id").alias("sys_id"), F.col("ord").alias("sys_ord"), F.col("ring").alias("sys_ring"))
-    pairs = box_join(boxed(a, G.bounds(F.col("gt_ring"))), boxed(b, G.bounds(F.col("sys_ring")))).withColumn("both", common_area("gt_ring", "sys_ring")).where("both > 0")
-    return pairs.select("drawing_id", "gt_id", "sys_id", "gt_ord", "sys_ord", "both", G.area(F.col("gt_ring")).alias("gt_area"), G.area(F.col("sys_ring")).alias("sys_area"))
+    """drawing_id, gt_id, sys_id, gt_ord, sys_ord, both, gt_area, sys_area of pairs with common area.
+
+    A room that is a box is known by its bounds; only other rings are carried along and measured in Python.
+    """
+
+    def side(rooms: DataFrame, s: str) -> DataFrame:
+        plain = G.as_box(F.col("ring"))
+        held = rooms.select("drawing_id", F.col("room_id").alias(f"{s}_id"), F.col("ord").alias(f"{s}_ord"), "ring", plain.alias("plain"))
+        box = F.coalesce("plain", G.bounds(F.col("ring")))
+        size = F.when(F.col("plain").isNotNull(), _box_area("plain")).otherwise(G.area(F.col("ring")))
+        ring = F.when(F.col("plain").isNull(), F.col("ring"))
+        return boxed(held.select("drawing_id", f"{s}_id", f"{s}_ord", size.alias(f"{s}_area"), ring.alias(f"{s}_ring"), box.alias("bounds")), F.col("bounds")).drop("bounds")
+
+    x = F.least("box.x1", "other_box.x1") - F.greatest("box.x0", "other_box.x0")
+    y = F.least("box.y1", "other_box.y1") - F.greatest("box.y0", "other_box.y0")
+    near = box_join(side(gt, "gt"), side(sys, "sys")).where((x > 0) & (y > 0))
+    odd = F.col("gt_ring").isNotNull() | F.col("sys_ring").isNotNull()
+    ring = lambda r, b: F.when(odd, F.coalesce(r, G.rectangle(*(F.col(f"{b}.{c}") for c in ("x0", "y0", "x1", "y1")))))
+    columns = ["drawing_id", "gt_id", "sys_id", "gt_ord", "sys_ord", "both", "gt_area", "sys_area"]
+    # Written out, so that the pairs are met once and Python is not called for pairs of boxes.
+    met = near.withColumns({"both": F.when(~odd, x * y), "gt_ring": ring("gt_ring", "box"), "sys_ring": ring("sys_ring", "other_box")})
+    met = materialise(met.select(*columns, "gt_ring", "sys_ring"), "overlaps")
+    rest = spread(met.where("both is null"), "drawing_id", "gt_id", "sys_id").withColumn("both", common_area("gt_ring", "sys_ring"))
+    return met.where("both is not null").select(*columns).unionByName(rest.where("both > 0").select(*columns))
 
 
-def match_rooms(gt: DataFrame, pairs: DataFrame) -> DataFrame:
-    """drawing_id, gt_id, status, sys_id, iou of every ground-truth room, by three ordered passes.
+def _box_area(box: str) -> Column:
+    return (F.col(f"{box}.x1") - F.col(f"{box}.x0")) * (F.col(f"{box}.y1") - F.col(f"{box}.y0"))
+
+
+def match_rooms(gt: DataFrame, pairs: DataFrame, *keep: str) -> DataFrame:
+    """drawing_id, gt_id, the columns of gt to keep, status, sys_id, iou of every ground-truth room, by three ordered passes.
 
     under: a system room covers more than CONTAINED of it and of another one. over: of the rest, at
     least two system rooms, not yet used, lie in it by more than CONTAINED and cover more than half of
@@ -42,27 +65,28 @@ def match_rooms(gt: DataFrame, pairs: DataFrame) -> DataFrame:
 
     An IoU of more than one half leaves at most one partner if rooms of a side do not overlap; where they
     do, the better IoU, then the earlier room, wins.
+
+    The pairs are read once and dealt by drawing once; all passes are windows over that.
     """
-    # Read by all three passes; written out, or every pass would meet and measure the rooms again.
-    pairs = materialise(pairs, "pairs")
-    covered = pairs.where(F.col("both") > CONTAINED * F.col("gt_area"))
-    many = covered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("drawing_id", "sys_id"))).where("n >= 2")
-    under = many.groupBy("drawing_id", "gt_id").agg(F.max_by("sys_id", "sys_ord").alias("sys_id"))
-    used = many.select("drawing_id", "sys_id").distinct()
-    rest = pairs.join(under, ["drawing_id", "gt_id"], "left_anti").join(used, ["drawing_id", "sys_id"], "left_anti")
-    parts = rest.where(F.col("both") > CONTAINED * F.col("sys_area"))
-    over = parts.groupBy("drawing_id", "gt_id").agg(F.count(F.lit(1)).alias("n"), F.sum("both").alias("sum"), F.first("gt_area").alias("gt_area")).where((F.col("n") >= 2) & (F.col("sum") > 0.5 * F.col("gt_area"))).select("drawing_id", "gt_id")
-    split = parts.join(over, ["drawing_id", "gt_id"], "left_semi").select("drawing_id", "sys_id").distinct()
-    rest = rest.join(over, ["drawing_id", "gt_id"], "left_anti").join(split, ["drawing_id", "sys_id"], "left_anti")
-    rest = rest.withColumn("iou", F.col("both") / (F.col("gt_area") + F.col("sys_area") - F.col("both"))).where(F.col("iou") > LEAST_IOU)
-    by_gt = Window.partitionBy("drawing_id", "gt_id").orderBy(F.desc("iou"), "sys_ord")
-    by_sys = Window.partitionBy("drawing_id", "sys_id").orderBy("gt_ord")
-    one = rest.withColumn("a", F.row_number().over(by_gt)).where("a = 1").withColumn("b", F.row_number().over(by_sys)).where("b = 1")
-    status = under.select("drawing_id", "gt_id", F.lit("under").alias("status"), "sys_id", F.lit(None).cast("double").alias("iou"))
-    status = status.unionByName(over.select("drawing_id", "gt_id", F.lit("over").alias("status"), F.lit(None).cast("string").alias("sys_id"), F.lit(None).cast("double").alias("iou")))
-    status = status.unionByName(one.select("drawing_id", "gt_id", F.lit("matched").alias("status"), "sys_id", "iou"))
-    every = gt.select("drawing_id", F.col("room_id").alias("gt_id"))
-    return every.join(status, ["drawing_id", "gt_id"], "left").withColumn("status", F.coalesce("status", F.lit("missed")))
+    by_gt, by_sys = Window.partitionBy("drawing_id", "gt_id"), Window.partitionBy("drawing_id", "sys_id")
+    covers, lies, alike = F.col("both") > CONTAINED * F.col("gt_area"), F.col("both") > CONTAINED * F.col("sys_area"), F.col("iou") > LEAST_IOU
+    rows = pairs.withColumn("iou", F.try_divide(F.col("both"), F.col("gt_area") + F.col("sys_area") - F.col("both")))
+    # Pairs that are none of these take part in no pass.
+    rows = rows.where(covers | lies | alike).repartition("drawing_id")
+    rows = rows.withColumn("used", F.count_if(covers).over(by_sys) >= 2)
+    many, part = covers & F.col("used"), lies & ~F.col("used")
+    split = (F.count_if(part).over(by_gt) >= 2) & (F.sum(F.when(part, F.col("both"))).over(by_gt) > 0.5 * F.col("gt_area"))
+    rows = rows.withColumns({"under": F.bool_or(many).over(by_gt), "cover": F.max_by(F.when(many, F.col("sys_id")), F.when(many, F.col("sys_ord"))).over(by_gt), "split": split})
+    rows = rows.withColumn("over", ~F.col("under") & F.coalesce("split", F.lit(False)))
+    free = ~(F.col("used") | F.col("under") | F.col("over") | F.bool_or(part & F.col("over")).over(by_sys))
+    rows = rows.withColumn("free", free & F.coalesce(alike, F.lit(False))).where("under or over or free")
+    best = F.row_number().over(by_gt.orderBy(F.desc("free"), F.desc("iou"), "sys_ord"))
+    turn = F.row_number().over(Window.partitionBy("drawing_id", "sys_id", "free").orderBy("gt_ord"))
+    one = rows.withColumn("best", best).where("best = 1").withColumn("turn", turn).where("not free or turn = 1")
+    status = F.when(F.col("under"), "under").when(F.col("over"), "over").otherwise("matched")
+    found = one.select("drawing_id", "gt_id", status.alias("status"), F.when(F.col("under"), F.col("cover")).when(F.col("free"), F.col("sys_id")).alias("sys_id"), F.when(F.col("free"), F.col("iou")).alias("iou"))
+    every = gt.select("drawing_id", F.col("room_id").alias("gt_id"), *keep)
+    return every.join(found, ["drawing_id", "gt_id"], "left").withColumn("status", F.coalesce("status", F.lit("missed")))
 
 
 def match_rates(matched: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -78,7 +102,8 @@ def topology_counts(gt_edges: DataFrame, sys_edges: DataFrame, pairs: DataFrame)
     found if corresponding, different rooms of its ends share a system edge. A system edge is wrong if
     both ends correspond to something, to no common room and to no ground-truth edge.
     """
-    held = pairs.where(F.col("both") > FRAGMENT * F.least("gt_area", "sys_area")).select("drawing_id", "gt_id", "sys_id")
+    # Both ends of the edges of both sides are looked up in them.
+    held = materialise(pairs.where(F.col("both") > FRAGMENT * F.least("gt_area", "sys_area")).select("drawing_id", "gt_id", "sys_id"), "held")
     arcs, truth = both_ways(sys_edges), both_ways(gt_edges)
     ends = gt_edges.withColumn("edge", F.struct("u", "v"))
     a = ends.join(held.select("drawing_id", F.col("gt_id").alias("u"), F.col("sys_id").alias("src")), ["drawing_id", "u"])
@@ -117,13 +142,17 @@ def label_rows(matched: DataFrame, gt: DataFrame, sys: DataFrame, sys_edges: Dat
 
     The prediction is the truth if the system room has that type, else its first type. A room without a
     system room is Unknown by a geometry miss; a wrong one without any adjacency is a topology breakage,
-    else a label error.
+    else a label error. If ``matched`` keeps the types of all rooms, they need not be looked up again.
     """
-    truth = F.coalesce(F.try_element_at("types", F.lit(1)), F.lit(UNKNOWN))
-    g = gt.select("drawing_id", F.col("room_id").alias("gt_id"), truth.alias("truth"))
+    truth = F.coalesce(F.try_element_at("types", F.lit(1)), F.lit(UNKNOWN)).alias("truth")
+    if "types" in matched.columns:
+        rows = matched.select("drawing_id", "gt_id", "sys_id", truth)
+    else:
+        g = gt.select("drawing_id", F.col("room_id").alias("gt_id"), truth)
+        rows = g.join(matched.select("drawing_id", "gt_id", "sys_id"), ["drawing_id", "gt_id"], "left")
     s = sys.select("drawing_id", F.col("room_id").alias("sys_id"), F.col("types").alias("sys_types"))
-    linked = both_ways(sys_edges).select("drawing_id", F.col("src").alias("sys_id")).distinct().withColumn("linked", F.lit(True))
-    rows = g.join(matched.select("drawing_id", "gt_id", "sys_id"), ["drawing_id", "gt_id"], "left").join(s, ["drawing_id", "sys_id"], "left").join(linked, ["drawing_id", "sys_id"], "left")
+    linked = sys_edges.select("drawing_id", F.explode(F.array("u", "v")).alias("sys_id")).distinct().withColumn("linked", F.lit(True))
+    rows = rows.join(s, ["drawing_id", "sys_id"], "left").join(linked, ["drawing_id", "sys_id"], "left")
     right = F.coalesce(F.array_contains("sys_types", F.col("truth")), F.lit(False))
     predicted = F.when(right, F.col("truth")).otherwise(F.coalesce(F.try_element_at("sys_types", F.lit(1)), F.lit(UNKNOWN)))
     cause = F.when(F.col("sys_id").isNull(), "geometry miss").when(right, None).when(F.col("linked").isNull(), "topology breakage").otherwise("label error")

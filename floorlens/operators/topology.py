@@ -225,7 +225,7 @@ polygon_distance = region_udf(K.region_distance, K.region_distances, "double")
 polygon_common_area = region_udf(K.common_region_area, K.common_region_areas, "double")
 shared_length = shared_within(0.0)
 ring_distance = lazy_udf(_distances, "double")
-common_area = lazy_udf(_common_areas, "double")
+common_area = lazy_udf(_common_areas, "double", in_place=True)
 
 
 def _rooms(rooms: DataFrame, margin: float = 0.0) -> DataFrame:

@@ -1052,7 +1052,7 @@ def violation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_and_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     gt, sys = D.truth_rooms(spark, sf_dir), D.rooms(spark, sf_dir)
-    return gt, sys, materialise(V.overlaps(gt, sys), "overlaps")
+    return gt, sys, V.overlaps(gt, sys)
 
 
 @query(_with(ROOM, TRUTH, MATCH, select="SELECT drawing_id, 'GT_' || lpad(CAST(g AS VARCHAR), 3, '0') AS gt_id, status, 'Space_' || lpad(CAST(s AS VARCHAR), 3, '0') AS sys_id FROM matched"))
@@ -1111,7 +1111,7 @@ LABEL = """label AS (SELECT m.drawing_id, m.g, m.sem AS truth, CASE WHEN r.sem =
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, sys, pairs = truth_and_pairs(spark, sf_dir)
-    return materialise(V.label_rows(V.match_rooms(gt, pairs), gt, sys, D.grid_edges(spark, sf_dir)), "labels")
+    return materialise(V.label_rows(V.match_rooms(gt, pairs, "types"), gt, sys, D.grid_edges(spark, sf_dir)).select("truth", "predicted", "cause"), "labels")
 
 
 @query(_with(ROOM, TRUTH, MATCH, GRID, LABEL, select="SELECT cause, count(*) AS n FROM label WHERE cause IS NOT NULL GROUP BY cause"))

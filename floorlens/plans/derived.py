@@ -87,18 +87,18 @@ def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated rooms: shifted right by 200 * (event_id % 5); every 13th is cut in two, and pairs of a row merge if the left event_id is a multiple of 11."""
     r = rooms(spark, sf_dir)
-    nxt = r.select("drawing_id", (F.col("ord") - 1).alias("ord"), F.col("x1").alias("nx1"), F.col("y1").alias("ny1"))
-    r = r.join(nxt, ["drawing_id", "ord"], "left")
+    # Only rooms that may merge are looked for, from either side: event_id is 12 * drawing_id + ord.
+    nxt = r.where("(event_id - 1) % 11 = 0").select("drawing_id", (F.col("ord") - 1).alias("ord"), F.col("x1").alias("nx1"))
+    gone = r.where("event_id % 11 = 0 and ord % 4 < 3").select("drawing_id", (F.col("ord") + 1).alias("ord"))
+    r = r.join(nxt, ["drawing_id", "ord"], "left").join(gone, ["drawing_id", "ord"], "left_anti")
     merged = "(event_id % 11 = 0 and ord % 4 < 3 and nx1 is not null)"
-    gone = r.where(merged).select("drawing_id", (F.col("ord") + 1).alias("ord"))
-    r = r.join(gone, ["drawing_id", "ord"], "left_anti")
     s = 200 * (F.col("event_id") % 5)
     x1 = F.when(F.expr(merged), F.col("nx1")).otherwise(F.col("x1"))
     r = r.withColumns({"a": F.col("x0") + s, "b": x1 + s, "cut": F.expr(f"event_id % 13 = 0 and not {merged}")}).withColumn("mid", F.expr("(a + b) div 2"))
-    whole = r.where("not cut").select("drawing_id", (2 * F.col("ord")).alias("ord"), F.format_string("GT_%03d", 2 * F.col("ord")).alias("room_id"), "types", F.col("a").alias("x0"), "y0", F.col("b").alias("x1"), "y1")
-    left = r.where("cut").select("drawing_id", (2 * F.col("ord")).alias("ord"), F.format_string("GT_%03d", 2 * F.col("ord")).alias("room_id"), "types", F.col("a").alias("x0"), "y0", F.col("mid").alias("x1"), "y1")
-    right = r.where("cut").select("drawing_id", (2 * F.col("ord") + 1).alias("ord"), F.format_string("GT_%03d", 2 * F.col("ord") + 1).alias("room_id"), "types", F.col("mid").alias("x0"), "y0", F.col("b").alias("x1"), "y1")
-    out = whole.unionByName(left).unionByName(right)
+    part = lambda k, x0, x1: F.struct((2 * F.col("ord") + k).alias("ord"), F.col(x0).alias("x0"), F.col(x1).alias("x1"))
+    parts = F.when(F.col("cut"), F.array(part(0, "a", "mid"), part(1, "mid", "b"))).otherwise(F.array(part(0, "a", "b")))
+    out = r.select("drawing_id", "types", "y0", "y1", F.explode(parts).alias("p"))
+    out = out.select("drawing_id", "p.ord", F.format_string("GT_%03d", F.col("p.ord")).alias("room_id"), "types", "p.x0", "y0", "p.x1", "y1")
     return out.withColumn("ring", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")))
 
 
