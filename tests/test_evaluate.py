@@ -9,6 +9,7 @@ from floorlens.functions import geometry as G
 from floorlens.functions import kernel as K
 from floorlens.operators import evaluate as V
 from floorlens.operators.topology import as_points
+from floorlens.plans import catalogue
 
 ROOM = "drawing_id long, room_id string, ord long, ring array<struct<x: double, y: double>>, types array<string>"
 
@@ -110,3 +111,9 @@ def test_labels_of_kept_types_are_those_looked_up(spark, sides):
     kept, plain = (sorted(map(tuple, V.label_rows(V.match_rooms(gt, pairs, *keep), gt, sys, edges).collect()), key=str) for keep in (["types"], []))
     assert kept == plain and len(kept) == 270
     assert {r[4] for r in kept} == {None, "geometry miss", "topology breakage", "label error"}
+
+
+@pytest.mark.parametrize("name", ["label_scores", "label_rates"])
+def test_label_queries_send_no_boxes_to_python(spark, monkeypatch, name):
+    monkeypatch.setattr(V, "common_area", lambda a, b: F.raise_error(F.lit("a pair of boxes went to Python")).cast("double"))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
