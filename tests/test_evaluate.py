@@ -113,7 +113,7 @@ def test_labels_of_kept_types_are_those_looked_up(spark, sides):
     assert {r[4] for r in kept} == {None, "geometry miss", "topology breakage", "label error"}
 
 
-@pytest.mark.parametrize("name", ["label_scores", "label_rates", "label_dashboard", "error_cascade"])
+@pytest.mark.parametrize("name", ["label_scores", "label_rates", "label_dashboard", "error_cascade", "label_macro"])
 def test_label_queries_send_no_boxes_to_python(spark, monkeypatch, name):
     monkeypatch.setattr(V, "common_area", lambda a, b: F.raise_error(F.lit("a pair of boxes went to Python")).cast("double"))
     assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
