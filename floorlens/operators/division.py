@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EXTERIOR_ID
-from ..sources.shared import materialise
+from ..sources.shared import materialise_rows
 from .enrich import rehome_doors, rehome_elements, replace_rooms
 from .topology import touching_rooms
 
@@ -62,7 +62,7 @@ def new_edges(edges: DataFrame, rooms: DataFrame, bound: DataFrame, gone: DataFr
     by_door = either(two).select("drawing_id", "u", "v", F.lit("door").alias("kind"))
     near = rooms.join(gone.select("drawing_id").distinct(), "drawing_id", "left_semi")
     touching = touching_rooms(near, min_shared=SHARED, tolerance=TOLERANCE).select("drawing_id", *ends("u", "v"))
-    by_wall = either(touching).join(by_door, ["drawing_id", "u", "v"], "left_anti").select("drawing_id", "u", "v", F.lit("touch").alias("kind"))
+    by_wall = either(touching).join(by_door.hint("merge"), ["drawing_id", "u", "v"], "left_anti").select("drawing_id", "u", "v", F.lit("touch").alias("kind"))
     return kept.select("drawing_id", "u", "v", "kind").unionByName(by_door).unionByName(by_wall)
 
 
@@ -72,13 +72,13 @@ def divided(graph: Graph, doors: DataFrame, places: DataFrame, parts: DataFrame)
     doors: drawing_id, uid, ring; places: drawing_id, uid, x, y of the held elements' centres. Rooms that could not be
     cut stay as they are, and keep their edges. Elements of a divided room that no part has strictly inside are held by none.
     """
-    cut = materialise(parts.where("sub_id <> room_id"), "parts")
-    gone = materialise(cut.select("drawing_id", "room_id").distinct(), "divided")
+    cut = materialise_rows(parts.where("sub_id <> room_id"), "parts")
+    gone = materialise_rows(cut.select("drawing_id", "room_id").distinct(), "divided")
     numbered = replace_rooms(graph.rooms, cut)
     # Parts of a room have its place in the order, and then their own.
     rank = F.struct("ord", "room_id")
-    rooms = materialise(numbered.join(numbered.groupBy("drawing_id").agg(F.sort_array(F.collect_list(rank)).alias("all")), "drawing_id").withColumn("ord", F.array_position("all", rank).cast("int")).drop("all"), "divided-rooms")
-    bound = materialise(new_ends(graph.bound, doors, cut), "divided-ends")
+    rooms = materialise_rows(numbered.join(numbered.groupBy("drawing_id").agg(F.sort_array(F.collect_list(rank)).alias("all")), "drawing_id").withColumn("ord", F.array_position("all", rank).cast("int")).drop("all"), "divided-rooms")
+    bound = materialise_rows(new_ends(graph.bound, doors, cut), "divided-ends")
     held = _replaced(graph.held, "room_id", gone)
     moved = rehome_elements(held.where("divided").join(places.select("drawing_id", "uid", "x", "y"), ["drawing_id", "uid"]), cut)
     holds = held.where("NOT divided").select("drawing_id", "uid", "room_id").unionByName(moved.select("drawing_id", "uid", F.col("sub_id").alias("room_id")))

@@ -26,10 +26,11 @@ def box_join(a: DataFrame, b: DataFrame, *, key: str = "drawing_id", cell: float
     The sides must have no other column names in common than ``key`` and ``box``. Both are dealt into
     the grid cells that their boxes meet and joined by (key, cell); a pair is kept in the cell that
     holds the lower left corner of the boxes' common part, so no pair appears twice and nothing has
-    to be made distinct. The result has ``box`` and ``other_box``.
+    to be made distinct. The result has ``box`` and ``other_box``. Neither side is broadcast: rows with rings are many
+    times as large as the files that Spark judges them by.
     """
     left, right = _cells(a, cell), _cells(b.withColumnRenamed("box", "other_box").withColumn("box", F.col("other_box")), cell).drop("box")
-    both = left.join(right, [key, "cx", "cy"])
+    both = left.join(right.hint("merge"), [key, "cx", "cy"])
     x, y = F.greatest("box.x0", "other_box.x0"), F.greatest("box.y0", "other_box.y0")
     touch = (x <= F.least("box.x1", "other_box.x1")) & (y <= F.least("box.y1", "other_box.y1"))
     owner = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))

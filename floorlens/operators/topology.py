@@ -334,7 +334,7 @@ def adjacency(rooms: DataFrame, bound: DataFrame) -> DataFrame:
     """(drawing_id, u, v, kind): door edges, and touching rooms that no door joins."""
     doors = door_edges(bound).select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     near = touching_rooms(rooms).select("drawing_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    plain = near.join(doors, ["drawing_id", "u", "v"], "left_anti")
+    plain = near.join(doors.hint("merge"), ["drawing_id", "u", "v"], "left_anti")
     return doors.withColumn("kind", F.lit("door")).unionByName(plain.withColumn("kind", F.lit("touch")))
 
 

@@ -22,7 +22,7 @@ from ..operators import graph, rules, shapes
 from ..operators import mesh as M
 from ..operators import topology as P
 from ..sources import dxf, files, jsonld, predictions, svg
-from ..sources.shared import fresh_path, materialise, spread
+from ..sources.shared import fresh_path, materialise, materialise_rows, spread
 from ..streaming.drawings import process_pieces
 from . import derived as D
 
@@ -166,7 +166,7 @@ def l_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     types = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("LivingRoom"), F.lit("DiningRoom"))).otherwise(F.array(F.lit("LivingRoom"), F.lit("Suite")))
     anchors = F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")
     rooms = l_rooms(spark, sf_dir).withColumns({"drawing_id": F.col("event_id"), "types": types, "anchors": anchors})
-    return rooms, materialise(N.decompose(rooms), "parts")
+    return rooms, materialise_rows(N.decompose(rooms), "parts")
 
 
 @query(_with(ROOM, L_ROOM, HALVES, select="SELECT event_id AS drawing_id, unnest(CASE WHEN event_id % 2 = 0 THEN [low, high] ELSE [low + high] END) AS area FROM half"))
@@ -235,7 +235,7 @@ def divided_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     types = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("LivingRoom"), F.lit("DiningRoom"))).otherwise(F.array(F.lit("LivingRoom")))
     anchors = F.array().cast("array<struct<text_ord:int,raw_text:string,std_label:string,x:double,y:double>>")
-    rooms = materialise(l_rooms(spark, sf_dir).withColumns({"types": types, "anchors": anchors}), "rooms")
+    rooms = materialise_rows(l_rooms(spark, sf_dir).withColumns({"types": types, "anchors": anchors}), "rooms")
     most = rooms.agg(F.max("event_id").alias("most"))
     gates = rooms.join(F.broadcast(most)).where("ord % 4 < 3 AND user_id % 2 = 0 AND event_id < most").withColumn("x", 4000 * (F.col("ord") % 4 + 1))
     gates = gates.select("drawing_id", F.concat(F.lit("D_"), "event_id").alias("uid"), G.rectangle(F.col("x") - 100, F.col("y0") + 200, F.col("x") + 100, F.col("y0") + 800).alias("ring"), F.array("room_id", F.format_string("Space_%03d", F.col("ord") + 1)).alias("ends"))
@@ -245,7 +245,7 @@ def divided_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.divided(X.Graph(rooms, bound, held.select("drawing_id", "uid", "room_id"), P.adjacency(rooms, bound)), gates, held, N.decompose(rooms))
     low = G.bounds(F.col("ring"))
     name = F.concat_ws(":", F.regexp_replace("room_id", "_Sub_.*", ""), F.concat_ws(",", whole(low["x0"]), whole(low["y0"])))
-    named = materialise(found.rooms.select("drawing_id", "room_id", name.alias("name")), "names")
+    named = materialise_rows(found.rooms.select("drawing_id", "room_id", name.alias("name")), "names")
     of = lambda rows, column: rows.join(named.withColumnsRenamed({"room_id": column, "name": f"{column}_name"}), ["drawing_id", column])
     edges = of(of(found.edges, "u"), "v").select("drawing_id", F.col("kind").alias("what"), F.least("u_name", "v_name").alias("a"), F.greatest("u_name", "v_name").alias("b"))
     ends = of(found.bound.select("drawing_id", F.col("uid").alias("a"), F.explode("ends").alias("room")), "room").select("drawing_id", F.lit("end").alias("what"), "a", F.col("room_name").alias("b"))

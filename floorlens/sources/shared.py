@@ -40,3 +40,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_rows(df: DataFrame, label: str) -> DataFrame:
+    """:func:`materialise` for rows that grow with the input: what they are joined with is dealt by the keys.
+
+    Spark takes a table for as large as its files, and those of plans are a small part of their rows, which it
+    would broadcast through the driver.
+    """
+    return materialise(df, label).hint("merge")

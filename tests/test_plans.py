@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from floorlens.functions import geometry as G
 from floorlens.operators import elements as E
-from floorlens.operators import enrich, graph, rules
+from floorlens.operators import enrich, graph, rules, topology
 from floorlens.plans import catalogue
 from floorlens.sources import dxf, jsonld, svg
 from floorlens.streaming.drawings import process_folder
@@ -213,6 +213,13 @@ def test_rooms_are_cut_once_and_by_all_tasks(spark):
     assert parts.count() == 200
 
 
+def test_rows_of_divided_drawings_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rooms, parts = catalogue.l_parts(spark, SF)
+    for joined in (catalogue.divided_graph(spark, SF), enrich.replace_rooms(rooms, parts), topology.touching_rooms(parts.drop("room_id").withColumnRenamed("sub_id", "room_id"))):
+        assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+
+
 def test_lambda_functions_work_a_value_out_once(spark):
     from floorlens.functions import polygons
 
