@@ -1,112 +1,187 @@
 """Rooms as areas of a constrained mesh: triangles between walls, typed sides, flood fill, areas with holes.
 
 Walls are segments (drawing_id, x0, y0, x1, y1); coordinates are rounded to 1 / UNITS and kept as multiples of it
-until areas come out. Each drawing is triangulated in one task (many drawings a batch); sides, types, the
-fill and the areas' boundaries are DataFrame joins and groupings by drawing.
+until areas come out. Each drawing is triangulated in one task (many drawings a batch), which also tells what triangles
+belong together however openings are closed; types of sides between such cells, the fill and the areas'
+boundaries are DataFrame joins and groupings by drawing.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import planar, polygons
-from ..sources.shared import materialise
+from ..sources.shared import materialise_rows
 from .elements import opening_edges
-from .graph import by_drawing, components
+from .graph import by_drawing, components, drawings
 
 #: Parts of a millimetre to which walls' ends are rounded.
 UNITS = 100
 #: Kinds of a triangle's side. The names of the mesh's edge types.
 REAL_WALL, CONVEX_HULL, VIRTUAL_BLOCKER = "real_wall", "convex_hull", "virtual_blocker"
 
-_TRIANGLE = ", ".join(["drawing_id long", "tri int", *(f"v{i} int, x{i} double, y{i} double, wall{i} boolean" for i in range(3))])
+_TRIANGLE = ", ".join(["drawing_id long", "tri int", "cell int", *(f"x{i} double, y{i} double, wall{i} boolean, near{i} boolean, other{i} int, next{i} int" for i in range(3))])
+_SIDE = ("x", "y", "wall", "near", "other", "next")
 
 
-def constrained_mesh(walls: DataFrame) -> DataFrame:
-    """drawing_id, tri, and for each corner i its number vi, place xi, yi (in 1 / UNITS) and whether the side from it on is wall (walli).
+def constrained_mesh(walls: DataFrame, openings: DataFrame | None = None, *, reach: float = 300.0, longest: float = 3500.0) -> DataFrame:
+    """drawing_id, tri, cell, and for each corner i its place xi, yi (in 1 / UNITS) and the side from it on: whether it is wall
+    (walli) or may close an opening (neari), the triangle behind it, if any (otheri), and that one's cell (nexti).
 
     Triangles are counter-clockwise. Every wall, cut where walls meet, is a chain of sides; but for these the
-    mesh is Delaunay. Drawings whose walls are all on one line have no triangles.
+    mesh is Delaunay. Drawings whose walls are all on one line have no triangles. A cell is what can be reached through sides that
+    are neither, whatever openings turn out to be closed; it has the number of its least triangle.
+
+    openings: drawing_id, ring. Sides may close one if they are no longer than ``longest`` and both ends are within ``reach`` of its box.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for drawing, group in frame.groupby("drawing_id", sort=True):
-            mesh = planar.constrained_mesh([((a, b), (c, d)) for a, b, c, d in zip(*(group[k].tolist() for k in ("x0", "y0", "x1", "y1")), strict=True)])
-            number = {p: i for i, p in enumerate(sorted(mesh.beside))}
-            for i, t in enumerate(mesh.triangles()):
-                row: list = [drawing, i]
-                for p, q in zip(t, t[1:] + t[:1], strict=True):
-                    row += [number[p], float(p[0]), float(p[1]), (min(p, q), max(p, q)) in mesh.fixed]
-                rows.append(row)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _TRIANGLE.split(", ")])
-
-    held = walls.select("drawing_id", *(F.rint(F.col(c) * UNITS).cast("bigint").alias(c) for c in ("x0", "y0", "x1", "y1"))).dropna()
+        box = frame["box"].to_numpy(bool)
+        ids, found, points, fixed = [], [], [], []
+        for drawing, rows in drawings(frame[~box], "x0", "y0", "x1", "y1"):
+            mesh = planar.constrained_mesh([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in rows])
+            at = {p: i for i, p in enumerate(sorted(mesh.beside), len(points))}
+            triangles = mesh.triangles()
+            ids += [drawing] * len(triangles)
+            found += [at[p] for t in triangles for p in t]
+            points += at
+            fixed += [(at[p], at[q]) for p, q in mesh.fixed if p in at]
+        return _cells(ids, found, points, fixed, frame[box], reach, longest)
+
+    held = walls.select("drawing_id", *(F.rint(F.col(c) * UNITS).cast("bigint").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(False).alias("box")).dropna()
+    if openings is not None:
+        bound = G.bounds(F.col("ring"))
+        held = held.unionByName(openings.select("drawing_id", *(bound[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(True).alias("box")).dropna())
     return by_drawing(held, run, _TRIANGLE)
 
 
+def _cells(ids: list, found: list, points: list, fixed: list, boxes: pd.DataFrame, reach: float, longest: float) -> pd.DataFrame:
+    """Rows of :func:`constrained_mesh` for triangles of many drawings, which come one after the other: their drawings,
+    the numbers of their corners, all corners, and the sides that are walls."""
+    drawing, corner, place = np.array(ids, np.int64), np.array(found, np.int64), np.array(points, float).reshape(-1, 2)
+    n, m = len(place), len(drawing)
+    u, v = corner, corner.reshape(-1, 3)[:, [1, 2, 0]].ravel()
+    # The triangle behind a side has it the other way round.
+    key, back = u * n + v, v * n + u
+    order = np.argsort(key)
+    where = np.minimum(np.searchsorted(key[order], back), max(len(key) - 1, 0))
+    behind = np.where(key[order][where] == back, order[where] // 3, -1) if m else np.zeros(0, np.int64)
+    ends = np.array(fixed, np.int64).reshape(-1, 2)
+    wall = np.isin(np.minimum(u, v) * n + np.maximum(u, v), ends.min(axis=1) * n + ends.max(axis=1))
+    near = ~wall & (behind >= 0) & _near(drawing, corner, place, u, v, boxes, reach, longest)
+    # Each triangle takes the least number beyond its open sides until none changes; numbers point to further ones.
+    cell, side = np.arange(m), np.repeat(np.arange(m), 3)
+    open_ = ~wall & ~near & (behind >= 0)
+    a, b = side[open_], behind[open_]
+    while True:
+        least = cell.copy()
+        np.minimum.at(least, cell[a], cell[b])
+        least = least[least]
+        if (least == cell).all():
+            break
+        cell = least
+    first = np.searchsorted(drawing, drawing)  # drawings come in order
+    number = lambda x, by: np.where(x >= 0, x - first[by], -1)
+    other, behind_cell = number(behind, side), np.where(behind >= 0, number(cell[behind], side), -1) if m else behind
+    out = {"drawing_id": drawing, "tri": np.arange(m) - first, "cell": number(cell, np.arange(m))}
+    for i in range(3):
+        for name, values in zip(_SIDE, (place[u, 0], place[u, 1], wall, near, other, behind_cell), strict=True):
+            mine = values[i::3]
+            out[f"{name}{i}"] = pd.array(mine, "Int32") if name in ("other", "next") else mine
+            if name in ("other", "next"):
+                out[f"{name}{i}"][mine < 0] = pd.NA
+    return pd.DataFrame(out)
+
+
+def _near(drawing: np.ndarray, corner: np.ndarray, place: np.ndarray, u: np.ndarray, v: np.ndarray, boxes: pd.DataFrame, reach: float, longest: float) -> np.ndarray:
+    """Which sides may close an opening: a millimetre is added to both limits, and every 64th box of a drawing counts as the same."""
+    owner = np.zeros(len(place), np.int64)
+    owner[corner] = np.repeat(drawing, 3)
+    at, box = place / UNITS, boxes[["x0", "y0", "x1", "y1"]].to_numpy(float)
+    of = boxes["drawing_id"].to_numpy(np.int64)
+    low, high = np.searchsorted(of, owner), np.searchsorted(of, owner, "right")
+    p = np.repeat(np.arange(len(place)), high - low)
+    k = np.arange(len(p)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    q = low[p] + k
+    apart = np.hypot(*(np.maximum(np.maximum(box[q, i] - at[p, i], at[p, i] - box[q, i + 2]), 0) for i in range(2)))
+    hit = apart <= reach + 1
+    met = np.zeros(len(place), np.uint64)
+    np.bitwise_or.at(met, p[hit], np.uint64(1) << (k[hit] % 64).astype(np.uint64))
+    return ((met[u] & met[v]) != 0) & (np.hypot(*(at[u] - at[v]).T) <= longest + 1)
+
+
 def sides(mesh: DataFrame) -> DataFrame:
-    """drawing_id, tri, u, v, px, py, qx, qy, wall of every triangle's sides, counter-clockwise, and other: the triangle behind it, if any."""
-    each = F.array(*(F.struct(F.col(f"v{i}").alias("u"), F.col(f"v{j}").alias("v"), F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py"), F.col(f"x{j}").alias("qx"), F.col(f"y{j}").alias("qy"), F.col(f"wall{i}").alias("wall")) for i, j in ((0, 1), (1, 2), (2, 0))))
-    rows = mesh.select("drawing_id", "tri", F.inline(each))
-    both = Window.partitionBy("drawing_id", F.least("u", "v"), F.greatest("u", "v"))
-    total = F.sum("tri").over(both)
-    return rows.withColumn("other", F.when(F.count(F.lit(1)).over(both) == 2, total - F.col("tri")).cast("int"))
+    """drawing_id, tri, cell, px, py, qx, qy, wall, near, other, next of triangles' sides, counter-clockwise, without those inside cells."""
+    each = F.array(*(F.struct(F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py"), F.col(f"x{j}").alias("qx"), F.col(f"y{j}").alias("qy"), *(F.col(f"{c}{i}").alias(c) for c in _SIDE[2:])) for i, j in ((0, 1), (1, 2), (2, 0))))
+    return mesh.select("drawing_id", "tri", "cell", F.inline(F.filter(each, lambda s: ~s["next"].eqNullSafe(F.col("cell")) | s["near"])))
 
 
 def typed_sides(mesh: DataFrame, openings: DataFrame | None = None, *, reach: float = 300.0, longest: float = 3500.0) -> DataFrame:
-    """:func:`sides` with their ``kind``: wall, hull (a side with nothing behind it that is no wall), blocker (it closes an opening), or null."""
+    """drawing_id, cell, next, px, py, qx, qy, kind of :func:`sides`: wall, hull (a side with nothing behind it that is no wall), blocker (it closes an opening), or null."""
+    columns = ["drawing_id", "cell", "next", "px", "py", "qx", "qy", "kind"]
     found = sides(mesh).withColumn("kind", F.when(F.col("wall"), REAL_WALL).when(F.col("other").isNull(), CONVEX_HULL))
     if openings is None:
-        return found
-    name = F.col("u").cast("bigint") * (1 << 31) + F.col("v")
-    open_ = found.where(F.col("kind").isNull() & (F.col("u") < F.col("v"))).select("drawing_id", name.alias("edge_id"), *((F.col(a) / UNITS).alias(b) for a, b in (("px", "x0"), ("py", "y0"), ("qx", "x1"), ("qy", "y1"))))
+        return found.select(columns)
+    # Two triangles have one side in common; few sides are near an opening.
+    name = F.least("tri", "other").cast("bigint") * (1 << 31) + F.greatest("tri", "other")
+    doubtful = found.where("near").withColumn("edge_id", name)
+    open_ = doubtful.where(F.col("tri") < F.col("other")).select("drawing_id", "edge_id", *((F.col(a) / UNITS).alias(b) for a, b in (("px", "x0"), ("py", "y0"), ("qx", "x1"), ("qy", "y1"))))
     closed = opening_edges(open_, openings, reach=reach, longest=longest).select("drawing_id", "edge_id", F.lit(VIRTUAL_BLOCKER).alias("closed"))
-    either = F.least("u", "v").cast("bigint") * (1 << 31) + F.greatest("u", "v")
-    return found.withColumn("edge_id", either).join(closed, ["drawing_id", "edge_id"], "left").withColumn("kind", F.coalesce("kind", "closed")).drop("edge_id", "closed")
+    told = doubtful.join(closed.hint("merge"), ["drawing_id", "edge_id"], "left").withColumn("kind", F.col("closed"))
+    return found.where("not near").select(columns).unionByName(told.select(columns))
 
 
 def filled(typed: DataFrame) -> DataFrame:
-    """drawing_id, tri, area_id (its least triangle), exterior: what a flood fill through open sides reaches from each triangle.
+    """drawing_id, cell, area_id (its least triangle), exterior: what a flood fill through open sides reaches from each cell.
 
     An area that meets the hull anywhere without a wall leaks, and is exterior.
     """
-    nodes = typed.select("drawing_id", F.col("tri").alias("node")).distinct()
-    through = typed.where(F.col("kind").isNull() & (F.col("tri") < F.col("other"))).select("drawing_id", F.col("tri").alias("u"), F.col("other").alias("v"))
-    reached = components(nodes, through).select("drawing_id", F.col("node").alias("tri"), F.col("component").alias("area_id"))
-    leaks = typed.where(F.col("kind") == CONVEX_HULL).select("drawing_id", "tri").distinct().withColumn("leak", F.lit(True))
+    cells = typed.groupBy("drawing_id", "cell").agg(F.coalesce(F.bool_or(F.col("kind") == CONVEX_HULL), F.lit(False)).alias("leak"))
+    through = typed.where(F.col("kind").isNull() & (F.col("cell") < F.col("next"))).select("drawing_id", F.col("cell").alias("u"), F.col("next").alias("v")).distinct()
+    reached = components(cells.select("drawing_id", F.col("cell").alias("node")), through).select("drawing_id", F.col("node").alias("cell"), F.col("component").alias("area_id"))
     whole = Window.partitionBy("drawing_id", "area_id")
-    return reached.join(leaks, ["drawing_id", "tri"], "left").select("drawing_id", "tri", "area_id", F.coalesce(F.bool_or("leak").over(whole), F.lit(False)).alias("exterior"))
+    return reached.join(cells.hint("merge"), ["drawing_id", "cell"]).select("drawing_id", "cell", "area_id", F.bool_or("leak").over(whole).alias("exterior"))
 
 
 def area_polygons(typed: DataFrame, areas: DataFrame) -> DataFrame:
-    """drawing_id, area_id, polygon (parts with holes, in millimetres) of areas (drawing_id, tri, area_id).
+    """drawing_id, area_id, polygon (parts with holes, in millimetres) of areas (drawing_id, cell, area_id).
 
-    An area is bounded by the sides of its triangles behind which it does not go on; walls that end in it fall out.
+    An area is bounded by the sides of its cells behind which it does not go on; walls that end in it fall out.
     """
-    own = areas.select("drawing_id", "tri", "area_id")
-    behind = own.select("drawing_id", F.col("tri").alias("other"), F.col("area_id").alias("other_area"))
-    rim = typed.join(own, ["drawing_id", "tri"]).join(behind, ["drawing_id", "other"], "left").where(~F.col("area_id").eqNullSafe(F.col("other_area")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        # Cells' areas come with the sides, and are told by numbers that no two drawings of the frame share.
+        at = frame["drawing_id"].ne(frame["drawing_id"].shift()).cumsum() * (1 << 31)
+        own = frame["area_id"].notna()
+        area = pd.Series(frame["area_id"][own].to_numpy(), at[own] + frame["cell"][own])
+        rim = frame[~own]
+        mine, theirs = (area.reindex(at[~own] + rim[c].fillna(-1).astype("int64")).to_numpy() for c in ("cell", "next"))
+        rim = rim.assign(area_id=mine)[~np.isnan(mine) & (mine != theirs)].sort_values(["drawing_id", "area_id"], kind="stable")
+        # Sides of an area stand together.
+        keys, edges = list(zip(rim["drawing_id"].tolist(), rim["area_id"].astype("int64").tolist(), strict=True)), rim[["px", "py", "qx", "qy"]].to_numpy().tolist()
+        points = lambda ring: [{"x": float(x) / UNITS, "y": float(y) / UNITS} for x, y in ring]
         rows = []
-        for (drawing, area), group in frame.groupby(["drawing_id", "area_id"], sort=True):
-            edges = [(planar.exact((a, b)), planar.exact((c, d))) for a, b, c, d in zip(*(group[k].tolist() for k in ("px", "py", "qx", "qy")), strict=True)]
-            points = lambda ring: [{"x": float(x) / UNITS, "y": float(y) / UNITS} for x, y in ring]
-            found = [{"outer": points(ring), "holes": [points(h) for h in holes]} for ring, holes in planar.polygons(edges)]
-            rows.append((drawing, area, found))
+        for (drawing, number), group in groupby(zip(keys, edges, strict=True), lambda r: r[0]):
+            found = planar.polygons([(planar.exact((a, b)), planar.exact((c, d))) for _, (a, b, c, d) in group])
+            rows.append((drawing, number, [{"outer": points(ring), "holes": [points(h) for h in holes]} for ring, holes in found]))
         return pd.DataFrame(rows, columns=["drawing_id", "area_id", "polygon"])
 
-    return by_drawing(rim.select("drawing_id", "area_id", "px", "py", "qx", "qy"), run, f"drawing_id long, area_id int, polygon {polygons.PARTS}")
+    none = lambda kind, *names: (F.lit(None).cast(kind).alias(n) for n in names)
+    rim = typed.select("drawing_id", "cell", "next", "px", "py", "qx", "qy", *none("int", "area_id"))
+    held = areas.select("drawing_id", "cell", *none("int", "next"), *none("double", "px", "py", "qx", "qy"), "area_id")
+    return by_drawing(rim.unionByName(held), run, f"drawing_id long, area_id int, polygon {polygons.PARTS}")
 
 
 def enclosed_areas(walls: DataFrame, openings: DataFrame | None = None, **limits) -> DataFrame:
     """drawing_id, area_id, polygon of the areas that walls and closed openings (drawing_id, ring) shut in."""
-    mesh = materialise(constrained_mesh(walls), "mesh")
-    typed = materialise(typed_sides(mesh, openings, **limits), "mesh-sides")
+    mesh = materialise_rows(constrained_mesh(walls, openings, **limits), "mesh")
+    typed = materialise_rows(typed_sides(mesh, openings, **limits), "mesh-sides")
     inner = filled(typed).where(~F.col("exterior"))
     return area_polygons(typed, inner)
 

@@ -555,9 +555,11 @@ def walled_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wall_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet with posts just under long walls, which a plain Delaunay mesh would cross: triangles, sides that are walls, and areas."""
     r = D.rooms(spark, sf_dir).selectExpr("*", "4000 * (ord % 4) AS a", "3500 * (ord div 4) AS b")
-    mesh = materialise(M.constrained_mesh(_walls(r, *_box_walls("0", "0", 16000, 10500, "ord = 0"), _wall("100", "b + 3400", "15900", "b + 3400", "ord % 4 = 0"), *_box_walls("a + 1000 + event_id % 1000", "b + 2980", 400, 400))), "mesh")
-    typed = materialise(M.typed_sides(mesh), "mesh-sides")
-    sides = typed.groupBy("drawing_id").agg(F.sum(F.when(F.col("wall"), F.when(F.col("other").isNull(), 2).otherwise(1)).otherwise(0)).alias("w"), F.count_if(F.col("other").isNull()).alias("n_rim"))
+    mesh = materialise_rows(M.constrained_mesh(_walls(r, *_box_walls("0", "0", 16000, 10500, "ord = 0"), _wall("100", "b + 3400", "15900", "b + 3400", "ord % 4 = 0"), *_box_walls("a + 1000 + event_id % 1000", "b + 2980", 400, 400))), "mesh")
+    typed = materialise_rows(M.typed_sides(mesh), "mesh-sides")
+    side = lambda i: F.when(F.col(f"wall{i}"), F.when(F.col(f"other{i}").isNull(), 2).otherwise(1)).otherwise(0)
+    rim = lambda i: F.col(f"other{i}").isNull().cast("int")
+    sides = mesh.groupBy("drawing_id").agg(F.sum(side(0) + side(1) + side(2)).alias("w"), F.sum(rim(0) + rim(1) + rim(2)).alias("n_rim"))
     size = M.mesh_rings(mesh).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(G.area(F.col("ring")))).alias("area2"))
     areas = M.area_polygons(typed, M.filled(typed).where("not exterior")).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_areas"), F.sum(F.size(polygons.holes(F.col("polygon")))).alias("n_holes"))
     return size.join(sides, "drawing_id").join(areas, "drawing_id").select("drawing_id", "n_triangles", F.expr("w div 2").alias("n_walls"), "n_rim", "area2", "n_areas", "n_holes")

@@ -121,6 +121,45 @@ def test_areas_leak_through_gaps(spark):
     assert sorted((r["drawing_id"], r["room_id"], round(r["area"])) for r in rooms) == [(1, "Space_001", 16_000_000), (3, "Space_001", 128_000_000), (3, "Space_002", 16_000_000)]
 
 
+def test_cells_hold_what_no_opening_can_part(spark):
+    rng = random.Random(9)
+    rows = [(d, [s for _ in range(5) for s in box(500 * rng.randrange(20), 500 * rng.randrange(20), 500 * rng.randrange(1, 9), 500 * rng.randrange(1, 9))]) for d in range(5)]
+    rows.append((5, box(0, 0, 60000, 4000) + [s for i in range(70) for s in (((800 * i, 4000), (800 * i, 2600)), ((800 * i, 1600), (800 * i, 0)))]))
+    doors = [(d, float(x), float(y), float(x + w), float(y + h)) for d in range(5) for x, y, w, h in ([500 * rng.randrange(24), 500 * rng.randrange(24), *rng.choice([(200, 900), (900, 200), (1500, 1500)])] for _ in range(9))]
+    doors += [(5, 800.0 * i - 100, 1600.0, 800.0 * i + 100, 2600.0) for i in range(70)]
+    doors = spark.createDataFrame(doors, "drawing_id long, x0 double, y0 double, x1 double, y1 double").select("drawing_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+    walls = walls_of(spark, rows)
+    mesh = M.constrained_mesh(walls, doors).toPandas()
+    triangles = {(r["drawing_id"], r["tri"]): r for r in mesh.to_dict("records")}
+    corner = lambda r, i: (r[f"x{i % 3}"], r[f"y{i % 3}"])
+    behind = {(r["drawing_id"], corner(r, i), corner(r, i + 1)): k[1] for k, r in triangles.items() for i in range(3)}
+    inner, links, label = [], {}, {}
+    for (d, t), r in triangles.items():
+        for i in range(3):
+            other = behind.get((d, corner(r, i + 1), corner(r, i)))
+            assert other == (None if np.isnan(r[f"other{i}"]) else r[f"other{i}"])
+            assert other is None or r[f"next{i}"] == triangles[d, other]["cell"]
+            if other is not None and not r[f"wall{i}"] and t < other:
+                inner.append((d, (t << 31) + other, *(v / M.UNITS for p in (corner(r, i), corner(r, i + 1)) for v in p), bool(r[f"near{i}"])))
+            if other is not None and not r[f"wall{i}"] and not r[f"near{i}"]:
+                links.setdefault((d, t), []).append((d, other))
+    for start in sorted(triangles):
+        queue = [] if start in label else [start]
+        while queue:
+            at = queue.pop()
+            if at not in label:
+                label[at] = start[1]
+                queue += links.get(at, [])
+    assert label == {k: r["cell"] for k, r in triangles.items()}
+    edges = spark.createDataFrame(inner, "drawing_id long, edge_id long, x0 double, y0 double, x1 double, y1 double, near boolean")
+    closed = E.opening_edges(edges, doors).collect()
+    assert len(closed) > 64 and all(r["near"] for r in closed) and not all(x[-1] for x in inner)
+    # Only sides between cells, and those near openings, go on to the joins by drawing.
+    rim = sum(r[f"near{i}"] or np.isnan(r[f"next{i}"]) or r[f"next{i}"] != r["cell"] for r in triangles.values() for i in range(3))
+    typed = M.typed_sides(M.constrained_mesh(walls, doors), doors)
+    assert typed.count() == rim < 2.5 * len(triangles) and typed.where(F.col("kind") == M.VIRTUAL_BLOCKER).count() == 2 * len(closed)
+
+
 WKT = [
     ("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", 96.0, "same"),
     ("MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2)), ((20 0, 21 0, 21 1.5, 20 0)))", 96.75, "same"),
