@@ -12,7 +12,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -23,6 +23,8 @@ from .graph import by_drawing, components, drawings
 
 #: Parts of a millimetre to which walls' ends are rounded.
 UNITS = 100
+#: Walls of drawings whose triangles a task keeps.
+KNOWN_WALLS = 30_000
 #: Kinds of a triangle's side. The names of the mesh's edge types.
 REAL_WALL, CONVEX_HULL, VIRTUAL_BLOCKER = "real_wall", "convex_hull", "virtual_blocker"
 
@@ -41,18 +43,33 @@ def constrained_mesh(walls: DataFrame, openings: DataFrame | None = None, *, rea
     openings: drawing_id, ring. Sides may close one if they are no longer than ``longest`` and both ends are within ``reach`` of its box.
     """
 
+    # Storeys repeat: equal walls are triangulated once a task, as long as those known are not too many.
+    known: dict[tuple, tuple] = {}
+    size = 0
+
+    def triangulated(rows: list[tuple]) -> tuple:
+        nonlocal size
+        same = tuple(sorted(rows))
+        if same not in known:
+            if size > KNOWN_WALLS:
+                known.clear()
+                size = 0
+            mesh = planar.constrained_mesh([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in same])
+            triangles, walls_ = mesh.numbered()
+            known[same] = (np.array(triangles, np.int64).reshape(-1, 3), np.array(mesh.points, float).reshape(-1, 2), np.array(walls_, np.int64).reshape(-1, 2))
+            size += len(same)
+        return known[same]
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         box = frame["box"].to_numpy(bool)
-        ids, found, points, fixed = [], [], [], []
-        for drawing, rows in drawings(frame[~box], "x0", "y0", "x1", "y1"):
-            mesh = planar.constrained_mesh([((int(a), int(b)), (int(c), int(d))) for a, b, c, d in rows])
-            at = {p: i for i, p in enumerate(sorted(mesh.beside), len(points))}
-            triangles = mesh.triangles()
-            ids += [drawing] * len(triangles)
-            found += [at[p] for t in triangles for p in t]
-            points += at
-            fixed += [(at[p], at[q]) for p, q in mesh.fixed if p in at]
-        return _cells(ids, found, points, fixed, frame[box], reach, longest)
+        each = [(drawing, *triangulated(rows)) for drawing, rows in drawings(frame[~box], "x0", "y0", "x1", "y1")]
+        each = each or [(0, *triangulated([]))]
+        ids, triangles, points, fixed = zip(*each, strict=True)
+        from_ = np.cumsum([0, *map(len, points)])[:-1]  # corners are numbered on from drawing to drawing
+        ids = np.repeat(np.array(ids, np.int64), [len(t) for t in triangles])
+        found, fixed = (np.concatenate([n + x for n, x in zip(from_, part, strict=True)]) for part in (triangles, fixed))
+        points = np.concatenate(points)
+        return _cells(ids, found.ravel(), points, fixed, frame[box], reach, longest)
 
     held = walls.select("drawing_id", *(F.rint(F.col(c) * UNITS).cast("bigint").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit(False).alias("box")).dropna()
     if openings is not None:
@@ -61,10 +78,9 @@ def constrained_mesh(walls: DataFrame, openings: DataFrame | None = None, *, rea
     return by_drawing(held, run, _TRIANGLE)
 
 
-def _cells(ids: list, found: list, points: list, fixed: list, boxes: pd.DataFrame, reach: float, longest: float) -> pd.DataFrame:
+def _cells(drawing: np.ndarray, corner: np.ndarray, place: np.ndarray, ends: np.ndarray, boxes: pd.DataFrame, reach: float, longest: float) -> pd.DataFrame:
     """Rows of :func:`constrained_mesh` for triangles of many drawings, which come one after the other: their drawings,
     the numbers of their corners, all corners, and the sides that are walls."""
-    drawing, corner, place = np.array(ids, np.int64), np.array(found, np.int64), np.array(points, float).reshape(-1, 2)
     n, m = len(place), len(drawing)
     u, v = corner, corner.reshape(-1, 3)[:, [1, 2, 0]].ravel()
     # The triangle behind a side has it the other way round.
@@ -72,7 +88,6 @@ def _cells(ids: list, found: list, points: list, fixed: list, boxes: pd.DataFram
     order = np.argsort(key)
     where = np.minimum(np.searchsorted(key[order], back), max(len(key) - 1, 0))
     behind = np.where(key[order][where] == back, order[where] // 3, -1) if m else np.zeros(0, np.int64)
-    ends = np.array(fixed, np.int64).reshape(-1, 2)
     wall = np.isin(np.minimum(u, v) * n + np.maximum(u, v), ends.min(axis=1) * n + ends.max(axis=1))
     near = ~wall & (behind >= 0) & _near(drawing, corner, place, u, v, boxes, reach, longest)
     # Each triangle takes the least number beyond its open sides until none changes; numbers point to further ones.
@@ -119,7 +134,7 @@ def _near(drawing: np.ndarray, corner: np.ndarray, place: np.ndarray, u: np.ndar
 def sides(mesh: DataFrame) -> DataFrame:
     """drawing_id, tri, cell, px, py, qx, qy, wall, near, other, next of triangles' sides, counter-clockwise, without those inside cells."""
     each = F.array(*(F.struct(F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py"), F.col(f"x{j}").alias("qx"), F.col(f"y{j}").alias("qy"), *(F.col(f"{c}{i}").alias(c) for c in _SIDE[2:])) for i, j in ((0, 1), (1, 2), (2, 0))))
-    return mesh.select("drawing_id", "tri", "cell", F.inline(F.filter(each, lambda s: ~s["next"].eqNullSafe(F.col("cell")) | s["near"])))
+    return mesh.select("drawing_id", "tri", "cell", F.inline(each)).where(~F.col("next").eqNullSafe(F.col("cell")) | F.col("near"))
 
 
 def typed_sides(mesh: DataFrame, openings: DataFrame | None = None, *, reach: float = 300.0, longest: float = 3500.0) -> DataFrame:
@@ -164,11 +179,14 @@ def area_polygons(typed: DataFrame, areas: DataFrame) -> DataFrame:
         mine, theirs = (area.reindex(at[~own] + rim[c].fillna(-1).astype("int64")).to_numpy() for c in ("cell", "next"))
         rim = rim.assign(area_id=mine)[~np.isnan(mine) & (mine != theirs)].sort_values(["drawing_id", "area_id"], kind="stable")
         # Sides of an area stand together.
-        keys, edges = list(zip(rim["drawing_id"].tolist(), rim["area_id"].astype("int64").tolist(), strict=True)), rim[["px", "py", "qx", "qy"]].to_numpy().tolist()
+        keys = zip(rim["drawing_id"].tolist(), rim["area_id"].astype("int64").tolist(), strict=True)
+        ends = rim[["px", "py", "qx", "qy"]].to_numpy()
+        whole = (ends == np.rint(ends)).all()
+        edges = ends.astype(np.int64).tolist() if whole else [[v for p in (row[:2], row[2:]) for v in planar.exact(p)] for row in ends.tolist()]
         points = lambda ring: [{"x": float(x) / UNITS, "y": float(y) / UNITS} for x, y in ring]
         rows = []
         for (drawing, number), group in groupby(zip(keys, edges, strict=True), lambda r: r[0]):
-            found = planar.polygons([(planar.exact((a, b)), planar.exact((c, d))) for _, (a, b, c, d) in group])
+            found = planar.polygons([((a, b), (c, d)) for _, (a, b, c, d) in group])
             rows.append((drawing, number, [{"outer": points(ring), "holes": [points(h) for h in holes]} for ring, holes in found]))
         return pd.DataFrame(rows, columns=["drawing_id", "area_id", "polygon"])
 
@@ -194,6 +212,12 @@ def candidate_faces(areas: DataFrame) -> DataFrame:
     return part.select("drawing_id", face.alias("face"), F.col("part.outer").alias("ring"), F.col("part.holes").alias("holes"))
 
 
+def triangle_area() -> Column:
+    """The area of a mesh's triangle in square millimetres."""
+    x, y = ([F.col(f"{c}{i}") for i in range(3)] for c in "xy")
+    return ((x[1] - x[0]) * (y[2] - y[0]) - (y[1] - y[0]) * (x[2] - x[0])) / (2 * UNITS**2)
+
+
 def mesh_rings(mesh: DataFrame) -> DataFrame:
     """drawing_id, tri, ring (in millimetres) of the mesh's triangles."""
     corner = lambda i: G.point(F.col(f"x{i}") / UNITS, F.col(f"y{i}") / UNITS)

@@ -559,10 +559,10 @@ def wall_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = materialise_rows(M.typed_sides(mesh), "mesh-sides")
     side = lambda i: F.when(F.col(f"wall{i}"), F.when(F.col(f"other{i}").isNull(), 2).otherwise(1)).otherwise(0)
     rim = lambda i: F.col(f"other{i}").isNull().cast("int")
-    sides = mesh.groupBy("drawing_id").agg(F.sum(side(0) + side(1) + side(2)).alias("w"), F.sum(rim(0) + rim(1) + rim(2)).alias("n_rim"))
-    size = M.mesh_rings(mesh).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(G.area(F.col("ring")))).alias("area2"))
+    sides = (F.sum(side(0) + side(1) + side(2)).alias("w"), F.sum(rim(0) + rim(1) + rim(2)).alias("n_rim"))
+    size = mesh.groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_triangles"), whole(2 * F.sum(M.triangle_area())).alias("area2"), *sides)
     areas = M.area_polygons(typed, M.filled(typed).where("not exterior")).groupBy("drawing_id").agg(F.count(F.lit(1)).alias("n_areas"), F.sum(F.size(polygons.holes(F.col("polygon")))).alias("n_holes"))
-    return size.join(sides, "drawing_id").join(areas, "drawing_id").select("drawing_id", "n_triangles", F.expr("w div 2").alias("n_walls"), "n_rim", "area2", "n_areas", "n_holes")
+    return size.join(areas, "drawing_id").select("drawing_id", "n_triangles", F.expr("w div 2").alias("n_walls"), "n_rim", "area2", "n_areas", "n_holes")
 
 
 # ----------------------------------------------------------- spatial joins

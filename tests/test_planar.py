@@ -95,6 +95,32 @@ def test_meshes_of_few_points():
     assert len(planar.Mesh([(0, 1), (2, 0), (2, 1), (2, 2)], [((0, 1), (2, 1))]).triangles()) == 2
 
 
+def test_meshes_are_made_with_few_checks(monkeypatch):
+    # Edges that lead to the newest point are never flipped, so only those opposite it are checked; a wall that is a side needs no flip.
+    spots = [(1000 * i + 37 * k, 2000 * k + 11 * i) for i in range(12) for k in range(5)]
+    checked, flipped = [], []
+    circled, flip = planar.Mesh._circled, planar.Mesh._flip
+    monkeypatch.setattr(planar.Mesh, "_circled", staticmethod(lambda *p: checked.append(p) or circled(*p)))
+    monkeypatch.setattr(planar.Mesh, "_flip", lambda self, *e: flipped.append(e) or flip(self, *e))
+    mesh = planar.Mesh(spots, [(p, q) for p, q in itertools.pairwise(spots) if p[0] < q[0] + 500 and p[1] < q[1]])
+    third = mesh.third
+    assert len(mesh.triangles()) > 80 and not checked and not flipped
+    assert all((d := third.get((b, a))) is None or not circled(a, b, c, d) for (a, b), c in third.items())
+
+
+def test_boundaries_of_one_way_are_followed_alike(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        rings = [box(20 * k + rng.randrange(5), rng.randrange(5), rng.randrange(4, 9), rng.randrange(4, 9)) for k in range(3)]
+        edges = [e for r in [*rings, box(80, 0, 20, 20)] for e in r] + [(q, p) for p, q in box(85, 5, 1, 1)]
+        rng.shuffle(edges)
+        quick = planar.traces(edges), planar.polygons(edges)
+        assert planar._cycles(edges) == quick[0] and planar._cycles([*edges, rings[0][0]]) is None
+        with monkeypatch.context() as m:
+            m.setattr(planar, "_cycles", lambda edges: None)
+            assert (planar.traces(edges), planar.polygons(edges)) == quick
+
+
 def walls_of(spark, rows):
     return spark.createDataFrame([(d, float(a), float(b), float(c), float(e)) for d, segments in rows for (a, b), (c, e) in segments], "drawing_id long, x0 double, y0 double, x1 double, y1 double")
 
@@ -121,6 +147,16 @@ def test_areas_leak_through_gaps(spark):
     assert sorted((r["drawing_id"], r["room_id"], round(r["area"])) for r in rooms) == [(1, "Space_001", 16_000_000), (3, "Space_001", 128_000_000), (3, "Space_002", 16_000_000)]
 
 
+def test_repeated_storeys_have_meshes_of_their_own_numbers(spark, monkeypatch):
+    plan = [*box(0, 0, 5000, 4000), *box(1000, 1000, 700, 300), ((0, 2000), (900, 2500))]
+    walls = walls_of(spark, [(d, plan[::-1] if d % 2 else plan) for d in range(4)] + [(9, box(0, 0, 70, 20))])
+    rows = lambda d: sorted(tuple(r)[1:] for r in M.constrained_mesh(walls).where(f"drawing_id = {d}").collect())
+    first = rows(0)
+    assert len(first) > 10 and first == rows(1) == rows(2) == rows(3) and len(rows(9)) == 2
+    monkeypatch.setattr(M, "KNOWN_WALLS", 0)
+    assert rows(2) == first
+
+
 def test_cells_hold_what_no_opening_can_part(spark):
     rng = random.Random(9)
     rows = [(d, [s for _ in range(5) for s in box(500 * rng.randrange(20), 500 * rng.randrange(20), 500 * rng.randrange(1, 9), 500 * rng.randrange(1, 9))]) for d in range(5)]
@@ -129,7 +165,10 @@ def test_cells_hold_what_no_opening_can_part(spark):
     doors += [(5, 800.0 * i - 100, 1600.0, 800.0 * i + 100, 2600.0) for i in range(70)]
     doors = spark.createDataFrame(doors, "drawing_id long, x0 double, y0 double, x1 double, y1 double").select("drawing_id", G.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
     walls = walls_of(spark, rows)
-    mesh = M.constrained_mesh(walls, doors).toPandas()
+    cells = M.constrained_mesh(walls, doors)
+    sizes = cells.select("drawing_id", "tri", M.triangle_area().alias("a")).join(M.mesh_rings(cells).select("drawing_id", "tri", G.area(F.col("ring")).alias("b")), ["drawing_id", "tri"]).collect()
+    assert sizes and all(r["a"] == pytest.approx(r["b"]) and r["a"] > 0 for r in sizes)
+    mesh = cells.toPandas()
     triangles = {(r["drawing_id"], r["tri"]): r for r in mesh.to_dict("records")}
     corner = lambda r, i: (r[f"x{i % 3}"], r[f"y{i % 3}"])
     behind = {(r["drawing_id"], corner(r, i), corner(r, i + 1)): k[1] for k, r in triangles.items() for i in range(3)}
